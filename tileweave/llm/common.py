@@ -21,6 +21,11 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def let(value, body):
+    """``body`` of ``value`` as one expression in which ``value`` is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, tokencount
-from .common import table
+from . import bpe, decontaminate, exactdedup, htmltext, linededup, quality, sharding, tokencount, urlfilter
+from .common import LOWER, UPPER, table
 
 RANKS = "byte_bpe_50k.tiktoken"
+QUALITY_THRESHOLD = 0.3
+SHARDS = 40
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +20,42 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.with_token_counts(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).drop("text")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = quality.with_quality(docs, weights)
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % quality.HELD_OUT_OF == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.with_url_verdict(pages, URL_RULES).drop("url")
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmltext.with_main_text(pages).drop("html")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = linededup.without_repeated_chunks(docs)
+    return kept.select("doc_id", "n_chunks", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.with_token_digest(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).drop("text")
@@ -23,7 +63,42 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op3_quality": op3_quality,
+    "op4_url_filter": op4_url_filter,
+    "op5_main_text": op5_main_text,
+    "op6_decontamination": op6_decontamination,
+    "op7_sharding": op7_sharding,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_exact_dedup": op9_exact_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _url_sql() -> str:
+    """The URL contract in SQL: longest fitting rule, else the vocabulary's verdict."""
+    fits = [(rule, action, *rule.split("/", 1)) for action, rule in URL_RULES]
+    longest = "CASE " + " ".join(
+        f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}') THEN '{rule}'" for rule, _, host, path in sorted(fits, key=lambda r: -len(r[0]))
+    ) + " END"
+    action = "CASE rule " + " ".join(f"WHEN '{rule}' THEN '{action}'" for rule, action, *_ in fits) + " END"
+    alone = lambda term: f"(^|[^[:alnum:]]){term}($|[^[:alnum:]])"
+    counted = lambda strict: " + ".join(f"CASE WHEN regexp_matches(low, '{alone(t)}') THEN 1 ELSE 0 END" for t, w in urlfilter.VOCABULARY if (w >= urlfilter.STRICT) == strict)
+    return f"""
+WITH cut AS (SELECT page_id, lower(coalesce(url, '')) AS low,
+    coalesce(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END, '') AS rest FROM pages),
+parts AS (SELECT page_id, low, lower(regexp_extract(rest, '^[^/?#]*')) AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+ruled AS (SELECT *, {longest} AS rule, {counted(True)} AS strict_terms, {counted(False)} AS soft_terms FROM parts)
+SELECT page_id, host, path, rule, coalesce({action}, CASE WHEN strict_terms > 0 OR soft_terms >= {urlfilter.SOFT_NEEDED} THEN 'block' ELSE 'allow' END) AS verdict,
+    strict_terms::INT AS strict_terms, soft_terms::INT AS soft_terms FROM ruled
+"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_filter": _url_sql(),
+    "op9_exact_dedup": f"""
+WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+    doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256 FROM n
+""",
+}
