@@ -1,25 +1,62 @@
-"""Corpus pipeline: five stages from raw documents to encoded, clean ones."""
+"""Corpus pipeline: five stages from raw documents to encoded, clean ones.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept;
+its result is written as Parquet and read again as the next one's ``docs``.  All but
+the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tileweave.llm import bpe
+from tileweave.llm import bpe, decontaminate, linededup, neardup, quality
 from tileweave.llm.common import staged, table
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: Documents that score lower are rejected.
+QUALITY_THRESHOLD = 0.3
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject; labels teach it, and are no input of a score."""
+    weights = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = quality.with_quality(docs, weights, to="_score")
+    return scored.where(F.col("_score") >= QUALITY_THRESHOLD).select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, freed of chunks of lines that stand elsewhere; n_chars follows the text."""
+    kept = linededup.without_repeated_chunks(docs)
+    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return neardup.without_near_copies(docs).select(docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every kept text, with the digest of what they decode to."""
+    """Number and digest of the ids of every kept text, and the digest of what they decode to."""
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    return bpe.with_token_digest(docs, path, pattern).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.with_token_digest(docs, path, pattern).select("doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-STAGES = [("encode", encode)]
+STAGES = [
+    ("quality", keep_quality),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_copies),
+    ("decontaminate", drop_leaks),
+    ("encode", encode),
+]
 
-#: Similarity joins and a trained model are beyond SQL; tests hold the stages against brute force.
+#: A trained model, similarity classes and a tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

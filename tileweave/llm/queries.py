@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exactdedup, htmltext, linededup, quality, sharding, tokencount, urlfilter
+from . import bpe, decontaminate, exactdedup, htmltext, linededup, neardup, quality, sharding, tokencount, urlfilter
 from .common import LOWER, UPPER, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -20,6 +20,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.with_token_counts(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).drop("text")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_classes(docs).drop("node")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -63,6 +68,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_near_dedup": op2_near_dedup,
     "op3_quality": op3_quality,
     "op4_url_filter": op4_url_filter,
     "op5_main_text": op5_main_text,
