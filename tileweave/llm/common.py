@@ -54,6 +54,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the filter that ``may_be_among`` broadcasts: 64 K rows of two numbers, whatever the keys' number.
+FILTER_BITS = 1 << 22
+
+
+def may_be_among(df: DataFrame, key, keys: DataFrame, key_of_keys=None) -> DataFrame:
+    """``df`` with the boolean ``_maybe``: false only if the long ``key`` is none of ``keys``.
+
+    The keys are folded into a bitmap of fixed size, so a join need not move the rows
+    that can't have a partner.
+    """
+    bit = lambda k: F.pmod(k, F.lit(FILTER_BITS))
+    folded = keys.select(bit(key if key_of_keys is None else key_of_keys).alias("_bit"))
+    words = folded.groupBy(F.shiftright("_bit", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit & 63 as int))")).alias("_bits"))
+    marked = df.withColumn("_bit", bit(key)).withColumn("_at", F.shiftright("_bit", 6))
+    joined = marked.join(F.broadcast(words), F.col("_at") == F.col("_word"), "left")  # at most FILTER_BITS / 64 rows
+    return joined.withColumn("_maybe", F.coalesce(F.expr("getbit(_bits, cast(_bit & 63 as int)) = 1"), F.lit(False))).drop("_bit", "_at", "_word", "_bits")
+
+
 class Memo(dict):
     """A dict that computes missing values.
 

@@ -12,8 +12,8 @@ Defined results: a null text counts as empty and stays null; the empty text is o
 blank line and keeps it.  Blank lines count for no chunk's lines.  Repeated rows (same
 doc_id and text) are one document: they keep and lose the same chunks.  A null doc_id
 comes first.  A text that loses all its chunks becomes empty.  An empty table gives an
-empty result.  Extra columns pass through; those named ``_key``, ``_dropped`` or
-``_chunks`` are refused.
+empty result.  Extra columns pass through; names that start with ``_`` are kept
+for the operator.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, staged, text_or_empty
+from .common import let, may_be_among, staged, text_or_empty
 
 #: A line of so many words is a chunk of its own.
 LONG_WORDS = 40
@@ -80,8 +80,10 @@ def without_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str =
     places = places.select("_key", "pos", F.xxhash64("chunk").alias("h1"), F.xxhash64(F.lit(1), "chunk").alias("h2")).withColumn("_salt", F.pmod(F.col("_key.hash"), F.lit(SALTS)).cast("int"))
     extra = places.join(again, ["h1", "h2", "_salt"]).where(~F.struct("_key", "pos").eqNullSafe(F.col("owner")))
     drops = staged(extra.groupBy("_key").agg(F.collect_set("pos").alias("_dropped")), "dropped-chunks")
-    joined = _keyed(docs, doc_id, text).alias("d").join(drops.withColumnRenamed("_key", "_of"), F.col("_key").eqNullSafe(F.col("_of")), "left").drop("_of", "_key")
-    cut = joined.withColumn("_chunks", _chunks(text_or_empty(text)))
+    marked = may_be_among(_keyed(docs, doc_id, text), F.xxhash64("_key"), drops)
+    joined = marked.where("_maybe").drop("_maybe").join(drops.withColumnRenamed("_key", "_of"), F.col("_key").eqNullSafe(F.col("_of")), "left").drop("_of", "_key")
+    whole = marked.where(~F.col("_maybe")).drop("_maybe", "_key").withColumn("_dropped", F.lit(None).cast("array<int>"))  # nothing to drop: such texts stay where they are
+    cut = joined.unionByName(whole).withColumn("_chunks", _chunks(text_or_empty(text)))
     kept = F.array_join(F.filter("_chunks", lambda _, i: ~F.array_contains("_dropped", i)), "\n")
     return cut.withColumns({
         text: F.when(F.col("_dropped").isNull(), F.col(text)).otherwise(kept),
