@@ -195,7 +195,7 @@ def provided_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TILE_PARTS_SQL = """(SELECT l_orderkey, l_linenumber, l_suppkey, CAST(l_quantity AS BIGINT) AS len, CAST(CASE WHEN l_orderkey % 4 = 0 THEN (l_linenumber - 1) * 50 + CAST(l_quantity AS BIGINT) % 2
-    ELSE sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_quantity) - CAST(l_quantity AS BIGINT) END AS BIGINT) AS off FROM lineitem)"""
+    ELSE sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING) - CAST(l_quantity AS BIGINT) END AS BIGINT) AS off FROM lineitem)"""
 
 
 def _tile_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
