@@ -10,7 +10,7 @@ position by position, outwards while agreement holds.  An overlap of at least
 The benchmark's seeds are broadcast in blocks of ``BLOCK_SEEDS``, counted first, so
 what is broadcast has a fixed bound whatever the benchmark's size; each block is
 joined with all documents.  A seed carries only the tokens near it, and a text with
-hits is read again to be compared.
+hits is read again to be compared; texts without hits don't move.
 
 Defined results: tokens are runs of letters and digits, lower-cased; null or empty
 texts have none and leak nothing.  Items shorter than a mask are looked for as exact
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, staged, text_or_empty
+from .common import let, may_be_among, staged, text_or_empty
 
 #: Which of ten neighbouring tokens a seed is made of.
 MASKS = ((0, 1, 2, 4, 7, 9), (0, 1, 3, 5, 8, 9))
@@ -132,6 +132,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     by_doc = hits.join(near, ["item_id", "at"]).groupBy("_key").agg(F.collect_list(F.struct("item_id", "at", "p", "n", "first", "near")).alias("hits"))
     by_doc = staged(by_doc.withColumnRenamed("_key", "_of"), "seed-hits-by-text")
     texts = _keyed(docs, doc_id, text).select("_key", F.col(text).alias("_text"))
+    texts = may_be_among(texts, F.xxhash64("_key"), by_doc, F.xxhash64("_of")).where("_maybe").drop("_maybe")
     joined = texts.join(by_doc, F.col("_key").eqNullSafe(F.col("_of"))).select("_key", "_text", "hits")
     judged = joined.select("_key", F.explode(let(_hashed("_text"), lambda doc: F.transform("hits", lambda hit: _overlap(doc, hit)))).alias("o")).select("_key", "o.*")
     real = judged.where((F.col("overlap") >= F.least(F.col("n"), F.lit(MIN_OVERLAP))) & (F.col("agreed") >= F.col("overlap") * MIN_SHARE))
