@@ -1,7 +1,9 @@
 """Line deduplication by content-defined line chunks (operator 8).
 
-A rolling hash over the hashes of two neighbouring lines chooses chunk boundaries, so
-a shared passage gets the same boundaries wherever it stands; a line of ``LONG_WORDS``
+A rolling hash over the hashes of two neighbouring lines chooses chunk boundaries: one
+follows each line whose rolling hash is less than its neighbours', so chunks have two
+lines or more, three on average, and a shared passage gets the same boundaries wherever
+it stands; a line of ``LONG_WORDS``
 words or more is a chunk of its own.  Chunks of several lines, or of one long line,
 that occur again anywhere in the corpus are removed, except for their first
 occurrence (least doc_id, then place).  Equal chunks are told by their bytes: equal
@@ -25,8 +27,6 @@ from .common import let, may_be_among, staged, text_or_empty
 
 #: A line of so many words is a chunk of its own.
 LONG_WORDS = 40
-#: A boundary follows a line if the rolling hash has these bits clear: two lines on average.
-BOUNDARY_BITS = 1
 #: Copies of a repeated chunk's row that a join spreads over, so that no chunk meets in one task.
 SALTS = 8
 
@@ -41,12 +41,17 @@ def _chunks(text: Column) -> Column:
         marks = F.transform(lines, lambda line: F.struct(F.xxhash64(line).alias("h"), (words(line) >= LONG_WORDS).alias("long")))
 
         def ends(marks: Column) -> Column:
-            def boundary(i: Column) -> Column:
-                own, before, after = F.element_at(marks, i), F.get(marks, i - 2), F.get(marks, i)
-                rolling = F.xxhash64(own["h"], F.coalesce(before["h"], F.lit(0).cast("long")))
-                return (i == n) | own["long"] | after["long"] | (rolling.bitwiseAND(F.lit(BOUNDARY_BITS)) == 0)
+            def rolling(i: Column) -> Column:
+                return F.xxhash64(F.element_at(marks, i)["h"], F.coalesce(F.get(marks, i - 2)["h"], F.lit(0).cast("long")))
 
-            return F.filter(F.sequence(F.lit(1), n), boundary)
+            def chosen(roll: Column) -> Column:
+                def boundary(i: Column) -> Column:
+                    least = (F.element_at(roll, i) < F.get(roll, i - 2)) & (F.element_at(roll, i) <= F.get(roll, i))
+                    return (i == n) | F.element_at(marks, i)["long"] | F.get(marks, i)["long"] | F.coalesce(least, F.lit(False))
+
+                return F.filter(F.sequence(F.lit(1), n), boundary)
+
+            return let(F.transform(F.sequence(F.lit(1), n), rolling), chosen)
 
         def joined(at: Column) -> Column:
             start = lambda k: F.when(k > 0, F.get(at, k - 1)).otherwise(0)
