@@ -43,7 +43,7 @@ def test_png(dtype, bands):
 
 
 @pytest.mark.parametrize("dtype", ["uint8", "int16", "uint32", "float32", "float64"])
-@pytest.mark.parametrize("compression", [1, 8, 32773])
+@pytest.mark.parametrize("compression", [1, 5, 8, 32773])
 @pytest.mark.parametrize("predictor", [1, 2])
 def test_tiff(dtype, compression, predictor):
     px = image((3, 70, 45), dtype)
@@ -60,6 +60,13 @@ def test_big_tiff():
     assert data[2] == 43 and (whole(tiff, data, tiff.assets(data)[0]) == px).all()
 
 
+@pytest.mark.parametrize("size", [0, 1, 2, 255, 300, 600, 5000, 70_000])
+@pytest.mark.parametrize("values", [2, 256])
+def test_lzw_round_trip(size, values):
+    data = np.random.default_rng(size).integers(0, values, size).astype(np.uint8).tobytes()
+    assert tiff.lzw(tiff.lzw_packed(data)) == data
+
+
 @given(st.binary(max_size=400))
 @settings(max_examples=60)
 def test_pack_bits(data):
@@ -123,6 +130,9 @@ def test_jpeg_2000_headers():
     assert [n for _, n in found[0, 0] + found[0, 1]] == [19, 21]
     one = coded.minimal(code, coded.main_header(code)["first"], found[0, 1])
     assert coded.tile_parts(one, coded.main_header(one)["first"])[0][0] == 0 and one[-2:] == b"\xff\xd9"
+    edge = coded.assets(coded.with_tile_size(one, 60, 36))[0]
+    assert (edge.rows, edge.cols) == (60, 36) and coded.with_tile_size(one, 64, 64) == one
+    assert coded.decompositions(5, 20, 300) == 4 and coded.decompositions(3, 1024, 1024) == 3
     boxed = coded.JP2 + struct.pack(">I4s", 0, b"jp2c") + code
     assert coded.assets(boxed)[0].offset == 20
     assert coded.tile_lengths(bytes([0, 0x10, 0, 0, 9, 1, 0, 8]), 100) == [(0, 100, 9), (1, 109, 8)]

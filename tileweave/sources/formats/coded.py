@@ -85,6 +85,32 @@ def minimal(code: bytes, header_end: int, parts: list[tuple[int, int]]) -> bytes
     return bytes(out + b"\xff\xd9")
 
 
+def with_tile_size(code: bytes, rows: int, cols: int) -> bytes:
+    """A codestream whose SIZ describes one tile of the given size at the origin; a full tile stays as it is."""
+    at = 2
+    while at + 4 <= len(code):
+        marker, size = struct.unpack_from(">HH", code, at)
+        if marker == 0xFF51:
+            tw, th = struct.unpack_from(">II", code, at + 22)
+            if (rows, cols) == (th, tw):
+                return code
+            out = bytearray(code)
+            struct.pack_into(">IIIIIIII", out, at + 6, cols, rows, 0, 0, cols, rows, 0, 0)
+            return bytes(out)
+        at += 2 + size
+    raise FormatError("no SIZ marker")
+
+
+def decompositions(wanted: int, rows: int, cols: int) -> int:
+    """Decomposition levels that a tile of this size can have."""
+    return max(0, min(wanted, min(rows, cols).bit_length() - 1))
+
+
+def band_sequential(px):
+    """Samples by pixel (rows, cols, bands) as planes."""
+    return px.transpose(2, 0, 1).copy()
+
+
 def assets(data: bytes) -> list[Asset]:
     if data[:2] == b"\xff\xd8":
         return [_jpeg(data)]

@@ -121,6 +121,46 @@ def lzw(data: bytes) -> bytes:
         width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
 
 
+def lzw_packed(data: bytes) -> bytes:
+    """Inverse of ``lzw``."""
+    out, bits, have = bytearray(), 0, 0
+    table: dict[bytes, int] = {}
+    width, size = 9, 258
+
+    def put(code: int) -> None:
+        nonlocal bits, have
+        bits, have = bits << width | code, have + width
+        while have >= 8:
+            out.append(bits >> (have - 8) & 255)
+            have -= 8
+        bits &= (1 << have) - 1
+
+    put(256)
+    prefix = b""
+    for byte in data:
+        longer = prefix + bytes([byte])
+        if len(longer) == 1 or longer in table:
+            prefix = longer
+            continue
+        put(prefix[0] if len(prefix) == 1 else table[prefix])
+        table[longer] = size
+        size += 1
+        if size == 4094:
+            put(256)
+            table, width, size = {}, 9, 258
+        else:
+            width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+        prefix = bytes([byte])
+    if prefix:
+        put(prefix[0] if len(prefix) == 1 else table[prefix])
+        size += 1
+        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+    put(257)
+    if have:
+        out.append(bits << (8 - have) & 255)
+    return bytes(out)
+
+
 def unpack_bits(data: bytes) -> bytes:
     out, at = bytearray(), 0
     while at < len(data):
@@ -198,7 +238,7 @@ def block(data: bytes, asset: Asset, br: int, bc: int) -> np.ndarray:
 
 def encode(images: list[tuple[np.ndarray, dict]], tile: tuple[int, int] = (256, 256), compression: int = 8, predictor: int = 1, big: bool | None = None) -> bytes:
     """Images (array, metadata) as tiled directories; ``overview`` in the metadata marks reduced ones, which stand behind their image, largest first."""
-    if compression not in (1, 8, 32946, 32773) or predictor not in (1, 2):
+    if compression not in (1, 5, 8, 32946, 32773) or predictor not in (1, 2):
         raise FormatError("no such encoding")
     th, tw = ((x + 15) & ~15 for x in tile)
     groups: list[list[tuple[np.ndarray, dict]]] = []
@@ -221,7 +261,7 @@ def encode(images: list[tuple[np.ndarray, dict]], tile: tuple[int, int] = (256,
                 if predictor == 2 and kind != "f":
                     px = np.concatenate([px[:, :1], px[:, 1:] - px[:, :-1]], axis=1)
                 raw = np.ascontiguousarray(px).astype(image.dtype.newbyteorder("<")).tobytes()
-                raw = zlib.compress(raw) if compression in (8, 32946) else pack_bits(raw) if compression == 32773 else raw
+                raw = zlib.compress(raw) if compression in (8, 32946) else pack_bits(raw) if compression == 32773 else lzw_packed(raw) if compression == 5 else raw
                 offsets.append(len(out))
                 sizes.append(len(raw))
                 out += raw + b"\0" * (len(raw) % 2)
