@@ -42,6 +42,37 @@ def test_png(dtype, bands):
     assert (whole(png, data, asset) == px).all() and asset.metadata["Title"] == "x"
 
 
+def test_png_interlaced_and_filtered():
+    import struct
+    import zlib
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    px = image((3, 19, 21), "uint8")
+
+    def filtered(part, kind):
+        """Rows of (rows, cols, 3) with one filter."""
+        out, above = b"", np.zeros(part.shape[1] * 3, int)
+        for row in part.reshape(len(part), -1).astype(int):
+            left, corner = np.r_[0, 0, 0, row[:-3]], np.r_[0, 0, 0, above[:-3]]
+            p = left + above - corner
+            pa, pb, pc = abs(p - left), abs(p - above), abs(p - corner)
+            paeth = np.where((pa <= pb) & (pa <= pc), left, np.where(pb <= pc, above, corner))
+            guess = [0, left, above, (left + above) // 2, paeth][kind]
+            out += bytes([kind]) + ((row - guess) & 255).astype(np.uint8).tobytes()
+            above = row
+        return out
+
+    hwc = px.transpose(1, 2, 0)
+    for kind in range(5):
+        for interlace in (0, 1):
+            parts = [hwc[y::dy, x::dx] for y, x, dy, dx in png.PASSES] if interlace else [hwc]
+            raw = b"".join(filtered(p, kind) for p in parts if p.size)
+            data = png.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", 21, 19, 8, 2, 0, 0, interlace)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+            assert (png.block(data, png.assets(data)[0], 0, 0) == px).all(), (kind, interlace)
+
+
 @pytest.mark.parametrize("dtype", ["uint8", "int16", "uint32", "float32", "float64"])
 @pytest.mark.parametrize("compression", [1, 5, 8, 32773])
 @pytest.mark.parametrize("predictor", [1, 2])

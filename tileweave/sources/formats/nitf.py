@@ -12,6 +12,7 @@ import numpy as np
 from ...operators.blocks import ABSENT
 from ...structure.codec import parsed_records, read, write
 from ...structure.layout import Layout, Registry, load
+from ...structure.tagged import TAGGED
 from . import Asset, FormatError, padded
 
 MAGIC = (b"NITF02.10", b"NSIF01.00")
@@ -84,7 +85,7 @@ DATA = load({
     "meta": {"id": "nitf_data"},
     "seq": [*_fields(_DATA), {"id": "DESOFLW", "type": "str", "size": 6, "if": "DESID.strip == 'TRE_OVERFLOW'"}, {**_number("DESITEM", 3), "if": "DESID.strip == 'TRE_OVERFLOW'"}, _number("DESSHL", 4), {"id": "DESSHF", "size": "DESSHL.to_i", "if": "DESSHL.to_i != 0"}],
 })
-BUILTIN = {"nitf_file": FILE, "nitf_image": IMAGE, "nitf_text": TEXT, "nitf_data": DATA}
+BUILTIN = {**TAGGED, "nitf_file": FILE, "nitf_image": IMAGE, "nitf_text": TEXT, "nitf_data": DATA}
 _KINDS = (("NUMI", "LISH", "LI", "image"), ("NUMS", "LSSH", "LS", "graphic"), ("NUMT", "LTSH", "LT", "text"), ("NUMDES", "LDSH", "LD", "des"), ("NUMRES", "LRESH", "LRE", "res"))
 _DTYPES = {("INT", 8): "uint8", ("INT", 16): "uint16", ("INT", 32): "uint32", ("SI", 8): "int8", ("SI", 16): "int16", ("SI", 32): "int32", ("R", 32): "float32", ("R", 64): "float64", ("C", 64): "complex64", ("B", 1): "uint8"}
 

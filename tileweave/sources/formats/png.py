@@ -12,6 +12,8 @@ from . import Asset, FormatError
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples a pixel of a colour type.
 SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+#: First row and column, and steps, of each pass of an interlaced image.
+PASSES = ((0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1))
 
 
 def _chunks(data: bytes):
@@ -84,23 +86,36 @@ def _unfiltered(raw: bytes, rows: int, stride: int, step: int) -> np.ndarray:
     return out[1:, step:]
 
 
+def _samples(raw: bytes, rows: int, cols: int, bands: int, bits: int) -> np.ndarray:
+    """Samples (rows, cols, bands) of filtered rows."""
+    stride = -(-cols * bands * bits // 8)
+    lines = _unfiltered(raw, rows, stride, max(1, bands * bits // 8))
+    if bits == 16:
+        px = np.ascontiguousarray(lines).view(">u2").astype(np.uint16)
+    elif bits == 8:
+        px = lines
+    else:
+        ones = np.unpackbits(np.ascontiguousarray(lines), axis=1)[:, : cols * bits].reshape(rows, cols, bits)
+        px = ones @ (1 << np.arange(bits - 1, -1, -1)).astype(np.uint8)
+    return px.reshape(rows, cols, bands)
+
+
 def block(data: bytes, asset: Asset, br: int, bc: int) -> np.ndarray:
     asset.extent(br, bc)
-    if asset.private.get("interlace"):
-        raise FormatError("interlaced images aren't supported")
     raw = zlib.decompress(b"".join(body for kind, body, _ in _chunks(data) if kind == b"IDAT"))
-    stride = -(-asset.cols * asset.bands * asset.bits // 8)
-    lines = _unfiltered(raw, asset.rows, stride, max(1, asset.bands * asset.bits // 8))
-    if asset.bits == 16:
-        samples = np.ascontiguousarray(lines).view(">u2").astype(np.uint16)
-    elif asset.bits == 8:
-        samples = lines
+    if asset.private.get("interlace"):
+        px, at = np.zeros((asset.rows, asset.cols, asset.bands), asset.dtype), 0
+        for y, x, dy, dx in PASSES:
+            rows, cols = -(-(asset.rows - y) // dy), -(-(asset.cols - x) // dx)
+            if rows > 0 and cols > 0:
+                size = rows * (1 + -(-cols * asset.bands * asset.bits // 8))
+                px[y::dy, x::dx] = _samples(raw[at : at + size], rows, cols, asset.bands, asset.bits)
+                at += size
     else:
-        bits = np.unpackbits(np.ascontiguousarray(lines), axis=1)[:, : asset.cols * asset.bits].reshape(asset.rows, asset.cols, asset.bits)
-        samples = bits @ (1 << np.arange(asset.bits - 1, -1, -1)).astype(np.uint8)
-        if asset.metadata["IHDR"]["color_type"] == 0:
-            samples = samples * (255 // ((1 << asset.bits) - 1))
-    return np.ascontiguousarray(samples.reshape(asset.rows, asset.cols, asset.bands).transpose(2, 0, 1)).astype(asset.dtype)
+        px = _samples(raw, asset.rows, asset.cols, asset.bands, asset.bits)
+    if asset.bits < 8 and asset.metadata["IHDR"]["color_type"] == 0:
+        px = px * (255 // ((1 << asset.bits) - 1))
+    return np.ascontiguousarray(px.transpose(2, 0, 1)).astype(asset.dtype)
 
 
 def ranges(asset: Asset) -> dict[tuple[int, int], list[tuple[int, int]]]:
