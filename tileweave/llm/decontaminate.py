@@ -143,4 +143,6 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """``docs`` without those that hold a leak; a null doc_id is judged with the other null ones."""
     found = staged(leaks(docs, items, doc_id, text, item_text, item_id).select(F.col("doc_id").alias("_leaky")).distinct(), "leaky")
-    return docs.join(found, F.col(doc_id).eqNullSafe(F.col("_leaky")), "left_anti")
+    marked = may_be_among(docs, F.xxhash64(doc_id), found, F.xxhash64("_leaky"))
+    judged = marked.where("_maybe").drop("_maybe").join(found, F.col(doc_id).eqNullSafe(F.col("_leaky")), "left_anti")
+    return marked.where(~F.col("_maybe")).drop("_maybe").unionByName(judged)
