@@ -29,7 +29,7 @@ from .common import Memo, text_or_empty, without_cycles
 
 #: A space between two visible characters always starts a piece, whatever stands before it.
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-MEMO_ENTRIES = 150_000
+MEMO_ENTRIES = 100_000
 LONGEST_KEPT = 64
 
 

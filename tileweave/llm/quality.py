@@ -53,7 +53,7 @@ class Featurizer:
     """Indexes and values of a text's features."""
 
     def __init__(self) -> None:
-        self.words = Memo(lambda w: zlib.crc32(w.encode()) | _shape(w) << 32, 300_000)
+        self.words = Memo(lambda w: zlib.crc32(w.encode()) | _shape(w) << 32, 150_000)
 
     def groups(self, text: str) -> list[np.ndarray]:
         codes = self.words
