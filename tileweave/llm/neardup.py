@@ -11,7 +11,9 @@ Slots are cut into bands.  Texts that share a band are candidates: each is held
 against the band's first text.  Of the bands that then hold several classes, those
 with up to ``ACROSS`` pairs across classes have all these pairs compared; in the others
 a text of each class is held against one of the largest class, in rounds with other
-texts each time, until a round finds no new link.  A
+texts each time, until a round finds no new link.  Then all pairs across classes
+among the texts of mixed bands are compared, save those that a prefix filter shows to
+be unlike, so no link of two texts that share a band is missed.  A
 link is a pair whose sets of shingles have a Jaccard similarity of ``SIMILARITY`` or
 more, computed exactly from the whole texts.  Classes are the connected components.
 
@@ -161,6 +163,38 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("node", "a", "salt", "role", "text").mapInPandas(compared, "a binary, b binary")
 
 
+def possible_pairs(texts: DataFrame) -> DataFrame:
+    """The (a, b) of ``texts`` (node, root, text) of different roots, without those that can't be similar enough.
+
+    Shingles are put in one order, rare ones first.  Of two sets that are similar enough
+    each has a share of ``SIMILARITY`` in the other, so both have a common shingle among
+    their first ones, n - ceil(SIMILARITY * n) + 1 of n; a set with none in another's isn't
+    similar to it.
+    """
+
+    @F.pandas_udf("array<long>")
+    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        shingles = Shingler().shingles
+        yield from without_cycles(batches, lambda batch: pd.Series([np.unique(shingles(t)).view(np.int64) for t in batch], dtype=object))
+
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    sets = staged(texts.select("node", "root", held("text").alias("set")), "shingles")
+    dealt = sets.select("node", "root", F.size("set").alias("n"), F.explode("set").alias("shingle")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    shared = dealt.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), (F.min("root") < F.max("root")).alias("across")).where("holders > 1").withColumn("salt", salts)
+    ordered = dealt.join(shared, ["shingle", "salt"]).groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("holders", "shingle", "across"))).alias("order"))
+    # Shingles that no other set holds stand first.
+    first = F.greatest(F.size("order") - F.ceil(F.col("n") * SIMILARITY - 1e-6).cast("int") + 1, F.lit(0))
+    firsts = ordered.select("node", "root", "n", F.explode(F.slice("order", F.lit(1), first)).alias("s")).where("s.across").select("node", "root", "n", F.col("s.shingle").alias("shingle"))
+    firsts = staged(firsts, "first-shingles")
+    # Nothing is compared within the class that holds a shingle most often.
+    hubs = firsts.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("holders")).groupBy("shingle").agg(F.max(F.struct("holders", "root"))["root"].alias("hub"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
+    x = firsts.withColumnsRenamed({"node": "x", "root": "x_root", "n": "x_n"}).join(hubs, "shingle").where("x_root <> hub").withColumn("salt", salts)
+    y = firsts.withColumnsRenamed({"node": "y", "root": "y_root", "n": "y_n"}).withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(SALTS)).cast("int"))
+    alike = F.least("x_n", "y_n") >= F.greatest("x_n", "y_n") * SIMILARITY
+    met = x.join(y, ["shingle", "salt"]).where(((F.col("y_root") == F.col("hub")) | (F.col("x_root") < F.col("y_root"))) & alike)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, node, class_id, class_size (documents) and kept, one row per document."""
     base = staged(sketched(docs, doc_id, text), "sketches")
@@ -203,6 +237,13 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             break
         tested, turn = tested.unionByName(new), turn + 1
         roots = joined_components(roots, more)
+    # Whatever the rounds left apart: every pair across classes of the mixed bands that can be similar enough.
+    apart = members.join(mixed.select("band"), "band", "left_semi").select("node").distinct()
+    apart = staged(apart.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "apart")
+    if not apart.isEmpty():
+        own = texts_of(apart.select(F.col("node").alias("a"), F.col("node").alias("b")))
+        new = staged(possible_pairs(apart.join(own, "node")).join(tested, ["a", "b"], "left_anti"), "pairs")
+        roots = joined_components(roots, staged(verified(new, texts_of(new)).distinct(), "links"))
     rooted = base.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = staged(rooted, "rooted")
     classes = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).getField("node").alias("keeper")).where("class_size > 1")
