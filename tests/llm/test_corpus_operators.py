@@ -99,12 +99,12 @@ def test_near_classes_equal_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted(sizes)
 
 
-def of_templates(templates, others):
-    """Families of texts with a few own words in a common template; only the first two of each are alike, and what they share is the template."""
+def of_templates(templates, others, alike=1):
+    """Families of texts with a few own words in a common template; only the first of each is like the next ``alike``, and what they share is the template."""
     rows = []
     for t in range(templates):
         words = [f"t{t}w{i}" for i in range(400)]
-        rows += [(1000 * t + i, edited(words, (2, 6, 8)[min(i, 2)], 1000 * t + i)) for i in range(others + 2)]
+        rows += [(1000 * t + i, edited(words, 2 if i == 0 else 6 if i <= alike else 8, 1000 * t + i)) for i in range(others + alike + 1)]
     return rows
 
 
@@ -115,6 +115,13 @@ def test_links_in_mixed_bands(spark, templates, others):
     assert got == brute_classes(rows)
 
 
+def test_links_in_bands_that_shrink(spark):
+    """Bands whose pairs across classes get fewer with the merges."""
+    rows = of_templates(8, 60, 4)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_classes(frame(spark, rows)).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_near_edges(spark):
     assert neardup.near_classes(frame(spark, [])).count() == 0
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None)]

@@ -8,12 +8,11 @@ one arrival a shingle.  Two texts agree in a slot with the probability Jaccard o
 their weighted shingles.
 
 Slots are cut into bands.  Texts that share a band are candidates: each is held
-against the band's first text.  Of the bands that then hold several classes, those
-with up to ``ACROSS`` pairs across classes have all these pairs compared; in the others
-a text of each class is held against one of the largest class, in rounds with other
-texts each time, until a round finds no new link.  Then all pairs across classes
-among the texts of mixed bands are compared, save those that a prefix filter shows to
-be unlike, so no link of two texts that share a band is missed.  A
+against the band's first text.  In bands that then hold several classes, a text of
+each class is held against one of the largest class, in rounds with other texts each
+time, until a round finds no new link.  Then all pairs across classes among the texts
+of bands that are still mixed are compared, whatever a band's size, save those that a
+prefix filter shows to be unlike, so no link of two texts that share a band is missed.  A
 link is a pair whose sets of shingles have a Jaccard similarity of ``SIMILARITY`` or
 more, computed exactly from the whole texts.  Classes are the connected components.
 
@@ -45,8 +44,6 @@ WORDS, SIMILARITY = 5, 0.8
 #: Bands of so many slots: a pair at the threshold is missed by all bands once in 300,000 times.
 BANDS, ROWS = 42, 6
 SLOTS = BANDS * ROWS
-#: Pairs across classes up to which a band counts as small.
-ACROSS = 64
 #: Parts that a text's candidates are dealt out to.
 SALTS = 8
 _WORD = re.compile(r"\w+")
@@ -215,19 +212,14 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     roots = staged(components(verified(pairs, texts_of(pairs)).distinct()), "roots")
     turn = 1
     while True:
-        # The bands that still hold several classes: in small ones every pair across classes is a candidate, once and for all;
-        # in large ones each class sends one text, another one in each round, to be held against one of another class.
+        # In bands that still hold several classes, each class sends one text, another one in each round, to be held against one of the largest class.
         labelled = members.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         spokes = labelled.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node")).alias("of"))
-        mixed = spokes.groupBy("band").agg(F.count(F.lit(1)).alias("classes"), ((F.pow(F.sum("n"), 2) - F.sum(F.col("n") * F.col("n"))) / 2).alias("across"), F.max(F.struct("n", "root", "of")).alias("hub")).where("classes > 1")
-        mixed = staged(mixed.select("band", "across", F.col("hub.root").alias("hub_root"), F.col("hub.of.node").alias("hub")), "mixed-bands")
+        mixed = spokes.groupBy("band").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "root", "of")).alias("hub")).where("classes > 1")
+        mixed = staged(mixed.select("band", F.col("hub.root").alias("hub_root"), F.col("hub.of.node").alias("hub")), "mixed-bands")
         if turn == 1:
             members = staged(members.join(mixed.select("band"), "band", "left_semi"), "band-members")
-        sent = spokes.join(mixed.where(F.col("across") > ACROSS), "band").where(F.col("root") != F.col("hub_root")).select(F.col("hub").alias("x"), F.col("of.node").alias("y"))
-        if turn == 1:
-            small = labelled.join(mixed.where(F.col("across") <= ACROSS).select("band"), "band")
-            other = small.select("band", F.col("node").alias("y"), F.col("root").alias("other_root"))
-            sent = sent.unionByName(small.join(other, "band").where((F.col("root") < F.col("other_root"))).select(F.col("node").alias("x"), "y"))
+        sent = spokes.join(mixed, "band").where(F.col("root") != F.col("hub_root")).select(F.col("hub").alias("x"), F.col("of.node").alias("y"))
         new = sent.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         new = staged(new.join(tested, ["a", "b"], "left_anti"), "pairs")
         if new.isEmpty():
