@@ -122,6 +122,15 @@ def test_links_in_bands_that_shrink(spark):
     assert got == brute_classes(rows)
 
 
+def test_repeated_shingles_hide_no_link(spark):
+    rows = []
+    for k in range(25):
+        words = [f"p{k}w{i}" for i in range(200)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, edited(words, 4, k) + " " + " ".join(words[:100] * 100))]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_classes(frame(spark, rows)).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_near_edges(spark):
     assert neardup.near_classes(frame(spark, [])).count() == 0
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None)]

@@ -1,11 +1,12 @@
 """Near-duplicate detection by ProbMinHash, banding and verification (operator 2).
 
-Every text is a set of shingles of five words, weighted by 1 + ln(occurrences).  Each
-shingle's arrivals form a Poisson process whose rate is its weight; an arrival falls
+Every text is a set of shingles of five words, all of one weight: sketches see what
+links are decided by.  (``signature`` takes repeated shingles with the weight
+1 + ln(occurrences).)  Each shingle's arrivals form a Poisson process whose rate is its weight; an arrival falls
 on a random slot, and a slot keeps the shingle that arrives first.  A shingle stops
 as soon as its next arrival is later than the latest slot, so long texts cost about
-one arrival a shingle.  Two texts agree in a slot with the probability Jaccard of
-their weighted shingles.
+one arrival a shingle.  Two texts agree in a slot with the probability that is
+their Jaccard similarity.
 
 Slots are cut into bands.  Texts that share a band are candidates: each is held
 against the band's first text.  In bands that then hold several classes, a text of
@@ -127,7 +128,7 @@ def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     @F.pandas_udf("array<long>")
     def bands(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         shingles = Shingler().shingles
-        done = Memo(lambda t: bands_of(signature(shingles(t))), 200)  # copies often stand close to each other
+        done = Memo(lambda t: bands_of(signature(np.unique(shingles(t)))), 200)  # copies often stand close to each other
         yield from without_cycles(batches, lambda batch: pd.Series([done[t] for t in batch], dtype=object))
 
     return docs.select(F.col(doc_id).alias("doc_id"), _node(text), bands(text_or_empty(text)).alias("bands"))
