@@ -260,6 +260,17 @@ def test_leaks_with_substitutions(spark):
     assert decontaminate.leaks(frame(spark, docs), items.limit(0)).count() == 0
 
 
+def test_leak_that_only_a_later_hit_proves(spark):
+    rows = []
+    for k in range(15):
+        words = [f"b{i}" for i in range(15)]
+        words[k] = "other"
+        rows.append((k, " ".join(["before"] * 5 + words + ["after"] * 5)))
+    items = frame(spark, [(0, " ".join(f"b{i}" for i in range(15)))], "item_id long, text string")
+    got = {r["doc_id"]: (r["overlap"], r["agreed"]) for r in decontaminate.leaks(frame(spark, rows), items).collect()}
+    assert got[11] == (15, 14) and all(o >= 13 and a == 14 for o, a in got.values())
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     item = " ".join(f"b{i}" for i in range(40))
     docs, items = frame(spark, [(1, item), (2, "nothing here")]), frame(spark, [(0, item), (1, item + " more")], "item_id long, text string")

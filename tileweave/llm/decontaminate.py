@@ -2,10 +2,10 @@
 
 Fixed masks pick some of ten neighbouring token positions and ignore the others, so
 a seed survives substituted words.  Seeds of the benchmark and of the training texts
-are joined by their hash; around each hit the two token sequences are compared
-position by position, outwards while agreement holds.  An overlap of at least
-``MIN_OVERLAP`` tokens (or of the whole item, if that is shorter) of which
-``MIN_SHARE`` agree is a leak.
+are joined by their hash; around the hits of a diagonal the two token sequences are
+compared position by position, and of all overlaps that begin and end with equal tokens
+the best one counts.  An overlap of at least ``MIN_OVERLAP`` tokens (or of the whole
+item, if that is shorter) of which ``MIN_SHARE`` agree is a leak.
 
 The benchmark's seeds are broadcast in blocks of ``BLOCK_SEEDS``, counted first, so
 what is broadcast has a fixed bound whatever the benchmark's size; each block is
@@ -30,10 +30,9 @@ from .common import let, may_be_among, staged, text_or_empty
 MASKS = ((0, 1, 2, 4, 7, 9), (0, 1, 3, 5, 8, 9))
 SPAN = 10
 MIN_OVERLAP, MIN_SHARE = 13, 0.8
-#: Tokens compared on either side of a seed.
-REACH = 24
-#: What a mismatch costs in matches when an overlap is stretched.
-MISMATCH_COST = 3
+#: Tokens compared on either side of the seeds of a stretch of ``STRETCH`` item tokens: an overlap
+#: of twice ``MIN_OVERLAP`` tokens or more holds a shorter one that is a leak, too.
+REACH, STRETCH = 24, 16
 #: Seeds broadcast at once: a hash, an item and a place each.
 BLOCK_SEEDS = 50_000
 
@@ -51,52 +50,40 @@ def _seed(array: Column, at: Column, mask: int) -> Column:
 
 
 def seeds_of(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """seed, item_id, place, n_tokens and the tokens from ``REACH`` before to ``REACH`` after, of each seed of each item."""
+    """seed, item_id, place, n_tokens and the tokens from ``REACH`` before it to ``REACH`` after its stretch, of each seed of each item."""
     held = items.select(F.col(item_id).alias("item_id"), _hashed(text).alias("t")).withColumn("n", F.size("t")).where("n > 0")
     long = held.where(F.col("n") >= SPAN).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - SPAN)))
     long = long.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in range(len(MASKS))])))
     seed = F.when(F.col("mask") == 0, _seed(F.col("t"), F.col("at"), 0)).otherwise(_seed(F.col("t"), F.col("at"), 1))
     short = held.where(F.col("n") < SPAN).select(F.aggregate("t", F.lit(7).cast("long"), lambda h, x: F.xxhash64(h, x)).alias("seed"), "item_id", F.lit(0).alias("at"), "n", F.lit(0).alias("first"), F.col("t").alias("near"))
     first = F.greatest(F.col("at") - REACH, F.lit(0))
-    return long.select(seed.alias("seed"), "item_id", "at", "n", first.alias("first"), F.slice("t", first + 1, F.col("at") - first + SPAN + REACH).alias("near")).unionByName(short)
+    return long.select(seed.alias("seed"), "item_id", "at", "n", first.alias("first"), F.slice("t", first + 1, F.col("at") - first + SPAN + STRETCH + REACH).alias("near")).unionByName(short)
 
 
-def _stretch(item: Column, doc: Column, item_at: Column, doc_at: Column, step: int, limit: Column) -> Column:
-    """length and agreed: tokens of the best stretch from a place outwards, at most ``limit`` tokens, and those that agree."""
-    zero = F.lit(0)
-    start = F.struct(zero.alias("score"), zero.alias("same"), zero.alias("best"), zero.alias("length"), zero.alias("agreed"))
-
-    def walk(s: Column, k: Column) -> Column:
-        same = F.coalesce((F.get(item, item_at + k * step) == F.get(doc, doc_at + k * step)).cast("int"), zero)
-
-        def after(now: Column) -> Column:
-            better = now["score"] > s["best"]
-            return F.struct(
-                now["score"].alias("score"), now["same"].alias("same"), F.greatest(s["best"], now["score"]).alias("best"),
-                F.when(better, k).otherwise(s["length"]).alias("length"), F.when(better, now["same"]).otherwise(s["agreed"]).alias("agreed"),
-            )
+def _overlap(doc: Column, hit: Column) -> Column:
+    """item_id, n, overlap, agreed and place of the best leak around the hits of a stretch; null if there is none."""
+    near, at, p = hit["near"], hit["at"] - hit["first"], hit["p"]  # at: the seed's place among the tokens near it
+    low, high = F.greatest(-at, -p), F.least(F.size(near) - at, F.size(doc) - p)
+    least = F.least(hit["n"], F.lit(MIN_OVERLAP))
+    equal = F.transform(F.sequence(low, high - 1), lambda k: F.coalesce((F.get(near, at + k) == F.get(doc, p + k)).cast("int"), F.lit(0)))
 
-        return let(let(same, lambda x: F.struct((s["score"] + x * (1 + MISMATCH_COST) - MISMATCH_COST).alias("score"), (s["same"] + x).alias("same"))), after)
+    def best(g: Column) -> Column:
+        # A longer overlap by equal tokens is a better one, so it begins and ends where a run of equal tokens does.
+        edge = lambda other: F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda k: (F.get(g, k) == 1) & (F.coalesce(F.get(g, k + other), F.lit(0)) == 0))
+        ends = edge(1)
 
-    return F.aggregate(F.when(limit > 0, F.sequence(F.lit(1), limit)).otherwise(F.array().cast("array<int>")), start, walk)
+        def from_start(start: Column) -> Column:
+            far = F.filter(ends, lambda end: end - start + 1 >= least)
+            return F.transform(far, lambda end: F.struct(F.aggregate(F.slice(g, start + 1, end - start + 1), F.lit(0), lambda c, x: c + x).alias("agreed"), (start - end - 1).alias("o"), (-(p + low + start)).alias("p")))
 
+        found = F.flatten(F.transform(edge(-1), from_start))
+        return F.array_max(F.filter(found, lambda x: x["agreed"] >= -x["o"] * MIN_SHARE))
 
-def _overlap(doc: Column, hit: Column) -> Column:
-    """item_id, n, overlap, agreed and place of the best overlap around a hit."""
-    near, at, p = hit["near"], hit["at"] - hit["first"], hit["p"]  # at: the seed's place among the tokens near it
-    span = F.least(hit["n"], F.lit(SPAN))
-    inside = F.aggregate(F.sequence(F.lit(0), span - 1), F.lit(0), lambda c, k: c + F.coalesce((F.get(near, at + k) == F.get(doc, p + k)).cast("int"), F.lit(0)))
-    left = _stretch(near, doc, at, p, -1, F.least(at, p))
-    right = _stretch(near, doc, at + span - 1, p + span - 1, 1, F.least(F.size(near) - at - span, F.size(doc) - p - span))
-    parts = F.struct(inside.alias("inside"), left.alias("l"), right.alias("r"))
-    return let(parts, lambda x: F.struct(
-        hit["item_id"].alias("item_id"), hit["n"].alias("n"), (span + x["l"]["length"] + x["r"]["length"]).alias("overlap"),
-        (x["inside"] + x["l"]["agreed"] + x["r"]["agreed"]).alias("agreed"), (p - x["l"]["length"]).alias("place"),
-    ))
+    return let(let(equal, best), lambda b: F.struct(hit["item_id"].alias("item_id"), hit["n"].alias("n"), (-b["o"]).alias("overlap"), b["agreed"].alias("agreed"), (-b["p"]).alias("place")))
 
 
 def _hits(docs: DataFrame, seeds: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Places where a seed of a text is a seed of an item, one for each diagonal and stretch of 16 item tokens."""
+    """Places where a seed of a text is a seed of an item, the first one of each diagonal and stretch of ``STRETCH`` item tokens."""
     total, shorter = seeds.agg(F.count(F.lit(1)), F.sort_array(F.collect_set(F.when(F.col("n") < SPAN, F.col("n"))))).first()  # lengths below SPAN: at most nine
     ways = len(MASKS) + len(shorter)
     hashed = _keyed(docs, doc_id, text).select("_key", _hashed(text).alias("t")).withColumn("len", F.size("t")).where("len > 0")
@@ -116,7 +103,7 @@ def _hits(docs: DataFrame, seeds: DataFrame, doc_id: str, text: str) -> DataFram
         part = part if blocks == 1 else part.where(F.pmod(F.xxhash64("item_id", "at", "seed"), F.lit(blocks)) == block)
         hits = placed.join(F.broadcast(part), "seed")  # at most BLOCK_SEEDS rows
         found = hits if found is None else found.unionByName(hits)
-    diagonal = [F.col("_key"), F.col("item_id"), (F.col("p") - F.col("at")).alias("_diagonal"), F.shiftright("at", 4).alias("_stretch")]
+    diagonal = [F.col("_key"), F.col("item_id"), (F.col("p") - F.col("at")).alias("_diagonal"), F.floor(F.col("at") / STRETCH).alias("_stretch")]
     return found.groupBy(*diagonal).agg(F.min("at").alias("at")).withColumn("p", F.col("_diagonal") + F.col("at")).drop("_diagonal", "_stretch")
 
 
