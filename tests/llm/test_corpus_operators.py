@@ -211,6 +211,37 @@ def test_lines_equal_brute_force(spark):
     assert got == brute_lines(spark, rows)
 
 
+def brute_passages(rows):
+    """Lines of runs that stand earlier, run by run."""
+    spots, out = {}, {}
+    held = {d: (t or "").split("\n") for d, t in sorted(rows)}
+    filled = {d: [i for i, x in enumerate(lines) if x.strip(" \t\r\n")] for d, lines in held.items()}
+    for d, lines in held.items():
+        gone, at = set(), filled[d]
+        for k, i in enumerate(at):
+            for e, s in spots.get(lines[i], []):
+                n = 0
+                while k + n < len(at) and s + n < len(filled[e]) and lines[at[k + n]] == held[e][filled[e][s + n]]:
+                    n += 1
+                if n > 1 or lines[i].count(" ") + 1 >= linededup.LONG_WORDS:
+                    gone |= set(range(i, at[k + n - 1] + 1)) if n > 1 else {i}
+            spots.setdefault(lines[i], []).append((d, k))
+        out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+def test_short_passages_go_whole(spark, tmp_path):
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    rows = [(10 * size + i, f"own {size} {i}\n" + "\n\n".join(words(f"p{size}x{k}y", 20) for k in range(size)) + f"\nend {size} {i}\nlone") for size in range(1, 8) for i in range(3)]
+    rows += [(100, "a\na\na\na"), (101, "a\nb"), (102, "x\na\na\ny"), (103, None), (104, "")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op8_line_dedup(spark, str(tmp_path)).collect()}
+    brute = brute_passages(rows)
+    assert {d: r["n_chars"] for d, r in got.items() if d != 103} == {d: len(t) for d, t in brute.items() if d != 103}
+    assert {r["doc_id"]: r["text"] or "" for r in linededup.without_repeated_passages(frame(spark, rows)).collect()} == brute
+    assert brute[31] == "own 3 1\nend 3 1\nlone"
+
+
 def test_line_edges(spark):
     docs = frame(spark, [(1, "a\nb\nc\nd", "k"), (1, "a\nb\nc\nd", "k"), (None, "q", "k")], "doc_id long, text string, chunk string")
     got = linededup.without_repeated_chunks(docs)

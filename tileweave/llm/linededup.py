@@ -95,3 +95,53 @@ def without_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str =
         "n_chunks": F.size("_chunks").cast("long"),
         "n_removed": F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"),
     }).drop("_chunks", "_dropped")
+
+
+def _units(text: Column) -> Column:
+    """pos, last and unit of each pair of neighbouring lines that aren't blank, and of each long line."""
+
+    def of(lines: Column) -> Column:
+        def pairs(at: Column) -> Column:
+            line = lambda k: F.get(lines, F.get(at, k))
+            two = F.transform(F.filter(F.sequence(F.lit(0), F.size(at)), lambda k: k < F.size(at) - 1), lambda k: F.struct(F.get(at, k).alias("pos"), F.get(at, k + 1).alias("last"), F.concat(line(k), F.lit("\n"), line(k + 1)).alias("unit")))
+            words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+            long = F.transform(F.filter(at, lambda i: words(F.get(lines, i)) >= LONG_WORDS), lambda i: F.struct(i.alias("pos"), i.alias("last"), F.get(lines, i).alias("unit")))
+            return F.concat(two, long)
+
+        blank = lambda i: F.btrim(F.get(lines, i), F.lit(" \t\r\n")) == ""
+        return let(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: ~blank(i)), pairs)
+
+    return let(F.split(text, "\n", -1), of)
+
+
+def without_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` freed of every line of a repeated passage, and ``n_lines`` and ``n_removed`` (lines).
+
+    A passage is a run of two lines or more that aren't blank (blank ones between them go
+    along), or one long line.  A line goes if a passage that holds it stands at an earlier
+    place (doc_id, then place), so passages go whole, up to their first and last lines;
+    pairs of neighbouring lines decide, for a run is repeated if all its pairs are.
+    """
+    found = _keyed(docs.select(doc_id, text), doc_id, text).select("_key", F.explode(_units(text_or_empty(text))).alias("u")).select("_key", "u.*")
+    of = [F.xxhash64("unit").alias("h1"), F.xxhash64(F.lit(1), "unit").alias("h2")]
+    often = staged(found.groupBy(*of).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"), "repeated-hashes")
+    likely = may_be_among(found, F.xxhash64("unit"), often, F.col("h1")).where("_maybe").drop("_maybe")  # the bytes of few others move
+    texts = likely.groupBy(*of, "unit").agg(F.min(F.struct("_key", "pos")).alias("owner"), F.count(F.lit(1)).alias("n"))
+    again = texts.groupBy("h1", "h2").agg(F.min("owner").alias("owner"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).where("n > 1 AND texts = 1").drop("texts", "n")
+    again = staged(again, "repeated-pairs")
+    places = may_be_among(found.select("_key", "pos", "last", *of), F.col("h1"), again).where("_maybe").drop("_maybe")
+    again = again.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    places = places.withColumn("_salt", F.pmod(F.col("_key.hash"), F.lit(SALTS)).cast("int"))
+    extra = places.join(again, ["h1", "h2", "_salt"]).where(~F.struct("_key", "pos").eqNullSafe(F.col("owner")))
+    drops = extra.groupBy("_key").agg(F.collect_set(F.struct("pos", "last")).alias("_runs"))
+    drops = staged(drops.select("_key", F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["pos"], r["last"])))).alias("_dropped")), "dropped-lines")
+    marked = may_be_among(_keyed(docs, doc_id, text), F.xxhash64("_key"), drops)
+    joined = marked.where("_maybe").drop("_maybe").join(drops.withColumnRenamed("_key", "_of"), F.col("_key").eqNullSafe(F.col("_of")), "left").drop("_of", "_key")
+    whole = marked.where(~F.col("_maybe")).drop("_maybe", "_key").withColumn("_dropped", F.lit(None).cast("array<int>"))
+    cut = joined.unionByName(whole).withColumn("_lines", F.split(text_or_empty(text), "\n", -1))
+    kept = F.array_join(F.filter("_lines", lambda _, i: ~F.array_contains("_dropped", i)), "\n")
+    return cut.withColumns({
+        text: F.when(F.col("_dropped").isNull(), F.col(text)).otherwise(kept),
+        "n_lines": F.size("_lines").cast("long"),
+        "n_removed": F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"),
+    }).drop("_lines", "_dropped")

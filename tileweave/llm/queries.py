@@ -53,7 +53,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = linededup.without_repeated_chunks(docs)
+    kept = linededup.without_repeated_passages(docs).withColumnRenamed("n_lines", "n_chunks")  # each line is a chunk
     return kept.select("doc_id", "n_chunks", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
