@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import Memo, text_or_empty, without_cycles
 
 #: A space between two visible characters always starts a piece, whatever stands before it.
-_SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-MEMO_ENTRIES = 100_000
+_SAFE_CUT = re.compile(r" (?<=\S )(?=\S)")
+#: Entries of a memo's generation: pieces and runs (of no more than ``LONGEST_KEPT`` characters), pairs of tokens.
+MEMO_ENTRIES, MEMO_PAIRS = 150_000, 400_000
 LONGEST_KEPT = 64
 
 
@@ -58,19 +60,19 @@ class BytePairCodec:
         import regex
 
         self.ranks = ranks
-        self.bytes_of = {i: token for token, i in ranks.items()}
-        self.length = {i: len(token) for token, i in ranks.items()}
+        size = max(ranks.values()) + 1
+        self.bytes_of, self.said_of, self.length, self.shorter = [b""] * size, [""] * size, [0] * size, [-1] * size
         self.split = regex.compile(pattern).findall
         self.automaton = ahocorasick.Automaton()
-        self.shorter = {}
         for token, i in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), i)
+            self.bytes_of[i], self.said_of[i], self.length[i] = token, str(i), len(token)
             self.shorter[i] = next((ranks[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in ranks), -1)
         self.automaton.make_automaton()
-        self.compatible = Memo(self._compatible, 1_000_000)
+        self.compatible = Memo(self._compatible, MEMO_PAIRS)
         self.halves = Memo(self._halves, 100_000)
-        self.pieces = Memo(self.encode_piece, MEMO_ENTRIES)
-        self.runs = Memo(self._run, MEMO_ENTRIES)
+        self.pieces = Memo(self._piece, MEMO_ENTRIES, LONGEST_KEPT)
+        self.runs = Memo(lambda run: self._run(" " + run), MEMO_ENTRIES, LONGEST_KEPT)
 
     def _halves(self, token: int) -> tuple[int, ...]:
         """The tokens whose merge gives ``token``: two, or another number if no last merge does."""
@@ -105,58 +107,66 @@ class BytePairCodec:
             else:
                 right_next, right = right, halves[0]
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
+    def encode_piece(self, piece: str) -> list[int]:
         """Token ids of one piece of the split pattern."""
         data = piece.encode("utf-8")
         if (whole := self.ranks.get(data)) is not None:
-            return (whole,)
-        length, shorter, compatible = self.length, self.shorter, self.compatible
-        longest = [-1] * (len(data) + 1)
-        for end, token in self.automaton.iter(data.decode("latin-1")):
-            longest[end + 1 - length[token]] = token  # ends only rise, so the longest comes last
-        open_at = bytearray(b"\x01") * (len(data) + 1)
-        found: list[int] = []
-        at, token = 0, longest[0]
+            return [whole]
+        length, shorter, compatible, longest, mapped = self.length, self.shorter, self.compatible, self.automaton.iter_long, data.decode("latin-1")
+        # The longest match at each place; where neighbours don't go together, the search goes on from there.
+        found = [token for _, token in longest(mapped)]
+        if sum([length[t] for t in found]) != len(data):
+            raise ValueError("the vocabulary lacks a byte of this piece")
+        n, last = 0, found[0]
+        for token in found[1:]:
+            n += 1
+            if not compatible[last << 32 | token]:
+                break
+            last = token
+        else:
+            return found
+        token = shorter[token]
+        del found[n:]
+        at, shut = sum([length[t] for t in found]), set()  # shut: places from which no way leads on
         while at < len(data):
             last = found[-1] if found else -1
             while token >= 0:
                 end = at + length[token]
-                if open_at[end] and (last < 0 or compatible[last << 32 | token]):
+                if end not in shut and (last < 0 or compatible[last << 32 | token]):
                     break
                 token = shorter[token]
             if token >= 0:
                 found.append(token)
                 at = end
-                token = longest[at]
+                if at < len(data):
+                    token = next(longest(mapped, at))[1]
             else:
-                if not found:
-                    raise ValueError("the vocabulary lacks a byte of this piece")
-                open_at[at] = 0
+                shut.add(at)
                 token = found.pop()
                 at -= length[token]
-        return tuple(found)
+        return found
 
-    def _run(self, run: str) -> tuple[tuple[int, ...], str]:
-        pieces = self.split(run)
-        ids = self.pieces[run] if len(pieces) == 1 and len(run) <= LONGEST_KEPT else tuple([i for p in pieces for i in (self.pieces[p] if len(p) <= LONGEST_KEPT else self.encode_piece(p))])
-        return ids, " ".join(map(str, ids))
+    def _piece(self, piece: str) -> bytes:
+        return array("I", self.encode_piece(piece)).tobytes()
 
-    def _parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        runs = self.runs
-        first, *rest = _SAFE_CUT.split(text)
-        return [runs[r] if len(r) <= LONGEST_KEPT else self._run(r) for r in (first, *[" " + r for r in rest])]
+    def _run(self, run: str) -> bytes:
+        """Ids, four bytes each, of some whole pieces."""
+        pieces = self.split(run)
+        return self.pieces[pieces[0]] if len(pieces) == 1 else b"".join([self.pieces[p] for p in pieces])
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self._parts(text) for i in ids]
+        first, *rest = _SAFE_CUT.split(text)
+        ids = array("I", self._run(first))
+        ids.frombytes(b"".join(map(self.runs.__getitem__, rest)))
+        return ids.tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, digest of the ids and digest of the bytes that they decode to."""
-        parts = self._parts(text)
-        ids = [i for part, _ in parts for i in part]
-        shown = " ".join([said for _, said in parts if said])
+        ids = self.encode(text)
+        shown = " ".join(map(self.said_of.__getitem__, ids))
         return len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
 
 

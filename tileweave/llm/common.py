@@ -76,14 +76,16 @@ class Memo(dict):
     """A dict that computes missing values.
 
     It keeps two generations of at most ``limit`` entries each, so its size is bounded
-    and entries in use survive.
+    and entries in use survive.  Keys longer than ``longest`` aren't kept.
     """
 
-    def __init__(self, make, limit: int):
+    def __init__(self, make, limit: int, longest: int | None = None):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 
     def __missing__(self, key):
+        if self.longest is not None and len(key) > self.longest:
+            return self.make(key)
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
