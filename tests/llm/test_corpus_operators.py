@@ -1,6 +1,7 @@
 """Near and exact copies, line chunks, leaks, shards and the pipeline against brute force."""
 
 import collections
+import itertools
 import math
 import re
 import zlib
@@ -252,25 +253,83 @@ def test_line_edges(spark):
 # --- leaks --------------------------------------------------------------------
 
 
-def brute_leaks(docs, items):
+def brute_overlaps(docs, items):
+    """Best overlap of each document and item by the operator's rule, over every shift: (agreed, overlap, place)."""
     tokens = lambda t: [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
-    found = set()
+    owns = {i: tokens(item) for i, item in items}
+    found = {}
     for d, text in docs:
         doc = tokens(text)
-        for i, item in items:
-            own = tokens(item)
-            for shift in range(-len(own) + 1, len(doc)):
-                pairs = [own[k] == doc[k + shift] for k in range(max(0, -shift), min(len(own), len(doc) - shift))]
-                if len(pairs) >= min(13, len(own)) and sum(pairs) >= 0.8 * min(13, len(own)) and any(sum(pairs[k : k + min(13, len(own))]) >= 0.9 * min(13, len(own)) for k in range(len(pairs) - min(13, len(own)) + 1)):
-                    found.add((d, i))
-    return found
+        where = collections.defaultdict(list)
+        for p, w in enumerate(doc):
+            where[w].append(p)
+        for i, own in owns.items():
+            least = min(13, len(own))
+            shifts = {p - k for k, w in enumerate(own) for p in where[w]}
+            for shift in shifts:
+                at = range(max(0, -shift), min(len(own), len(doc) - shift))
+                equal = [own[k] == doc[k + shift] for k in at]
+                if len(equal) < least or (len(own) < 10 and not all(equal)):
+                    continue
+                for start in (x for x, e in enumerate(equal) if e):
+                    agreed = sum(equal[start : start + least - 1])
+                    for end in range(start + least - 1, len(equal)):
+                        agreed += equal[end]
+                        size = end - start + 1
+                        if equal[end] and agreed >= 0.8 * size - 1e-9:
+                            found[d, i] = max(found.get((d, i), (0, 0, 0)), (agreed, -size, -(at[0] + start + shift)))
+    return {pair: (agreed, -size, -place) for pair, (agreed, size, place) in found.items()}
+
+
+def brute_leaks(docs, items):
+    return set(brute_overlaps(docs, items))
+
+
+def shown_leaks(found):
+    return {(r["doc_id"], r["item_id"]): (r["agreed"], r["overlap"], r["place"]) for r in found.collect()}
+
+
+def test_masks_hit_every_tolerated_pattern():
+    for size in range(10, 21):
+        for k in range(size // 5 + 1):
+            for wrong in itertools.combinations(range(1, size - 1), k):
+                assert any(not any(o + m in wrong for m in mask) for mask in decontaminate.MASKS for o in range(size - mask[-1]))
 
 
 def test_leaks_equal_brute_force(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("length(text) < 4000").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(frame(spark, docs), frame(spark, items, "item_id long, text string")).collect()}
-    assert got == brute_leaks(docs, items) and got
+    got = shown_leaks(decontaminate.leaks(frame(spark, docs), frame(spark, items, "item_id long, text string")))
+    wanted = brute_overlaps(docs, items)
+    assert got == wanted and wanted
+
+
+def test_substituted_leaks_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    items = [(i, " ".join(f"v{w}" for w in rng.integers(60, size=n))) for i, n in enumerate((10, 11, 13, 15, 20, 40, 90))]
+    docs = []
+    for d in range(160):
+        own = items[d % len(items)][1].split()
+        for at in rng.choice(len(own), int(rng.integers(0, max(2, len(own) // 3))), replace=False):
+            own[at] = f"other{d}x{at}"
+        around = [f"v{w}" for w in rng.integers(60, size=30)]
+        docs.append((d, " ".join(around[:15] + own[int(rng.integers(0, 3)) :] + around[15:])))
+    got = shown_leaks(decontaminate.leaks(frame(spark, docs), frame(spark, items, "item_id long, text string")))
+    wanted = brute_overlaps(docs, items)
+    assert got == wanted
+
+
+def test_long_leaks_are_told_whole(spark):
+    item = [f"b{i}" for i in range(300)]
+    agree = lambda places: " ".join(w if i in places else f"z{i}" for i, w in enumerate(item[:25]))
+    docs = [(1, " ".join(["x"] * 5 + item)), (2, agree({0, 1, 2, 4, 7, 9, *range(12, 25)})), (3, agree({*range(12, 25)})), (4, agree({*range(13, 25)})), (None, " ".join(item)), (None, "clean words here")]
+    items = frame(spark, [(0, " ".join(item)), (None, " ".join(item[100:130])), (None, " ".join(item[200:230]))], "item_id long, text string")
+    got = shown_leaks(decontaminate.leaks(frame(spark, docs), items))
+    assert got[1, 0] == (300, 300, 5) and got[2, 0][0] >= 13 and got[3, 0] == (13, 13, 12) and (4, 0) not in got
+    assert got[1, None] == (30, 30, 105) and got[None, 0] == (300, 300, 0)
+    kept = decontaminate.without_leaks(frame(spark, docs).selectExpr("doc_id", "text", "1 AS node", "2 AS _maybe", "3 AS row"), items)
+    assert kept.columns == ["doc_id", "text", "node", "_maybe", "row"]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(4, docs[3][1], 1, 2, 3), (None, "clean words here", 1, 2, 3)], key=str)
 
 
 def test_leaks_with_substitutions(spark):

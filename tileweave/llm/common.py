@@ -43,35 +43,99 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _file(spark: SparkSession, path: str):
+    """The JVM's file system and path of a folder."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back.
 
     This cuts the lineage: a lost executor costs the tasks it ran, not the steps before.
+    The table goes when the session's driver ends, or earlier by ``dropped``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tileweave-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    system, place = _file(spark, path)
+    system.deleteOnExit(place)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._staged_at = path
+    return found
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of ``staged`` that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_staged_at", None)
+        if path is not None:
+            system, place = _file(df.sparkSession, path)
+            system.delete(place, True)
+
+
+def packed(df: DataFrame, name: str = "row") -> DataFrame:
+    """``df`` as one struct column, so that no column of the user's can clash with one of an operator."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+
+
+def digest(text: str):
+    """128 bits that tell texts apart; null counts as the empty text."""
+    return F.unhex(F.md5(text_or_empty(text).cast("binary")))
 
 
-#: Bits of the filter that ``may_be_among`` broadcasts: 64 K rows of two numbers, whatever the keys' number.
+#: A filter that ``may_be_among`` broadcasts has at most so many bits, a row of two numbers for each 64.
+MOST_FILTER_BITS = 1 << 26
 FILTER_BITS = 1 << 22
 
 
-def may_be_among(df: DataFrame, key, keys: DataFrame, key_of_keys=None) -> DataFrame:
+def filter_bits(keys: int) -> int:
+    """Bits for so many keys: a power of two, few false positives, within a fixed bound."""
+    return min(MOST_FILTER_BITS, max(1 << 16, 1 << (512 * max(keys, 1) - 1).bit_length()))
+
+
+def may_be_among(df: DataFrame, key, keys: DataFrame, key_of_keys=None, bits: int = FILTER_BITS) -> DataFrame:
     """``df`` with the boolean ``_maybe``: false only if the long ``key`` is none of ``keys``.
 
     The keys are folded into a bitmap of fixed size, so a join need not move the rows
     that can't have a partner.
     """
-    bit = lambda k: F.pmod(k, F.lit(FILTER_BITS))
+    bit = lambda k: F.pmod(k, F.lit(bits))
     folded = keys.select(bit(key if key_of_keys is None else key_of_keys).alias("_bit"))
     words = folded.groupBy(F.shiftright("_bit", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit & 63 as int))")).alias("_bits"))
     marked = df.withColumn("_bit", bit(key)).withColumn("_at", F.shiftright("_bit", 6))
-    joined = marked.join(F.broadcast(words), F.col("_at") == F.col("_word"), "left")  # at most FILTER_BITS / 64 rows
+    joined = marked.join(F.broadcast(words), F.col("_at") == F.col("_word"), "left")  # at most bits / 64 rows
     return joined.withColumn("_maybe", F.coalesce(F.expr("getbit(_bits, cast(_bit & 63 as int)) = 1"), F.lit(False))).drop("_bit", "_at", "_word", "_bits")
 
 
+#: A key that holds more than this share of a side's rows (and more than ``HOT_ROWS``) is dealt out to several tasks.
+HOT_SHARE, HOT_ROWS = 1 / 128, 256
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` (``how``: inner, left, left_semi or left_anti), hot keys of ``left`` dealt out.
+
+    Rows are counted by key first (``left`` should be a table, for it is read twice).  Fewer
+    than 1 / ``HOT_SHARE`` keys can be hot, which bounds what is broadcast; a hot key is cut
+    into parts in proportion to its rows, and its rows of ``right`` are copied to each part.
+    """
+    least = max(HOT_ROWS, int(left.count() * HOT_SHARE))
+    hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > least)
+    hot = F.broadcast(hot.select(*[F.col(c).alias(f"_hot{i}") for i, c in enumerate(on)], F.ceil(F.col("_rows") / least).cast("int").alias("_parts")))
+
+    def marked(df: DataFrame, part) -> DataFrame:
+        same = [F.col(c).eqNullSafe(F.col(f"_hot{i}")) for i, c in enumerate(on)]
+        cond = same[0]
+        for s in same[1:]:
+            cond = cond & s
+        return df.join(hot, cond, "left").withColumn("_part", part(F.coalesce("_parts", F.lit(1)))).drop("_parts", *[f"_hot{i}" for i in range(len(on))])
+
+    dealt = marked(left, lambda n: F.pmod(F.xxhash64(*[c for c in left.columns]), n).cast("int"))
+    copied = marked(right, lambda n: F.explode(F.sequence(F.lit(0), n - 1)))
+    return dealt.join(copied, [*on, "_part"], how).drop("_part")
+
+
 class Memo(dict):
     """A dict that computes missing values.
 

@@ -1,22 +1,28 @@
 """Benchmark decontamination by spaced-seed hashing (operator 6).
 
-Fixed masks pick some of ten neighbouring token positions and ignore the others, so
-a seed survives substituted words.  Seeds of the benchmark and of the training texts
-are joined by their hash; around the hits of a diagonal the two token sequences are
-compared position by position, and of all overlaps that begin and end with equal tokens
-the best one counts.  An overlap of at least ``MIN_OVERLAP`` tokens (or of the whole
-item, if that is shorter) of which ``MIN_SHARE`` agree is a leak.
-
-The benchmark's seeds are broadcast in blocks of ``BLOCK_SEEDS``, counted first, so
-what is broadcast has a fixed bound whatever the benchmark's size; each block is
-joined with all documents.  A seed carries only the tokens near it, and a text with
-hits is read again to be compared; texts without hits don't move.
+Fixed masks pick five of some neighbouring token positions and ignore the others, so a
+seed survives substituted words.  Seeds of the benchmark and of the training texts are
+joined by their hash.  A hit names a diagonal: an item, a text and the shift between
+them.  On every diagonal with a hit the two token sequences are compared position by
+position over the item's whole length, and of all overlaps that begin and end with
+equal tokens, have ``MIN_OVERLAP`` tokens or more (the whole item, if it is shorter) and
+of which four in five agree, the one with most equal tokens is reported, then the
+shortest, then the first.  If there is such an overlap, the text has a leak.
+
+The three masks were chosen so that every pattern of substitutions that still is a leak
+is hit, from ten to 24 tokens (tested for all patterns), so nothing is lost before the
+comparison.  Items of fewer than ten tokens are looked for as exact runs.
+
+Seeds are counted first.  Up to ``BLOCK_SEEDS`` are broadcast; more are joined by a
+shuffle behind a bitmap of bounded size, in one pass over the texts.  Texts are judged
+once however many copies there are, and texts without hits don't move.
 
 Defined results: tokens are runs of letters and digits, lower-cased; null or empty
-texts have none and leak nothing.  Items shorter than a mask are looked for as exact
-runs of tokens.  Texts are read whole.  Repeated rows and ties give equal results, one
-row per document and item.  Empty tables give an empty result.  Extra columns are
-ignored by ``leaks`` and pass through ``without_leaks``.
+texts have none and leak nothing.  Texts and items are read whole.  There is one row
+for each different document (doc_id and text; null ids are documents, too) and item_id,
+the best one where an item_id repeats.  Empty
+tables give an empty result.  Extra columns are ignored by ``leaks`` and pass through
+``without_leaks``, whatever their names; that keeps or drops rows by their text alone.
 """
 
 from __future__ import annotations
@@ -24,17 +30,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, may_be_among, staged, text_or_empty
+from .common import digest, filter_bits, let, may_be_among, packed, spread_join, staged, text_or_empty
 
-#: Which of ten neighbouring tokens a seed is made of.
-MASKS = ((0, 1, 2, 4, 7, 9), (0, 1, 3, 5, 8, 9))
-SPAN = 10
-MIN_OVERLAP, MIN_SHARE = 13, 0.8
-#: Tokens compared on either side of the seeds of a stretch of ``STRETCH`` item tokens: an overlap
-#: of twice ``MIN_OVERLAP`` tokens or more holds a shorter one that is a leak, too.
-REACH, STRETCH = 24, 16
-#: Seeds broadcast at once: a hash, an item and a place each.
-BLOCK_SEEDS = 50_000
+#: Which of some neighbouring tokens a seed is made of.
+MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 6, 7))
+#: Items of fewer tokens are sought as exact runs.
+SHORT = 10
+#: At least so many tokens, of which four in five agree.
+MIN_OVERLAP = 13
+#: Seeds that are broadcast, at most: a hash, an item and a place each.
+BLOCK_SEEDS = 100_000
 
 
 def tokens(text: str = "text") -> Column:
@@ -49,87 +54,122 @@ def _seed(array: Column, at: Column, mask: int) -> Column:
     return F.xxhash64(F.lit(mask), *[F.get(array, at + offset) for offset in MASKS[mask]])
 
 
-def seeds_of(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """seed, item_id, place, n_tokens and the tokens from ``REACH`` before it to ``REACH`` after its stretch, of each seed of each item."""
-    held = items.select(F.col(item_id).alias("item_id"), _hashed(text).alias("t")).withColumn("n", F.size("t")).where("n > 0")
-    long = held.where(F.col("n") >= SPAN).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - SPAN)))
-    long = long.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in range(len(MASKS))])))
-    seed = F.when(F.col("mask") == 0, _seed(F.col("t"), F.col("at"), 0)).otherwise(_seed(F.col("t"), F.col("at"), 1))
-    short = held.where(F.col("n") < SPAN).select(F.aggregate("t", F.lit(7).cast("long"), lambda h, x: F.xxhash64(h, x)).alias("seed"), "item_id", F.lit(0).alias("at"), "n", F.lit(0).alias("first"), F.col("t").alias("near"))
-    first = F.greatest(F.col("at") - REACH, F.lit(0))
-    return long.select(seed.alias("seed"), "item_id", "at", "n", first.alias("first"), F.slice("t", first + 1, F.col("at") - first + SPAN + STRETCH + REACH).alias("near")).unionByName(short)
+def _masked(way: Column, array: Column, at: Column, n: Column) -> Column:
+    """The seed at a place by mask ``way``; null where the mask reaches beyond the end."""
+    seed = F.lit(None).cast("long")
+    for m, mask in enumerate(MASKS):
+        seed = F.when((way == m) & (at + mask[-1] < n), _seed(array, at, m)).otherwise(seed)
+    return seed
 
 
-def _overlap(doc: Column, hit: Column) -> Column:
-    """item_id, n, overlap, agreed and place of the best leak around the hits of a stretch; null if there is none."""
-    near, at, p = hit["near"], hit["at"] - hit["first"], hit["p"]  # at: the seed's place among the tokens near it
-    low, high = F.greatest(-at, -p), F.least(F.size(near) - at, F.size(doc) - p)
-    least = F.least(hit["n"], F.lit(MIN_OVERLAP))
-    equal = F.transform(F.sequence(low, high - 1), lambda k: F.coalesce((F.get(near, at + k) == F.get(doc, p + k)).cast("int"), F.lit(0)))
+def _items(items: DataFrame, item_id: str, text: str) -> DataFrame:
+    """item (number of an item), item_id, its tokens and n, one row per different item."""
+    held = items.select(F.xxhash64(item_id, text).alias("item"), F.col(item_id).alias("item_id"), _hashed(text).alias("own"))
+    return held.withColumn("n", F.size("own")).where("n > 0").distinct()
 
-    def best(g: Column) -> Column:
-        # A longer overlap by equal tokens is a better one, so it begins and ends where a run of equal tokens does.
-        edge = lambda other: F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda k: (F.get(g, k) == 1) & (F.coalesce(F.get(g, k + other), F.lit(0)) == 0))
-        ends = edge(1)
 
-        def from_start(start: Column) -> Column:
-            far = F.filter(ends, lambda end: end - start + 1 >= least)
-            return F.transform(far, lambda end: F.struct(F.aggregate(F.slice(g, start + 1, end - start + 1), F.lit(0), lambda c, x: c + x).alias("agreed"), (start - end - 1).alias("o"), (-(p + low + start)).alias("p")))
+def seeds_of(held: DataFrame) -> DataFrame:
+    """seed, item, at (place) and n of each seed of each item of ``_items``."""
+    ways = len(MASKS)
+    long = held.where(F.col("n") >= SHORT).select("item", "own", "n", F.explode(F.sequence(F.lit(0), F.col("n") * ways - 1)).alias("k"))
+    at = F.expr(f"k div {ways}").cast("int")
+    long = long.select(_masked(F.col("k") % ways, F.col("own"), at, F.col("n")).alias("seed"), "item", at.alias("at"), "n").where("seed IS NOT NULL")
+    run = F.aggregate("own", F.lit(7).cast("long"), lambda h, x: F.xxhash64(h, x))
+    return long.unionByName(held.where(F.col("n") < SHORT).select(run.alias("seed"), "item", F.lit(0).alias("at"), "n"))
 
-        found = F.flatten(F.transform(edge(-1), from_start))
-        return F.array_max(F.filter(found, lambda x: x["agreed"] >= -x["o"] * MIN_SHARE))
 
-    return let(let(equal, best), lambda b: F.struct(hit["item_id"].alias("item_id"), hit["n"].alias("n"), (-b["o"]).alias("overlap"), b["agreed"].alias("agreed"), (-b["p"]).alias("place")))
-
-
-def _hits(docs: DataFrame, seeds: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Places where a seed of a text is a seed of an item, the first one of each diagonal and stretch of ``STRETCH`` item tokens."""
-    total, shorter = seeds.agg(F.count(F.lit(1)), F.sort_array(F.collect_set(F.when(F.col("n") < SPAN, F.col("n"))))).first()  # lengths below SPAN: at most nine
+def _diagonals(docs: DataFrame, seeds: DataFrame, text: str) -> DataFrame:
+    """node (digest of a text), item and shift of each diagonal with a seed in common."""
+    total, shorter = seeds.agg(F.count(F.lit(1)), F.sort_array(F.collect_set(F.when(F.col("n") < SHORT, F.col("n"))))).first()  # lengths below SHORT: at most nine
     ways = len(MASKS) + len(shorter)
-    hashed = _keyed(docs, doc_id, text).select("_key", _hashed(text).alias("t")).withColumn("len", F.size("t")).where("len > 0")
-    placed = hashed.select("_key", "t", "len", F.explode(F.sequence(F.lit(0), F.col("len") * ways - 1)).alias("k"))
+    hashed = docs.select(digest(text).alias("node"), _hashed(text).alias("t")).withColumn("len", F.size("t")).where("len > 0")
+    placed = hashed.select("node", "t", "len", F.explode(F.sequence(F.lit(0), F.col("len") * ways - 1)).alias("k"))
     at, way = F.expr(f"k div {ways}").cast("int"), F.col("k") % ways
-    seed = F.when((way == 0) & (at <= F.col("len") - SPAN), _seed(F.col("t"), at, 0)).when((way == 1) & (at <= F.col("len") - SPAN), _seed(F.col("t"), at, 1))
+    seed = _masked(way, F.col("t"), at, F.col("len"))
     for i, n in enumerate(shorter):
         run = F.lit(7).cast("long")
         for j in range(n):
             run = F.xxhash64(run, F.get("t", at + j))
-        seed = seed.when((way == len(MASKS) + i) & (at <= F.col("len") - n), run)
-    placed = placed.select("_key", at.alias("p"), seed.alias("seed"))
-    found = None
-    blocks = max(1, -(-total // BLOCK_SEEDS))
-    for block in range(blocks):
-        part = seeds.select("seed", "item_id", "at")
-        part = part if blocks == 1 else part.where(F.pmod(F.xxhash64("item_id", "at", "seed"), F.lit(blocks)) == block)
-        hits = placed.join(F.broadcast(part), "seed")  # at most BLOCK_SEEDS rows
-        found = hits if found is None else found.unionByName(hits)
-    diagonal = [F.col("_key"), F.col("item_id"), (F.col("p") - F.col("at")).alias("_diagonal"), F.floor(F.col("at") / STRETCH).alias("_stretch")]
-    return found.groupBy(*diagonal).agg(F.min("at").alias("at")).withColumn("p", F.col("_diagonal") + F.col("at")).drop("_diagonal", "_stretch")
-
-
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.withColumn("_key", F.struct(F.col(doc_id).alias("id"), F.xxhash64(text_or_empty(text)).alias("hash")))
+        seed = F.when((way == len(MASKS) + i) & (at <= F.col("len") - n), run).otherwise(seed)
+    placed = placed.select("node", at.alias("p"), seed.alias("seed"))
+    sought = seeds.select("seed", "item", "at")
+    if total <= BLOCK_SEEDS:
+        hits = placed.join(F.broadcast(sought), "seed")  # at most BLOCK_SEEDS rows
+    else:
+        likely = may_be_among(placed.where("seed IS NOT NULL"), F.col("seed"), sought, bits=filter_bits(total)).where("_maybe").drop("_maybe")
+        hits = spread_join(staged(likely, "likely-seeds"), sought, ["seed"])
+    return hits.select("node", "item", (F.col("p") - F.col("at")).alias("shift")).distinct()
+
+
+def _best(doc: Column, own: Column, shift: Column) -> Column:
+    """agreed, overlap and place of the best overlap on a diagonal; null if there is no leak.
+
+    Overlaps begin and end where runs of equal tokens do.  With surplus for 5 x equal - 4 x all
+    tokens up to a place, four in five agree if the surplus at its end is not less than at its
+    start; for starts from left to right, the farthest such end only moves right.
+    """
+    first = F.greatest(F.lit(0), -shift)  # the item's first token that has a partner
+    last = F.least(F.size(own), F.size(doc) - shift) - 1
+    equal = F.transform(F.sequence(first, last), lambda k: F.get(own, k) == F.get(doc, k + shift))
+    least = F.least(F.size(own), F.lit(MIN_OVERLAP))
+    edges = lambda g, other: F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda k: F.get(g, k) & ~F.coalesce(F.get(g, k + other), F.lit(False)))
+
+    def of_runs(starts: Column, ends: Column) -> Column:
+        runs = F.size(starts)
+        zero = F.array(F.lit(0))
+        upto = F.aggregate(F.sequence(F.lit(0), runs - 1), zero, lambda sums, k: F.concat(sums, F.array(F.get(sums, k) + F.get(ends, k) - F.get(starts, k) + 1)))
+
+        def of_sums(upto: Column) -> Column:
+            begins = F.transform(starts, lambda s, k: F.get(upto, k) * 5 - s * 4)
+            stops = F.transform(ends, lambda e, k: F.get(upto, k + 1) * 5 - (e + 1) * 4)
+            later = F.aggregate(F.reverse(stops), F.array().cast("array<int>"), lambda most, x: F.concat(F.array(F.greatest(x, F.coalesce(F.get(most, 0), x))), most))
+
+            def step(s: Column, begins: Column, stops: Column, later: Column) -> Column:
+                i, j = s["i"], s["j"]
+                on = (i < runs) & (j < runs)
+                right = on & (F.get(later, j) >= F.get(begins, i))
+                agreed, size = F.get(upto, j + 1) - F.get(upto, i), F.get(ends, j) - F.get(starts, i) + 1
+                better = right & (F.get(stops, j) >= F.get(begins, i)) & (size >= least) & ((agreed > s["agreed"]) | ((agreed == s["agreed"]) & (size < s["overlap"])))
+                return F.struct(
+                    F.when(on & ~right, i + 1).otherwise(i).alias("i"), F.when(right, j + 1).otherwise(j).alias("j"), F.when(better, agreed).otherwise(s["agreed"]).alias("agreed"),
+                    F.when(better, size).otherwise(s["overlap"]).alias("overlap"), F.when(better, first + F.get(starts, i) + shift).otherwise(s["place"]).alias("place"),
+                )
+
+            start = F.struct(*[F.lit(0).alias(c) for c in ("i", "j", "agreed", "overlap", "place")])
+            shown = lambda s: F.when(s["agreed"] > 0, F.struct(s["agreed"].alias("agreed"), s["overlap"].alias("overlap"), s["place"].alias("place")))
+            walked = lambda b, e, m: F.aggregate(F.sequence(F.lit(1), runs * 2), start, lambda s, _: step(s, b, e, m), shown)
+            return let(begins, lambda b: let(stops, lambda e: let(later, lambda m: walked(b, e, m))))
+
+        return F.when(runs > 0, let(upto, of_sums))
+
+    judged = lambda g: let(edges(g, -1), lambda starts: let(edges(g, 1), lambda ends: of_runs(starts, ends)))
+    return F.when(last - first + 1 >= least, let(equal, judged))
+
+
+def _leaky_texts(docs: DataFrame, items: DataFrame, text: str, item_text: str, item_id: str) -> DataFrame:
+    """node, item_id, overlap, agreed and place of each text that leaks an item."""
+    held = staged(_items(items, item_id, item_text), "benchmark-items")
+    seeds = staged(seeds_of(held), "benchmark-seeds")
+    found = staged(_diagonals(docs, seeds, text), "diagonals")
+    nodes = found.select("node").distinct()
+    texts = may_be_among(docs.select(digest(text).alias("node"), F.col(text).alias("text")), F.xxhash64("node"), nodes).where("_maybe").drop("_maybe")
+    texts = texts.dropDuplicates(["node"]).select("node", _hashed("text").alias("t"))
+    joined = spread_join(found, texts, ["node"]).join(held.select("item", "item_id", "own"), "item")
+    judged = joined.select("node", "item_id", _best(F.col("t"), F.col("own"), F.col("shift")).alias("o")).where("o IS NOT NULL")
+    best = F.max_by("o", F.struct("o.agreed", F.negate("o.overlap"), F.negate("o.place"))).alias("o")
+    return judged.groupBy("node", "item_id").agg(best).select("node", "item_id", "o.overlap", "o.agreed", "o.place")
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """doc_id, item_id, overlap (tokens), agreed (equal ones) and place (first token in the document) of the best overlap of each leak."""
-    seeds = staged(seeds_of(items, item_id, item_text), "benchmark-seeds")
-    hits = staged(_hits(docs, seeds, doc_id, text), "seed-hits")
-    near = seeds.select("item_id", "at", "n", "first", "near").dropDuplicates(["item_id", "at"])
-    by_doc = hits.join(near, ["item_id", "at"]).groupBy("_key").agg(F.collect_list(F.struct("item_id", "at", "p", "n", "first", "near")).alias("hits"))
-    by_doc = staged(by_doc.withColumnRenamed("_key", "_of"), "seed-hits-by-text")
-    texts = _keyed(docs, doc_id, text).select("_key", F.col(text).alias("_text"))
-    texts = may_be_among(texts, F.xxhash64("_key"), by_doc, F.xxhash64("_of")).where("_maybe").drop("_maybe")
-    joined = texts.join(by_doc, F.col("_key").eqNullSafe(F.col("_of"))).select("_key", "_text", "hits")
-    judged = joined.select("_key", F.explode(let(_hashed("_text"), lambda doc: F.transform("hits", lambda hit: _overlap(doc, hit)))).alias("o")).select("_key", "o.*")
-    real = judged.where((F.col("overlap") >= F.least(F.col("n"), F.lit(MIN_OVERLAP))) & (F.col("agreed") >= F.col("overlap") * MIN_SHARE))
-    best = F.max(F.struct("agreed", F.negate("overlap").alias("o"), F.negate("place").alias("p"))).alias("b")
-    return real.groupBy(F.col("_key.id").alias("doc_id"), "item_id").agg(best).select("doc_id", "item_id", F.negate("b.o").alias("overlap"), F.col("b.agreed").alias("agreed"), F.negate("b.p").alias("place"))
-
-
-def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """``docs`` without those that hold a leak; a null doc_id is judged with the other null ones."""
-    found = staged(leaks(docs, items, doc_id, text, item_text, item_id).select(F.col("doc_id").alias("_leaky")).distinct(), "leaky")
-    marked = may_be_among(docs, F.xxhash64(doc_id), found, F.xxhash64("_leaky"))
-    judged = marked.where("_maybe").drop("_maybe").join(found, F.col(doc_id).eqNullSafe(F.col("_leaky")), "left_anti")
-    return marked.where(~F.col("_maybe")).drop("_maybe").unionByName(judged)
+    found = staged(_leaky_texts(docs, items, text, item_text, item_id), "leaky-texts")
+    likely = may_be_among(docs.select(F.col(doc_id).alias("doc_id"), digest(text).alias("node")), F.xxhash64("node"), found.select("node")).where("_maybe").drop("_maybe")
+    return spread_join(staged(likely.distinct(), "leaky-documents"), found, ["node"]).drop("node")
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """``docs`` without the rows whose text holds a leak."""
+    found = staged(_leaky_texts(docs, items, text, item_text, item_id).select("node").distinct(), "leaky-texts")
+    marked = may_be_among(packed(docs).withColumn("node", digest(f"row.`{text}`")), F.xxhash64("node"), found)
+    judged = spread_join(staged(marked.where("_maybe").select("row", "node"), "likely-leaky"), found, ["node"], "left_anti")
+    return marked.where(~F.col("_maybe")).select("row").unionByName(judged.select("row")).select("row.*")
