@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import spread_join, staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("root").alias("b")).where("a <> b").distinct()
+    return spread_join(both, least, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("root").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("root"))
-    linked = down.join(least, "a").where("b <> root").select(F.col("b").alias("a"), F.col("root").alias("b"))
+    linked = spread_join(down, least, ["a"]).where("b <> root").select(F.col("b").alias("a"), F.col("root").alias("b"))
     return linked.unionByName(least.select("a", F.col("root").alias("b"))).where("a <> b").distinct()
 
 
@@ -46,11 +46,11 @@ def joined_components(roots: DataFrame, edges: DataFrame) -> DataFrame:
     edges = of("a")
     edges = of("b")
     merged = components(edges)
-    moved = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    moved = spread_join(roots, merged.select(F.col("node").alias("root"), F.col("root").alias("_to")), ["root"], "left").select("node", F.coalesce("_to", "root").alias("root"))
     return staged(moved.unionByName(merged), "roots")
 
 
 def edges_named(edges: DataFrame, roots: DataFrame, name: str) -> DataFrame:
     """``edges`` with one end replaced by its root."""
-    named = edges.join(roots.select(F.col("node").alias(name), F.col("root").alias("_root")), name, "left")
+    named = spread_join(edges, roots.select(F.col("node").alias(name), F.col("root").alias("_root")), [name], "left")
     return named.withColumn(name, F.coalesce("_root", name)).drop("_root")

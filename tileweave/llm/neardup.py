@@ -8,23 +8,24 @@ as soon as its next arrival is later than the latest slot, so long texts cost ab
 one arrival a shingle.  Two texts agree in a slot with the probability that is
 their Jaccard similarity.
 
-Slots are cut into bands.  Texts that share a band are candidates: each is held
-against the band's first text.  In bands that then hold several classes, a text of
-each class is held against one of the largest class, in rounds with other texts each
-time, until a round finds no new link.  Then all pairs across classes among the texts
-of bands that are still mixed are compared, whatever a band's size, save those that a
-prefix filter shows to be unlike, so no link of two texts that share a band is missed.  A
-link is a pair whose sets of shingles have a Jaccard similarity of ``SIMILARITY`` or
-more, computed exactly from the whole texts.  Classes are the connected components.
-
-Equal texts are one node from the start.  Bands are aggregated, never gathered; a
-text and its candidates are compared in a stream, in ``SALTS`` parts a text.
+Slots are cut into bands.  Texts that share a band are candidates: each is held against
+the band's first text, and the links found so far give classes.  Then all pairs across
+classes among the texts of bands that hold several classes are compared, whatever a
+band's size, save those that a prefix filter shows to be unlike, so no link of two texts
+that share a band is missed.  A link is a pair whose sets of shingles have a Jaccard
+similarity of ``SIMILARITY`` or more, computed exactly from the whole texts; it is what
+the sketches estimate, for all weights are equal.  Classes are the connected components.
+
+Equal texts are one node from the start.  Bands are aggregated, never gathered.  The
+sets of texts that share a band are made once and stored; keys that hold much of a
+table are dealt out to several tasks in every join.
 
 Defined results: words are runs of letters, digits and underscores, lower-cased; a
 text of fewer than five words is one shingle; a text without words (null counts as
 empty) is like equal texts only.  The class id is the least doc_id of the class (null
 only if all are), and that document stays; repeated rows of it count as one.  An empty
-table gives an empty result.  Extra columns pass through ``without_near_copies``.
+table gives an empty result.  Extra columns, whatever their names, pass through
+``without_near_copies`` as they are; ``near_classes`` ignores them.
 """
 
 from __future__ import annotations
@@ -38,15 +39,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, may_be_among, staged, text_or_empty, without_cycles
+from .common import Memo, digest, dropped, filter_bits, may_be_among, packed, spread_join, staged, text_or_empty, without_cycles
 from .components import components, joined_components
 
 WORDS, SIMILARITY = 5, 0.8
 #: Bands of so many slots: a pair at the threshold is missed by all bands once in 300,000 times.
 BANDS, ROWS = 42, 6
 SLOTS = BANDS * ROWS
-#: Parts that a text's candidates are dealt out to.
-SALTS = 8
+#: Shingles of texts that are sketched in one go.
+TOGETHER = 1 << 17
 _WORD = re.compile(r"\w+")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
@@ -77,49 +78,68 @@ class Shingler:
         return _mix(total)
 
 
-def signature(shingles: np.ndarray, slots: int = SLOTS) -> np.ndarray | None:
-    """The shingle that arrives first in each slot; nothing for no shingles."""
-    if not len(shingles):
-        return None
-    element, count = np.unique(shingles, return_counts=True)
+def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
+    """Of each array of shingles the shingle that arrives first in each slot; the arrays must not be empty and should be of like sizes."""
+    element, count, owner = [], [], []
+    for i, shingles in enumerate(sets):
+        one, times = np.unique(shingles, return_counts=True)
+        element.append(one)
+        count.append(times)
+        owner.append(np.full(len(one), i, np.int64))
+    element, count, owner = np.concatenate(element), np.concatenate(count), np.concatenate(owner)
     rate = 1.0 + np.log(count)
-    first = np.full(slots, np.inf)
-    holder = np.zeros(slots, np.uint64)
+    first = np.full(len(sets) * slots, np.inf)
+    holder = np.zeros(len(sets) * slots, np.uint64)
     clock, drawn = np.zeros(len(element)), 0
     while len(element):
-        many = max(1, -(-2 * slots // len(element)))  # arrivals drawn at once for each shingle
+        many = max(1, -(-2 * slots * len(sets) // len(element)))  # arrivals drawn at once for each shingle
         ticks = _GOLDEN * np.arange(drawn + 1, drawn + many + 1, dtype=np.uint64)
         random = _mix(element[:, None] + ticks[None, :])
         arrival = clock[:, None] + np.cumsum(-np.log(((random >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53), axis=1) / rate[:, None]
-        slot = (_mix(random ^ _GOLDEN) % np.uint64(slots)).astype(np.int64).ravel()
+        slot = (owner[:, None] * slots + (_mix(random ^ _GOLDEN) % np.uint64(slots)).astype(np.int64)).ravel()
         flat = arrival.ravel()
         np.minimum.at(first, slot, flat)
         won = np.flatnonzero(flat == first[slot])
         holder[slot[won]] = element[won // many]
         clock, drawn = arrival[:, -1], drawn + many
-        going = clock < first.max()
-        element, rate, clock = element[going], rate[going], clock[going]
-    return holder
+        going = clock < first.reshape(-1, slots).max(axis=1)[owner]
+        element, rate, clock, owner = element[going], rate[going], clock[going], owner[going]
+    return holder.reshape(-1, slots)
+
+
+def signature(shingles: np.ndarray, slots: int = SLOTS) -> np.ndarray | None:
+    """The shingle that arrives first in each slot; nothing for no shingles."""
+    return signatures([shingles], slots)[0] if len(shingles) else None
 
 
-def bands_of(sketch: np.ndarray | None) -> list[int] | np.ndarray:
-    """One key for each band."""
-    if sketch is None:
-        return []
-    keys = (sketch.reshape(BANDS, ROWS) * _FACTORS[:ROWS]).sum(axis=1, dtype=np.uint64) + _GOLDEN * np.arange(1, BANDS + 1, dtype=np.uint64)
+def bands_of(sketches: np.ndarray) -> np.ndarray:
+    """One key for each band of each sketch."""
+    keys = (sketches.reshape(-1, BANDS, ROWS) * _FACTORS[:ROWS]).sum(axis=2, dtype=np.uint64) + _GOLDEN * np.arange(1, BANDS + 1, dtype=np.uint64)
     return _mix(keys).view(np.int64)
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted arrays without repeats."""
-    if not len(a) or not len(b) or min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
-        return 0.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+def bands_of_texts(texts, shingles) -> list[np.ndarray]:
+    """Bands of each text; texts of like length are sketched together, ``TOGETHER`` shingles at once."""
+    found: list[np.ndarray] = [np.empty(0, np.int64)] * len(texts)
+    waiting: dict[int, tuple[list[int], list[np.ndarray]]] = {}
 
+    def sketch(size: int) -> None:
+        at, sets = waiting.pop(size)
+        for i, keys in zip(at, bands_of(signatures(sets))):
+            found[i] = keys
 
-def _node(text: str):
-    return F.unhex(F.md5(text_or_empty(text).cast("binary"))).alias("node")
+    for i, text in enumerate(texts):
+        held = np.unique(shingles(text))
+        if len(held):
+            size = len(held).bit_length()
+            at, sets = waiting.setdefault(size, ([], []))
+            at.append(i)
+            sets.append(held)
+            if len(at) >= max(1, TOGETHER >> size):
+                sketch(size)
+    for size in list(waiting):
+        sketch(size)
+    return found
 
 
 def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -128,120 +148,91 @@ def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     @F.pandas_udf("array<long>")
     def bands(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         shingles = Shingler().shingles
-        done = Memo(lambda t: bands_of(signature(np.unique(shingles(t)))), 200)  # copies often stand close to each other
-        yield from without_cycles(batches, lambda batch: pd.Series([done[t] for t in batch], dtype=object))
-
-    return docs.select(F.col(doc_id).alias("doc_id"), _node(text), bands(text_or_empty(text)).alias("bands"))
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose texts (node, text) are similar enough."""
-    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
-    members = dealt.select(F.col("b").alias("node"), "a", "salt", F.lit(1).alias("role"))
-    heads = dealt.select(F.col("a").alias("node"), "a", "salt", F.lit(0).alias("role")).distinct()
-    rows = members.unionByName(heads).join(texts, "node").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
-
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, head, own = Shingler().shingles, None, None
-        for batch in batches:
-            found_a, found_b = [], []
-            for node, a, salt, role, text in zip(batch["node"], batch["a"], batch["salt"], batch["role"], batch["text"]):
-                if role == 1 and (a, salt) != head:
-                    raise ValueError("a candidate stands before the text it is compared with")
-                if role == 0 and (a, salt) == head:
-                    continue
-                held = np.unique(shingles(text))
-                if role == 0:
-                    head, own = (a, salt), held
-                elif jaccard(own, held) >= SIMILARITY:
-                    found_a.append(a)
-                    found_b.append(node)
-            yield pd.DataFrame({"a": pd.Series(found_a, dtype=object), "b": pd.Series(found_b, dtype=object)})
-
-    return rows.select("node", "a", "salt", "role", "text").mapInPandas(compared, "a binary, b binary")
-
-
-def possible_pairs(texts: DataFrame) -> DataFrame:
-    """The (a, b) of ``texts`` (node, root, text) of different roots, without those that can't be similar enough.
-
-    Shingles are put in one order, rare ones first.  Of two sets that are similar enough
-    each has a share of ``SIMILARITY`` in the other, so both have a common shingle among
-    their first ones, n - ceil(SIMILARITY * n) + 1 of n; a set with none in another's isn't
-    similar to it.
-    """
+
+        def of(batch: pd.Series) -> pd.Series:
+            different = batch.drop_duplicates()  # copies often stand close to each other
+            keys = dict(zip(different, bands_of_texts(different, shingles)))
+            return pd.Series([keys[t] for t in batch], dtype=object)
+
+        yield from without_cycles(batches, of)
+
+    return docs.select(F.col(doc_id).alias("doc_id"), digest(text).alias("node"), bands(text_or_empty(text)).alias("bands"))
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str = "text") -> DataFrame:
+    """node, n and set (sorted shingles) of the texts whose digests are in ``nodes``."""
 
     @F.pandas_udf("array<long>")
     def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         shingles = Shingler().shingles
         yield from without_cycles(batches, lambda batch: pd.Series([np.unique(shingles(t)).view(np.int64) for t in batch], dtype=object))
 
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    sets = staged(texts.select("node", "root", held("text").alias("set")), "shingles")
-    dealt = sets.select("node", "root", F.size("set").alias("n"), F.explode("set").alias("shingle")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    shared = dealt.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), (F.min("root") < F.max("root")).alias("across")).where("holders > 1").withColumn("salt", salts)
-    ordered = dealt.join(shared, ["shingle", "salt"]).groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("holders", "shingle", "across"))).alias("order"))
-    # Shingles that no other set holds stand first.
-    first = F.greatest(F.size("order") - F.ceil(F.col("n") * SIMILARITY - 1e-6).cast("int") + 1, F.lit(0))
-    firsts = ordered.select("node", "root", "n", F.explode(F.slice("order", F.lit(1), first)).alias("s")).where("s.across").select("node", "root", "n", F.col("s.shingle").alias("shingle"))
-    firsts = staged(firsts, "first-shingles")
+    likely = may_be_among(docs.select(digest(text).alias("node"), text_or_empty(text).alias("text")), F.xxhash64("node"), nodes).where("_maybe").drop("_maybe")
+    wanted = likely.dropDuplicates(["node"]).join(nodes, "node", "left_semi")
+    return wanted.select("node", held("text").alias("set")).select("node", F.size("set").alias("n"), "set")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose ``sets`` (node, n, set) are similar enough; ``pairs`` should be a table."""
+    of_a = sets.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("set").alias("a_set"))
+    of_b = sets.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("set").alias("b_set"))
+    both = spread_join(pairs.select("a", "b"), of_a, ["a"]).join(of_b, "b")
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    alike = (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * SIMILARITY) & (common >= (F.col("a_n") + F.col("b_n") - common) * SIMILARITY)
+    return both.where(alike).select("a", "b")
+
+
+def possible_pairs(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) of ``apart`` (node, root) of different roots, without those whose ``sets`` can't be similar enough.
+
+    Shingles are put in one order, rare ones first.  Two sets of x and y shingles that are
+    similar enough have c = 4/9 (x + y) in common at least, so a common one stands among the
+    first x - c + 1 of the one and among the first y - c + 1 of the other; pairs without such
+    a shingle aren't similar.  This is exact, however many texts share a shingle.
+    """
+    held = apart.join(sets, "node")
+    rows = staged(held.select("node", "root", "n", F.explode("set").alias("shingle")), "apart-shingles")
+    # Shingles that one text or one class alone holds join nothing; the former stand first in the order.
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), (F.min("root") < F.max("root")).alias("across")).where("holders > 1")
+    ordered = spread_join(rows, shared, ["shingle"]).groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("holders", "shingle", "across"))).alias("order"))
+    alone = F.col("n") - F.size("order")
+    first = F.greatest(F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-6).cast("int") + 1 - alone, F.lit(0))
+    firsts = ordered.select("node", "root", "n", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), first)).alias("pos", "s")).where("s.across")
+    firsts = staged(firsts.select("node", "root", "n", (F.col("n") - F.col("alone") - F.col("pos")).alias("rest"), F.col("s.shingle").alias("shingle")), "first-shingles")  # rest: shingles from this one on
     # Nothing is compared within the class that holds a shingle most often.
     hubs = firsts.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("holders")).groupBy("shingle").agg(F.max(F.struct("holders", "root"))["root"].alias("hub"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
-    x = firsts.withColumnsRenamed({"node": "x", "root": "x_root", "n": "x_n"}).join(hubs, "shingle").where("x_root <> hub").withColumn("salt", salts)
-    y = firsts.withColumnsRenamed({"node": "y", "root": "y_root", "n": "y_n"}).withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(SALTS)).cast("int"))
-    alike = F.least("x_n", "y_n") >= F.greatest("x_n", "y_n") * SIMILARITY
-    met = x.join(y, ["shingle", "salt"]).where(((F.col("y_root") == F.col("hub")) | (F.col("x_root") < F.col("y_root"))) & alike)
+    x = spread_join(firsts, hubs, ["shingle"]).where("root <> hub").withColumnsRenamed({"node": "x", "root": "x_root", "n": "x_n", "rest": "x_rest"})
+    y = firsts.withColumnsRenamed({"node": "y", "root": "y_root", "n": "y_n", "rest": "y_rest"})
+    enough = F.least("x_rest", "y_rest", "x_n", "y_n") >= (F.col("x_n") + F.col("y_n")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
+    met = spread_join(staged(x, "first-shingles"), y, ["shingle"]).where(((F.col("y_root") == F.col("hub")) | (F.col("x_root") < F.col("y_root"))) & enough)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, node, class_id, class_size (documents) and kept, one row per document."""
     base = staged(sketched(docs, doc_id, text), "sketches")
-    nodes = base.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    places = base.select("node", F.explode("bands").alias("band"))
-    shared = places.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").drop("last")
-    members = staged(places.join(shared, "band").distinct(), "band-members")
-    heads = nodes.select("node", "first")
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(heads, "node")
-        held = docs.select(_node(text), F.col(doc_id).alias("_id"), text_or_empty(text).alias("text"))
-        held = may_be_among(held, F.xxhash64("node", "_id"), needed, F.xxhash64("node", "first")).where("_maybe").drop("_maybe")
-        return held.join(needed, (held["node"] == needed["node"]) & F.col("_id").eqNullSafe(F.col("first"))).select(held["node"], "text")
-
+    nodes = staged(base.groupBy("node").agg(F.first("bands").alias("bands")), "texts")
+    places = nodes.select("node", F.explode("bands").alias("band"))
+    shared = staged(places.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").drop("last"), "shared-bands")
+    likely = staged(may_be_among(places, F.col("band"), shared, bits=filter_bits(shared.count())).where("_maybe").drop("_maybe"), "likely-members")
+    members = staged(spread_join(likely, shared, ["band"]), "band-members")
+    dropped(nodes, likely, shared)
+    sets = staged(shingle_sets(docs, members.select("node").distinct(), text), "shingle-sets")
+    # Each text against its bands' first texts.
     pairs = staged(members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    tested = pairs
-    roots = staged(components(verified(pairs, texts_of(pairs)).distinct()), "roots")
-    turn = 1
-    while True:
-        # In bands that still hold several classes, each class sends one text, another one in each round, to be held against one of the largest class.
-        labelled = members.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        spokes = labelled.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node")).alias("of"))
-        mixed = spokes.groupBy("band").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "root", "of")).alias("hub")).where("classes > 1")
-        mixed = staged(mixed.select("band", F.col("hub.root").alias("hub_root"), F.col("hub.of.node").alias("hub")), "mixed-bands")
-        if turn == 1:
-            members = staged(members.join(mixed.select("band"), "band", "left_semi"), "band-members")
-        sent = spokes.join(mixed, "band").where(F.col("root") != F.col("hub_root")).select(F.col("hub").alias("x"), F.col("of.node").alias("y"))
-        new = sent.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        new = staged(new.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            break
-        more = staged(verified(new, texts_of(new)).distinct(), "links")
-        if more.isEmpty():
-            break
-        tested, turn = tested.unionByName(new), turn + 1
-        roots = joined_components(roots, more)
-    # Whatever the rounds left apart: every pair across classes of the mixed bands that can be similar enough.
-    apart = members.join(mixed.select("band"), "band", "left_semi").select("node").distinct()
-    apart = staged(apart.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "apart")
+    roots = staged(components(verified(pairs, sets)), "roots")
+    # Whatever that left apart: every pair across classes of the bands that hold several, if it can be similar enough.
+    labelled = staged(members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "labelled-members")
+    mixed = labelled.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("band")
+    apart = staged(spread_join(labelled, mixed, ["band"], "left_semi").select("node", "root").distinct(), "apart")
     if not apart.isEmpty():
-        own = texts_of(apart.select(F.col("node").alias("a"), F.col("node").alias("b")))
-        new = staged(possible_pairs(apart.join(own, "node")).join(tested, ["a", "b"], "left_anti"), "pairs")
-        roots = joined_components(roots, staged(verified(new, texts_of(new)).distinct(), "links"))
-    rooted = base.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        new = staged(possible_pairs(apart, sets).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        roots = joined_components(roots, staged(verified(new, sets), "links"))
+    dropped(members, sets, pairs, labelled, apart)
+    rooted = spread_join(base.select("doc_id", "node"), roots, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
     rooted = staged(rooted, "rooted")
     classes = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).getField("node").alias("keeper")).where("class_size > 1")
-    classes = classes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = rooted.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "node"), F.lit(SALTS)).cast("int")).join(classes, ["root", "_salt"], "left")
+    joined = spread_join(rooted, classes, ["root"], "left")
     alone = F.col("class_size").isNull()
     return joined.select(
         "doc_id", "node", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
@@ -250,11 +241,13 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each class."""
-    gone = staged(near_classes(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("node").alias("_gone_node")).distinct(), "near-copies")
-    marked = may_be_among(docs.withColumn("_node", _node(text)), F.xxhash64(F.col(doc_id), "_node"), gone, F.xxhash64("_gone", "_gone_node"))
-    safe = marked.where(~F.col("_maybe")).drop("_maybe", "_node")
-    return safe.unionByName(marked.where("_maybe").drop("_maybe").join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")) & (F.col("_node") == F.col("_gone_node")), "left_anti").drop("_node"))
+    """``docs`` with one document of each class, all columns as they are."""
+    gone = staged(near_classes(docs, doc_id, text).where(~F.col("kept")).select(F.xxhash64("doc_id", "node").alias("key"), F.col("doc_id").alias("gone"), "node").distinct(), "near-copies")
+    rows = packed(docs).withColumn("node", digest(f"row.`{text}`")).withColumn("key", F.xxhash64(F.col(f"row.`{doc_id}`"), "node"))
+    marked = may_be_among(rows, F.col("key"), gone, bits=filter_bits(gone.count()))
+    safe = marked.where(~F.col("_maybe")).select("row")
+    told = marked.where("_maybe").select("row", "node").alias("r").join(gone.alias("g"), (F.col("r.node") == F.col("g.node")) & F.col(f"r.row.`{doc_id}`").eqNullSafe(F.col("g.gone")), "left_anti")
+    return safe.unionByName(told.select("row")).select("row.*")
 
 
 def estimated_similarity(a: np.ndarray, b: np.ndarray) -> float:
