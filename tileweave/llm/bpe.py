@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, text_or_empty, without_cycles
+from .common import Memo, text_or_empty, with_results, without_cycles
 
 #: A space between two visible characters always starts a piece, whatever stands before it.
 _SAFE_CUT = re.compile(r" (?<=\S )(?=\S)")
@@ -206,5 +206,4 @@ def with_token_digest(df: DataFrame, path: str, pattern: str, text: str = "text"
         of = codec(path, pattern).digest
         yield from without_cycles(batches, lambda batch: pd.DataFrame([of(t) for t in batch], columns=["n_tokens", "ids_sha256", "decoded_sha256"]))
 
-    found = df.withColumn("_digest", digest(text_or_empty(text)))
-    return found.withColumns({c: F.col(f"_digest.{c}") for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("_digest")
+    return with_results(df, digest(text_or_empty(text)), ["n_tokens", "ids_sha256", "decoded_sha256"])

@@ -80,6 +80,23 @@ def packed(df: DataFrame, name: str = "row") -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_results(df: DataFrame, found, names: list[str], to: list[str] | None = None) -> DataFrame:
+    """``df`` with the fields ``names`` of the struct ``found``, called ``to``; a column of a result's name is replaced where it stands."""
+    to = to or names
+    result = dict(zip(to, names))
+    both = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), found.alias("found"))
+    columns = [*df.columns, *[c for c in to if c not in df.columns]]
+    return both.select(*[F.col(f"found.{result[c]}" if c in result else f"row.`{c}`").alias(c) for c in columns])
+
+
 def digest(text: str):
     """128 bits that tell texts apart; null counts as the empty text."""
     return F.unhex(F.md5(text_or_empty(text).cast("binary")))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import LONGEST_KEPT, MEMO_ENTRIES, read_ranks
-from .common import Memo, text_or_empty, without_cycles
+from .common import Memo, text_or_empty, with_results, without_cycles
 
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -113,5 +113,4 @@ def with_token_counts(df: DataFrame, path: str, pattern: str, text: str = "text"
         of = counter(path, pattern).count
         yield from without_cycles(batches, lambda batch: pd.DataFrame([of(t) for t in batch], columns=["n_pieces", "n_tokens"], dtype="int64"))
 
-    found = df.withColumn("_counts", counted(text_or_empty(text)))
-    return found.withColumns({c: F.col(f"_counts.{c}") for c in ("n_pieces", "n_tokens")}).drop("_counts")
+    return with_results(df, counted(text_or_empty(text)), ["n_pieces", "n_tokens"])
