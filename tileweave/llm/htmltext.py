@@ -1,23 +1,30 @@
 """Main text of web pages by tag-path ratios (operator 5).
 
-A page becomes a list of text blocks, each with its root-to-leaf tag path.  For every
-path the block text and its punctuation are summed; text per block and punctuation
-per block are smoothed along the page, fused by their product and compared with a
-threshold from the page itself.  The paths above it are the content (paths inside
-an article element start with a higher ratio); what they have as common container is
-kept, without the paths that name themselves as something
-else (menus, headers, footers, adverts, forms, comments and the like).
-
-Defined results: a null page counts as empty, and a page without content gives the
-empty text.  Pages are read whole, and malformed mark-up (open tags, stray ends, cut
-references) is read on as browsers do.  Repeated rows get equal results; extra
-columns pass through unless they carry a result's name, in which case the result
-replaces them.
+A page becomes a list of text nodes (blocks), each with its root-to-leaf tag path: the
+block elements above it with the words of their class and id.  For every path text
+length and punctuation are summed and divided by its number of nodes.  Along the page
+both ratios are smoothed by a Gaussian whose weights fall with the distance of nodes
+and rise with what their paths share from the root, so a heading takes part of the
+paragraphs below it and an advert beside them doesn't.  The product of the two,
+averaged over a path's nodes, is the path's score.  Elements and words that name
+something beside the article (menus, headers, footers, adverts, forms, comments and
+the like) cut the scores of the paths below them by ``SIDE_FACTOR``, except where they
+are on the best path themselves and so set nothing apart.  The nodes of all paths that
+score ``SHARE_OF_BEST`` of the best one or more are the content.
+
+Defined results: a null page counts as empty, and a page without text gives the empty
+text.  Pages are read whole.  Malformed mark-up is read on as browsers do: quotes open
+only after an equals sign, ``<!-->`` is a comment, an unclosed comment or attribute
+value takes the rest, elements nested deeper than ``MAX_DEPTH`` count as that deep;
+references are decoded within a run of text.  Repeated rows and ties give equal
+results, an empty table an empty one; extra columns pass through, whatever their names,
+unless they carry a result's name, in which case the result replaces them.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -25,169 +32,254 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, with_results
 
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content isn't mark-up, or is nothing that a reader sees as text.
-RAW = frozenset("script style noscript template textarea title iframe svg math select option button object canvas audio video noembed noframes".split())
+#: Elements whose content isn't mark-up and that a reader doesn't see as text.
+RAW = frozenset("script style noscript textarea title iframe noembed noframes".split())
+#: Elements whose content is mark-up that isn't shown.
+UNSEEN = frozenset(("template", "annotation", "annotation-xml", "datalist"))
 #: Elements that stand in a line of text.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
-#: Elements that are never part of an article's text.
-SIDE = frozenset("nav footer header aside form menu dialog head fieldset".split())
+INLINE = frozenset(
+    "a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label map mark math meter object output picture progress q rb rp rt rtc ruby s samp slot small span strike strong sub "
+    "sup svg time tt u var video wbr menclose merror mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+)
+#: Elements that stand beside an article's text.
+SIDE = frozenset("nav footer header aside form menu dialog fieldset button select option optgroup".split())
 #: Words in class, id or role that name something beside the article.
 SIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disqus dropdown footer header hidden login masthead menu menus modal nav navbar navigation "
     "newsletter notice notices pagination pager popup promo promoted recommended related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_MARKS = re.compile(r"(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
+#: Open elements, at most, as in browsers.
+MAX_DEPTH = 512
+#: What a side element or word leaves of a path's score, the threshold, and the reach of the smoothing.
+SIDE_FACTOR, SHARE_OF_BEST, RADIUS = 1e-4, 0.02, 2
+
+_TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)"
+    r"|</?([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))*+)(?:>|\Z)",
+    re.S,
+)
+_MARKS = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HIDDEN = re.compile(r"(?:^|[\s\"'])hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、،।]")
-#: Closed by the next block start.
-_CLOSES = {"p": frozenset({"p"}), "li": frozenset({"li", "p"}), "dt": frozenset({"dt", "dd", "p"}), "dd": frozenset({"dt", "dd", "p"}), "tr": frozenset({"tr", "td", "th", "p"}), "td": frozenset({"td", "th", "p"}), "th": frozenset({"td", "th", "p"})}
+_ENDS = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I | re.A) for tag in RAW}
+#: What the start of an element closes, up to the nearest scope; other block elements close a paragraph.
+_CLOSES = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option", "p")}
 _SCOPES = frozenset("article main section div td th table ul ol dl body html blockquote nav aside header footer form figure".split())
-#: The threshold as a share of the page's best fused ratio.
-SHARE_OF_BEST = 0.2
-#: Factor for paths inside an article or main element.
-ARTICLE_PRIOR = 50.0
-#: Elements that hold running text.
-TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote pre".split())
+#: Words before a side word that speak of the page's layout, not of the element.
+_LAYOUT = frozenset("has with no without is not".split())
+
 
+class Path:
+    """A root-to-leaf tag path and its sums over the nodes that stand on it."""
 
-class Block:
-    __slots__ = ("path", "side", "text")
+    __slots__ = ("below", "chars", "depth", "marks", "nodes", "parent", "side", "tag")
 
-    def __init__(self, path: tuple[str, ...], side: bool, text: str):
-        self.path, self.side, self.text = path, side, text
+    def __init__(self, parent: Path | None, tag: str, side: bool):
+        self.parent, self.tag, self.side, self.below = parent, tag, side, {}
+        self.depth = parent.depth + 1 if parent else 0
+        self.nodes = self.chars = self.marks = 0
 
+    def child(self, label: str, tag: str, side: bool) -> Path:
+        found = self.below.get(label)
+        if found is None:
+            found = self.below[label] = Path(self, tag, side)
+        return found
 
-def _is_side(tag: str, attributes: str) -> tuple[bool, str]:
-    """Whether the element stands beside the article, and the words that set its path apart."""
-    if not attributes.strip():
-        return tag in SIDE, ""
-    words: list[str] = []
-    for m in _MARKS.finditer(attributes):
-        if m[1].lower() != "aria-label":
-            words += _WORD.findall((m[2] or m[3] or m[4] or "").lower())
-    return tag in SIDE or (tag not in ("html", "body", "main") and not SIDE_WORDS.isdisjoint(words)) or bool(_HIDDEN.search(attributes)), ".".join(words[:3])
 
+def _label(tag: str, attributes: str) -> tuple[str, bool]:
+    """The element's label in a path, and whether it stands beside the article."""
+    side, words = tag in SIDE, []
+    if "=" in attributes or "hidden" in attributes.lower():
+        for m in _MARKS.finditer(attributes):
+            for name in (m[2] or m[3] or m[4] or "").lower().split():
+                parts = _WORD.findall(name)
+                words += parts
+                side = side or bool(parts and parts[0] not in _LAYOUT and not SIDE_WORDS.isdisjoint(parts))
+        side = side or bool(_HIDDEN.search(attributes))
+    return ".".join([tag, *words[:4]]) + "!" * side, side
 
-def blocks(page: str) -> list[Block]:
-    """Text blocks in page order."""
-    out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, label, beside the article
+
+def nodes(page: str) -> list[tuple[Path, str]]:
+    """Path and text of each block in page order."""
+    out: list[tuple[Path, str]] = []
+    root = Path(None, "", False)
+    stack: list[tuple[str, Path, bool]] = [("", root, False)]  # tag, path of the block elements, unseen
+    opened: dict[str, int] = {}
     text: list[str] = []
-    at, low = 0, None
+    at, size = 0, len(page)
 
     def flush() -> None:
         if text:
-            joined = " ".join(html.unescape("".join(text)).split())
+            joined = " ".join("".join(text).split())
             text.clear()
             if joined:
-                out.append(Block(tuple(label for tag, label, _ in stack if tag not in INLINE), any(side for _, _, side in stack), joined))
+                path = stack[-1][1]
+                path.nodes += 1
+                path.chars += len(joined)
+                path.marks += len(_PUNCTUATION.findall(joined))
+                out.append((path, joined))
+
+    def said(run: str) -> None:
+        if not stack[-1][2]:
+            text.append(html.unescape(run) if "&" in run else run)
+
+    def pop() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
 
-    while at < len(page):
-        m = _TOKEN.search(page, at)
+    while at < size:
+        start = page.find("<", at)
+        m = None
+        while start >= 0 and (m := _TOKEN.match(page, start)) is None:
+            start = page.find("<", start + 1)
         if m is None:
-            text.append(page[at:])
+            said(page[at:])
             break
-        if m.start() > at:
-            text.append(page[at : m.start()])
+        if start > at:
+            said(page[at:start])
         at = m.end()
         if m[1] is None:
             continue
         tag = m[1].lower()
-        if page[m.start() + 1] == "/":
+        if page[start + 1] == "/":
             if tag in VOID:
                 if tag == "br":
-                    text.append(" ")
+                    said(" ")
                 continue
             if tag not in INLINE:
                 flush()
-            if any(t == tag for t, _, _ in stack):
-                if tag in INLINE and any(t not in INLINE for t, _, _ in stack[max(i for i, s in enumerate(stack) if s[0] == tag) :]):
-                    continue  # an inline end doesn't close blocks
-                while stack.pop()[0] != tag:
-                    pass
+                if opened.get(tag):
+                    while pop() != tag:
+                        pass
+            elif opened.get(tag):
+                i = len(stack) - 1
+                while stack[i][0] in INLINE and stack[i][0] != tag:
+                    i -= 1
+                if stack[i][0] == tag:  # an inline end doesn't close blocks
+                    while len(stack) > i:
+                        pop()
             continue
-        side, words = _is_side(tag, m[2])
+        if not page.endswith(">", start, at):
+            break  # a tag that the page's end cuts
         if tag in RAW:
             if tag not in INLINE:
                 flush()
-            low = low if low is not None else page.lower()
-            end = -1 if m[2].rstrip().endswith("/") and tag in ("svg", "math") else low.find(f"</{tag}", at)
-            if end >= 0:
-                close = page.find(">", end)
-                at = len(page) if close < 0 else close + 1
-            elif tag in ("script", "style", "textarea", "title"):
-                at = len(page)
+            end = _ENDS[tag].search(page, at)
+            if end is None:
+                break
+            close = page.find(">", end.end())
+            at = size if close < 0 else close + 1
             continue
         if tag in VOID:
             if tag == "br":
-                text.append(" ")
+                said(" ")
             elif tag not in INLINE:
                 flush()
             continue
-        if tag not in INLINE:
-            flush()
-            while stack and stack[-1][0] in INLINE:  # a block start ends open inline elements
-                stack.pop()
-            closes = _CLOSES.get(tag, _CLOSES["p"])
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closes:
-                    del stack[i:]
-                    break
-                if stack[i][0] in _SCOPES:
-                    break
-        if not m[2].rstrip().endswith("/") or tag not in INLINE:
-            stack.append((tag, f"{tag}.{words}" if words else tag, side))
+        if tag in INLINE:
+            if not m[2].endswith("/") and len(stack) < MAX_DEPTH:
+                stack.append((tag, stack[-1][1], stack[-1][2]))
+                opened[tag] = opened.get(tag, 0) + 1
+            continue
+        flush()
+        while stack[-1][0] in INLINE:  # a block start ends open inline elements
+            pop()
+        closes = _CLOSES.get(tag, ("p",))
+        if any(opened.get(c) for c in closes):
+            i = len(stack) - 1
+            while i > 0 and stack[i][0] not in closes and stack[i][0] not in _SCOPES:
+                i -= 1
+            if stack[i][0] in closes:
+                while len(stack) > i:
+                    pop()
+        if len(stack) < MAX_DEPTH:
+            path, unseen = stack[-1][1], stack[-1][2] or tag in UNSEEN
+            if tag not in ("html", "body"):
+                path = path.child(*_named(tag, m[2]))
+            stack.append((tag, path, unseen))
+            opened[tag] = opened.get(tag, 0) + 1
     flush()
     return out
 
 
-def path_scores(found: list[Block]) -> dict[tuple[str, ...], float]:
-    """Fused ratio of each path: text and punctuation per block, each smoothed over neighbouring blocks."""
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for b in found:
-        s = sums.setdefault(b.path, [0, 0, 0])
-        s[0] += 1
-        s[1] += len(b.text)
-        s[2] += len(_PUNCTUATION.findall(b.text))
-    ratio = {path: (chars / n, (marks + 1) / n) for path, (n, chars, marks) in sums.items()}
-    fused: dict[tuple[str, ...], float] = {}
-    count: dict[tuple[str, ...], int] = {}
-    for i, b in enumerate(found):
-        near = found[max(0, i - 1) : i + 2]
-        score = sum(ratio[x.path][0] for x in near) / len(near) * sum(ratio[x.path][1] for x in near) / len(near)
-        own = ratio[b.path][0] * ratio[b.path][1]
-        fused[b.path] = fused.get(b.path, 0.0) + (score * own) ** 0.5
-        count[b.path] = count.get(b.path, 0) + 1
-    return {path: total / count[path] for path, total in fused.items()}
-
-
-def content_container(scores: dict[tuple[str, ...], float]) -> tuple[str, ...]:
-    """What the paths above the threshold have in common: an article element that holds the best one, else their longest common prefix."""
-    best = max(scores, key=scores.__getitem__)
-    for depth, label in enumerate(best):
-        if label.split(".")[0] in ("article", "main"):
-            return best[: depth + 1]
-    content = [path for path, score in scores.items() if score >= SHARE_OF_BEST * scores[best]]
-    depth = 0
-    while all(len(p) > depth + 1 for p in content) and len({p[depth] for p in content}) == 1:
-        depth += 1
-    return best[:depth]
+def _named(tag: str, attributes: str) -> tuple[str, str, bool]:
+    label, side = _label(tag, attributes)
+    return label, tag, side
+
+
+def _shared(a: Path, b: Path) -> float:
+    """Share of two paths that is common from the root on."""
+    longest = max(a.depth, b.depth)
+    while a.depth > b.depth:
+        a = a.parent
+    while b.depth > a.depth:
+        b = b.parent
+    while a is not b:
+        a, b = a.parent, b.parent
+    return (1 + a.depth) / (1 + longest)
+
+
+def path_scores(found: list[tuple[Path, str]]) -> dict[Path, float]:
+    """Smoothed and fused ratios of each path: text length and punctuation a node."""
+    ratio = {path: (path.chars / path.nodes, (path.marks + 1) / path.nodes) for path, _ in found}
+    fall = [math.exp(-(d**2) / 2) for d in range(RADIUS + 1)]
+    alike: dict[tuple[Path, Path], float] = {}
+    total: dict[Path, float] = {}
+    for i, (path, _) in enumerate(found):
+        weights = chars = marks = 0.0
+        for j in range(max(0, i - RADIUS), min(len(found), i + RADIUS + 1)):
+            other = found[j][0]
+            share = alike.get((path, other))
+            if share is None:
+                share = alike[path, other] = _shared(path, other) ** 2
+            w = fall[abs(i - j)] * share
+            weights, chars, marks = weights + w, chars + w * ratio[other][0], marks + w * ratio[other][1]
+        total[path] = total.get(path, 0.0) + chars / weights * marks / weights
+    return {path: score / path.nodes for path, score in total.items()}
+
+
+def content_paths(scores: dict[Path, float]) -> set[Path]:
+    """Paths above the threshold, once the scores of those beside the article are cut."""
+
+    def cut(neutral: set[Path]) -> dict[Path, float]:
+        factor: dict[Path, float] = {}
+
+        def of(path: Path) -> float:
+            chain = []
+            while path is not None and path not in factor:
+                chain.append(path)
+                path = path.parent
+            known = factor[path] if path is not None else 1.0
+            for step in reversed(chain):
+                known = factor[step] = known * (SIDE_FACTOR if step.side and step not in neutral else 1.0)
+            return known
+
+        return {path: score * max(of(path), 1e-200) for path, score in scores.items()}
+
+    def best_of(cut_scores: dict[Path, float]) -> Path:
+        return max(cut_scores, key=cut_scores.__getitem__)
+
+    best, neutral = best_of(cut(set())), set()
+    while best is not None:
+        neutral.add(best)
+        best = best.parent
+    last = cut(neutral)
+    least = SHARE_OF_BEST * max(last.values())
+    return {path for path, score in last.items() if score >= least}
 
 
 def main_text(page: str) -> str:
-    found = [b for b in blocks(page) if not b.side]
+    found = nodes(page)
     if not found:
         return ""
-    scores = {path: score * (ARTICLE_PRIOR if any(label.split(".")[0] in ("article", "main") for label in path) else 1) for path, score in path_scores(found).items()}
-    container, least = content_container(scores), SHARE_OF_BEST * max(scores.values())
-    open_page = not set(container) - {"html", "body"}  # the page itself: only its textual paths belong to the article
-    return "\n\n".join(b.text for b in found if b.path[: len(container)] == container and (not open_page or scores[b.path] >= least or (b.path or ("",))[-1].split(".")[0] in TEXTUAL))
+    content = content_paths(path_scores(found))
+    return "\n\n".join(text for path, text in found if path in content)
 
 
 def with_main_text(df: DataFrame, page: str = "html", to: str = "text") -> DataFrame:
@@ -199,5 +291,4 @@ def with_main_text(df: DataFrame, page: str = "html", to: str = "text") -> DataF
             texts = [main_text(p) for p in batch]
             yield pd.DataFrame({"text": pd.Series(texts, dtype=object), "n_chars": pd.Series([len(t) for t in texts], dtype="int64")})
 
-    found = df.withColumn("_extracted", extracted(text_or_empty(page)))
-    return found.withColumns({to: F.col("_extracted.text"), "n_chars": F.col("_extracted.n_chars")}).drop("_extracted")
+    return with_results(df, extracted(text_or_empty(page)), ["text", "n_chars"], [to, "n_chars"])
