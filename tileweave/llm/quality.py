@@ -12,8 +12,9 @@ parameter) from which held-out rows are left out; everything is scored.
 Defined results: a null text counts as empty; the empty text has only the bias, which
 is fitted as well.  Whole texts are read.  Rows with a null label, or whose document
 has no text row, teach nothing; without any labelled row every score is 0.5.
-Repeated rows get equal scores; extra columns pass through unless they carry a
-result's name, in which case the result replaces them.
+Repeated rows get equal scores and, where one doc_id repeats, teach within the bound;
+doc_ids may be of any type.  Extra columns pass through unless they carry the result's
+name, in which case the result replaces them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -111,26 +112,27 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCH
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> np.ndarray:
     """Weights learned from labelled documents that aren't held out; only they reach the driver."""
     ids = F.col(doc_id).cast("string")
-    usable = labels.where((F.crc32(ids.cast("binary")) % HELD_OUT_OF != 0) & F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label"))
-    sample = usable.orderBy(F.xxhash64("_id"), "_id", "_label").limit(max_rows)  # its size is bounded by max_rows
-    rows = docs.select(F.col(doc_id).alias("_id"), text_or_empty(text).alias("_text")).join(F.broadcast(sample), "_id")
+    usable = labels.where((F.crc32(ids.cast("binary")) % HELD_OUT_OF != 0) & F.col(label).isin(0, 1)).select(ids.alias("id"), F.col(label).cast("int").alias("label"))
+    sample = usable.orderBy(F.xxhash64("id"), "id", "label").limit(max_rows)  # its size is bounded by max_rows
+    rows = docs.select(F.col(doc_id).cast("string").alias("id"), text_or_empty(text).alias("text")).join(F.broadcast(sample), "id")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sparse = Featurizer().sparse
         for batch in batches:
-            made = [sparse(t) for t in batch["_text"]]
-            yield pd.DataFrame({"_id": batch["_id"], "_label": batch["_label"], "index": [i.astype(np.int32) for i, _ in made], "value": [v.astype(np.float32) for _, v in made]})
+            made = [sparse(t) for t in batch["text"]]
+            yield pd.DataFrame({"id": batch["id"], "label": batch["label"], "index": [i.astype(np.int32) for i, _ in made], "value": [v.astype(np.float32) for _, v in made]})
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [(np.asarray(i, np.int64), np.asarray(v, np.float64), int(y)) for batch in batches for i, v, y in zip(batch["index"], batch["value"], batch["_label"])]
+        rows = [(np.asarray(i, np.int64), np.asarray(v, np.float64), int(y)) for batch in batches for i, v, y in zip(batch["index"], batch["value"], batch["label"])]
         w = fit_ftrl(rows)
         at = np.flatnonzero(w)
         yield pd.DataFrame({"slot": at, "weight": w[at]})
 
-    made = rows.mapInPandas(features, "_id long, _label int, index array<int>, value array<float>")
-    ordered = made.repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_label", F.xxhash64("index"))
+    made = rows.mapInPandas(features, "id string, label int, index array<int>, value array<float>")
+    # Repeated doc_ids make more rows than the sample has; the limit holds for them, too.
+    ordered = made.orderBy(F.xxhash64("id"), "label", F.xxhash64("index")).limit(max_rows).coalesce(1)
     weights = np.zeros((1 << BITS) + 1)
-    for slot, value in ordered.select("_label", "index", "value").mapInPandas(fitted, "slot long, weight double").collect():
+    for slot, value in ordered.select("label", "index", "value").mapInPandas(fitted, "slot long, weight double").collect():
         weights[slot] = value
     return weights
 
