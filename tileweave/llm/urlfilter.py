@@ -1,18 +1,23 @@
 """URL filter (operator 4): a weighted vocabulary searched by Aho-Corasick, under explicit rules.
 
-One automaton finds every vocabulary term in the lower-cased URL.  A hit counts if no
-letter or digit stands on either side.  One strict term, or ``soft_needed`` different
-soft terms, block the URL.  Rules (host, path) come first: a rule fits its host and
-all subdomains if the URL's path starts with the rule's, and the longest wins.
+One automaton finds every vocabulary term in the lower-cased (A-Z) URL.  A hit counts if
+no letter or digit stands on either side, and a term counts once.  One strict term (of
+weight ``STRICT`` or more), or soft terms whose weights add up to ``STRICT``, block the
+URL; a soft term alone never does.  The vocabulary is a file of lines ``term weight``
+(``read_vocabulary``) or a table (``vocabulary_of``).  Rules (host, path) come first: a
+rule fits its host and all subdomains if the URL's path starts with the rule's, and the
+longest wins; of equal rules the first.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path; no
 rule fits an empty host, and the vocabulary is still looked for in what there is.
-Long URLs are read whole.  Repeated rows get equal results; extra columns pass
-through unless they carry a result's name, in which case the result replaces them.
+Long URLs are read whole.  Repeated rows get equal results, an empty table an empty
+one; extra columns pass through, whatever their names, unless they carry a result's
+name, in which case the result replaces them.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,24 +25,37 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, with_results
 
-#: Weight 2 is strict, weight 1 is soft.
-VOCABULARY = (
-    ("casino", 2), ("escort", 2), ("malware", 2), ("nude", 2), ("phishing", 2), ("porn", 2), ("warez", 2), ("xxx", 2),
-    ("adult", 1), ("bet", 1), ("cheap", 1), ("coupon", 1), ("crack", 1), ("download", 1), ("free", 1), ("loan", 1), ("pills", 1), ("poker", 1), ("sex", 1), ("torrent", 1), ("win", 1),
-)
-STRICT, SOFT_NEEDED = 2, 2
+#: Weight from which on a term blocks alone, and which soft terms must reach together.
+STRICT = 100
+#: Rows that ``vocabulary_of`` takes from a table, at most: they go to every worker.
+MOST_TERMS = 1_000_000
+OWN_VOCABULARY = os.path.join(os.path.dirname(os.path.abspath(__file__)), "url_vocabulary.txt")
 _TO_LOWER = str.maketrans(UPPER, LOWER)
 
 
+def read_vocabulary(path: str = OWN_VOCABULARY) -> tuple[tuple[str, int], ...]:
+    """Terms and weights from a file; empty lines and those that start with # are skipped."""
+    with open(path, encoding="utf-8") as lines:
+        pairs = (line.split() for line in lines if line.strip() and not line.startswith("#"))
+        return tuple((term, int(weight)) for term, weight in pairs)
+
+
+def vocabulary_of(terms: DataFrame) -> tuple[tuple[str, int], ...]:
+    """Terms and weights from a table (term, weight) of at most ``MOST_TERMS`` rows."""
+    found = terms.select(F.col("term").cast("string"), F.col("weight").cast("int")).where("term <> '' AND weight IS NOT NULL").limit(MOST_TERMS + 1).collect()
+    if len(found) > MOST_TERMS:
+        raise ValueError(f"the vocabulary has more than {MOST_TERMS} terms")
+    return tuple(map(tuple, found))
+
+
 class UrlJudge:
     """Rules and vocabulary compiled once."""
 
-    def __init__(self, rules, vocabulary, soft_needed: int):
+    def __init__(self, rules, vocabulary):
         import ahocorasick
 
-        self.soft_needed = soft_needed
         self.by_host: dict[str, list[tuple[str, str]]] = {}
         for action, rule in rules:
             host, slash, path = rule.partition("/")
@@ -68,42 +86,44 @@ class UrlJudge:
             host = host.partition(".")[2]
         return best
 
-    def hits(self, url: str | None) -> tuple[int, int]:
-        """Number of different strict and soft terms that stand alone."""
+    def hits(self, url: str | None) -> tuple[int, int, int]:
+        """Number of different strict terms, and number and weight of different soft ones, that stand alone."""
         low = (url or "").translate(_TO_LOWER)
-        strict, soft = set(), set()
+        found = set()
         for last, term in self.automaton.iter(low) if low else ():
             start = last + 1 - len(term)
-            if (start and low[start - 1].isalnum()) or low[last + 1 : last + 2].isalnum():
-                continue
-            if self.weight[term] >= STRICT:
-                strict.add(term)
-            else:
-                soft.add(term)
-        return len(strict), len(soft)
+            if not (start and low[start - 1].isalnum()) and not low[last + 1 : last + 2].isalnum():
+                found.add(term)
+        soft = [w for term in found if (w := self.weight[term]) < STRICT]
+        return len(found) - len(soft), len(soft), sum(soft)
 
     def judge(self, url: str | None):
         host, path = self.parts(url)
         rule, action = self.rule(host, path)
-        strict, soft = self.hits(url)
-        return host, path, rule, action or ("block" if strict or soft >= self.soft_needed else "allow"), strict, soft
+        strict, soft, weight = self.hits(url)
+        return host, path, rule, action or ("block" if strict or weight >= STRICT else "allow"), strict, soft, weight
 
 
 @lru_cache(maxsize=2)
-def _judge(rules, vocabulary, soft_needed) -> UrlJudge:
-    return UrlJudge(rules, vocabulary, soft_needed)
+def _judge(rules, vocabulary) -> UrlJudge:
+    return UrlJudge(rules, vocabulary)
+
 
+def with_url_verdict(df: DataFrame, rules, url: str = "url", vocabulary=None) -> DataFrame:
+    """``df`` with host, path, rule, verdict, strict_terms, soft_terms and soft_weight.
 
-def with_url_verdict(df: DataFrame, rules, url: str = "url", vocabulary=VOCABULARY, soft_needed: int = SOFT_NEEDED) -> DataFrame:
-    """``df`` with host, path, rule, verdict, strict_terms and soft_terms.  ``rules``: (``allow`` or ``block``, ``host/path``)."""
-    given = tuple(map(tuple, rules)), tuple(map(tuple, vocabulary)), soft_needed
-    names = ["host", "path", "rule", "verdict", "strict_terms", "soft_terms"]
+    ``rules``: (``allow`` or ``block``, ``host/path``); ``vocabulary``: (term, weight), by default
+    the file that lies beside this module.
+    """
+    terms = dict(read_vocabulary() if vocabulary is None else vocabulary)
+    given = tuple(map(tuple, rules)), tuple(terms.items())
+    names = ["host", "path", "rule", "verdict", "strict_terms", "soft_terms", "soft_weight"]
+    types = {c: object for c in names[:4]} | {c: "int32" for c in names[4:]}
 
-    @F.pandas_udf("host string, path string, rule string, verdict string, strict_terms int, soft_terms int")
+    @F.pandas_udf("host string, path string, rule string, verdict string, strict_terms int, soft_terms int, soft_weight int")
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         of = _judge(*given).judge
         for batch in batches:
-            yield pd.DataFrame([of(u) for u in batch], columns=names).astype({"host": object, "path": object, "rule": object, "verdict": object, "strict_terms": "int32", "soft_terms": "int32"})
+            yield pd.DataFrame([of(u) for u in batch], columns=names).astype(types)
 
-    found = df.withColumn("_judged", judged(F.col(url).cast("string")))
-    return found.withColumns({c: F.col(f"_judged.{c}") for c in names}).drop("_judged")
+    return with_results(df, judged(F.col(url).cast("string")), names)
