@@ -1,21 +1,24 @@
 """Line deduplication by content-defined line chunks (operator 8).
 
-A rolling hash over the hashes of two neighbouring lines chooses chunk boundaries: one
-follows each line whose rolling hash is less than its neighbours', so chunks have two
-lines or more, three on average, and a shared passage gets the same boundaries wherever
-it stands; a line of ``LONG_WORDS``
-words or more is a chunk of its own.  Chunks of several lines, or of one long line,
-that occur again anywhere in the corpus are removed, except for their first
-occurrence (least doc_id, then place).  Equal chunks are told by their bytes: equal
-texts collapse in the aggregation, and a pair of hashes counts only if it stands for
-one text in the whole corpus.
+A rolling hash runs over the hashes of two neighbouring lines.  Lines whose rolling
+hash stands nowhere else in the corpus have a chunk boundary between them, so chunks
+are the runs of lines between such places: boundaries follow the content alone and
+don't shift with what stands before, and a repeated passage is a chunk from its first
+line to its last one.  Chunks are compared by their bytes, two lines at a time (a run is
+repeated if all its pairs are), and every line of a chunk that stood at an earlier place
+(doc_id, then place) is removed.  A line of ``LONG_WORDS`` words or more counts as
+folded into several lines, so it is a chunk of several lines by itself; shorter single
+lines stay, however often they occur.
+
+Rolling hashes are counted first; only the bytes of those that occur again move.
 
 Defined results: a null text counts as empty and stays null; the empty text is one
-blank line and keeps it.  Blank lines count for no chunk's lines.  Repeated rows (same
-doc_id and text) are one document: they keep and lose the same chunks.  A null doc_id
-comes first.  A text that loses all its chunks becomes empty.  An empty table gives an
-empty result.  Extra columns pass through; names that start with ``_`` are kept
-for the operator.
+blank line and keeps it.  Blank lines are in no chunk; those inside a removed one go
+along.  Repeated rows (same doc_id and text) are one document: they keep and lose the
+same lines.  A null doc_id comes first; at equal doc_ids the hash of the text decides.  A
+text that loses all its lines becomes empty.  An empty table gives an empty result.
+Extra columns pass through, whatever their names, but ``n_lines`` and ``n_removed``
+are replaced.
 """
 
 from __future__ import annotations
@@ -23,125 +26,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, may_be_among, staged, text_or_empty
+from .common import dropped, filter_bits, let, may_be_among, packed, spread_join, staged, text_or_empty
 
-#: A line of so many words is a chunk of its own.
+#: A line of so many words counts as several.
 LONG_WORDS = 40
-#: Copies of a repeated chunk's row that a join spreads over, so that no chunk meets in one task.
-SALTS = 8
 
 
-def _chunks(text: Column) -> Column:
-    """The text's chunks: lines joined again by line ends; joined by line ends they give the text."""
-    lines = F.split(text, "\n", -1)
+def _rolled(lines: Column) -> Column:
+    """pos, last and roll (rolling hash) of each pair of neighbouring lines that aren't blank, and of each long line."""
+    blank = lambda line: F.btrim(line, F.lit(" \t\r\n")) == ""
+    words = lambda line: F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    held = F.filter(F.transform(lines, lambda line, i: F.struct(i.alias("i"), blank(line).alias("blank"), F.xxhash64(line).alias("h"), (words(line) >= LONG_WORDS).alias("long"))), lambda x: ~x["blank"])
 
-    def cut(lines: Column) -> Column:
-        n = F.size(lines)
-        words = lambda line: F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-        marks = F.transform(lines, lambda line: F.struct(F.xxhash64(line).alias("h"), (words(line) >= LONG_WORDS).alias("long")))
+    def rolls(held: Column) -> Column:
+        pair = lambda x, k: F.struct(x["i"].alias("pos"), F.get(held, k + 1)["i"].alias("last"), F.xxhash64(x["h"], F.get(held, k + 1)["h"]).alias("roll"))
+        two = F.filter(F.transform(held, pair), lambda x: x["last"].isNotNull())
+        long = F.transform(F.filter(held, lambda x: x["long"]), lambda x: F.struct(x["i"].alias("pos"), x["i"].alias("last"), F.xxhash64(F.lit("folded"), x["h"]).alias("roll")))
+        return F.concat(two, long)
 
-        def ends(marks: Column) -> Column:
-            def rolling(i: Column) -> Column:
-                return F.xxhash64(F.element_at(marks, i)["h"], F.coalesce(F.get(marks, i - 2)["h"], F.lit(0).cast("long")))
+    return let(held, rolls)
 
-            def chosen(roll: Column) -> Column:
-                def boundary(i: Column) -> Column:
-                    least = (F.element_at(roll, i) < F.get(roll, i - 2)) & (F.element_at(roll, i) <= F.get(roll, i))
-                    return (i == n) | F.element_at(marks, i)["long"] | F.get(marks, i)["long"] | F.coalesce(least, F.lit(False))
 
-                return F.filter(F.sequence(F.lit(1), n), boundary)
-
-            return let(F.transform(F.sequence(F.lit(1), n), rolling), chosen)
-
-        def joined(at: Column) -> Column:
-            start = lambda k: F.when(k > 0, F.get(at, k - 1)).otherwise(0)
-            return F.transform(at, lambda end, k: F.array_join(F.slice(lines, start(k) + 1, end - start(k)), "\n"))
-
-        return let(let(marks, ends), joined)
-
-    return let(lines, cut)
-
-
-def _eligible(chunk: Column) -> Column:
-    """Whether a chunk has two lines that aren't blank, or is a long one."""
-    return F.contains(F.btrim(chunk, F.lit(" \t\r\n")), F.lit("\n")) | (F.length(chunk) - F.length(F.replace(chunk, F.lit(" "), F.lit(""))) + 1 >= LONG_WORDS)
-
-
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.withColumn("_key", F.struct(F.col(doc_id).alias("id"), F.xxhash64(text_or_empty(text)).alias("hash")))
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
 
 def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """h1, h2, owner (key and place of the first occurrence) and n of each chunk that occurs again."""
-    found = _keyed(docs.select(doc_id, text), doc_id, text).select("_key", F.posexplode(_chunks(text_or_empty(text))).alias("pos", "chunk")).where(_eligible(F.col("chunk")))
-    texts = found.groupBy(F.xxhash64("chunk").alias("h1"), F.xxhash64(F.lit(1), "chunk").alias("h2"), "chunk").agg(F.min(F.struct("_key", "pos")).alias("owner"), F.count(F.lit(1)).alias("n"))
-    return texts.groupBy("h1", "h2").agg(F.min("owner").alias("owner"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).where("n > 1 AND texts = 1").drop("texts")
-
-
-def without_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``text`` freed of repeated chunks, and ``n_chunks`` and ``n_removed``."""
-    again = staged(repeated_chunks(docs, doc_id, text), "repeated-chunks").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    places = _keyed(docs.select(doc_id, text), doc_id, text).select("_key", F.posexplode(_chunks(text_or_empty(text))).alias("pos", "chunk"))
-    places = places.select("_key", "pos", F.xxhash64("chunk").alias("h1"), F.xxhash64(F.lit(1), "chunk").alias("h2")).withColumn("_salt", F.pmod(F.col("_key.hash"), F.lit(SALTS)).cast("int"))
-    extra = places.join(again, ["h1", "h2", "_salt"]).where(~F.struct("_key", "pos").eqNullSafe(F.col("owner")))
-    drops = staged(extra.groupBy("_key").agg(F.collect_set("pos").alias("_dropped")), "dropped-chunks")
-    marked = may_be_among(_keyed(docs, doc_id, text), F.xxhash64("_key"), drops)
-    joined = marked.where("_maybe").drop("_maybe").join(drops.withColumnRenamed("_key", "_of"), F.col("_key").eqNullSafe(F.col("_of")), "left").drop("_of", "_key")
-    whole = marked.where(~F.col("_maybe")).drop("_maybe", "_key").withColumn("_dropped", F.lit(None).cast("array<int>"))  # nothing to drop: such texts stay where they are
-    cut = joined.unionByName(whole).withColumn("_chunks", _chunks(text_or_empty(text)))
-    kept = F.array_join(F.filter("_chunks", lambda _, i: ~F.array_contains("_dropped", i)), "\n")
-    return cut.withColumns({
-        text: F.when(F.col("_dropped").isNull(), F.col(text)).otherwise(kept),
-        "n_chunks": F.size("_chunks").cast("long"),
-        "n_removed": F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"),
-    }).drop("_chunks", "_dropped")
-
-
-def _units(text: Column) -> Column:
-    """pos, last and unit of each pair of neighbouring lines that aren't blank, and of each long line."""
-
-    def of(lines: Column) -> Column:
-        def pairs(at: Column) -> Column:
-            line = lambda k: F.get(lines, F.get(at, k))
-            two = F.transform(F.filter(F.sequence(F.lit(0), F.size(at)), lambda k: k < F.size(at) - 1), lambda k: F.struct(F.get(at, k).alias("pos"), F.get(at, k + 1).alias("last"), F.concat(line(k), F.lit("\n"), line(k + 1)).alias("unit")))
-            words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
-            long = F.transform(F.filter(at, lambda i: words(F.get(lines, i)) >= LONG_WORDS), lambda i: F.struct(i.alias("pos"), i.alias("last"), F.get(lines, i).alias("unit")))
-            return F.concat(two, long)
-
-        blank = lambda i: F.btrim(F.get(lines, i), F.lit(" \t\r\n")) == ""
-        return let(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: ~blank(i)), pairs)
-
-    return let(F.split(text, "\n", -1), of)
-
-
-def without_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` freed of every line of a repeated passage, and ``n_lines`` and ``n_removed`` (lines).
-
-    A passage is a run of two lines or more that aren't blank (blank ones between them go
-    along), or one long line.  A line goes if a passage that holds it stands at an earlier
-    place (doc_id, then place), so passages go whole, up to their first and last lines;
-    pairs of neighbouring lines decide, for a run is repeated if all its pairs are.
-    """
-    found = _keyed(docs.select(doc_id, text), doc_id, text).select("_key", F.explode(_units(text_or_empty(text))).alias("u")).select("_key", "u.*")
-    of = [F.xxhash64("unit").alias("h1"), F.xxhash64(F.lit(1), "unit").alias("h2")]
-    often = staged(found.groupBy(*of).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"), "repeated-hashes")
-    likely = may_be_among(found, F.xxhash64("unit"), often, F.col("h1")).where("_maybe").drop("_maybe")  # the bytes of few others move
-    texts = likely.groupBy(*of, "unit").agg(F.min(F.struct("_key", "pos")).alias("owner"), F.count(F.lit(1)).alias("n"))
-    again = texts.groupBy("h1", "h2").agg(F.min("owner").alias("owner"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).where("n > 1 AND texts = 1").drop("texts", "n")
-    again = staged(again, "repeated-pairs")
-    places = may_be_among(found.select("_key", "pos", "last", *of), F.col("h1"), again).where("_maybe").drop("_maybe")
-    again = again.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    places = places.withColumn("_salt", F.pmod(F.col("_key.hash"), F.lit(SALTS)).cast("int"))
-    extra = places.join(again, ["h1", "h2", "_salt"]).where(~F.struct("_key", "pos").eqNullSafe(F.col("owner")))
-    drops = extra.groupBy("_key").agg(F.collect_set(F.struct("pos", "last")).alias("_runs"))
-    drops = staged(drops.select("_key", F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["pos"], r["last"])))).alias("_dropped")), "dropped-lines")
-    marked = may_be_among(_keyed(docs, doc_id, text), F.xxhash64("_key"), drops)
-    joined = marked.where("_maybe").drop("_maybe").join(drops.withColumnRenamed("_key", "_of"), F.col("_key").eqNullSafe(F.col("_of")), "left").drop("_of", "_key")
-    whole = marked.where(~F.col("_maybe")).drop("_maybe", "_key").withColumn("_dropped", F.lit(None).cast("array<int>"))
-    cut = joined.unionByName(whole).withColumn("_lines", F.split(text_or_empty(text), "\n", -1))
-    kept = F.array_join(F.filter("_lines", lambda _, i: ~F.array_contains("_dropped", i)), "\n")
-    return cut.withColumns({
-        text: F.when(F.col("_dropped").isNull(), F.col(text)).otherwise(kept),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_removed": F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"),
-    }).drop("_lines", "_dropped")
+    """key (of a document) and dropped (places of lines) of every document with lines that stood at an earlier place."""
+    body = text_or_empty(text)
+    found = docs.select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(body).alias("hash")).alias("key"), _lines(body).alias("lines"))
+    rolled = found.select("key", "lines", F.explode(_rolled(F.col("lines"))).alias("u")).select("key", "lines", "u.*")
+    often = staged(rolled.groupBy("roll").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("roll"), "repeated-hashes")
+    likely = may_be_among(rolled, F.col("roll"), often, bits=filter_bits(often.count())).where("_maybe")
+    unit = F.when(F.col("pos") == F.col("last"), F.get("lines", "pos")).otherwise(F.concat(F.get("lines", "pos"), F.lit("\n"), F.get("lines", "last")))
+    likely = staged(likely.select("key", "pos", "last", "roll", unit.alias("unit")), "likely-repeated")  # the bytes of few others move
+    again = likely.groupBy("roll", "unit").agg(F.min(F.struct("key", "pos")).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    extra = spread_join(likely, again, ["roll", "unit"]).where(~F.struct("key", "pos").eqNullSafe(F.col("owner")))
+    runs = extra.groupBy("key").agg(F.collect_set(F.struct("pos", "last")).alias("runs"))  # no more than a document's lines
+    gone = staged(runs.select("key", F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["pos"], r["last"])))).alias("dropped")), "dropped-lines")
+    dropped(often, likely)
+    return gone
+
+
+def without_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lines_to: str = "n_lines", removed_to: str = "n_removed") -> DataFrame:
+    """``docs`` with ``text`` freed of repeated chunks, and numbers of lines in ``lines_to`` and ``removed_to``."""
+    gone = repeated_chunks(docs, doc_id, text)
+    keyed = packed(docs).withColumn("key", F.struct(F.col(f"row.`{doc_id}`").alias("id"), F.xxhash64(text_or_empty(f"row.`{text}`")).alias("hash")))
+    marked = may_be_among(keyed, F.xxhash64("key"), gone, bits=filter_bits(gone.count()))
+    found = marked.where("_maybe").drop("_maybe").join(gone.withColumnRenamed("key", "of"), F.col("key").eqNullSafe(F.col("of")), "left").select("row", "dropped")
+    whole = marked.where(~F.col("_maybe")).select("row", F.lit(None).cast("array<int>").alias("dropped"))  # nothing to drop: such texts stay where they are
+    cut = found.unionByName(whole).withColumn("lines", _lines(text_or_empty(f"row.`{text}`")))
+    kept = F.array_join(F.filter("lines", lambda _, i: ~F.array_contains("dropped", i)), "\n")
+    result = {
+        text: F.when(F.col("dropped").isNull(), F.col(f"row.`{text}`")).otherwise(kept),
+        lines_to: F.size("lines").cast("long"),
+        removed_to: F.coalesce(F.size("dropped"), F.lit(0)).cast("long"),
+    }
+    names = [*docs.columns, *[n for n in (lines_to, removed_to) if n not in docs.columns]]
+    return cut.select(*[(result[c] if c in result else F.col(f"row.`{c}`")).alias(c) for c in names])

@@ -53,8 +53,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = linededup.without_repeated_passages(docs).withColumnRenamed("n_lines", "n_chunks")  # each line is a chunk
-    return kept.select("doc_id", "n_chunks", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    kept = linededup.without_repeated_chunks(docs)
+    return kept.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,16 +87,20 @@ def _url_sql() -> str:
         f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}') THEN '{rule}'" for rule, _, host, path in sorted(fits, key=lambda r: -len(r[0]))
     ) + " END"
     action = "CASE rule " + " ".join(f"WHEN '{rule}' THEN '{action}'" for rule, action, *_ in fits) + " END"
-    alone = lambda term: f"(^|[^[:alnum:]]){term}($|[^[:alnum:]])"
-    counted = lambda strict: " + ".join(f"CASE WHEN regexp_matches(low, '{alone(t)}') THEN 1 ELSE 0 END" for t, w in urlfilter.VOCABULARY if (w >= urlfilter.STRICT) == strict)
+    terms = ", ".join(f"('(^|[^\\p{{L}}\\p{{N}}]){term}($|[^\\p{{L}}\\p{{N}}])', {weight})" for term, weight in urlfilter.read_vocabulary())
+    low = lambda column: f"translate({column}, '{UPPER}', '{LOWER}')"
     return f"""
-WITH cut AS (SELECT page_id, lower(coalesce(url, '')) AS low,
+WITH cut AS (SELECT row_number() OVER () AS i, page_id, {low("coalesce(url, '')")} AS low,
     coalesce(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END, '') AS rest FROM pages),
-parts AS (SELECT page_id, low, lower(regexp_extract(rest, '^[^/?#]*')) AS host,
+parts AS (SELECT i, page_id, low, {low("regexp_extract(rest, '^[^/?#]*')")} AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
-ruled AS (SELECT *, {longest} AS rule, {counted(True)} AS strict_terms, {counted(False)} AS soft_terms FROM parts)
-SELECT page_id, host, path, rule, coalesce({action}, CASE WHEN strict_terms > 0 OR soft_terms >= {urlfilter.SOFT_NEEDED} THEN 'block' ELSE 'allow' END) AS verdict,
-    strict_terms::INT AS strict_terms, soft_terms::INT AS soft_terms FROM ruled
+vocabulary(pattern, weight) AS (VALUES {terms}),
+hits AS (SELECT i, count(*) FILTER (weight >= {urlfilter.STRICT}) AS strict_terms, count(*) FILTER (weight < {urlfilter.STRICT}) AS soft_terms,
+    sum(weight) FILTER (weight < {urlfilter.STRICT}) AS soft_weight FROM cut JOIN vocabulary ON regexp_matches(low, pattern) GROUP BY i),
+ruled AS (SELECT parts.*, {longest} AS rule, coalesce(strict_terms, 0) AS strict_terms, coalesce(soft_terms, 0) AS soft_terms, coalesce(soft_weight, 0) AS soft_weight
+    FROM parts LEFT JOIN hits ON parts.i = hits.i)
+SELECT page_id, host, path, rule, coalesce({action}, CASE WHEN strict_terms > 0 OR soft_weight >= {urlfilter.STRICT} THEN 'block' ELSE 'allow' END) AS verdict,
+    strict_terms::INT AS strict_terms, soft_terms::INT AS soft_terms, soft_weight::INT AS soft_weight FROM ruled
 """
 
 
