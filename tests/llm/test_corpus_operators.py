@@ -189,29 +189,6 @@ def test_repeated_passages_are_removed(spark):
     assert got[22]["text"] is None and got[23]["text"] == "" and got[24]["text"] == "\n\n"
 
 
-def brute_lines(spark, rows):
-    """The rule applied by hand to the chunks that the operator cuts."""
-    cut = frame(spark, rows).withColumn("chunks", linededup._chunks(linededup.text_or_empty("text"))).collect()
-    seen, out = set(), {}
-    for r in sorted(cut, key=lambda r: r["doc_id"]):
-        assert "\n".join(r["chunks"]) == (r["text"] or "")
-        kept = []
-        for chunk in r["chunks"]:
-            again = "\n" in chunk.strip(" \t\r\n") or chunk.count(" ") + 1 >= linededup.LONG_WORDS
-            if not (again and chunk in seen):
-                kept.append(chunk)
-            if again:
-                seen.add(chunk)
-        out[r["doc_id"]] = "\n".join(kept)
-    return out
-
-
-def test_lines_equal_brute_force(spark):
-    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
-    got = {r["doc_id"]: r["text"] for r in linededup.without_repeated_chunks(frame(spark, rows)).collect()}
-    assert got == brute_lines(spark, rows)
-
-
 def brute_passages(rows):
     """Lines of runs that stand earlier, run by run."""
     spots, out = {}, {}
@@ -231,6 +208,12 @@ def brute_passages(rows):
     return out
 
 
+def test_lines_equal_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: r["text"] for r in linededup.without_repeated_chunks(frame(spark, rows)).collect()}
+    assert got == brute_passages(rows)
+
+
 def test_short_passages_go_whole(spark, tmp_path):
     words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
     rows = [(10 * size + i, f"own {size} {i}\n" + "\n\n".join(words(f"p{size}x{k}y", 20) for k in range(size)) + f"\nend {size} {i}\nlone") for size in range(1, 8) for i in range(3)]
@@ -239,7 +222,7 @@ def test_short_passages_go_whole(spark, tmp_path):
     got = {r["doc_id"]: r for r in queries.op8_line_dedup(spark, str(tmp_path)).collect()}
     brute = brute_passages(rows)
     assert {d: r["n_chars"] for d, r in got.items() if d != 103} == {d: len(t) for d, t in brute.items() if d != 103}
-    assert {r["doc_id"]: r["text"] or "" for r in linededup.without_repeated_passages(frame(spark, rows)).collect()} == brute
+    assert {r["doc_id"]: r["text"] or "" for r in linededup.without_repeated_chunks(frame(spark, rows)).collect()} == brute
     assert brute[31] == "own 3 1\nend 3 1\nlone"
 
 
@@ -248,6 +231,19 @@ def test_line_edges(spark):
     got = linededup.without_repeated_chunks(docs)
     assert got.count() == 3 and got.columns[:3] == ["doc_id", "text", "chunk"]
     assert linededup.without_repeated_chunks(docs.limit(0)).count() == 0
+    names = docs.selectExpr("doc_id", "text", "'k' AS key", "1 AS lines", "2 AS row", "3 AS dropped", "9 AS n_lines", "4 AS _maybe")
+    got = linededup.without_repeated_chunks(names)
+    assert got.columns == [*names.columns, "n_removed"]
+    assert {(r["key"], r["lines"], r["row"], r["dropped"], r["_maybe"]) for r in got.collect()} == {("k", 1, 2, 3, 4)} and {r["n_lines"] for r in got.collect()} == {1, 4}
+
+
+def test_very_long_texts_and_ties_of_lines(spark):
+    long = "\n".join(f"line {i % 5000} of it" for i in range(20_000))
+    rows = [(1, long), (2, "before\n" + long[:100_000]), (3, None), (3, "x\ny"), (3, "x\ny\nz")]
+    got = sorted((r["doc_id"], r["text"] or "") for r in linededup.without_repeated_chunks(frame(spark, rows)).collect())
+    assert got[0][1].split("\n")[:5000] == long.split("\n")[:5000] and len(got[0][1].split("\n")) == 5000
+    assert got[1][1].startswith("before") and len(got[1][1]) < 40
+    assert sum(t.count("x\ny") for d, t in got if d == 3) == 1
 
 
 # --- leaks --------------------------------------------------------------------
@@ -426,7 +422,7 @@ def test_pipeline(spark, sf_dir):
     assert all((d in good) == bool(q) for d, q in labels.items())
     rows = [(r["doc_id"], r["text"]) for r in kept["quality"].collect()]
     lines = {r["doc_id"]: r["text"] for r in kept["line_dedup"].collect()}
-    assert lines == brute_lines(spark, rows)
+    assert lines == brute_passages(rows)
     classes = brute_classes(list(lines.items()))
     near = {r["doc_id"]: r["text"] for r in kept["near_dedup"].collect()}
     assert set(near) == set(classes.values())
@@ -435,3 +431,29 @@ def test_pipeline(spark, sf_dir):
     assert clean.isdisjoint(leaky) and all(d in clean for d, t in near.items() if len(t) < 4000 and d not in leaky)
     assert {r["doc_id"] for r in kept["encode"].collect()} == clean
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, kept["encode"].collect()))
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls, empty and very long texts, repeated rows, clashing columns and empty tables in every stage."""
+    own = "score int, n_lines int, n_removed int, row int, node int, key int, _maybe int, found int, gone int, of int"
+    names = [c.split()[0] for c in own.split(", ")]
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    rows = [(1, words("a", 30)), (1, words("a", 30)), (2, None), (3, ""), (None, words("a", 30) + " more"), (None, None), (4, words("long", 150_000)), (5, "one"), (6, "x y\nz w\nown six"), (7, "x y\nz w\nown seven")]
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {own}"
+    docs = spark.createDataFrame([(d, t, None, None, None if t is None else len(t), *range(len(names))) for d, t in rows], schema)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+        got = stage(spark, docs, sf_dir)
+        kept[name] = got.collect()
+        if name != "encode":
+            assert got.columns == docs.columns
+            assert all(tuple(r[n] for n in names) == tuple(range(len(names))) for r in kept[name])
+    texts = {name: sorted((r["doc_id"] or -1, r["text"] or "") for r in found) for name, found in kept.items() if name != "encode"}
+    everything = sorted((d or -1, t or "") for d, t in rows)
+    assert set(texts["quality"]) <= set(everything)
+    assert [t for t in texts["line_dedup"] if t[0] != 7] == [t for t in everything if t[0] != 7] and (7, "own seven") in texts["line_dedup"]
+    assert texts["near_dedup"] == sorted([(1, rows[0][1]), (1, rows[0][1]), (2, ""), (4, rows[6][1]), (5, "one"), (6, rows[8][1]), (7, rows[9][1])])
+    assert texts["decontaminate"] == everything
+    assert len(kept["encode"]) == len(rows) and sum(r["n_tokens"] == 0 for r in kept["encode"]) == 3
+    assert sum(r["text"] is None for r in kept["line_dedup"]) == 2

@@ -1,7 +1,11 @@
 """Token counts, BPE, URL rules, HTML and quality against brute force."""
 
+import collections
 import hashlib
+import itertools
+import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -97,7 +101,7 @@ def test_token_counts(spark, sf_dir, documents):
     ("http://porn.com/x", "porn.com", "/x", "com/", "allow"), ("http://notcom/x", "notcom", "/x", None, "allow"), ("http://É.ORG?x://y", "É.org", "", None, "allow"),
 ])
 def test_url_rules(url, host, path, rule, verdict):
-    judge = urlfilter.UrlJudge(queries.URL_RULES, urlfilter.VOCABULARY, 2)
+    judge = urlfilter.UrlJudge(queries.URL_RULES, urlfilter.read_vocabulary())
     assert judge.judge(url)[:4] == (host, path, rule, verdict)
 
 
@@ -107,6 +111,33 @@ def test_url_edges(spark, sf_dir):
     assert urlfilter.with_url_verdict(df.limit(0), queries.URL_RULES).count() == 0
 
 
+def brute_url_hits(url, vocabulary):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in url or "")
+    found = {t: w for t, w in vocabulary if regex.search(rf"(?<![\p{{L}}\p{{N}}]){regex.escape(t)}(?![\p{{L}}\p{{N}}])", low)}
+    soft = [w for w in found.values() if w < 100]
+    return len(found) - len(soft), len(soft), sum(soft)
+
+
+def test_url_hits_equal_brute_force(spark):
+    rng, vocabulary = random.Random(8), urlfilter.read_vocabulary()
+    words = [t for t, _ in vocabulary] + ["a", "é", "١", "CASINO", "Sex", "ſex", "İ", "x1"]
+    urls = ["http://h.org/" + "".join(rng.choice(words) + rng.choice(["", "-", "/", "é", "²", "_", "?", "."]) for _ in range(rng.randint(0, 9))) for _ in range(800)]
+    urls += ["http://h.org/" + "clean/" * 200_000 + "casino", "http://h.org/" + "casino" * 50_000]
+    judge = urlfilter.UrlJudge(queries.URL_RULES, vocabulary)
+    for url in urls:
+        assert judge.hits(url) == brute_url_hits(url, vocabulary)
+    own = urlfilter.vocabulary_of(spark.createDataFrame([("bad", 100), ("odd", 40), ("mad", 60), (None, 1), ("", 3)], "term string, weight int"))
+    judge = urlfilter.UrlJudge((), own)
+    assert [judge.judge(f"http://h.org/{p}")[3] for p in ("bad", "odd", "odd-mad", "odd-odd", "mad")] == ["block", "allow", "block", "allow", "allow"]
+
+
+def test_url_columns_clash(spark):
+    df = spark.createDataFrame([(1, "http://a.org/casino", "h", "f", "r")], "page_id int, url string, host string, found string, row string")
+    got = urlfilter.with_url_verdict(df, queries.URL_RULES)
+    assert got.columns == ["page_id", "url", "host", "found", "row", "path", "rule", "verdict", "strict_terms", "soft_terms", "soft_weight"]
+    assert tuple(got.first())[:5] == (1, "http://a.org/casino", "a.org", "f", "r")
+
+
 @pytest.mark.parametrize(("page", "text"), [
     ("", ""), ("<p>One &amp; two", "One & two"), ("<article><h1>T</h1><p><b>a<br><p>b c</p></article><footer>f</footer>", "T\n\na\n\nb c"),
     ("<nav>n</nav><div class='ad'>Buy, now.</div><article><p>x\n  y</p><div class=\"comments\">No!</div></article>", "x y"),
@@ -128,6 +159,78 @@ def test_main_text_of_pages(spark, sf_dir):
     assert htmltext.with_main_text(df.limit(0)).count() == 0
 
 
+_ARTICLE = "<p>A long first paragraph, with some words. And more.</p><p>Second one, also here.</p>"
+_TEXT = "A long first paragraph, with some words. And more.\n\nSecond one, also here."
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<nav>Home, here.</nav><article class='post tags'>{_ARTICLE}</article><div class=ad>Buy, now.</div>", _TEXT), (f"<div class='has-sidebar'>{_ARTICLE}<div class=sidebar>Related, here.</div></div>", _TEXT),
+    (f"<div><div>{_ARTICLE}</div><div class=comments><p>{'I say, so it is. ' * 30}</p></div></div>", _TEXT), ("<p title=it's>one, two</p><p>x's three. four</p>", "one, two\n\nx's three. four"),
+    ("<!--><p>shown, yes.</p>", "shown, yes."), ("<!---><p>shown, yes.</p>", "shown, yes."), ("<p>a<!-- <p>no --!> b.</p>", "a b."), ("<p>" + "İ" * 40 + "</p><script>no</script><p>next, yes.</p>", "İ" * 40 + "\n\nnext, yes."),
+    ("<p>a <math><mi>x</mi>+<mn>2</mn></math> b <object>o</object> <canvas>c</canvas> d.</p>", "a x+2 b o c d."), ("<p>&<b>amp;</b> &lt;x", "&amp; <x"), ("<p a='x>y' b=\"z>\">in, q.</p>", "in, q."),
+    ("<p>1 < 2 and 3 > 2.</p></><p>k.</p>", "1 < 2 and 3 > 2.\n\nk."), ("<template><p>hid, den.</p></template><p>seen, yes.</p>", "seen, yes."), ("<p>cut <a href='x", "cut"), ("<SCRIPT>if (a</b) {}</ScRiPt ><p>after, it.</p>", "after, it."),
+])
+def test_pages_that_mislead(page, text):
+    assert htmltext.main_text(page) == text
+
+
+def brute_content(found):
+    """Nodes above the threshold, by the rule of the docstring, with paths as tuples of steps."""
+    paths = []
+    for path, _ in found:
+        steps = []
+        while path is not None:
+            steps.append(path)
+            path = path.parent
+        paths.append(tuple(reversed(steps)))
+    sums = {}
+    for p, (_, text) in zip(paths, found):
+        n, chars, marks = sums.get(p, (0, 0, 0))
+        sums[p] = n + 1, chars + len(text), marks + sum(c in ".,;:!?…。、،।" for c in text)
+    ratio = {p: (chars / n, (marks + 1) / n) for p, (n, chars, marks) in sums.items()}
+
+    def alike(a, b):
+        common = sum(1 for _ in itertools.takewhile(lambda xy: xy[0] is xy[1], zip(a, b)))
+        return (common / max(len(a), len(b))) ** 2
+
+    scores = {}
+    for i, p in enumerate(paths):
+        near = [(paths[j], math.exp(-((i - j) ** 2) / 2) * alike(p, paths[j])) for j in range(max(0, i - 2), min(len(paths), i + 3))]
+        whole = sum(w for _, w in near)
+        scores.setdefault(p, []).append(sum(w * ratio[q][0] for q, w in near) / whole * sum(w * ratio[q][1] for q, w in near) / whole)
+    scores = {p: sum(s) / len(s) for p, s in scores.items()}
+    best = max(scores, key=lambda p: scores[p] * 1e-4 ** sum(x.side for x in p))
+    last = {p: s * 1e-4 ** sum(x.side and x not in best for x in p) for p, s in scores.items()}
+    return [text for p, (_, text) in zip(paths, found) if last[p] >= 0.02 * max(last.values())]
+
+
+def test_content_equals_brute_force(spark, sf_dir):
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    rng = random.Random(3)
+    tags = ["<div>", "</div>", "<p>", "</p>", "<div class=ad>", "<article>", "</article>", "<ul><li>", "</ul>", "<h2>", "</h2>", "<footer>", "</footer>", "<b>", "</b>", "<td>"]
+    pages += ["".join(rng.choice(tags) + rng.choice(["", "Word.", "some words here, and there.", "x" * 80]) for _ in range(40)) for _ in range(300)]
+    differ = 0
+    for page in pages:
+        found = htmltext.nodes(page)
+        wanted = "\n\n".join(brute_content(found)) if found else ""
+        assert htmltext.main_text(page) == wanted
+        differ += wanted != "\n\n".join(t for _, t in found)
+    assert differ > 300  # the scores decide
+
+
+def test_page_columns_clash(spark):
+    df = spark.createDataFrame([(1, "<p>hi", 2.5, "r")], "page_id int, html string, n_chars double, row string")
+    got = htmltext.with_main_text(df)
+    assert got.columns == ["page_id", "html", "n_chars", "row", "text"] and tuple(got.first()) == (1, "<p>hi", 2, "r", "hi")
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<b>", "<x-a><p>t.", "<div><p>t.", "<b><div><i>", "<i></b>", "<td>", "<li><x-a>"])
+def test_deep_pages_take_linear_time(piece):
+    began = time.process_time()
+    htmltext.main_text(piece * 50_000 + "x")
+    assert time.process_time() - began < 20
+
+
 @pytest.mark.parametrize("page", ["<" * 50_000, '<p class="' * 5000, "<div>" * 5000 + "x", "<b>x" * 5000, "<script>" * 5000, '<a "' * 5000])
 def test_hostile_pages(page):
     htmltext.main_text(page)
@@ -142,6 +245,75 @@ def test_quality(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
 
 
+def brute_score(text, w):
+    """The score by plain dictionaries: share of each feature in its group times its weight."""
+    words = text.split()
+    if not words:
+        return 1 / (1 + math.exp(-w[-1]))
+    wrap = lambda x: x % (1 << 64)
+    mix = 0x9E3779B97F4A7C15
+    slot = lambda key: (wrap((key ^ (key >> 31)) * mix) >> 40) & quality._MASK
+    crc, shape = [zlib.crc32(x.encode()) for x in words], [quality._shape(x) for x in words]
+    groups = [[slot(wrap(c * 3)) for c in crc]]
+    if len(words) > 1:
+        groups.append([slot(wrap(wrap(wrap(a * mix) + b) * 3 + 1)) for a, b in itertools.pairwise(crc)])
+        groups.append([slot(wrap(wrap((a * 1024 + b) * 2 + (crc[i] == crc[i + 1])) * 3 + 2)) for i, (a, b) in enumerate(itertools.pairwise(shape))])
+    total = float(w[-1]) + sum(n / len(g) * float(w[f]) for g in groups for f, n in collections.Counter(g).items())
+    return 1 / (1 + math.exp(-max(-35.0, min(35.0, total))))
+
+
+def brute_ftrl(rows, epochs):
+    """FTRL-proximal by its published formulas, one coordinate at a time."""
+    z, n, bias = collections.defaultdict(float), collections.defaultdict(float), 1 << quality.BITS
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(epochs):
+        for index, value, label in rows:
+            x = {int(i): 4.0 * v for i, v in zip(index, value)} | {bias: 0.25}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w[i] * v for i, v in x.items())))))
+            for i, v in x.items():
+                g = (p - label) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * w[i]
+                n[i] += g * g
+    return {i: weight(i) * (0.25 if i == bias else 4.0) for i in z}
+
+
+def test_scores_equal_brute_force(spark, sf_dir, documents):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    weights = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    w = weights.astype(np.float32)
+    extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "one"), (-4, "long words. " * 100_000)], "doc_id long, text string")
+    for r in quality.with_quality(docs.unionByName(extra), weights).collect():
+        assert abs(r["score"] - brute_score(r["text"] or "", w)) < 1e-6
+    sparse = quality.Featurizer().sparse
+    rows = [(*sparse(t), i % 2) for i, t in enumerate(documents[:60])]
+    fitted = quality.fit_ftrl(rows)
+    assert all(abs(fitted[i] - v) < 1e-6 for i, v in brute_ftrl(rows, quality.EPOCHS).items())
+
+
+def test_quality_of_any_ids(spark):
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(20))
+    docs = spark.createDataFrame([(f"id{i}", words(i), "k") for i in range(30)] + [("id1", words(99), "k")] * 5, "doc_id string, text string, _id string")
+    labels = spark.createDataFrame([(f"id{i}", i % 2) for i in range(30)], "doc_id string, quality int")
+    weights = quality.fit_quality(docs, labels, max_rows=10)
+    got = quality.with_quality(docs, weights)
+    assert got.columns == ["doc_id", "text", "_id", "score"] and got.count() == 35 and np.count_nonzero(weights)
+
+
+def test_counts_and_digests_keep_columns(spark):
+    df = spark.createDataFrame([(1, "two words", "a", "b", "c")], "doc_id int, text string, row string, found string, _digest string")
+    got = bpe.with_token_digest(df, PATH, P.PATTERN)
+    assert got.columns == [*df.columns, "n_tokens", "ids_sha256", "decoded_sha256"] and tuple(got.first())[2:6] == ("a", "b", "c", 2)
+    got = tokencount.with_token_counts(df.withColumnRenamed("_digest", "_counts"), PATH, P.PATTERN)
+    assert tuple(got.first()) == (1, "two words", "a", "b", "c", 2, 2)
+    assert tokencount.with_token_counts(df.limit(0), PATH, P.PATTERN).count() == 0
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "fine words here", "x"), (2, "", "x")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
