@@ -9,7 +9,7 @@ one arrival a shingle.  Two texts agree in a slot with the probability that is
 their Jaccard similarity.
 
 Slots are cut into bands.  Texts that share a band are candidates: each is held against
-the band's first text, and the links found so far give classes.  Then all pairs across
+one of its bands' first texts, then against those of other classes.  Then all pairs across
 classes among the texts of bands that hold several classes are compared, whatever a
 band's size, save those that a prefix filter shows to be unlike, so no link of two texts
 that share a band is missed.  A link is a pair whose sets of shingles have a Jaccard
@@ -208,29 +208,39 @@ def possible_pairs(apart: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def with_root(rows: DataFrame, roots: DataFrame, name: str, to: str) -> DataFrame:
+    """``rows`` with the root of the node in column ``name``; a node without one is its own."""
+    found = spread_join(rows, roots.select(F.col("node").alias(name), F.col("root").alias(to)), [name], "left")
+    return found.withColumn(to, F.coalesce(to, name))
+
+
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, node, class_id, class_size (documents) and kept, one row per document."""
     base = staged(sketched(docs, doc_id, text), "sketches")
-    nodes = staged(base.groupBy("node").agg(F.first("bands").alias("bands")), "texts")
-    places = nodes.select("node", F.explode("bands").alias("band"))
+    places = base.select("node", F.explode("bands").alias("band"))
     shared = staged(places.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").drop("last"), "shared-bands")
-    likely = staged(may_be_among(places, F.col("band"), shared, bits=filter_bits(shared.count())).where("_maybe").drop("_maybe"), "likely-members")
+    likely = staged(may_be_among(places, F.col("band"), shared, bits=filter_bits(shared.count())).where("_maybe").drop("_maybe").distinct(), "likely-members")
     members = staged(spread_join(likely, shared, ["band"]), "band-members")
-    dropped(nodes, likely, shared)
+    dropped(likely, shared)
     sets = staged(shingle_sets(docs, members.select("node").distinct(), text), "shingle-sets")
-    # Each text against its bands' first texts.
-    pairs = staged(members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    # Each text against the least of its bands' first texts, then against those of other classes.
+    pairs = staged(members.where("node <> head").groupBy(F.col("node").alias("b")).agg(F.min("head").alias("a")), "pairs")
     roots = staged(components(verified(pairs, sets)), "roots")
+    rooted = staged(with_root(members, roots, "node", "root"), "rooted-members")
+    other = with_root(rooted, roots, "head", "head_root").where("root <> head_root").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    more = staged(other.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    dropped(rooted)
+    roots = joined_components(roots, staged(verified(more, sets), "links"))
     # Whatever that left apart: every pair across classes of the bands that hold several, if it can be similar enough.
-    labelled = staged(members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "labelled-members")
-    mixed = labelled.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("band")
-    apart = staged(spread_join(labelled, mixed, ["band"], "left_semi").select("node", "root").distinct(), "apart")
+    rooted = staged(with_root(members.select("band", "node"), roots, "node", "root"), "rooted-members")
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("band")
+    apart = staged(spread_join(rooted, mixed, ["band"], "left_semi").select("node", "root").distinct(), "apart")
     if not apart.isEmpty():
-        new = staged(possible_pairs(apart, sets).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs.select("a", "b").unionByName(more)
+        new = staged(possible_pairs(apart, sets).join(tested, ["a", "b"], "left_anti"), "pairs")
         roots = joined_components(roots, staged(verified(new, sets), "links"))
-    dropped(members, sets, pairs, labelled, apart)
-    rooted = spread_join(base.select("doc_id", "node"), roots, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = staged(rooted, "rooted")
+    dropped(members, sets, pairs, more, rooted, apart)
+    rooted = staged(with_root(base.select("doc_id", "node"), roots, "node", "root"), "rooted")
     classes = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).getField("node").alias("keeper")).where("class_size > 1")
     joined = spread_join(rooted, classes, ["root"], "left")
     alone = F.col("class_size").isNull()
