@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tileweave.llm import bpe, decontaminate, linededup, neardup, quality
-from tileweave.llm.common import staged, table, unused
+from tileweave.llm.common import dealt, staged, table, unused
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Documents that score lower are rejected.
@@ -81,7 +81,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if its files are fewer; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def text_or_empty(name: str = "text"):
     """The column as a string in which null counts as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -109,7 +115,7 @@ FILTER_BITS = 1 << 22
 
 def filter_bits(keys: int) -> int:
     """Bits for so many keys: a power of two, few false positives, within a fixed bound."""
-    return min(MOST_FILTER_BITS, max(1 << 16, 1 << (512 * max(keys, 1) - 1).bit_length()))
+    return min(MOST_FILTER_BITS, max(1 << 16, 1 << (64 * max(keys, 1) - 1).bit_length()))
 
 
 def may_be_among(df: DataFrame, key, keys: DataFrame, key_of_keys=None, bits: int = FILTER_BITS) -> DataFrame:
@@ -126,8 +132,8 @@ def may_be_among(df: DataFrame, key, keys: DataFrame, key_of_keys=None, bits: in
     return joined.withColumn("_maybe", F.coalesce(F.expr("getbit(_bits, cast(_bit & 63 as int)) = 1"), F.lit(False))).drop("_bit", "_at", "_word", "_bits")
 
 
-#: A key that holds more than this share of a side's rows (and more than ``HOT_ROWS``) is dealt out to several tasks.
-HOT_SHARE, HOT_ROWS = 1 / 128, 256
+#: A key that holds more than this share of a side's rows is dealt out to several tasks; a side of ``ONE_TASK`` rows is no more than a task's work.
+HOT_SHARE, ONE_TASK = 1 / 128, 10_000
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -137,7 +143,10 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     than 1 / ``HOT_SHARE`` keys can be hot, which bounds what is broadcast; a hot key is cut
     into parts in proportion to its rows, and its rows of ``right`` are copied to each part.
     """
-    least = max(HOT_ROWS, int(left.count() * HOT_SHARE))
+    rows = left.count()
+    if rows <= ONE_TASK:
+        return left.join(right, on, how)
+    least = max(1, int(rows * HOT_SHARE))
     hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > least)
     hot = F.broadcast(hot.select(*[F.col(c).alias(f"_hot{i}") for i, c in enumerate(on)], F.ceil(F.col("_rows") / least).cast("int").alias("_parts")))
 

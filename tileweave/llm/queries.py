@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, exactdedup, htmltext, linededup, neardup, quality, sharding, tokencount, urlfilter
-from .common import LOWER, UPPER, table
+from .common import LOWER, UPPER, dealt, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 QUALITY_THRESHOLD = 0.3
@@ -16,17 +16,17 @@ URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return tokencount.with_token_counts(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).drop("text")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return neardup.near_classes(docs).drop("node")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
     weights = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
     scored = quality.with_quality(docs, weights)
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % quality.HELD_OUT_OF == 0
@@ -39,30 +39,30 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = dealt(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return htmltext.with_main_text(pages).drop("html")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_digest(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
+    return sharding.shard_digest(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")), SHARDS)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = linededup.without_repeated_chunks(docs)
     return kept.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exactdedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return exactdedup.exact_groups(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return bpe.with_token_digest(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).drop("text")
 
 
