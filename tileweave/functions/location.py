@@ -86,11 +86,14 @@ def location_parts(text: Column, signed: bool = False) -> Column:
 
 
 def target_parts(text: Column) -> Column:
-    return F.struct(F.rtrim(F.substring(text, 1, 10)).alias("be"), F.rtrim(F.substring(text, 11, 5)).alias("suffix"), F.rtrim(F.substring(text, 16, 2)).alias("country"))
+    """Parts of a target id of 17 characters; null for others."""
+    return F.when(F.length(text) == 17, F.struct(F.rtrim(F.substring(text, 1, 10)).alias("be"), F.rtrim(F.substring(text, 11, 5)).alias("suffix"), F.rtrim(F.substring(text, 16, 2)).alias("country")))
 
 
 def target_id(be: Column, suffix: Column, country: Column) -> Column:
-    return F.concat(be, suffix, country)
+    """17 characters: the parts, filled with blanks; null if one is too long."""
+    fits = (F.length(be) <= 10) & (F.length(suffix) <= 5) & (F.length(country) <= 2)
+    return F.when(fits, F.concat(F.rpad(be, 10, " "), F.rpad(suffix, 5, " "), F.rpad(country, 2, " ")))
 
 
 def elevation_longitude(text: Column) -> Column:

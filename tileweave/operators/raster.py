@@ -53,8 +53,8 @@ def edge_block(images: DataFrame, rows: str, block: int, index: str) -> Column:
 def retile(px: DataFrame, source: tuple[int, int], target: tuple[int, int], value: str = "v") -> DataFrame:
     """Every target tile with what it gathers: samples, their sum, and how many source tiles they come from."""
     (sr, sc), (tr, tc) = block_of(F.col("row"), F.col("col"), *source), block_of(F.col("row"), F.col("col"), *target)
-    placed = px.select(tr.alias("tr"), tc.alias("tc"), (sr * 1_000_000 + sc).alias("source"), F.col(value).alias("v"))
-    partial = placed.groupBy("tr", "tc", "source").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("high"))
+    placed = px.select(tr.alias("tr"), tc.alias("tc"), sr.alias("sr"), sc.alias("sc"), F.col(value).alias("v"))
+    partial = placed.groupBy("tr", "tc", "sr", "sc").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("high"))
     return partial.groupBy("tr", "tc").agg(F.sum("n").alias("n"), F.max("high").alias("high"), F.count(F.lit(1)).alias("sources"))
 
 
