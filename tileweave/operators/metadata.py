@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,6 +22,21 @@ def removed(entries: Column, key: str) -> Column:
     return F.map_filter(entries, lambda k, _: k != key)
 
 
+def key_rows(df: DataFrame, entries: str, keep: Sequence[str]) -> DataFrame:
+    """One row per key of a JSON object: keep..., key."""
+    return df.select(*keep, F.explode(F.json_object_keys(entries)).alias("key"))
+
+
+def without_all(entries: Column) -> Column:
+    """The empty map of the same type."""
+    return F.map_filter(entries, lambda _k, _v: F.lit(False))
+
+
+def without_structural(tags: DataFrame, structural: DataFrame, tag: str = "tag") -> DataFrame:
+    """Different tags that aren't structural ones."""
+    return tags.select(tag).distinct().join(structural.select(tag).distinct(), tag, "left_anti")
+
+
 def rewritten(url: Column, rewrites: Column) -> Column:
     """A URL by a map of rewrites, itself if the map lacks it."""
     return F.coalesce(F.try_element_at(rewrites, url), url)

@@ -79,14 +79,44 @@ def with_role(assets: DataFrame, roles: str, wanted: Sequence[str]) -> DataFrame
 
 
 def default_asset(assets: DataFrame, keys: Sequence[str], roles: str, order: str) -> DataFrame:
-    """Of each dataset the first image with role data, else the first image."""
-    w = Window.partitionBy(*keys).orderBy(~F.array_contains(roles, "data"), order)
-    return assets.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Of each dataset the first image with role data, else the first image; an aggregate, so no dataset is sorted."""
+    best = F.min_by(F.struct(*[F.col(f"`{c}`") for c in assets.columns]), F.struct(~F.coalesce(F.array_contains(roles, "data"), F.lit(False)), F.col(order)))
+    return assets.groupBy(*keys).agg(best.alias("_best")).select("_best.*")
+
+
+def routed_sources(sources: DataFrame, keys: Sequence[str], index: str, roles: str) -> DataFrame:
+    """data (the index of the source with role data, else 0) and overviews (level, index, in order) of each dataset of several sources; two with role data raise an error."""
+    has = F.array_contains(roles, "data")
+    level = F.array_max(F.transform(roles, overview_level))
+    found = sources.groupBy(*keys).agg(
+        F.count_if(has).alias("_n"), F.coalesce(F.min(F.when(has, F.col(index))), F.lit(0)).cast("int").alias("data"),
+        F.array_sort(F.collect_list(F.when(level.isNotNull(), F.struct(level.alias("level"), F.col(index).alias("index"))))).alias("overviews"),
+    )
+    fine = F.when(F.col("_n") > 1, F.raise_error(F.lit("several sources have the role data"))).otherwise(F.col("data"))
+    return found.withColumn("data", fine).drop("_n")
+
+
+def access_patterns(images: DataFrame, grid_rows: str, grid_cols: str) -> DataFrame:
+    """Regions that a benchmark reads: pattern, first and last block row and column of the centre block, of 3 x 3 and, in grids of ten or more, of 10 x 10 blocks about it."""
+
+    def run(length: Column, n: int) -> tuple[Column, Column]:
+        first = F.greatest(F.lit(0), F.least(F.floor(length / 2).cast("int") - n // 2, length - n))
+        return first, F.least(first + n, length) - 1
+
+    def one(name: str, n: int) -> Column:
+        (r0, r1), (c0, c1) = run(F.col(grid_rows), n), run(F.col(grid_cols), n)
+        return F.struct(F.lit(name).alias("pattern"), r0.alias("br0"), r1.alias("br1"), c0.alias("bc0"), c1.alias("bc1"))
+
+    wide = F.least(grid_rows, grid_cols) >= 10
+    patterns = F.array_compact(F.array(one("single", 1), one("small", 3), F.when(wide, one("large", 10))))
+    return images.withColumn("_p", F.explode(patterns)).select(*images.columns, "_p.*")
 
 
 def record(tag: Column, data: Column) -> Column:
-    """A tagged record: six characters of tag, five digits of length, data."""
-    return F.concat(F.rpad(tag, 6, " "), F.lpad(F.length(data).cast("string"), 5, "0"), data)
+    """A tagged record: six bytes of tag, five digits of the data's bytes, data; null if either doesn't fit."""
+    size = F.octet_length(data)
+    fits = (F.octet_length(tag) <= 6) & (F.length(tag) == F.octet_length(tag)) & (size <= 99_999)
+    return F.when(fits, F.concat(F.rpad(tag, 6, " "), F.lpad(size.cast("string"), 5, "0"), data))
 
 
 def record_parts(text: Column) -> Column:
@@ -115,6 +145,61 @@ def last_of_tag(records: DataFrame, keys: Sequence[str], tag: str, order: str, v
     return records.groupBy(*keys, tag).agg(F.max_by(F.struct(*values), order).alias("_last")).select(*keys, tag, "_last.*")
 
 
+def segment_totals(segments: DataFrame, kind: str, length: str) -> DataFrame:
+    """n, longest and total of the segments of each kind, and of all (a null kind)."""
+    return segments.rollup(kind).agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("longest"), F.sum(length).alias("total"))
+
+
+def largest_parent(images: DataFrame, keys: Sequence[str], size: str, name: str) -> DataFrame:
+    """Of each file the image of greatest size, of equal ones the least name."""
+    return images.groupBy(*keys).agg(F.max_by(name, F.struct(size, -F.col(name))).alias(name), F.max(size).alias(size))
+
+
+def repeated_keys(assets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that more than one asset has, and how many: what a writer must reject."""
+    return assets.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def with_definition(records: DataFrame, definitions: DataFrame, key: str, body: str) -> DataFrame:
+    """Records with the ``definition`` of their tag, and ``shown``: that, or the raw bytes of a tag without one."""
+    found = records.join(definitions, key, "left")
+    return found.withColumn("shown", F.coalesce("definition", F.concat(F.lit("_raw:"), F.hex(body))))
+
+
+def all_names(*sources: DataFrame) -> DataFrame:
+    """Every different name that some source (one column each) has."""
+    out = sources[0].toDF("name")
+    for other in sources[1:]:
+        out = out.union(other.toDF("name"))
+    return out.distinct()
+
+
+def end_offset(segments: DataFrame, keys: Sequence[str], offset: str, length: str, header: str) -> DataFrame:
+    """expected: where the last segment of each file ends, or its header if it has none."""
+    return segments.groupBy(*keys).agg(F.greatest(F.max(header), F.coalesce(F.max(F.col(offset) + F.col(length)), F.lit(0))).alias("expected"))
+
+
+def length_warnings(declared: Column, expected: Column, actual: Column) -> Column:
+    """What is wrong with a file's declared length; twelve nines say that it wasn't known when written."""
+    unknown = declared == 999_999_999_999
+    return F.array_compact(F.array(
+        F.when(unknown, F.lit("length not recorded")),
+        F.when(~unknown & (declared != expected), F.concat(F.lit("declared "), declared.cast("string"), F.lit(", segments end at "), expected.cast("string"))),
+        F.when(~unknown & (declared != actual), F.concat(F.lit("declared "), declared.cast("string"), F.lit(", found "), actual.cast("string"))),
+    ))
+
+
+def followed_overflow(headers: DataFrame, overflow: DataFrame, keys: Sequence[str], index: str, number: str, data: str) -> DataFrame:
+    """Subheaders with the bytes of the data segment that their overflow field names.
+
+    ``index`` counts from 1, and 0 names none; a segment that isn't there raises an error when it is read.
+    """
+    named = overflow.select(*keys, (F.col(number) + 1).alias("_named"), F.col(data).alias("overflow"))
+    joined = headers.join(named, [*[headers[k] == named[k] for k in keys], F.col(index) == F.col("_named")], "left").drop(*[named[k] for k in keys])
+    lost = (F.col(index) > 0) & F.col("_named").isNull()
+    return joined.withColumn("overflow", F.when(lost, F.raise_error(F.lit("an overflow segment is missing"))).otherwise(F.col("overflow"))).drop("_named")
+
+
 def declared_against_found(declared: DataFrame, found: DataFrame, key: str, count: str) -> DataFrame:
     """Files whose declared segment count isn't the number found."""
     counted = found.groupBy(key).agg(F.count(F.lit(1)).alias("found"))

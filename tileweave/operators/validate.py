@@ -70,3 +70,89 @@ def pixel_class(sample_format: Column, bits: Column) -> Column:
     for code, name, sizes in ((1, "uint", (8, 16, 32)), (2, "int", (8, 16, 32)), (3, "float", (32, 64))):
         out = F.when((sample_format == code) & bits.isin(*sizes), F.concat(F.lit(name), bits.cast("string"))).otherwise(out)
     return out
+
+
+def band_names(representation: Column, names: Column) -> Column:
+    """Broken rules of the bands' own representations (an array of texts) by the image's."""
+    shown = F.array_join(F.transform(names, lambda n: F.rtrim(n)), ",")
+    return messages(
+        ((representation == "RGB") & (shown != "R,G,B"), "RGB has bands R, G and B"),
+        ((representation == "RGB/LUT") & (shown != "LU"), "RGB/LUT has a band LU"),
+        ((representation == "MONO") & ~shown.isin("M", ""), "MONO has a band M or a blank one"),
+        ((representation == "YCbCr601") & (shown != "Y,Cb,Cr"), "YCbCr601 has bands Y, Cb and Cr"),
+    )
+
+
+def level_valid(level: Column) -> Column:
+    """Whether a complexity level is one of the standard's."""
+    return level.isin(*COMPLEXITY)
+
+
+def image(rows: Column, cols: Column, level: Column, grid: tuple[Column, Column], block: tuple[Column, Column], kind: Column, bits: Column, actual: Column, representation: Column, bands: Column, mode: Column, tables: Column, entries: Column) -> Column:
+    """Messages of all rule groups, in their order."""
+    return F.concat(
+        dimensions(rows, cols, level), blocking(rows, cols, *grid, *block), pixel_type(kind, bits, actual),
+        band_count(representation, bands, mode), lookup_tables(tables, entries, actual, representation),
+    )
+
+
+#: Compressions of JPEG 2000 and of JPEG, and the interleave modes.
+JPEG_2000, JPEG, MODES = ("C8", "CD", "M8", "MD"), ("C3", "M3", "I1"), ("B", "P", "R", "S")
+MOST_BLOCK = 8192
+
+
+def encoding_hints(entries: Column, rows: Column, cols: Column) -> Column:
+    """Struct of what a writer takes from an image's metadata map: mode, compression, block sizes (the image's where absent or 0), rate and whether a JPEG 2000 code is lossless (no rate, or none that can be read)."""
+    text = lambda k, default: F.coalesce(F.trim(F.try_element_at(entries, F.lit(k))), F.lit(default))
+    size = lambda k, whole: F.coalesce(F.nullif(F.greatest(F.trim(F.try_element_at(entries, F.lit(k))).try_cast("int"), F.lit(0)), F.lit(0)), whole)
+    rate, ic = F.try_element_at(entries, F.lit("COMRAT")), text("IC", "NC")
+    # A rate: N and three digits of bits (a leading 0: visually lossless by V), or four characters of a number.
+    lossy = F.coalesce(rate.rlike(r"^(V\d{3}|V\d\.\d|\d{4}|\d\d\.\d|W\d{3})$"), F.lit(False))
+    return F.struct(
+        text("IMODE", "B").alias("mode"), ic.alias("compression"), size("NPPBV", rows).cast("int").alias("block_rows"), size("NPPBH", cols).cast("int").alias("block_cols"), rate.alias("rate"),
+        F.when(ic.isin(*JPEG_2000), ~lossy).alias("lossless"), ic.isin("CD", "MD").alias("high_throughput"),
+    )
+
+
+def hints(h: Column, rows: Column, cols: Column, bits: Column, actual: Column) -> Column:
+    """Broken rules of encoding hints against the samples that they are to code."""
+    wavelet, cosine = h["compression"].isin(*JPEG_2000), h["compression"].isin(*JPEG)
+    return messages(
+        (~h["mode"].isin(*MODES), "no such interleave mode"),
+        (wavelet & (h["mode"] != "B"), "JPEG 2000 needs mode B"),
+        (wavelet & ~bits.between(1, 38), "JPEG 2000 takes 1 to 38 bits"),
+        (wavelet & (actual != bits), "JPEG 2000 needs all bits"),
+        (cosine & (bits != 8), "JPEG takes 8 bits"),
+        ((h["compression"] == "I1") & (F.greatest(rows, cols) > 2048), "I1 takes 2048 rows and columns"),
+        (cosine & (h["mode"] == "R"), "JPEG has no mode R"),
+        ((h["block_cols"] < cols) & (h["block_cols"] > MOST_BLOCK), "blocks are too wide"),
+        ((h["block_rows"] < rows) & (h["block_rows"] > MOST_BLOCK), "blocks are too high"),
+    )
+
+
+def conflicts(entries: Column, **found: Column) -> Column:
+    """What a metadata map says otherwise than the samples (NROWS=rows, PVTYPE=...); the samples win."""
+    rules = []
+    for name, value in found.items():
+        said = F.trim(F.try_element_at(entries, F.lit(name)))
+        number = said.try_cast("long")
+        same = F.when(number.isNotNull() & value.try_cast("long").isNotNull(), number == value.try_cast("long")).otherwise(said == value.cast("string"))
+        rules.append(F.when(~same, F.concat(F.lit(f"{name} "), said, F.lit(" is "), value.cast("string"))))
+    return F.array_compact(F.array(*rules))
+
+
+def data_header(name: Column, version: Column) -> Column:
+    return messages((~F.length(name).between(1, 25), "an id takes 1 to 25 characters"), (F.length(version) != 2, "a version takes two characters"))
+
+
+def tiff_hints(compression: Column, predictor: Column, quality: Column) -> Column:
+    return messages(
+        (~compression.isin(1, 5, 7, 8, 32773, 32946), "no such compression"),
+        (~predictor.isin(1, 2), "no such predictor"),
+        ((compression == 7) & ~quality.between(1, 100), "quality lies between 1 and 100"),
+    )
+
+
+def default_predictor(compression: Column) -> Column:
+    """Differences where they help (LZW and deflate), else none."""
+    return F.when(compression.isin(5, 8, 32946), 2).otherwise(1)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.segments import default_asset
+from ..operators.segments import EXTENSIONS, default_asset
+from .codecs import FORMATS
 from .formats import FormatError
-from .scan import files, scan_assets, scan_blocks
+from .scan import files, scan_assets, scan_blocks, tile_index, with_pyramid
 from .sinks import assembled, encoded, save_files
 
 
@@ -63,4 +65,94 @@ def image_tiles(spark: SparkSession, path: str, size: tuple[int, int], overlap:
             yield r, c, read_image(spark, path, (r * dy, c * dx, *size), **options)
 
 
-__all__ = ["assembled", "image_info", "image_tiles", "read_image", "save_image"]
+_ROLE = re.compile(r"^(data|metadata|thumbnail|overview:[1-9]\d*)$")
+
+
+def normalised_roles(roles, sources: int) -> list[list[str]] | None:
+    """Roles by source: a list of names for one source, or a list of such lists, one for each."""
+    if roles is None:
+        return None
+    lists = [list(roles)] if all(isinstance(r, str) for r in roles) else [list(r) for r in roles]
+    if len(lists) != sources:
+        raise ValueError(f"roles of {len(lists)} sources for {sources}")
+    for role in (r for own in lists for r in own):
+        if not _ROLE.match(role):
+            raise ValueError(f"no role {role!r}")
+    if sum("data" in own for own in lists) > 1:
+        raise ValueError("several sources have the role data")
+    return lists
+
+
+def format_for(path: str, explicit: str | None = None) -> str:
+    """A format by name, else by the extension under any ``.rN``."""
+    if explicit:
+        if explicit not in FORMATS:
+            raise ValueError(f"no format {explicit!r}")
+        return explicit
+    name = re.sub(r"\.r\d+$", "", path.rstrip("/").rsplit("/", 1)[-1])
+    found = EXTENSIONS.get(name.rpartition(".")[2].lower())
+    if found is None:
+        raise ValueError(f"no format is known by the name {name!r}")
+    return found
+
+
+class Dataset:
+    """One or several files opened for reading: tables of assets, blocks and byte ranges.
+
+    Several paths are levels of one dataset: the source of role data (else the first) is its base, and the
+    others are overviews, by their roles or by ``.rN``.
+    """
+
+    def __init__(self, spark: SparkSession, paths: list[str], fmt: str | None, roles: list[list[str]] | None):
+        self.spark, self.paths, self.format, self.roles = spark, paths, fmt, roles
+        self.files = files(spark, paths)
+
+    def assets(self, kind: str | None = None) -> DataFrame:
+        found = with_pyramid(scan_assets(self.files, self.format))
+        if self.roles:
+            given = {f"/{p.rstrip('/').rsplit('/', 1)[-1]}": r for p, r in zip(self.paths, self.roles)}
+            roles = F.col("roles")
+            for end, own in given.items():
+                roles = F.when(F.col("path").endswith(end), F.array(*[F.lit(r) for r in own])).otherwise(roles)
+            found = found.withColumn("roles", roles)
+        return found if kind is None else found.where(F.col("kind") == kind)
+
+    def blocks(self, key: str | None = None, **window) -> DataFrame:
+        return scan_blocks(self.files, key, self.format, **window)
+
+    def tile_index(self) -> DataFrame:
+        return tile_index(self.files, self.format)
+
+
+class Target:
+    """A file, or a level of files, opened for writing; ``save`` takes a table of blocks."""
+
+    def __init__(self, spark: SparkSession, paths: list[str], fmt: str | None, roles: list[list[str]] | None):
+        self.spark, self.paths, self.roles = spark, paths, roles
+        self.formats = [format_for(p, fmt) for p in paths]
+        if len(set(self.formats)) > 1:
+            raise ValueError("levels of one dataset have one format")
+
+    def save(self, blocks: DataFrame, **options) -> None:
+        """Blocks of level n go to the n-th path (a single path takes all levels)."""
+        if blocks.groupBy("key", "level", "br", "bc").count().where("count > 1").limit(1).count():
+            raise ValueError("a block stands twice")
+        for n, path in enumerate(self.paths):
+            folder, _, name = path.rpartition("/")
+            own = blocks.where(F.col("level") == n) if len(self.paths) > 1 else blocks
+            if len(self.paths) > 1:
+                own = own.withColumns({"key": F.regexp_replace("key", ":overview:\\d+$", ""), "level": F.lit(0)})
+            save_files(encoded(own.withColumn("path", F.lit(name)), self.formats[n], **options), folder or ".").collect()
+
+
+def open_dataset(spark: SparkSession, paths: str | Sequence[str], mode: str = "r", fmt: str | None = None, roles=None) -> Dataset | Target:
+    """A dataset of one or several paths for reading (``r``) or writing (``w``)."""
+    if mode not in ("r", "w"):
+        raise ValueError(f"no mode {mode!r}")
+    listed = [paths] if isinstance(paths, str) else list(paths)
+    if not listed:
+        raise ValueError("a dataset needs a path")
+    return (Dataset if mode == "r" else Target)(spark, listed, fmt, normalised_roles(roles, len(listed)))
+
+
+__all__ = ["Dataset", "Target", "open_dataset", "normalised_roles", "format_for", "assembled", "image_info", "image_tiles", "read_image", "save_image"]

@@ -3,24 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 
 from . import formats
-from .formats import FormatError, coded, dted, nitf, png, tiff
+from .formats import coded, dted, nitf, plugin, png, register_codec, tiff
 
 FORMATS = {"nitf": nitf, "nsif": nitf, "tiff": tiff, "png": png, "dted": dted, "j2k": coded, "jpeg": coded}
-_PLUGINS: dict[str, Callable] = {}
-
-
-def register_codec(name: str, decode: Callable) -> None:
-    """``decode(data, asset, block_row, block_col)`` gives an array (bands, rows, cols)."""
-    _PLUGINS[name] = decode
-
-
-def plugin(name: str) -> Callable:
-    if name not in _PLUGINS:
-        raise FormatError(f"no codec is registered for {name}")
-    return _PLUGINS[name]
 
 
 def codec_json(name: str, configuration: dict) -> str:
@@ -48,3 +35,6 @@ def sniffed(data: bytes) -> str:
     if data[:2] == b"\xff\xd8":
         return "jpeg"
     raise formats.FormatError("unknown format")
+
+
+__all__ = ["FORMATS", "codec_json", "codec_of_json", "plugin", "register_codec", "sniffed"]

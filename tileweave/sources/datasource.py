@@ -1,8 +1,9 @@
-"""``spark.read.format("tileweave")``: blocks of local or shared files, with pushed-down block filters.
+"""``spark.read.format("tileweave")``: blocks of files on any file system, with pushed-down block filters.
 
-Options: ``format`` (else by the first bytes) and ``key``.  Partitions are runs of
-blocks; equality filters on ``br``, ``bc``, ``key`` and ``level`` prune them before a
-byte of pixels is read.
+Options: ``format`` (else by the first bytes) and ``key``.  The driver lists names and
+sizes only; a file becomes a partition for each ``SPLIT`` bytes, and each task reads the
+file's headers itself and takes its share of the blocks that equality filters on
+``br``, ``bc``, ``key`` and ``level`` leave, by ranges.
 """
 
 from __future__ import annotations
@@ -13,20 +14,24 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
+from .ranged import Ranged, file_system
 from .scan import BLOCKS
 
-BLOCKS_A_TASK = 64
+#: Bytes of a file for each of its partitions.
+SPLIT = 64 << 20
 
 
 @dataclass
-class BlockRun(InputPartition):
+class FileShare(InputPartition):
+    """Every ``of``-th block of a file, from block ``share`` on."""
+
     path: str
-    key: str
-    blocks: tuple[tuple[int, int], ...]
+    share: int
+    of: int
 
-    def __init__(self, path: str, key: str, blocks: tuple[tuple[int, int], ...]):
+    def __init__(self, path: str, share: int, of: int):
         super().__init__(None)
-        self.path, self.key, self.blocks = path, key, blocks
+        self.path, self.share, self.of = path, share, of
 
 
 class BlockReader(DataSourceReader):
@@ -40,44 +45,40 @@ class BlockReader(DataSourceReader):
             else:
                 yield f
 
-    def _files(self) -> list[str]:
-        from pathlib import Path
-
-        path = Path(self.options["path"].removeprefix("file://"))
-        return sorted(str(p) for p in path.iterdir() if p.is_file() and not p.name.startswith(("_", "."))) if path.is_dir() else [str(path)]
+    def partitions(self):
+        from pyarrow import fs
 
-    def _open(self, path: str):
-        import mmap
+        path = self.options["path"]
+        system, at = file_system(path)
+        info = system.get_file_info(at)
+        found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(at))
+        scheme = path.split("://")[0] + "://" if "://" in path and not path.startswith("file:") else ""
+        out = []
+        for f in sorted((f for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))), key=lambda f: f.path):
+            shares = max(1, -(-f.size // SPLIT))
+            out += [FileShare(scheme + f.path, i, shares) for i in range(shares)]
+        return out or [FileShare("", 0, 1)]
 
+    def read(self, partition: FileShare):
         from .codecs import FORMATS, sniffed
 
-        with open(path, "rb") as f:
-            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        module = FORMATS[self.options.get("format") or sniffed(data[:16])]
-        return data, module, module.assets(data)
-
-    def partitions(self):
-        out = []
-        for path in self._files():
-            _, module, found = self._open(path)
-            for asset in found:
+        if not partition.path:
+            return
+        with Ranged(partition.path) as data:
+            module = FORMATS[self.options.get("format") or sniffed(data[:16])]
+            n = -1
+            for asset in module.assets(data):
                 level = int(asset.key.rsplit(":", 1)[1]) if ":overview:" in asset.key else 0
                 if asset.kind != "image" or self.equal.get("key", asset.key) != asset.key or self.options.get("key", asset.key) != asset.key or self.equal.get("level", level) != level:
                     continue
-                places = [(r, c) for r in range(asset.grid[0]) for c in range(asset.grid[1]) if self.equal.get("br", r) == r and self.equal.get("bc", c) == c]
-                places = [p for p in places if not hasattr(module, "has_block") or module.has_block(asset, *p)]
-                out += [BlockRun(path, asset.key, tuple(places[i : i + BLOCKS_A_TASK])) for i in range(0, len(places), BLOCKS_A_TASK)]
-        return out or [BlockRun("", "", ())]
-
-    def read(self, partition: BlockRun):
-        if not partition.blocks:
-            return
-        data, module, found = self._open(partition.path)
-        asset = next(a for a in found if a.key == partition.key)
-        level = int(asset.key.rsplit(":", 1)[1]) if ":overview:" in asset.key else 0
-        for br, bc in partition.blocks:
-            px = module.block(data, asset, br, bc)
-            yield (partition.path, asset.key, level, br, bc, *map(int, px.shape), px.dtype.name, px.tobytes())
+                for br in [self.equal["br"]] if "br" in self.equal else range(asset.grid[0]):
+                    for bc in [self.equal["bc"]] if "bc" in self.equal else range(asset.grid[1]):
+                        if not (0 <= br < asset.grid[0] and 0 <= bc < asset.grid[1]) or (hasattr(module, "has_block") and not module.has_block(asset, br, bc)):
+                            continue
+                        n += 1
+                        if n % partition.of == partition.share:
+                            px = module.block(data, asset, br, bc)
+                            yield (partition.path, asset.key, level, br, bc, *map(int, px.shape), px.dtype.name, px.tobytes())
 
 
 class TileSource(DataSource):

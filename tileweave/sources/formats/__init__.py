@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,6 +13,38 @@ class FormatError(ValueError):
     """Bytes that aren't of the format, or use a part of it that isn't supported."""
 
 
+def unpacked(code: str, data, at: int) -> tuple:
+    """Numbers at a place of bytes, or of a file that is read by ranges."""
+    return struct.unpack(code, data[at : at + struct.calcsize(code)])
+
+
+_PLUGINS: dict[str, tuple[Callable | None, Callable | None]] = {}
+
+
+def register_codec(name: str, decode: Callable | None = None, encode: Callable | None = None) -> None:
+    """Hooks for coded blocks by name: a NITF compression as ``nitf:C3``, a TIFF one as ``tiff:7``, or a format.
+
+    ``decode(data, asset, block_row, block_col)`` gives an array (bands, rows, cols) of at least the
+    block's recorded size; ``encode(array, metadata)`` gives the block's bytes.  Workers need the call, too:
+    import a module that makes it where the scan's tasks run.
+    """
+    _PLUGINS[name] = decode, encode
+
+
+def plugin(name: str) -> Callable:
+    decode = _PLUGINS.get(name, (None, None))[0]
+    if decode is None:
+        raise FormatError(f"no codec is registered for {name}")
+    return decode
+
+
+def plugin_encode(name: str) -> Callable:
+    encode = _PLUGINS.get(name, (None, None))[1]
+    if encode is None:
+        raise FormatError(f"no encoder is registered for {name}")
+    return encode
+
+
 @dataclass
 class Asset:
     """One asset of a container; ``ranges`` lists the byte ranges of each (band plane,) block row and column."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 
-from . import Asset, FormatError
+from . import Asset, FormatError, unpacked
 
 JP2 = b"\x00\x00\x00\x0cjP  \r\n\x87\n"
 
@@ -17,10 +17,10 @@ def codestream(data: bytes) -> tuple[int, int]:
         raise FormatError("no JPEG 2000 signature")
     at = 0
     while at + 8 <= len(data):
-        size, kind = struct.unpack_from(">I4s", data, at)
+        size, kind = unpacked(">I4s", data, at)
         head = 8
         if size == 1:
-            size, head = struct.unpack_from(">Q", data, at + 8)[0], 16
+            size, head = unpacked(">Q", data, at + 8)[0], 16
         if size == 0:
             size = len(data) - at
         if kind == b"jp2c":
@@ -35,12 +35,12 @@ def main_header(code: bytes) -> dict:
     """Sizes and levels of the main header, and where the first tile-part starts."""
     at, out = 2, {}
     while at + 4 <= len(code):
-        marker, size = struct.unpack_from(">HH", code, at)
+        marker, size = unpacked(">HH", code, at)
         if marker == 0xFF90:
             out["first"] = at
             return out
         if marker == 0xFF51:
-            x1, y1, x0, y0, tw, th, tx, ty, bands = struct.unpack_from(">IIIIIIIIH", code, at + 6)
+            x1, y1, x0, y0, tw, th, tx, ty, bands = unpacked(">IIIIIIIIH", code, at + 6)
             depth = code[at + 40]
             out |= {"cols": x1 - x0, "rows": y1 - y0, "bw": tw, "bh": th, "bands": bands, "bits": (depth & 127) + 1, "signed": bool(depth & 128), "tiles": (-(-(y1 - ty) // th), -(-(x1 - tx) // tw))}
         elif marker == 0xFF52:
@@ -55,7 +55,7 @@ def tile_parts(code: bytes, first: int) -> list[tuple[int, int, int]]:
     """Tile, offset and length of each tile-part; a length of 0 reaches to the end of the data."""
     out, at = [], first
     while code[at : at + 2] == b"\xff\x90":
-        tile, size = struct.unpack_from(">HI", code, at + 4)
+        tile, size = unpacked(">HI", code, at + 4)
         size = size or len(code) - at - (2 if code[-2:] == b"\xff\xd9" else 0)
         out.append((tile, at, size))
         at += size
@@ -89,9 +89,9 @@ def with_tile_size(code: bytes, rows: int, cols: int) -> bytes:
     """A codestream whose SIZ describes one tile of the given size at the origin; a full tile stays as it is."""
     at = 2
     while at + 4 <= len(code):
-        marker, size = struct.unpack_from(">HH", code, at)
+        marker, size = unpacked(">HH", code, at)
         if marker == 0xFF51:
-            tw, th = struct.unpack_from(">II", code, at + 22)
+            tw, th = unpacked(">II", code, at + 22)
             if (rows, cols) == (th, tw):
                 return code
             out = bytearray(code)
@@ -126,9 +126,9 @@ def assets(data: bytes) -> list[Asset]:
 def _jpeg(data: bytes) -> Asset:
     at = 2
     while at + 4 <= len(data):
-        marker, size = struct.unpack_from(">HH", data, at)
+        marker, size = unpacked(">HH", data, at)
         if 0xFFC0 <= marker <= 0xFFCF and marker not in (0xFFC4, 0xFFC8, 0xFFCC):
-            bits, rows, cols, parts = struct.unpack_from(">BHHB", data, at + 4)
+            bits, rows, cols, parts = unpacked(">BHHB", data, at + 4)
             return Asset("image:0", rows=rows, cols=cols, bands=1 if parts == 1 else 3, bh=rows, bw=cols, dtype="uint8", bits=bits, offset=0, length=len(data), private={"kind": "jpeg"})
         at += 2 + size
     raise FormatError("no frame header")

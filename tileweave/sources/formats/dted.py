@@ -53,7 +53,8 @@ def from_elevation(value: np.ndarray) -> np.ndarray:
 def columns(data: bytes, asset: Asset, first: int, count: int, check: bool = True) -> np.ndarray:
     """Elevations (rows from north to south, columns) of some longitude records."""
     size = 12 + 2 * asset.rows
-    raw = np.frombuffer(data, np.uint8, count * size, asset.offset + first * size).reshape(count, size)
+    at = asset.offset + first * size
+    raw = np.frombuffer(data[at : at + count * size], np.uint8, count * size).reshape(count, size)
     if check:
         if (raw[:, 0] != 0xAA).any():
             raise FormatError("a record without its sentinel")

@@ -10,10 +10,11 @@ from __future__ import annotations
 import numpy as np
 
 from ...operators.blocks import ABSENT
-from ...structure.codec import parsed_records, read, write
+from ...operators.segments import TAGGED_LIMIT
+from ...structure.codec import parsed_records, read, record, records, split_by_size, write
 from ...structure.layout import Layout, Registry, load
 from ...structure.tagged import TAGGED
-from . import Asset, FormatError, padded
+from . import Asset, FormatError, padded, plugin, plugin_encode
 
 MAGIC = (b"NITF02.10", b"NSIF01.00")
 
@@ -87,7 +88,8 @@ DATA = load({
 })
 BUILTIN = {**TAGGED, "nitf_file": FILE, "nitf_image": IMAGE, "nitf_text": TEXT, "nitf_data": DATA}
 _KINDS = (("NUMI", "LISH", "LI", "image"), ("NUMS", "LSSH", "LS", "graphic"), ("NUMT", "LTSH", "LT", "text"), ("NUMDES", "LDSH", "LD", "des"), ("NUMRES", "LRESH", "LRE", "res"))
-_DTYPES = {("INT", 8): "uint8", ("INT", 16): "uint16", ("INT", 32): "uint32", ("SI", 8): "int8", ("SI", 16): "int16", ("SI", 32): "int32", ("R", 32): "float32", ("R", 64): "float64", ("C", 64): "complex64", ("B", 1): "uint8"}
+#: Sample types by kind: the first whose bits hold a sample's.
+_DTYPES = {"INT": ((8, "uint8"), (16, "uint16"), (32, "uint32"), (64, "uint64")), "SI": ((8, "int8"), (16, "int16"), (32, "int32"), (64, "int64")), "R": ((32, "float32"), (64, "float64")), "C": ((64, "complex64"),), "B": ((1, "uint8"),)}
 
 
 def segments(data: bytes, file_size: int | None = None) -> tuple[dict, list[dict]]:
@@ -117,6 +119,7 @@ def segments(data: bytes, file_size: int | None = None) -> tuple[dict, list[dict
 def assets(data: bytes, registry: Registry | None = None) -> list[Asset]:
     registry = registry or Registry(BUILTIN)
     _, found = segments(data)
+    extensions = [s for s in found if s["kind"] == "des"]
     out = []
     for s in found:
         sub = bytes(data[s["sub_off"] : s["sub_off"] + s["sub_len"]])
@@ -131,14 +134,20 @@ def assets(data: bytes, registry: Registry | None = None) -> list[Asset]:
         rows, cols = number("NROWS"), number("NCOLS")
         bh, bw = number("NPPBV") or rows, number("NPPBH") or cols
         bits, kind = number("NBPP"), values["PVTYPE"].strip()
-        dtype = _DTYPES.get((kind, bits)) or ("uint8" if bits <= 8 else "uint16" if bits <= 16 else "uint32" if bits <= 32 else "")
+        dtype = next((name for most, name in _DTYPES.get(kind, ()) if bits <= most), "")
         meta = {k: v.strip() for k, v in values.items() if isinstance(v, str)}
         for field in ("UDID", "IXSHD"):
             if values.get(field):
                 meta.update(parsed_records(values[field], registry))
+        for field, index in ((f, int(values[f] or 0)) for f in ("UDOFL", "IXSOFL") if values.get(f)):
+            if index:
+                if index > len(extensions):
+                    raise FormatError(f"{field} names data segment {index} of {len(extensions)}")
+                more = extensions[index - 1]
+                meta.update(parsed_records(bytes(data[more["off"] : more["off"] + more["len"]]), registry))
         out.append(Asset(
             f"image:{s['index']}", rows=rows, cols=cols, bands=bands, bh=bh, bw=bw, dtype=dtype, bits=bits, offset=s["off"], length=s["len"], metadata=meta,
-            private={"mode": values["IMODE"], "ic": values["IC"].strip(), "mask": mask_table(data, s["off"], values["IC"].strip(), values["IMODE"], number("NBPR") * number("NBPC"), bands)},
+            private={"mode": values["IMODE"], "ic": values["IC"].strip(), "actual": number("ABPP") or bits, "left": values["PJUST"] == "L", "grid": (number("NBPC"), number("NBPR")), "mask": mask_table(data, s["off"], values["IC"].strip(), values["IMODE"], number("NBPR") * number("NBPC"), bands)},
         ))
     return out
 
@@ -152,7 +161,7 @@ def mask_table(data: bytes, at: int, ic: str, mode: str, blocks: int, bands: int
     pad = int.from_bytes(data[here : here + -(-pad_bits // 8)], "big") if pad_bits else 0
     here += -(-pad_bits // 8)
     records = blocks * (bands if mode == "S" else 1)
-    offsets = np.frombuffer(data, ">u4", records, here).tolist() if size else None
+    offsets = np.frombuffer(data[here : here + 4 * records], ">u4").tolist() if size else None
     del pad_size
     return {"start": start, "offsets": offsets, "pad": pad}
 
@@ -169,10 +178,23 @@ def place(asset: Asset, br: int, bc: int, band: int = 0) -> int | None:
     return asset.offset + (mask["start"] if mask else 0) + ((band * gr * gc if mode == "S" else 0) + n) * size
 
 
+def coded_range(asset: Asset, br: int, bc: int) -> tuple[int, int]:
+    """First byte and length of a coded block that a mask table places: up to the next one's first byte."""
+    at = place(asset, br, bc)
+    if at is None:
+        raise FormatError(f"block {br}, {bc} isn't recorded")
+    base = asset.offset + asset.private["mask"]["start"]
+    later = [base + o for o in asset.private["mask"]["offsets"] if o != ABSENT and base + o > at]
+    return at, min(later, default=asset.offset + asset.length) - at
+
+
 def unpack(raw: bytes, bits: int, count: int, dtype: str) -> np.ndarray:
-    """Samples of ``bits`` bits, most significant first."""
+    """Samples of ``bits`` bits, most significant first; the first bit of a signed one is its sign."""
     ones = np.unpackbits(np.frombuffer(raw, np.uint8))[: bits * count].reshape(count, bits)
-    return (ones.astype(np.uint64) @ (np.uint64(1) << np.arange(bits - 1, -1, -1, dtype=np.uint64))).astype(dtype)
+    value = ones.astype(np.uint64) @ (np.uint64(1) << np.arange(bits - 1, -1, -1, dtype=np.uint64))
+    if np.dtype(dtype).kind == "i" and bits < 64:
+        return np.where(ones[:, 0] == 1, value.astype(np.int64) - (1 << bits), value.astype(np.int64)).astype(dtype)
+    return value.astype(dtype)
 
 
 def pack(samples: np.ndarray, bits: int) -> bytes:
@@ -183,7 +205,9 @@ def pack(samples: np.ndarray, bits: int) -> bytes:
 def decode_samples(raw: bytes, asset: Asset, bands: int) -> np.ndarray:
     """One recorded block as (bands, rows, cols) of nominal size."""
     n = asset.bh * asset.bw * bands
-    if asset.bits % 8:
+    if not asset.dtype:
+        raise FormatError(f"no type for {asset.bits} bits of {asset.metadata.get('PVTYPE')}")
+    if asset.bits != np.dtype(asset.dtype).itemsize * 8:
         flat = unpack(raw, asset.bits, n, asset.dtype)
     else:
         flat = np.frombuffer(raw, np.dtype(asset.dtype).newbyteorder(">"), n).astype(asset.dtype)
@@ -197,9 +221,10 @@ def decode_samples(raw: bytes, asset: Asset, bands: int) -> np.ndarray:
 
 def block(data: bytes, asset: Asset, br: int, bc: int) -> np.ndarray:
     """A block clipped to the image; blocks that aren't recorded hold the pad value."""
-    if asset.private["ic"] not in ("NC", "NM"):
-        raise FormatError(f"compression {asset.private['ic']} needs a plug-in")
     h, w = asset.extent(br, bc)
+    if asset.private["ic"] not in ("NC", "NM"):
+        # Masked forms (M3 ...) have the decoder of the plain ones (C3 ...); see ``coded_range`` for a block's bytes.
+        return plugin(f"nitf:C{asset.private['ic'][-1]}")(data, asset, br, bc)[:, :h, :w]
     sequential = asset.private["mode"] == "S"
     parts = []
     for band in range(asset.bands if sequential else 1):
@@ -211,6 +236,14 @@ def block(data: bytes, asset: Asset, br: int, bc: int) -> np.ndarray:
     return np.ascontiguousarray(np.concatenate(parts)[:, :h, :w])
 
 
+def aligned(samples: np.ndarray, asset: Asset) -> np.ndarray:
+    """Unsigned samples of which fewer bits count than are stored: the low ones, or the high ones if they are justified to the left."""
+    if asset.private["actual"] >= asset.bits or samples.dtype.kind != "u":
+        return samples
+    shift, mask = asset.bits - asset.private["actual"], (1 << asset.private["actual"]) - 1
+    return samples >> samples.dtype.type(shift) if asset.private["left"] else samples & samples.dtype.type(mask)
+
+
 def has_block(asset: Asset, br: int, bc: int) -> bool:
     return 0 <= br < asset.grid[0] and 0 <= bc < asset.grid[1] and place(asset, br, bc) is not None
 
@@ -219,6 +252,10 @@ def ranges(asset: Asset) -> dict[tuple[int, int], list[tuple[int, int]]]:
     """Byte ranges of the recorded blocks; in mode S one for each band."""
     sequential = asset.private["mode"] == "S"
     size = -(-asset.bh * asset.bw * asset.bits * (1 if sequential else asset.bands) // 8)
+    if asset.private["ic"] not in ("NC", "NM"):
+        if not asset.private["mask"] or asset.private["mask"]["offsets"] is None:
+            return {(0, 0): [(asset.offset, asset.length)]}
+        return {(r, c): [coded_range(asset, r, c)] for r in range(asset.grid[0]) for c in range(asset.grid[1]) if has_block(asset, r, c)}
     out = {}
     for br in range(asset.grid[0]):
         for bc in range(asset.grid[1]):
@@ -234,11 +271,29 @@ def _blank(layout: Layout, given: dict) -> dict:
     return {**out, **{k: v for k, v in given.items() if any(f.id == k for f in layout.fields)}}
 
 
-def encode(images: list[tuple[np.ndarray, dict]], texts: list[tuple[str, dict]] = (), data: list[tuple[bytes, dict]] = (), block_size: tuple[int, int] = (256, 256), mode: str = "B", present=None, magic: bytes = MAGIC[0], header: dict | None = None) -> bytes:
+def expected_length(data) -> tuple[int, int]:
+    """The length that a file's header states, and where its last segment ends."""
+    header, found = segments(data)
+    return int(header["FL"]), max([int(header["HL"]), *(s["off"] + s["len"] for s in found)])
+
+
+def checked_data(meta: dict) -> dict:
+    """Subheader values of a data segment; its id takes 1 to 25 characters and its version exactly two."""
+    name, version = str(meta.get("DESID", "DATA")), meta.get("DESVER", "01")
+    version = f"{version:02d}" if isinstance(version, int) else str(version)
+    if not 1 <= len(name) <= 25:
+        raise FormatError("a data segment's id takes 1 to 25 characters")
+    if len(version) != 2:
+        raise FormatError("a data segment's version takes two characters")
+    return {**meta, "DESID": name, "DESVER": version}
+
+
+def encode(images: list[tuple[np.ndarray, dict]], texts: list[tuple[str, dict]] = (), data: list[tuple[bytes, dict]] = (), block_size: tuple[int, int] = (256, 256), mode: str = "B", present=None, compression: str | None = None, magic: bytes = MAGIC[0], header: dict | None = None) -> bytes:
     """A file of uncompressed images (array, metadata), texts and data segments.
 
     ``present`` (image index, block row, block column) says which blocks are recorded;
-    with it images are masked (NM).
+    with it images are masked (NM).  ``compression`` (C3, C8 ...) has every block coded by the hook
+    of that name, and a mask table tells where each begins.
     """
     heads, bodies = [], []
     for k, (image, meta) in enumerate(images):
@@ -257,18 +312,24 @@ def encode(images: list[tuple[np.ndarray, dict]], texts: list[tuple[str, dict]]
                 part = image[band : band + 1] if mode == "S" else image
                 px = padded(part[:, r * bh : (r + 1) * bh, c * bw : (c + 1) * bw], bh, bw)
                 px = px.transpose(1, 2, 0) if mode == "P" else px.transpose(1, 0, 2) if mode == "R" else px
-                raw = np.ascontiguousarray(px).astype(image.dtype.newbyteorder(">")).tobytes() if bits % 8 == 0 else pack(px, bits)
+                if compression:
+                    raw = plugin_encode(f"nitf:{compression}")(px, meta)
+                elif bits == image.dtype.itemsize * 8:
+                    raw = np.ascontiguousarray(px).astype(image.dtype.newbyteorder(">")).tobytes()
+                else:
+                    raw = pack(px, bits)
                 mask[band * gr * gc + n if mode == "S" else n] = size
                 recorded.append(raw)
                 size += len(raw)
         body = b"".join(recorded)
-        if present is not None:
+        coded = f"M{compression[-1]}" if compression else "NC" if present is None else "NM"
+        if coded != "NC":
             table = (10 + mask.nbytes).to_bytes(4, "big") + (4).to_bytes(2, "big") + bytes(4) + mask.tobytes()
             body = table + body
         kind = {"u": "INT", "i": "SI", "f": "R", "c": "C"}[image.dtype.kind] if bits > 1 else "B"
         values = _blank(IMAGE, {
             "IM": "IM", "IID1": f"IMAGE{k}", "ISCLAS": "U", **meta, "NROWS": rows, "NCOLS": cols, "PVTYPE": kind, "IREP": meta.get("IREP", "RGB" if bands == 3 else "MONO" if bands == 1 else "MULTI"), "ICAT": meta.get("ICAT", "VIS"),
-            "ABPP": bits, "PJUST": "R", "ICORDS": meta.get("ICORDS", " "), "NICOM": 0, "IC": "NC" if present is None else "NM", "NBANDS": bands if bands < 10 else 0, "ISYNC": 0, "IMODE": mode,
+            "ABPP": bits, "PJUST": "R", "ICORDS": meta.get("ICORDS", " "), "NICOM": 0, "IC": coded, **({"COMRAT": meta.get("COMRAT", "")} if compression else {}), "NBANDS": bands if bands < 10 else 0, "ISYNC": 0, "IMODE": mode,
             "NBPR": gc, "NBPC": gr, "NPPBH": bw, "NPPBV": bh, "NBPP": bits, "IDLVL": k + 1, "IALVL": 0, "ILOC": "0000000000", "IMAG": "1.0 ",
         })
         one = [{"IREPBAND": "RGB"[i] if bands == 3 else "M" if bands == 1 else "", "ISUBCAT": "", "IFC": "N", "IMFLT": "", "NLUTS": 0} for i in range(bands)]
@@ -277,15 +338,18 @@ def encode(images: list[tuple[np.ndarray, dict]], texts: list[tuple[str, dict]]
             values["XBANDS"] = bands
         if "IGEOLO" in meta:
             values["IGEOLO"] = meta["IGEOLO"]
-        tagged = meta.get("records", b"")
-        values |= {"UDIDL": 0, "IXSHDL": len(tagged) + 3 if tagged else 0} | ({"IXSOFL": 0, "IXSHD": tagged} if tagged else {})
+        fits, over = split_by_size(records(meta.get("records", b"")), TAGGED_LIMIT)
+        tagged = b"".join(record(*r) for r in fits)
+        if over:  # what the subheader can't hold goes into a data segment behind the given ones
+            data = [*data, (b"".join(record(*r) for r in over), {"DESID": "TRE_OVERFLOW", "DESOFLW": "IXSHD", "DESITEM": k + 1})]
+        values |= {"UDIDL": 0, "IXSHDL": len(tagged) + 3 if tagged else 0} | ({"IXSOFL": len(data) if over else 0, "IXSHD": tagged} if tagged else {})
         heads.append(("NUMI", write(IMAGE, values)))
         bodies.append(body)
     for text, meta in texts:
         heads.append(("NUMT", write(TEXT, _blank(TEXT, {"TE": "TE", "TSCLAS": "U", "TXTFMT": "U8S", **meta, "TXSHDL": 0}))))
         bodies.append(text.replace("\r\n", "\n").replace("\n", "\r\n").encode())
     for body, meta in data:
-        heads.append(("NUMDES", write(DATA, _blank(DATA, {"DE": "DE", "DESID": "DATA", "DESVER": 1, "DSCLAS": "U", **meta, "DESSHL": 0}))))
+        heads.append(("NUMDES", write(DATA, _blank(DATA, {"DE": "DE", "DSCLAS": "U", **checked_data(meta), "DESSHL": 0}))))
         bodies.append(body)
     values = _blank(FILE, {"FHDR": magic[:4].decode(), "FVER": magic[4:].decode(), "CLEVEL": 3, "STYPE": "BF01", "FSCLAS": "U", **(header or {})})
     names = {c: (sub, body) for c, sub, body, _ in _KINDS}

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 
-from . import Asset, FormatError
+from . import Asset, FormatError, unpacked
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples a pixel of a colour type.
@@ -19,7 +19,7 @@ PASSES = ((0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2),
 def _chunks(data: bytes):
     at = 8
     while at + 8 <= len(data):
-        size, kind = struct.unpack_from(">I4s", data, at)
+        size, kind = unpacked(">I4s", data, at)
         yield kind, data[at + 8 : at + 8 + size], at + 8
         at += 12 + size
 
@@ -122,8 +122,11 @@ def ranges(asset: Asset) -> dict[tuple[int, int], list[tuple[int, int]]]:
     return {(0, 0): [(asset.offset, asset.length)]}
 
 
-def encode(image: np.ndarray, metadata: dict | None = None) -> bytes:
-    """One to four bands of uint8 or uint16; string metadata become text chunks, PLTE a palette."""
+def encode(image: np.ndarray, metadata: dict | None = None, bits: int | None = None) -> bytes:
+    """One to four bands of uint8 or uint16; string metadata become text chunks, PLTE a palette.
+
+    ``bits`` (1, 2 or 4) packs one band of small values, or of grey levels that so few bits can say.
+    """
     bands, rows, cols = image.shape
     if image.dtype not in (np.uint8, np.uint16) or not 1 <= bands <= 4:
         raise FormatError("PNG holds one to four bands of uint8 or uint16")
@@ -131,12 +134,20 @@ def encode(image: np.ndarray, metadata: dict | None = None) -> bytes:
     colour = 3 if "PLTE" in meta and bands == 1 else {1: 0, 2: 4, 3: 2, 4: 6}[bands]
     samples = np.ascontiguousarray(image.transpose(1, 2, 0)).astype(">u2" if image.dtype == np.uint16 else np.uint8)
     lines = samples.reshape(rows, -1).view(np.uint8).reshape(rows, -1)
+    if bits in (1, 2, 4):
+        step = 1 if colour == 3 else 255 // ((1 << bits) - 1)
+        if bands != 1 or image.dtype != np.uint8 or (lines % step).any() or (lines // step >> bits).any():
+            raise FormatError(f"these samples don't fit {bits} bits")
+        ones = (lines // step)[:, :, None] >> np.arange(bits - 1, -1, -1, dtype=np.uint8) & 1
+        lines = np.packbits(ones.reshape(rows, -1), axis=1)
+    elif bits not in (None, image.dtype.itemsize * 8):
+        raise FormatError(f"PNG has no {bits} bits of {image.dtype}")
     raw = np.hstack([np.zeros((rows, 1), np.uint8), lines]).tobytes()
 
     def chunk(kind: bytes, body: bytes) -> bytes:
         return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
-    out = SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", cols, rows, 16 if image.dtype == np.uint16 else 8, colour, 0, 0, 0))
+    out = SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", cols, rows, bits or image.dtype.itemsize * 8, colour, 0, 0, 0))
     if colour == 3:
         out += chunk(b"PLTE", bytes(v for entry in meta["PLTE"] for v in entry))
     for k, v in meta.items():

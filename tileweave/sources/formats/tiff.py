@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 
-from . import Asset, FormatError, padded
+from . import _PLUGINS, Asset, FormatError, padded, plugin, unpacked
 
 #: Tag numbers by name.
 TAGS = {
@@ -18,7 +18,7 @@ TAGS = {
 }
 _TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 #: Sample format and bits to pixel type.
-DTYPES = {(1, 1): "uint8", (1, 8): "uint8", (1, 16): "uint16", (1, 32): "uint32", (2, 8): "int8", (2, 16): "int16", (2, 32): "int32", (3, 32): "float32", (3, 64): "float64"}
+DTYPES = {(1, 1): "uint8", (1, 2): "uint8", (1, 4): "uint8", (1, 8): "uint8", (1, 16): "uint16", (1, 32): "uint32", (2, 8): "int8", (2, 16): "int16", (2, 32): "int32", (3, 32): "float32", (3, 64): "float64"}
 SUPPORTED = (1, 5, 7, 8, 32773, 32946)
 #: Raw bytes beyond which offsets take 64 bits.
 BIG = 3_500_000_000
@@ -28,38 +28,38 @@ def _directories(data: bytes):
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
     if order is None:
         raise FormatError("no TIFF byte order")
-    version = struct.unpack_from(order + "H", data, 2)[0]
+    version = unpacked(order + "H", data, 2)[0]
     if version not in (42, 43):
         raise FormatError("no TIFF version")
     big = version == 43
-    at = struct.unpack_from(order + ("Q" if big else "I"), data, 8 if big else 4)[0]
+    at = unpacked(order + ("Q" if big else "I"), data, 8 if big else 4)[0]
     seen = set()
     while at and at not in seen:
         seen.add(at)
-        n = struct.unpack_from(order + ("Q" if big else "H"), data, at)[0]
+        n = unpacked(order + ("Q" if big else "H"), data, at)[0]
         start, step = at + (8 if big else 2), 20 if big else 12
         tags: dict[int, object] = {}
         for i in range(n):
             entry = start + i * step
-            tag, kind, count = struct.unpack_from(order + ("HHQ" if big else "HHI"), data, entry)
+            tag, kind, count = unpacked(order + ("HHQ" if big else "HHI"), data, entry)
             code = _TYPES.get(kind)
             if code is None:
                 continue
             size = struct.calcsize("<" + code) * count
             place = entry + (12 if big else 8)
             if size > (8 if big else 4):
-                place = struct.unpack_from(order + ("Q" if big else "I"), data, place)[0]
+                place = unpacked(order + ("Q" if big else "I"), data, place)[0]
             if kind == 2:
                 tags[tag] = data[place : place + count].split(b"\0")[0].decode("utf-8", "replace")
             elif kind == 7:
                 tags[tag] = bytes(data[place : place + count])
             else:
-                values = struct.unpack_from(f"{order}{count * len(code)}{code[0]}", data, place)
+                values = unpacked(f"{order}{count * len(code)}{code[0]}", data, place)
                 if len(code) == 2:
                     values = tuple(a / b if b else 0.0 for a, b in zip(values[::2], values[1::2]))
                 tags[tag] = values[0] if count == 1 else list(values)
         yield order, tags
-        at = struct.unpack_from(order + ("Q" if big else "I"), data, start + n * step)[0]
+        at = unpacked(order + ("Q" if big else "I"), data, start + n * step)[0]
 
 
 def _list(v) -> list:
@@ -74,7 +74,7 @@ def assets(data: bytes) -> list[Asset]:
         reduced = bool(tags.get(254, 0) & 1) and full >= 0
         full, overview = (full, overview + 1) if reduced else (full + 1, 0)
         compression = tags.get(259, 1)
-        if compression not in SUPPORTED:
+        if compression not in SUPPORTED and f"tiff:{compression}" not in _PLUGINS:
             raise FormatError(f"compression {compression} isn't supported")
         bits, form = _list(tags.get(258, 1))[0], _list(tags.get(339, 1))[0]
         if (form, bits) not in DTYPES:
@@ -202,7 +202,7 @@ def _decoded(raw: bytes, compression: int) -> bytes:
         return lzw(raw)
     if compression == 32773:
         return unpack_bits(raw)
-    raise FormatError(f"compression {compression} needs a plug-in")
+    raise FormatError(f"compression {compression} isn't decoded here")
 
 
 def ranges(asset: Asset) -> dict[tuple[int, int], list[tuple[int, int]]]:
@@ -217,11 +217,16 @@ def decode_tile(raw: bytes, asset: Asset, rows: int, samples: int) -> np.ndarray
     """One tile or strip of ``rows`` nominal rows as (samples, rows, width); short data are filled with zeros."""
     dtype = np.dtype(asset.dtype).newbyteorder(asset.private["order"])
     body = _decoded(raw, asset.private["compression"])
-    if asset.bits == 1:
-        line = -(-asset.bw * samples // 8)
+    if asset.bits < 8:
+        line, n = -(-asset.bw * samples * asset.bits // 8), asset.bw * samples
         body = body.ljust(rows * line, b"\0")
-        return np.unpackbits(np.frombuffer(body, np.uint8, rows * line).reshape(rows, line), axis=1)[:, : asset.bw * samples].reshape(rows, asset.bw, samples).transpose(2, 0, 1)
+        ones = np.unpackbits(np.frombuffer(body, np.uint8, rows * line).reshape(rows, line), axis=1)[:, : n * asset.bits].reshape(rows, n, asset.bits)
+        return (ones @ (1 << np.arange(asset.bits - 1, -1, -1)).astype(np.uint8)).reshape(rows, asset.bw, samples).transpose(2, 0, 1)
     need = rows * asset.bw * samples * dtype.itemsize
+    if asset.private["predictor"] == 3:  # differences of the bytes of a row, most significant bytes first
+        planes = np.cumsum(np.frombuffer(body[:need].ljust(need, b"\0"), np.uint8).reshape(rows, -1, samples), axis=1, dtype=np.uint8)
+        body = np.ascontiguousarray(planes.reshape(rows, dtype.itemsize, asset.bw * samples).transpose(0, 2, 1)).tobytes()
+        dtype = dtype.newbyteorder(">")
     px = np.frombuffer(body[:need].ljust(need, b"\0"), dtype).reshape(rows, asset.bw, samples).astype(dtype.newbyteorder("="))
     if asset.private["predictor"] == 2:
         px = np.cumsum(px, axis=1, dtype=px.dtype)
@@ -230,9 +235,14 @@ def decode_tile(raw: bytes, asset: Asset, rows: int, samples: int) -> np.ndarray
 
 def block(data: bytes, asset: Asset, br: int, bc: int) -> np.ndarray:
     h, w = asset.extent(br, bc)
+    if asset.private["compression"] not in SUPPORTED or asset.private["compression"] == 7:
+        return plugin(f"tiff:{asset.private['compression']}")(data, asset, br, bc)[:, :h, :w]
     nominal = asset.bh if asset.private["tiled"] else h
     planar = asset.private["planar"] == 2
-    parts = [decode_tile(data[o : o + n], asset, nominal, 1 if planar else asset.bands) for o, n in ranges(asset)[br, bc]]
+    gr, gc = asset.grid
+    places = [p * gr * gc + br * gc + bc for p in range(asset.bands if planar else 1)]
+    offsets, sizes = asset.private["offsets"], asset.private["sizes"]
+    parts = [decode_tile(data[offsets[i] : offsets[i] + sizes[i]], asset, nominal, 1 if planar else asset.bands) for i in places]
     return np.ascontiguousarray(np.concatenate(parts)[:, :h, :w])
 
 

@@ -29,6 +29,18 @@ def image_blocks(spark: SparkSession, image: np.ndarray, block: tuple[int, int],
     return spark.createDataFrame(rows, BLOCKS)
 
 
+def strips(rows: DataFrame, path: str, row: str, samples: str, dtype: str, height: int, key: str = "image:0") -> DataFrame:
+    """Image rows (path, number of the row, array of its samples) as blocks of one band and ``height`` whole rows."""
+
+    def join(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(row)
+        px = np.stack([np.asarray(s) for s in group[samples]]).astype(dtype)[None]
+        one = (group[path].iloc[0], key, 0, int(group[row].iloc[0]) // height, 0, *px.shape, px.dtype.name, np.ascontiguousarray(px).tobytes())
+        return pd.DataFrame([one], columns=[c.split()[0] for c in BLOCKS.split(", ")])
+
+    return rows.select(path, row, samples).groupBy(path, F.floor(F.col(row) / height)).applyInPandas(join, BLOCKS)
+
+
 def with_block(blocks: DataFrame, br: int, bc: int, px: np.ndarray, path: str = "memory", key: str = "image:0") -> DataFrame:
     """The table with one block set, in place of the one that was there."""
     row = [(path, key, 0, br, bc, *map(int, px.shape), px.dtype.name, bytearray(np.ascontiguousarray(px).tobytes()))]

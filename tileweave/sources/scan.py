@@ -1,8 +1,9 @@
 """Scans: assets, blocks and tile indexes of container files, on any file system that Spark reads.
 
-Files come through Spark's ``binaryFile`` source, so paths may be local, HDFS or object
-stores, and a listing that needs no content doesn't read it.  Parsing runs in Arrow
-batches, one file at a time; blocks are cut and decoded in the task that holds the file.
+Files are listed by Spark's ``binaryFile`` source, so paths may be local, HDFS or object
+stores, and the listing reads no content.  Tasks read headers and the ranges of wanted
+blocks themselves, so a scan's bytes follow what is asked for and files may be of any
+size; tables with a ``content`` column (made files, streams) are parsed from that.
 """
 
 from __future__ import annotations
@@ -12,24 +13,42 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.segments import rset_level, without_rset
 from .codecs import FORMATS, sniffed
+from .ranged import Ranged, file_system
 
 ASSETS = "path string, format string, key string, kind string, roles array<string>, rows int, cols int, bands int, bh int, bw int, levels int, dtype string, bits int, offset long, length long, metadata string, warning string"
 BLOCKS = "path string, key string, level int, br int, bc int, bands int, rows int, cols int, dtype string, payload binary"
 RANGES = "path string, key string, level int, br int, bc int, ranges array<struct<off:long,len:long>>"
 
 
-def files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """path, length and content of each file; small batches keep large contents apart."""
-    return spark.read.format("binaryFile").load([paths] if isinstance(paths, str) else list(paths)).select("path", "length", "content")
+def files(spark: SparkSession, paths: str | Sequence[str], content: bool = False) -> DataFrame:
+    """path and length of each file, listed without a byte read; with ``content`` each file's bytes, too (up to 2 GB each)."""
+    found = spark.read.format("binaryFile").load([paths] if isinstance(paths, str) else list(paths))
+    listed = found.select("path", "length", *(["content"] if content else []))
+    cores = spark.sparkContext.defaultParallelism
+    return listed if content else listed.repartition(max(cores, listed.rdd.getNumPartitions()), "path")
+
+
+def opened(batch: pd.DataFrame) -> Iterator[tuple[str, bytes | Ranged]]:
+    """Path and bytes of each file: its content where the table has it, else ranges of the file, read on demand."""
+    if "content" in batch:
+        yield from zip(batch["path"], batch["content"])
+        return
+    for path in batch["path"]:
+        with Ranged(path) as data:
+            yield path, data
+
+
+def _sources(contents: DataFrame) -> DataFrame:
+    return contents.select("path", *[c for c in contents.columns if c == "content"])
 
 
 def _parsed(content: bytes, fmt: str | None):
-    name = fmt or sniffed(content)
+    name = fmt or sniffed(content[:16])
     return name, FORMATS[name], FORMATS[name].assets(content)
 
 
@@ -40,7 +59,7 @@ def scan_assets(contents: DataFrame, fmt: str | None = None) -> DataFrame:
         names = [c.split()[0] for c in ASSETS.split(", ")]
         for batch in batches:
             rows = []
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content in opened(batch):
                 try:
                     name, _, found = _parsed(content, fmt)
                 except (ValueError, KeyError, IndexError, ArithmeticError) as e:
@@ -49,7 +68,7 @@ def scan_assets(contents: DataFrame, fmt: str | None = None) -> DataFrame:
                 rows += [(path, name, a.key, a.kind, list(a.roles), a.rows, a.cols, a.bands, a.bh, a.bw, a.levels, a.dtype, a.bits, a.offset, a.length, json.dumps(a.metadata, default=str, sort_keys=True), None) for a in found]
             yield pd.DataFrame(rows, columns=names)
 
-    return contents.select("path", "content").mapInPandas(parse, ASSETS)
+    return _sources(contents).mapInPandas(parse, ASSETS)
 
 
 def scan_blocks(contents: DataFrame, key: str | None = None, fmt: str | None = None, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None, bands: Sequence[int] | None = None) -> DataFrame:
@@ -62,7 +81,7 @@ def scan_blocks(contents: DataFrame, key: str | None = None, fmt: str | None = N
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in BLOCKS.split(", ")]
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content in opened(batch):
                 _, module, found = _parsed(content, fmt)
                 for asset in (a for a in found if a.kind == "image" and key in (None, a.key)):
                     level = int(asset.key.rsplit(":", 1)[1]) if ":overview:" in asset.key else 0
@@ -79,7 +98,7 @@ def scan_blocks(contents: DataFrame, key: str | None = None, fmt: str | None = N
                     if out:
                         yield pd.DataFrame(out, columns=names)
 
-    return contents.select("path", "content").mapInPandas(cut, BLOCKS)
+    return _sources(contents).mapInPandas(cut, BLOCKS)
 
 
 def tile_index(contents: DataFrame, fmt: str | None = None) -> DataFrame:
@@ -89,21 +108,74 @@ def tile_index(contents: DataFrame, fmt: str | None = None) -> DataFrame:
         names = ["path", "key", "level", "br", "bc", "ranges"]
         for batch in batches:
             out = []
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content in opened(batch):
                 _, module, found = _parsed(content, fmt)
                 for asset in (a for a in found if a.kind == "image"):
                     level = int(asset.key.rsplit(":", 1)[1]) if ":overview:" in asset.key else 0
                     out += [(path, asset.key, level, br, bc, [{"off": o, "len": n} for o, n in parts]) for (br, bc), parts in module.ranges(asset).items()]
             yield pd.DataFrame(out, columns=names)
 
-    return contents.select("path", "content").mapInPandas(listed, RANGES)
+    return _sources(contents).mapInPandas(listed, RANGES)
+
 
+#: Ranges of one block that a task fetches at the same time.
+AT_ONCE = 8
+
+
+def range_bytes(index: DataFrame, contents: DataFrame | None = None) -> DataFrame:
+    """The recorded bytes of each block of an index, its ranges fetched side by side and joined in order; nothing else of a file is read.
+
+    Files that only a table (path, content) holds are taken from ``contents``.
+    """
+    if contents is not None and "content" in contents.columns:
+        part = F.transform("ranges", lambda r: F.hex(F.substr(F.col("content"), (r["off"] + 1).cast("int"), r["len"].cast("int"))))
+        return index.join(contents.select("path", "content"), "path").select(*index.columns, F.unhex(F.array_join(part, "")).alias("data"))
+    schema = f"{RANGES}, data binary"
+
+    def fetched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            for batch in batches:
+                batch = batch.reset_index(drop=True)
+                data = [b""] * len(batch)
+                for path, rows in batch.groupby("path").groups.items():
+                    system, at = file_system(path)
+                    with system.open_input_file(at) as file:
+                        for i in rows:
+                            parts = pool.map(lambda r: file.read_at(int(r["len"]), int(r["off"])), batch["ranges"][i])
+                            data[i] = b"".join(parts)
+                yield batch.assign(data=data)
+
+    return index.select("path", "key", "level", "br", "bc", "ranges").mapInPandas(fetched, schema)
+
+
+def reference_bytes(refs: DataFrame, reference: str = "reference", keep: Sequence[str] = ("key", "chunk")) -> DataFrame:
+    """keep... and data of chunk references (JSON, or a plain string).
+
+    A string is the data itself, after ``base64:`` in that form; ``[url]`` is a whole file, ``[url, offset,
+    length]`` a range and ``[url, [[offset, length], ...]]`` several, joined in order.
+    """
 
-def range_bytes(index: DataFrame, contents: DataFrame) -> DataFrame:
-    """The recorded bytes of each block of an index, its ranges joined in order."""
-    joined = index.join(contents.select("path", "content"), "path")
-    part: Column = F.transform("ranges", lambda r: F.hex(F.substr(F.col("content"), (r["off"] + 1).cast("int"), r["len"].cast("int"))))
-    return joined.select(*index.columns, F.unhex(F.array_join(part, "")).alias("data"))
+    @F.pandas_udf("binary")
+    def fetched(column: pd.Series) -> pd.Series:
+        import base64
+
+        def one(text: str | None) -> bytes | None:
+            if text is None:
+                return None
+            if not text.startswith("["):
+                return base64.b64decode(text.removeprefix("base64:")) if text.startswith("base64:") else text.encode()
+            url, *more = json.loads(text)
+            with Ranged(url) as data:
+                if not more:
+                    return data[:]
+                parts = more[0] if isinstance(more[0], list) else [more]
+                return b"".join(data[o : o + n] for o, n in parts)
+
+        return column.map(one)
+
+    return refs.select(*keep, fetched(F.col(reference)).alias("data"))
 
 
 def with_pyramid(assets: DataFrame) -> DataFrame:

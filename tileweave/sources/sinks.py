@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codecs import FORMATS
+from .ranged import file_system
 from .formats import FormatError
 
 FILES = "path string, content binary"
-#: Raw bytes of one output file beyond which a task refuses it: a container isn't splittable.
-MAX_RAW = 1 << 30
+#: Raw bytes of one output file that fit a row of a DataFrame; larger files go through ``formats`` block by block.
+MAX_RAW = (1 << 31) - (1 << 20)
 
 
 def assembled(blocks: pd.DataFrame) -> np.ndarray:
@@ -30,15 +31,18 @@ def assembled(blocks: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def encoded(blocks: DataFrame, fmt: str, **options) -> DataFrame:
-    """One row (path, content) per file of a block table, all its images in key order; a file is made in one task."""
+def encoded(blocks: DataFrame, fmt: str, image_metadata: dict | None = None, **options) -> DataFrame:
+    """One row (path, content) per file of a block table, all its images in key order; a file is made in one task.
+
+    ``image_metadata`` goes with every image.
+    """
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         if group["payload"].map(len).sum() > MAX_RAW:
             raise FormatError(f"{group['path'].iloc[0]} has more than {MAX_RAW} raw bytes")
         images = []
         for key, own in sorted(group.groupby("key"), key=lambda g: g[0]):
-            meta = {"overview": True} if ":overview:" in key else {}
+            meta = {**(image_metadata or {}), **({"overview": True} if ":overview:" in key else {})}
             images.append((assembled(own), meta))
         module = FORMATS[fmt]
         if fmt in ("tiff", "nitf", "nsif"):
@@ -47,29 +51,33 @@ def encoded(blocks: DataFrame, fmt: str, **options) -> DataFrame:
         else:
             if len(images) != 1:
                 raise FormatError(f"{fmt} holds one image")
-            content = module.encode(images[0][0], options.get("metadata"))
+            content = module.encode(images[0][0], {**(image_metadata or {}), **options.get("metadata", {})})
         return pd.DataFrame({"path": [group["path"].iloc[0]], "content": [content]})
 
     return blocks.groupBy("path").applyInPandas(build, FILES)
 
 
 def save_files(contents: DataFrame, folder: str) -> DataFrame:
-    """Writes each content under its base name into a folder that all tasks share, by rename; gives path and bytes."""
+    """Writes each content under its base name into a folder of any file system that all tasks share; gives path and bytes.
+
+    A file appears by rename (on object stores when its upload ends), so a task that is run again leaves no half of one.
+    """
 
     def write(batches):
-        from pathlib import Path
         from uuid import uuid4
 
-        target = Path(folder.removeprefix("file://"))
-        target.mkdir(parents=True, exist_ok=True)
+        system, target = file_system(folder)
+        target = target.rstrip("/")
+        system.create_dir(target, recursive=True)
         for batch in batches:
             done = []
             for path, content in zip(batch["path"], batch["content"]):
-                to = target / Path(path).name
-                part = to.with_name(f".{to.name}.{uuid4().hex}")
-                part.write_bytes(content)
-                part.rename(to)
-                done.append((str(to), len(content)))
+                name = path.rstrip("/").rsplit("/", 1)[-1]
+                part = f"{target}/.{name}.{uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write(content)
+                system.move(part, f"{target}/{name}")
+                done.append((f"{folder.rstrip('/')}/{name}", len(content)))
             yield pd.DataFrame(done, columns=["path", "bytes"])
 
     return contents.select("path", "content").mapInPandas(write, "path string, bytes long")
