@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import datetimes, location, numeric, rates, text
 from ..operators import blocks, metadata, raster, segments, validate
+from ..sources import memory, scan, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -247,7 +248,90 @@ def overview_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_brand, arg_max(p_partkey, (p_size, -p_partkey)) AS p_partkey, max(p_size) AS p_size FROM part GROUP BY 1")
 def largest_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").groupBy("p_brand").agg(F.max_by("p_partkey", F.struct("p_size", -F.col("p_partkey"))).alias("p_partkey"), F.max("p_size").alias("p_size"))
+    return segments.largest_parent(read(spark, sf_dir, "part"), ["p_brand"], "p_size", "p_partkey")
+
+
+# --- containers: written from the tables and read back -----------------------
+
+
+#: Images of 64 x 64 samples, one for 64 rows of ``embeddings``; the last one may be lower.
+STORED_SQL = "(SELECT 'image' || (vec_id // 64) AS path, vec_id // 64 AS n, CAST(vec_id % 64 AS INT) AS y, CAST(unnest(range(64)) AS INT) AS x, CAST(round(CAST(unnest(embedding) AS DOUBLE) * 1000) AS INT) AS v FROM embeddings)"
+
+
+def stored_files(spark: SparkSession, sf_dir: str, fmt: str, dtype: str, value: str = "v", **options) -> DataFrame:
+    """path and content of a file of each image."""
+    samples = F.transform(F.col("embedding"), lambda e: F.round(e.cast("double") * 1000).cast("int"))
+    if value == "byte":
+        samples = F.transform(samples, lambda v: F.abs(v) % 256)
+    rows = read(spark, sf_dir, "embeddings").select(F.concat(F.lit("image"), F.floor(F.col("vec_id") / 64).cast("string")).alias("path"), (F.col("vec_id") % 64).cast("int").alias("y"), samples.alias("samples"))
+    return sinks.encoded(memory.strips(rows, "path", "y", "samples", dtype, 16), fmt, **options)
+
+
+def _stored(name: str, fmt: str, dtype: str, value: str = "v", block: tuple[int, int] = (64, 64), where: str = "", **options) -> None:
+    """A query of all samples of all images after a round through a container."""
+
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        px = scan.block_pixels(scan.scan_blocks(stored_files(spark, sf_dir, fmt, dtype, value, **options)))
+        return px.select("path", (F.col("br") * block[0] + F.col("y")).alias("y"), (F.col("bc") * block[1] + F.col("x")).alias("x"), F.col("v").cast("int").alias("v"))
+
+    f.__name__ = name
+    shown = "v" if value == "v" else "abs(v) % 256"
+    query(f"SELECT path, y, x, CAST({shown} AS INT) AS v FROM {STORED_SQL} {where}")(f)
+
+
+_stored("nitf_pixels", "nitf", "int16", block=(16, 32), block_size=(16, 32))
+_stored("nitf_row_interleaved_pixels", "nitf", "int32", block=(64, 64), mode="R")
+_stored("nitf_packed_pixels", "nitf", "int16", image_metadata={"NBPP": 13}, block=(32, 32), block_size=(32, 32))
+_stored("nsif_byte_pixels", "nsif", "uint8", "byte", mode="P")
+_stored("nitf_masked_pixels", "nitf", "int16", block=(16, 16), where="WHERE (y // 16 + x // 16) % 2 = 1", block_size=(16, 16), present=lambda image, r, c: (r + c) % 2 == 1)
+_stored("tiff_pixels", "tiff", "int16", block=(32, 16), tile=(32, 16), compression=8, predictor=2)
+_stored("tiff_lzw_pixels", "tiff", "int32", block=(64, 64), tile=(64, 64), compression=5)
+_stored("tiff_packbits_pixels", "tiff", "uint8", "byte", block=(16, 16), tile=(16, 16), compression=32773)
+_stored("png_pixels", "png", "uint8", "byte")
+_stored("dted_elevations", "dted", "int16")
+
+_SIZES_SQL = "(SELECT vec_id // 64 AS n, 'image' || (vec_id // 64) AS path, CAST(count(*) AS INT) AS rows FROM embeddings GROUP BY 1, 2)"
+
+
+@query(f"""
+SELECT path, format, 'image:0' AS key, rows, 64 AS cols, 1 AS bands, dtype, bits FROM {_SIZES_SQL},
+    (VALUES ('nitf', 'int16', 16), ('tiff', 'int16', 16), ('png', 'uint8', 8), ('dted', 'int16', 16)) f(format, dtype, bits)
+""")
+def container_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = [stored_files(spark, sf_dir, "nitf", "int16"), stored_files(spark, sf_dir, "tiff", "int16"), stored_files(spark, sf_dir, "png", "uint8", "byte"), stored_files(spark, sf_dir, "dted", "int16")]
+    found = made[0]
+    for other in made[1:]:
+        found = found.unionByName(other)
+    return scan.scan_assets(found).select("path", "format", "key", "rows", "cols", "bands", "dtype", "bits")
+
+
+@query(f"""
+WITH i AS (SELECT *, CAST(ceil(rows / 16.0) AS INT) AS grid FROM {_SIZES_SQL}), b AS (SELECT *, CAST(unnest(range(grid)) AS INT) AS br FROM i), c AS (SELECT *, CAST(unnest(range(2)) AS INT) AS bc FROM b)
+SELECT path, br, bc, CAST(404 + 439 + (br * 2 + bc) * 1024 AS BIGINT) AS off, CAST(1024 AS BIGINT) AS len FROM c
+""")
+def nitf_tile_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One image: a file header of 404 bytes, a subheader of 439, then blocks of 16 x 32 samples of two bytes."""
+    index = scan.tile_index(stored_files(spark, sf_dir, "nitf", "int16", block_size=(16, 32)))
+    return index.select("path", "br", "bc", F.explode("ranges").alias("r")).select("path", "br", "bc", "r.off", "r.len")
+
+
+@query(f"""
+SELECT path, y, x, v FROM {STORED_SQL} WHERE y < 16 AND x BETWEEN 32 AND 63
+""")
+def tiff_window_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window of every image: only the tiles that it meets are decoded."""
+    made = stored_files(spark, sf_dir, "tiff", "int16", tile=(16, 32))
+    px = scan.block_pixels(scan.scan_blocks(made, rows=(0, 15), cols=(32, 63)))
+    return px.select("path", (F.col("br") * 16 + F.col("y")).alias("y"), (F.col("bc") * 32 + F.col("x")).alias("x"), F.col("v").cast("int").alias("v"))
+
+
+@query(f"""
+SELECT path, '0.' || br || '.0' AS chunk, md5(path || br) AS told FROM (SELECT path, unnest(range(CAST(ceil(rows / 16.0) AS INT))) AS br FROM {_SIZES_SQL})
+""")
+def chunk_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = scan.tile_index(stored_files(spark, sf_dir, "nitf", "int16", block_size=(16, 64)))
+    refs = sinks.references(index).withColumn("path", F.get_json_object("reference", "$[0]"))
+    return refs.select("path", "chunk", F.md5(F.concat("path", F.split_part("chunk", F.lit("."), F.lit(2)))).alias("told"))
 
 
 # --- segments, records, keys -------------------------------------------------
@@ -283,6 +367,57 @@ def segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.declared_against_found(declared, found, "o_orderkey", "declared")
 
 
+@query("""
+WITH s AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS len, CAST(404 + coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM lineitem),
+e AS (SELECT l_orderkey, max(off + len) AS expected FROM s GROUP BY 1),
+d AS (SELECT l_orderkey, expected, CASE l_orderkey % 4 WHEN 0 THEN 999999999999 WHEN 1 THEN expected + 1 ELSE expected END AS declared, expected + CASE l_orderkey % 4 WHEN 2 THEN 7 ELSE 0 END AS actual FROM e)
+SELECT l_orderkey, expected, CASE l_orderkey % 4 WHEN 0 THEN 'length not recorded' WHEN 1 THEN 'declared ' || declared || ', segments end at ' || expected || ';declared ' || declared || ', found ' || actual
+    WHEN 2 THEN 'declared ' || declared || ', found ' || actual ELSE '' END AS warnings FROM d
+""")
+def file_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").withColumns({"len": F.col("l_quantity").cast("bigint"), "order": F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"), "hl": F.lit(404)})
+    placed = segments.segment_offsets(lines, ["l_orderkey"], "order", "len", 404)
+    ends = segments.end_offset(placed, ["l_orderkey"], "offset", "len", "hl").withColumn("expected", F.col("expected").cast("bigint"))
+    kind, expected = F.col("l_orderkey") % 4, F.col("expected")
+    declared = F.when(kind == 0, F.lit(999_999_999_999)).when(kind == 1, expected + 1).otherwise(expected)
+    warnings = segments.length_warnings(declared, expected, expected + F.when(kind == 2, 7).otherwise(0))
+    return ends.select("l_orderkey", "expected", F.array_join(warnings, ";").alias("warnings"))
+
+
+@query("""
+WITH d AS (SELECT n_regionkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INT) AS i, n_name FROM nation),
+h AS (SELECT c_custkey, n_regionkey, CAST(c_custkey % 4 AS INT) AS idx FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT c_custkey, idx, n_name AS overflow FROM h LEFT JOIN d ON h.n_regionkey = d.n_regionkey AND d.i = h.idx
+""")
+def overflow_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = read(spark, sf_dir, "nation")
+    numbered = nation.withColumn("number", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1)
+    headers = read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_regionkey", (F.col("c_custkey") % 4).cast("int").alias("idx"))
+    return segments.followed_overflow(headers, numbered, ["n_regionkey"], "idx", "number", "n_name").select("c_custkey", "idx", "overflow")
+
+
+@query("""
+WITH r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i FROM part)
+SELECT p_brand, CAST(coalesce(min(CASE WHEN i = 2 THEN i END), 0) AS INT) AS data, CAST(count(*) FILTER (i <> 2) AS INT) AS levels, CAST(min(CASE WHEN i <> 2 THEN i END) AS INT) AS finest FROM r GROUP BY 1
+""")
+def routed_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    sources = read(spark, sf_dir, "part").withColumn("i", i)
+    sources = sources.withColumn("roles", F.when(F.col("i") == 2, F.array(F.lit("data"))).otherwise(F.array(F.concat(F.lit("overview:"), (F.col("i") + 1).cast("string")))))
+    found = segments.routed_sources(sources, ["p_brand"], "i", "roles")
+    return found.select("p_brand", "data", F.size("overviews").alias("levels"), F.get("overviews", F.lit(0))["index"].alias("finest"))
+
+
+@query("""
+WITH g AS (SELECT p_partkey, p_size AS gr, CAST(p_size % 13 + 1 AS INT) AS gc FROM part), p AS (SELECT *, unnest([1, 3, 10]) AS n FROM g),
+q AS (SELECT *, greatest(0, least(gr // 2 - n // 2, gr - n)) AS br0, greatest(0, least(gc // 2 - n // 2, gc - n)) AS bc0 FROM p WHERE n < 10 OR least(gr, gc) >= 10)
+SELECT p_partkey, CASE n WHEN 1 THEN 'single' WHEN 3 THEN 'small' ELSE 'large' END AS pattern, CAST(br0 AS INT) AS br0, CAST(least(br0 + n, gr) - 1 AS INT) AS br1, CAST(bc0 AS INT) AS bc0, CAST(least(bc0 + n, gc) - 1 AS INT) AS bc1 FROM q
+""")
+def access_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grids = read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("int").alias("gr"), (F.col("p_size") % 13 + 1).cast("int").alias("gc"))
+    return segments.access_patterns(grids, "gr", "gc").drop("gr", "gc")
+
+
 @query("SELECT event_id, lower(event_type) || ':' || (event_id % 5) AS key, lower(event_type) AS kind, CAST(event_id % 5 AS INT) AS index FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, event_type || ':' || (event_id % 5), NULL, NULL FROM events WHERE event_type <> 'view'")
 def asset_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events").withColumn("kind", F.when(F.col("event_type") == "view", "image").otherwise(F.col("event_type")))
@@ -361,31 +496,30 @@ def default_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, o_orderpriority AS tag, n_name AS definition, coalesce(n_name, '_raw:' || hex(o_orderstatus)) AS shown FROM orders LEFT JOIN nation ON n_nationkey = o_custkey % 40")
 def definition_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").withColumn("n_nationkey", (F.col("o_custkey") % 40).cast("int"))
-    found = orders.join(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey", "left")
-    return found.select("o_orderkey", F.col("o_orderpriority").alias("tag"), F.col("n_name").alias("definition"), F.coalesce("n_name", F.concat(F.lit("_raw:"), F.hex("o_orderstatus"))).alias("shown"))
+    definitions = read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("definition"))
+    found = segments.with_definition(orders, definitions, "n_nationkey", "o_orderstatus")
+    return found.select("o_orderkey", F.col("o_orderpriority").alias("tag"), "definition", "shown")
 
 
 @query("SELECT p_brand AS name FROM part UNION SELECT c_mktsegment FROM customer UNION SELECT r_name FROM region")
 def registry_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = read(spark, sf_dir, "part").select(F.col("p_brand").alias("name")).union(read(spark, sf_dir, "customer").select("c_mktsegment")).union(read(spark, sf_dir, "region").select("r_name"))
-    return names.distinct()
+    return segments.all_names(read(spark, sf_dir, "part").select("p_brand"), read(spark, sf_dir, "customer").select("c_mktsegment"), read(spark, sf_dir, "region").select("r_name"))
 
 
 @query("SELECT DISTINCT p_size AS tag FROM part EXCEPT SELECT l_linenumber FROM lineitem")
 def custom_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = read(spark, sf_dir, "part").select(F.col("p_size").alias("tag")).distinct()
-    return tags.join(read(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("tag")).distinct(), "tag", "left_anti")
+    tags = read(spark, sf_dir, "part").select(F.col("p_size").alias("tag"))
+    return metadata.without_structural(tags, read(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("tag")))
 
 
 @query("SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return segments.repeated_keys(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey"])
 
 
 @query("SELECT source AS kind, count(*) AS n, max(n_chars) AS longest, CAST(sum(n_chars) AS BIGINT) AS total FROM documents GROUP BY ROLLUP (source)")
 def segment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").withColumnRenamed("source", "kind")
-    return docs.rollup("kind").agg(F.count(F.lit(1)).alias("n"), F.max("n_chars").alias("longest"), F.sum("n_chars").alias("total"))
+    return segments.segment_totals(read(spark, sf_dir, "documents").withColumnRenamed("source", "kind"), "kind", "n_chars")
 
 
 # --- metadata ----------------------------------------------------------------
@@ -395,7 +529,7 @@ PROPS = "map<string,string>"
 
 @query("SELECT event_id, unnest(json_keys(props)) AS key FROM events")
 def metadata_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select("event_id", F.explode(F.json_object_keys("props")).alias("key"))
+    return metadata.key_rows(read(spark, sf_dir, "events"), "props", ["event_id"])
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(len(list_filter(json_keys(props), lambda x: starts_with(x, 'k'))) AS INT) AS with_k, 0 AS with_z FROM events")
