@@ -97,7 +97,7 @@ def test_builtin_records():
     from tileweave.structure.tagged import TAGGED
 
     sizes = {name: sum(int(f.size) * int(f.repeat_by or 1) for f in layout.fields) for name, layout in TAGGED.items()}
-    assert sizes == {"RPC00B": 1041, "ICHIPB": 224, "BLOCKA": 123, "USE00A": 107}
+    assert sizes == {"RPC00B": 1041, "ICHIPB": 224, "BLOCKA": 123, "USE00A": 107, "AIMIDB": 89, "STDIDC": 89}
     values = {f.id: ["+0.0"] * 20 if f.repeat else 1 for f in TAGGED["RPC00B"].fields}
     got = parsed_records(record("RPC00B", write(TAGGED["RPC00B"], values)), Registry(TAGGED))["RPC00B"]
     assert got["LINE_OFF"] == "000001" and got["SAMP_DEN_COEFF"][19] == "+0.0"

@@ -52,7 +52,7 @@ def read(layout: Layout, data: bytes, at: int = 0, offsets: dict | None = None,
             return struct.unpack(_code(kind, size, layout.little), part)[0], at + size
         if field.type in layout.types:
             end = at + _count(field.size, scope) if field.size else len(data)
-            inner, stop = read(layout.types[field.type], data[:end], at, None, scope)
+            inner, stop = read(layout.types[field.type], data[:end] if field.size else data, at, None, scope)
             return inner, end if field.size else stop
         size = len(data) - at if field.eos else _count(field.size, scope) if field.size else 0
         part = data[at : at + size]

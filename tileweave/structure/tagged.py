@@ -1,28 +1,9 @@
-"""Definitions of common tagged records; others are loaded from files by the registry."""
+"""Definitions of common tagged records, one YAML file each; others are loaded from files by the registry."""
 
 from __future__ import annotations
 
-from .layout import Layout, load
+from pathlib import Path
 
-#: Fields of the records as name and width; ``xN`` repeats N times, ``*`` marks numbers.
-RECORDS = {
-    "RPC00B": "SUCCESS 1*, ERR_BIAS 7*, ERR_RAND 7*, LINE_OFF 6*, SAMP_OFF 5*, LAT_OFF 8*, LONG_OFF 9*, HEIGHT_OFF 5*, LINE_SCALE 6*, SAMP_SCALE 5*, LAT_SCALE 8*, LONG_SCALE 9*, HEIGHT_SCALE 5*, "
-    "LINE_NUM_COEFF 12x20, LINE_DEN_COEFF 12x20, SAMP_NUM_COEFF 12x20, SAMP_DEN_COEFF 12x20",
-    "ICHIPB": "XFRM_FLAG 2*, SCALE_FACTOR 10*, ANAMRPH_CORR 2*, SCANBLK_NUM 2*, OP_ROW_11 12*, OP_COL_11 12*, OP_ROW_12 12*, OP_COL_12 12*, OP_ROW_21 12*, OP_COL_21 12*, OP_ROW_22 12*, OP_COL_22 12*, "
-    "FI_ROW_11 12*, FI_COL_11 12*, FI_ROW_12 12*, FI_COL_12 12*, FI_ROW_21 12*, FI_COL_21 12*, FI_ROW_22 12*, FI_COL_22 12*, FI_ROW 8*, FI_COL 8*",
-    "BLOCKA": "BLOCK_INSTANCE 2*, N_GRAY 5, L_LINES 5*, LAYOVER_ANGLE 3, SHADOW_ANGLE 3, RESERVED_1 16, FRLC_LOC 21, LRLC_LOC 21, LRFC_LOC 21, FRFC_LOC 21, RESERVED_2 5",
-    "USE00A": "ANGLE_TO_NORTH 3*, MEAN_GSD 5*, RESERVED_1 1, DYNAMIC_RANGE 5, RESERVED_2 7, OBL_ANG 5, ROLL_ANG 6, RESERVED_3 37, N_REF 2*, REV_NUM 5*, N_SEG 3*, MAX_LP_SEG 6, RESERVED_4 12, SUN_EL 5, SUN_AZ 5",
-}
+from .layout import load
 
-
-def _layout(name: str, table: str) -> Layout:
-    seq = []
-    for entry in table.split(","):
-        field, width = entry.split()
-        size, _, times = width.rstrip("*").partition("x")
-        made = {"id": field, "type": "str", "size": int(size), "encoding": "BCS-N" if width.endswith("*") else "BCS-A"}
-        seq.append(made | ({"repeat": "expr", "repeat-expr": times} if times else {}))
-    return load({"meta": {"id": name.lower()}, "seq": seq})
-
-
-TAGGED = {name: _layout(name, table) for name, table in RECORDS.items()}
+TAGGED = {file.stem.upper(): load(file.read_text()) for file in sorted((Path(__file__).parent / "definitions").glob("*.yaml"))}
