@@ -662,6 +662,32 @@ def _functions() -> None:
         "code": (lambda: rates.rate_text(c("l_quantity") + 0.5), "lpad(CAST(CAST(l_quantity AS INT) AS VARCHAR), 2, '0') || '.5'"),
         "parsed": (lambda: rates.rate_parts(F.concat(lit("N"), F.lpad(c("l_linenumber").cast("string"), 3, "0")))["bits"], "CAST(l_linenumber AS DOUBLE)"),
     })
+    entries = lambda: F.create_map(
+        lit("IC"), F.when(c("p_size") % 5 == 0, "C8").when(c("p_size") % 5 == 1, "C3").when(c("p_size") % 5 == 2, "I1").when(c("p_size") % 5 == 3, " NC "),
+        lit("IMODE"), F.when(c("p_size") % 3 == 0, "R").when(c("p_size") % 3 == 1, "X"), lit("NPPBH"), (c("p_size") % 2 * 9000).cast("string"),
+        lit("COMRAT"), F.when(c("p_size") % 10 == 0, "01.0").when(c("p_size") % 10 == 5, "N001"), lit("NROWS"), F.lpad(c("p_size").cast("string"), 8, "0"), lit("PVTYPE"), lit("INT"),
+    )
+    hint = lambda: validate.encoding_hints(entries(), c("p_size") * 100, c("p_size") * 500)
+    ic = "CASE p_size % 5 WHEN 0 THEN 'C8' WHEN 1 THEN 'C3' WHEN 2 THEN 'I1' ELSE 'NC' END"
+    mode = "CASE p_size % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'X' ELSE 'B' END"
+    _columns("hint_rules", "part", "p_partkey", {
+        "mode": (lambda: hint()["mode"], mode),
+        "ic": (lambda: hint()["compression"], ic),
+        "width": (lambda: hint()["block_cols"], "CAST(CASE WHEN p_size % 2 = 1 THEN 9000 ELSE p_size * 500 END AS INT)"),
+        "height": (lambda: hint()["block_rows"], "CAST(p_size * 100 AS INT)"),
+        "lossless": (lambda: hint()["lossless"], f"CASE WHEN {ic} = 'C8' THEN p_size % 10 <> 0 END"),
+        "broken": (lambda: F.array_join(validate.hints(hint(), c("p_size") * 100, c("p_size") * 500, lit(16), F.when(c("p_size") % 4 == 0, 12).otherwise(16)), ";"), f"""concat_ws(';', CASE WHEN {mode} = 'X' THEN 'no such interleave mode' END,
+            CASE WHEN {ic} = 'C8' AND {mode} <> 'B' THEN 'JPEG 2000 needs mode B' END, CASE WHEN {ic} = 'C8' AND p_size % 4 = 0 THEN 'JPEG 2000 needs all bits' END, CASE WHEN {ic} IN ('C3', 'I1') THEN 'JPEG takes 8 bits' END,
+            CASE WHEN {ic} = 'I1' AND p_size * 500 > 2048 THEN 'I1 takes 2048 rows and columns' END, CASE WHEN {ic} IN ('C3', 'I1') AND {mode} = 'R' THEN 'JPEG has no mode R' END,
+            CASE WHEN p_size % 2 = 1 AND p_size * 500 > 9000 THEN 'blocks are too wide' END)"""),
+        "conflict": (lambda: F.array_join(validate.conflicts(entries(), NROWS=c("p_size") - c("p_size") % 2, PVTYPE=F.when(c("p_size") % 7 == 0, "SI").otherwise("INT"), NBANDS=lit(1)), ";"), "concat_ws(';', CASE WHEN p_size % 2 = 1 THEN 'NROWS ' || lpad(CAST(p_size AS VARCHAR), 8, '0') || ' is ' || (p_size - 1) END, CASE WHEN p_size % 7 = 0 THEN 'PVTYPE INT is SI' END)"),
+        "header": (lambda: F.array_join(validate.data_header(F.repeat(lit("x"), c("p_size")), F.repeat(lit("1"), c("p_size") % 3)), ";"), "concat_ws(';', CASE WHEN p_size > 25 THEN 'an id takes 1 to 25 characters' END, CASE WHEN p_size % 3 <> 2 THEN 'a version takes two characters' END)"),
+        "tiff": (lambda: F.array_join(validate.tiff_hints(c("p_size") % 9, c("p_size") % 3, c("p_size") * 5), ";"), "concat_ws(';', CASE WHEN p_size % 9 NOT IN (1, 5, 7, 8) THEN 'no such compression' END, CASE WHEN p_size % 3 = 0 THEN 'no such predictor' END, CASE WHEN p_size % 9 = 7 AND p_size * 5 > 100 THEN 'quality lies between 1 and 100' END)"),
+        "predictor": (lambda: validate.default_predictor(c("p_size") % 9), "CASE WHEN p_size % 9 IN (5, 8) THEN 2 ELSE 1 END"),
+        "level": (lambda: validate.level_valid(c("p_size") % 10), "p_size % 10 IN (3, 5, 6, 7, 9)"),
+        "names": (lambda: F.array_join(validate.band_names(F.when(c("p_size") % 2 == 0, "RGB").otherwise("MONO"), F.array(F.when(c("p_size") % 4 == 0, "R ").otherwise("M"))), ";"), "CASE WHEN p_size % 2 = 0 THEN 'RGB has bands R, G and B' ELSE '' END"),
+        "whole": (lambda: F.size(validate.image(c("p_size") * 100, c("p_size") * 100, lit(3), (lit(8), lit(8)), (lit(256), lit(256)), lit("B"), lit(8), lit(8), lit("RGB"), lit(3), lit("S"), lit(0), lit(0))), "CAST(1 + CASE WHEN p_size * 100 > 2048 THEN 3 ELSE 0 END AS INT)"),
+    })
     rows = lambda: c("p_size") * 300
     bits = lambda: F.when(c("p_size") % 2 == 0, 16).otherwise(8)
     _columns("validation", "part", "p_partkey", {
