@@ -1,17 +1,18 @@
 """Exact deduplication by content-defined chunk recipes (operator 9).
 
 A normalised text is cut into lines (overlong lines into cells); a line whose hash
-has its low bits clear ends a chunk, so boundaries follow the content.  Each chunk's
-bytes move once, to the group of its hash, where they are compared: a hash with one
-text is a verified identifier, and where several texts share a hash each gets an
-ordinal of its own.  Documents are then compared by their ordered lists of
-identifiers, which are short however long the documents are.
+has its low bits clear ends a chunk, so boundaries follow the content.  Hashes are
+counted; the bytes of those that occur again move once, to the group of their hash,
+where they are compared: a hash with one text is a verified identifier, and where
+several texts share a hash the chunk itself stands beside it.  Documents are then
+compared by their ordered lists of identifiers, which are short however long the
+documents are.
 
 Defined results: a null text counts as empty, and all empty texts are equal.  Texts
 are equal when identical after lower-casing A-Z only.  Of equal texts the row with
 the largest doc_id stays; repeated rows with that very doc_id all report it, and all
 of them count as kept.  A null doc_id never stays while another doc_id is there.  An
-empty table gives an empty result.  Extra columns are ignored.
+empty table gives an empty result.  Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -19,14 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, let, staged, text_or_empty
+from .common import LOWER, UPPER, dropped, filter_bits, let, may_be_among, spread_join, staged, text_or_empty
 
 #: A line with its end, or a cell of an overlong line.
 PIECE = r"[^\n]{0,1023}\n|[^\n]{1,1024}"
 #: A chunk ends at a line whose hash has these bits clear: eight lines on average.
 BOUNDARY_BITS = 7
-#: Copies of a group's row that a join spreads over, so that no group meets in one task.
-SALTS = 8
 
 
 def normalised(text: str = "text") -> Column:
@@ -53,24 +52,28 @@ def _chunks(norm: Column) -> Column:
 def recipes(docs: DataFrame, keep: list[str], text: str = "text", hash_of=F.xxhash64) -> DataFrame:
     """``keep`` columns, ``text_sha256`` and ``recipe``: equal recipes if and only if equal texts."""
     cut = docs.select(*keep, normalised(text).alias("norm"))
-    cut = cut.select(*keep, "norm", _chunks(F.col("norm")).alias("chunks"))
-    rows = cut.select(F.explode("chunks").alias("chunk")).select(hash_of("chunk").alias("hash"), "chunk")
-    shared = staged(rows.distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "shared-hashes")
-    named = cut.select(*keep, F.sha2("norm", 256).alias("text_sha256"), F.transform("chunks", lambda c: hash_of(c).cast("bigint")).alias("recipe"), "chunks")
+    cut = cut.select(*keep, F.sha2("norm", 256).alias("text_sha256"), _chunks(F.col("norm")).alias("chunks"))
+    hashes = F.transform("chunks", lambda c: hash_of(c).cast("bigint"))
+    named = staged(cut.select(*keep, "text_sha256", hashes.alias("recipe")), "recipes")
+    # Only the bytes of hashes that occur again move to be compared.
+    again = staged(named.select(F.explode("recipe").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated-hashes")
+    rows = cut.select(F.explode("chunks").alias("chunk")).select(hash_of("chunk").cast("bigint").alias("hash"), "chunk")
+    likely = may_be_among(rows, F.col("hash"), again, bits=filter_bits(again.count())).where("_maybe").select("hash", "chunk")
+    shared = staged(likely.distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "shared-hashes")
+    dropped(again)
     if shared.isEmpty():
-        return named.drop("chunks")
+        return named
     # Where texts share a hash, the identifier is the hash with the chunk itself beside it.
-    marked = staged(named.withColumn("_row", F.monotonically_increasing_id()), "shared-recipes")
+    marked = staged(cut.select(*keep, "text_sha256", hashes.alias("recipe"), "chunks").withColumn("_row", F.monotonically_increasing_id()), "shared-recipes")
     rows = marked.select("_row", F.posexplode("chunks").alias("pos", "chunk")).withColumn("hash", hash_of("chunk").cast("bigint"))
-    told = rows.join(shared.select(F.col("hash").cast("bigint")), "hash", "left_semi").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk"))).alias("told"))
-    return marked.join(told, "_row", "left").withColumn("recipe", F.struct("recipe", "told")).drop("_row", "told", "chunks")
+    told = rows.join(shared.select("hash"), "hash", "left_semi").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk"))).alias("told"))
+    return staged(marked.join(told, "_row", "left").withColumn("recipe", F.struct("recipe", "told")).drop("_row", "told", "chunks"), "recipes")
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hash_of=F.xxhash64) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    named = recipes(docs, [doc_id], text, hash_of)
-    groups = named.groupBy("recipe").agg(F.max(doc_id).alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
-    groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = named.withColumn("_salt", F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int")).join(groups, ["recipe", "_salt"], "left")
-    keep = F.when(F.col("group_size").isNull(), F.col(doc_id)).otherwise(F.col("keep_id"))
-    return joined.select(doc_id, keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col(doc_id).eqNullSafe(keep).alias("kept"), "text_sha256")
+    named = recipes(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], "text", hash_of)
+    groups = named.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    joined = spread_join(named, groups, ["recipe"], "left")
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return joined.select(F.col("doc_id").alias(doc_id), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
