@@ -11,8 +11,10 @@ numbers its own rows.  Equal rows are counted first and expanded last, so no gro
 of copies meets in one task.
 
 Defined results: a null text has size 16 and crc 0; a null key is a key of its own.
-Repeated rows get slots of their own.  An empty table gives an empty result.  Extra
-columns are ignored by the digest and pass through ``with_shard``.
+Repeated rows get slots of their own, in ties by what their columns hold.  Empty and very
+long texts count by their bytes.  An empty table gives an empty result.  Extra columns,
+whatever their names, are ignored by the digest; they pass through ``with_shard``, which
+replaces a column of its result's name.
 """
 
 from __future__ import annotations
@@ -23,8 +25,12 @@ from pyspark.sql import functions as F
 from .common import staged
 
 SHARDS_PER_RACK, RACKS_PER_REGION = 5, 4
-#: Buckets of a shard that are numbered apart; shards x buckets rows are the only thing broadcast.
+#: Buckets of a shard that are numbered apart.
 BUCKETS = 1024
+#: Counts of buckets that are broadcast, at most; more are joined by a shuffle.
+MOST_COUNTS = 1 << 20
+#: Copies of an equal row that are written in one go; where some row has more, lots are dealt out to tasks.
+LOT = 1000
 
 Tree = list[list[list[tuple[int, float]]]]
 
@@ -81,13 +87,17 @@ def with_slots(rows: DataFrame, shard: str, order: list[str]) -> DataFrame:
     """``rows`` with ``slot``: 0, 1, 2 ... within each shard."""
     equal = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_copies"))
     equal = staged(equal.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(BUCKETS)).cast("int")), "slots")
-    counts = equal.groupBy(shard, "_bucket").agg(F.sum("_copies").alias("_n"))
+    counts = staged(equal.groupBy(shard, "_bucket").agg(F.sum("_copies").alias("_n")), "bucket-counts")
     before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(F.col(shard).alias("_shard"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     inside = Window.partitionBy(shard, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = equal.withColumn("_inside", F.coalesce(F.sum("_copies").over(inside), F.lit(0)))
-    placed = placed.join(F.broadcast(first), (F.col(shard) == F.col("_shard")) & (F.col("_bucket") == F.col("_b")))
-    numbered = placed.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
+    few = counts.count() <= MOST_COUNTS
+    placed = placed.join(F.broadcast(first) if few else first, (F.col(shard) == F.col("_shard")) & (F.col("_bucket") == F.col("_b")))
+    lots = placed.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_copies - 1) div {LOT}"))))
+    if (equal.agg(F.max("_copies")).first()[0] or 0) > LOT:
+        lots = lots.repartition(F.col(shard), F.col("_bucket"), F.col("_lot"))
+    numbered = lots.withColumn("_copy", F.explode(F.sequence(F.col("_lot") * LOT, F.least(F.col("_lot") * LOT + LOT, F.col("_copies")) - 1)))
     return numbered.withColumn("slot", F.col("_first") + F.col("_inside") + F.col("_copy")).select(*rows.columns, "slot")
 
 
