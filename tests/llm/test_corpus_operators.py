@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tileweave.llm import components, decontaminate, exactdedup, linededup, neardup, queries, sharding
+from tileweave.llm import common, components, decontaminate, exactdedup, linededup, neardup, queries, sharding
 from tileweave.llm.common import may_be_among
 
 from ..compare import assert_same
@@ -49,6 +49,24 @@ def test_exact_with_shared_hashes(spark):
     assert len(got) == 40 and all(r["keep_id"] == r["doc_id"] // 2 * 2 + 1 and r["group_size"] == 2 for r in got)
 
 
+def test_exact_long_and_extra_columns(spark):
+    long = "\n".join(f"row {i}" for i in range(60_000))
+    rows = [(1, long, "k"), (2, long.upper(), "k"), (3, long + "!", "k"), (4, long[:-1], "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, recipe string").selectExpr("*", "1 AS hash", "2 AS chunks", "3 AS keep_id")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exactdedup.exact_groups(docs).collect()}
+    assert got == {1: (2, 2), 2: (2, 2), 3: (3, 1), 4: (4, 1)}
+
+
+def test_hot_keys_are_dealt_out(spark, monkeypatch):
+    """A join whose left side holds one key in most rows gives the same rows, and no partition holds them all."""
+    monkeypatch.setattr(common, "ONE_TASK", 10)
+    left = spark.range(4000).select(F.when(F.col("id") % 4 == 0, F.col("id")).otherwise(F.lit(7)).alias("k"), "id")
+    right = spark.range(0, 4000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).union(spark.range(1).selectExpr("7L", "70L"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got = common.spread_join(left, right, ["k"], how)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, left.join(right, ["k"], how).select(*got.columns).collect()), key=str)
+
+
 # --- near copies --------------------------------------------------------------
 
 
@@ -381,6 +399,49 @@ def test_shards(spark, sf_dir):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def brute_shard(key, tree, spark):
+    """The shard by an independent walk of the tree; only the hash is taken from Spark, by one query for each name."""
+    asked = {}
+
+    def draws(name, n):
+        for i in range(n):
+            asked.setdefault(f"{name}/{i}", None)
+
+    regions = [[[w for _, w in rack] for rack in region] for region in tree]
+    draws("root", len(tree))
+    for g, region in enumerate(tree):
+        draws(f"root/{g}", len(region))
+        for r, rack in enumerate(region):
+            draws(f"root/{g}/{r}", len(rack))
+    row = spark.range(1).select(*[F.xxhash64(F.lit(name), F.lit(key).cast("long")).alias(str(i)) for i, name in enumerate(asked)]).first()
+    hashes = dict(zip(asked, row))
+
+    def least(name, weights):
+        if len(weights) == 1:
+            return 0
+        return min(range(len(weights)), key=lambda i: -math.log((((hashes[f"{name}/{i}"] % (1 << 64)) >> 11) + 0.5) / (1 << 53)) / weights[i])
+
+    g = least("root", [sum(map(sum, region)) for region in regions])
+    r = least(f"root/{g}", [sum(rack) for rack in regions[g]])
+    return tree[g][r][least(f"root/{g}/{r}", regions[g][r])][0]
+
+
+def test_shards_equal_an_independent_draw(spark):
+    for tree in (sharding.hash_tree(40), sharding.hash_tree(40, 1), [[[(0, 1.0), (1, 3.0)]], [[(2, 4.0)], [(3, 0.5), (4, 2.0)]]]):
+        got = {r["id"]: r["s"] for r in spark.range(60).select("id", sharding.tree_shard(F.col("id"), tree).alias("s")).collect()}
+        assert all(brute_shard(key, tree, spark) == s for key, s in list(got.items())[:25])
+
+
+def test_many_copies_get_slots(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LOT", 7)
+    docs = frame(spark, [(7, "same")] * 300 + [(8, "x")]).withColumns({"_bucket": F.lit(1), "slot": F.lit(2)})
+    got = sharding.shard_digest(docs, 2).collect()
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == 301 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_shard_balance_and_movement(spark):
     keys = spark.range(40_000)
     placed = keys.select(sharding.tree_shard(F.col("id"), sharding.hash_tree(40)).alias("old"), sharding.tree_shard(F.col("id"), sharding.hash_tree(40, 1)).alias("new"))
