@@ -11,8 +11,8 @@ their Jaccard similarity.
 Slots are cut into bands.  Texts that share a band are candidates: each is held against
 one of its bands' first texts, then against those of other classes.  Then all pairs across
 classes among the texts of bands that hold several classes are compared, whatever a
-band's size, save those that a prefix filter shows to be unlike, so no link of two texts
-that share a band is missed.  A link is a pair whose sets of shingles have a Jaccard
+band's size, save those that exact filters (prefixes of sets, bits of their parity) show to
+be unlike, so no link of two texts that share a band is missed.  A link is a pair whose sets of shingles have a Jaccard
 similarity of ``SIMILARITY`` or more, computed exactly from the whole texts; it is what
 the sketches estimate, for all weights are equal.  Classes are the connected components.
 
@@ -46,6 +46,8 @@ WORDS, SIMILARITY = 5, 0.8
 #: Bands of so many slots: a pair at the threshold is missed by all bands once in 300,000 times.
 BANDS, ROWS = 42, 6
 SLOTS = BANDS * ROWS
+#: Bits of a set's mark.
+MARK_BITS = 512
 #: Shingles of texts that are sketched in one go.
 TOGETHER = 1 << 17
 _WORD = re.compile(r"\w+")
@@ -159,17 +161,28 @@ def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(doc_id).alias("doc_id"), digest(text).alias("node"), bands(text_or_empty(text)).alias("bands"))
 
 
+def parity_mark(shingles: np.ndarray) -> np.ndarray:
+    """``MARK_BITS`` bits, each the parity of the shingles that fall on it, as longs: two marks differ in no more bits than their sets in shingles."""
+    odd = np.bincount((shingles & np.uint64(MARK_BITS - 1)).astype(np.int64), minlength=MARK_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str = "text") -> DataFrame:
-    """node, n and set (sorted shingles) of the texts whose digests are in ``nodes``."""
+    """node, n, set (sorted shingles) and mark of the texts whose digests are in ``nodes``."""
 
-    @F.pandas_udf("array<long>")
-    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("set array<long>, mark array<long>")
+    def held(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         shingles = Shingler().shingles
-        yield from without_cycles(batches, lambda batch: pd.Series([np.unique(shingles(t)).view(np.int64) for t in batch], dtype=object))
+
+        def of(batch: pd.Series) -> pd.DataFrame:
+            sets = [np.unique(shingles(t)) for t in batch]
+            return pd.DataFrame({"set": [s.view(np.int64) for s in sets], "mark": [parity_mark(s) for s in sets]})
+
+        yield from without_cycles(batches, of)
 
     likely = may_be_among(docs.select(digest(text).alias("node"), text_or_empty(text).alias("text")), F.xxhash64("node"), nodes).where("_maybe").drop("_maybe")
     wanted = likely.dropDuplicates(["node"]).join(nodes, "node", "left_semi")
-    return wanted.select("node", held("text").alias("set")).select("node", F.size("set").alias("n"), "set")
+    return wanted.select("node", held("text").alias("h")).select("node", F.size("h.set").alias("n"), "h.set", "h.mark")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -187,25 +200,29 @@ def possible_pairs(apart: DataFrame, sets: DataFrame) -> DataFrame:
 
     Shingles are put in one order, rare ones first.  Two sets of x and y shingles that are
     similar enough have c = 4/9 (x + y) in common at least, so a common one stands among the
-    first x - c + 1 of the one and among the first y - c + 1 of the other; pairs without such
-    a shingle aren't similar.  This is exact, however many texts share a shingle.
+    first x - c + 1 of the one and among the first y - c + 1 of the other, and their marks
+    differ in x + y - 2 c bits at most.  Both conditions of the join are exact, however many
+    texts share a shingle.
     """
     held = apart.join(sets, "node")
-    rows = staged(held.select("node", "root", "n", F.explode("set").alias("shingle")), "apart-shingles")
-    # Shingles that one text or one class alone holds join nothing; the former stand first in the order.
-    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), (F.min("root") < F.max("root")).alias("across")).where("holders > 1")
-    ordered = spread_join(rows, shared, ["shingle"]).groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("holders", "shingle", "across"))).alias("order"))
+    texts = staged(held.select(F.xxhash64("node").alias("id"), "node", "root", "n", "mark"), "apart-texts")
+    rows = staged(held.select(F.xxhash64("node").alias("id"), F.explode("set").alias("shingle")), "apart-shingles")
+    # Shingles that one text alone holds join nothing; they stand first in the order.
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    ordered = spread_join(rows, shared, ["shingle"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.col("holders").cast("int").alias("holders"), "shingle"))).alias("order"))
     alone = F.col("n") - F.size("order")
     first = F.greatest(F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-6).cast("int") + 1 - alone, F.lit(0))
-    firsts = ordered.select("node", "root", "n", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), first)).alias("pos", "s")).where("s.across")
-    firsts = staged(firsts.select("node", "root", "n", (F.col("n") - F.col("alone") - F.col("pos")).alias("rest"), F.col("s.shingle").alias("shingle")), "first-shingles")  # rest: shingles from this one on
+    firsts = ordered.join(texts, "id").select("node", "root", "n", "mark", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), first)).alias("pos", "s"))
+    firsts = staged(firsts.select("node", "root", "n", "mark", (F.col("n") - F.col("alone") - F.col("pos")).alias("rest"), F.col("s.shingle").alias("shingle")), "first-shingles")  # rest: shingles from this one on
     # Nothing is compared within the class that holds a shingle most often.
     hubs = firsts.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("holders")).groupBy("shingle").agg(F.max(F.struct("holders", "root"))["root"].alias("hub"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
-    x = spread_join(firsts, hubs, ["shingle"]).where("root <> hub").withColumnsRenamed({"node": "x", "root": "x_root", "n": "x_n", "rest": "x_rest"})
-    y = firsts.withColumnsRenamed({"node": "y", "root": "y_root", "n": "y_n", "rest": "y_rest"})
-    enough = F.least("x_rest", "y_rest", "x_n", "y_n") >= (F.col("x_n") + F.col("y_n")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
-    met = spread_join(staged(x, "first-shingles"), y, ["shingle"]).where(((F.col("y_root") == F.col("hub")) | (F.col("x_root") < F.col("y_root"))) & enough)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    named = lambda df, side: df.withColumnsRenamed({c: f"{side}_{c}" for c in ("node", "root", "n", "mark", "rest")})
+    x, y = named(spread_join(firsts, hubs, ["shingle"]).where("root <> hub"), "x"), named(firsts, "y")
+    common = (F.col("x_n") + F.col("y_n")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
+    differ = sum(F.bit_count(F.get("x_mark", i).bitwiseXOR(F.get("y_mark", i))) for i in range(MARK_BITS // 64))
+    alike = (F.least("x_rest", "y_rest", "x_n", "y_n") >= common) & (differ <= F.col("x_n") + F.col("y_n") - common * 2)
+    met = spread_join(staged(x, "first-shingles"), y, ["shingle"]).where(((F.col("y_root") == F.col("hub")) | (F.col("x_root") < F.col("y_root"))) & alike)
+    return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
 def with_root(rows: DataFrame, roots: DataFrame, name: str, to: str) -> DataFrame:
