@@ -170,15 +170,15 @@ def block_present(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT l_orderkey AS image, l_linenumber AS line, CAST(l_quantity AS BIGINT) AS v FROM lineitem WHERE l_linenumber <= 4),
-l AS (SELECT l_orderkey AS image, l_linenumber AS line, -CAST(l_quantity AS BIGINT) AS v FROM lineitem WHERE l_linenumber >= 3 AND l_orderkey % 3 = 0),
-sd AS (SELECT image, line, max(v) AS v FROM s GROUP BY ALL), ld AS (SELECT image, line, max(v) AS v FROM l GROUP BY ALL)
-SELECT image, line, coalesce(ld.v, sd.v) AS v, ld.v IS NOT NULL AS local FROM sd FULL JOIN ld USING (image, line)
+WITH s AS (SELECT l_orderkey AS image, l_linenumber AS line, max(CAST(l_quantity AS BIGINT)) AS v FROM lineitem GROUP BY ALL),
+l AS (SELECT l_orderkey AS image, l_suppkey % 9 AS line, max(-CAST(l_quantity AS BIGINT)) AS v FROM lineitem GROUP BY ALL)
+SELECT image, line, coalesce(l.v, s.v) AS v, l.v IS NOT NULL AS local FROM s FULL JOIN l USING (image, line)
 """)
 def local_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("bigint").alias("v"))
-    source = lines.where("line <= 4").groupBy("image", "line").agg(F.max("v").alias("v"))
-    local = lines.where("line >= 3 AND image % 3 = 0").withColumn("v", -F.col("v")).groupBy("image", "line").agg(F.max("v").alias("v"))
+    """Both sides hold a block for every line: the source by its number, the local one by its supplier."""
+    lines = read(spark, sf_dir, "lineitem").withColumns({"image": F.col("l_orderkey"), "v": F.col("l_quantity").cast("bigint")})
+    source = lines.groupBy("image", F.col("l_linenumber").alias("line")).agg(F.max("v").alias("v"))
+    local = lines.groupBy("image", (F.col("l_suppkey") % 9).alias("line")).agg(F.max(-F.col("v")).alias("v"))
     return blocks.overridden(source, local, ["image", "line"], "v")
 
 
@@ -239,11 +239,11 @@ def level_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_type, p_size < 25, p_size DESC, p_partkey) AS INT) AS place FROM part
+SELECT p_partkey, p_brand, CAST(row_number() OVER (PARTITION BY p_brand, p_partkey // 64 ORDER BY p_type, p_size < 25, p_size DESC, p_partkey) AS INT) AS place FROM part
 """)
 def overview_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assets = read(spark, sf_dir, "part").withColumn("is_overview", F.col("p_size") < 25)
-    return blocks.overview_order(assets, "p_type", "is_overview", "p_size", "p_partkey", ["p_brand"]).select("p_partkey", "p_brand", "place")
+    assets = read(spark, sf_dir, "part").withColumns({"is_overview": F.col("p_size") < 25, "file": F.floor(F.col("p_partkey") / 64)})
+    return blocks.overview_order(assets, "p_type", "is_overview", "p_size", "p_partkey", ["p_brand", "file"]).select("p_partkey", "p_brand", "place")
 
 
 @query("SELECT p_brand, arg_max(p_partkey, (p_size, -p_partkey)) AS p_partkey, max(p_size) AS p_size FROM part GROUP BY 1")
@@ -338,21 +338,22 @@ def chunk_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, source, CAST(404 + coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset FROM documents
+SELECT doc_id, source, CAST(404 + coalesce(sum(n_chars) OVER (PARTITION BY source, doc_id // 50 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset FROM documents
 """)
 def segment_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return segments.segment_offsets(docs, ["source"], "doc_id", "n_chars", 404).drop("n_chars")
+    """A file holds the segments of one source among fifty documents."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.floor(F.col("doc_id") / 50).alias("file"))
+    return segments.segment_offsets(docs, ["source", "file"], "doc_id", "n_chars", 404).drop("n_chars", "file")
 
 
 @query("""
-WITH s AS (SELECT source, doc_id, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY source) THEN 9999999 ELSE n_chars END AS len FROM documents)
-SELECT doc_id, CAST(CASE WHEN len = 9999999 THEN 5000000 - sum(CASE WHEN len = 9999999 THEN 0 ELSE len END) OVER (PARTITION BY source) ELSE len END AS BIGINT) AS len FROM s
+WITH s AS (SELECT source, doc_id, doc_id // 50 AS file, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY source, doc_id // 50) THEN 9999999 ELSE n_chars END AS len FROM documents)
+SELECT doc_id, CAST(CASE WHEN len = 9999999 THEN 5000000 - sum(CASE WHEN len = 9999999 THEN 0 ELSE len END) OVER (PARTITION BY source, file) ELSE len END AS BIGINT) AS len FROM s
 """)
 def unknown_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    known = docs.groupBy("source").agg(F.min("doc_id").alias("first"), F.sum("n_chars").alias("total"), F.min_by("n_chars", "doc_id").alias("own"))
-    joined = docs.join(known, "source")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.floor(F.col("doc_id") / 50).alias("file"))
+    known = docs.groupBy("source", "file").agg(F.min("doc_id").alias("first"), F.sum("n_chars").alias("total"), F.min_by("n_chars", "doc_id").alias("own"))
+    joined = docs.join(known, ["source", "file"])
     length = F.when(F.col("doc_id") == F.col("first"), F.lit(9999999)).otherwise(F.col("n_chars"))
     return joined.select("doc_id", segments.resolved_length(length, 7, F.lit(5000000) - (F.col("total") - F.col("own"))).cast("bigint").alias("len"))
 

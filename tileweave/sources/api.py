@@ -58,7 +58,7 @@ def save_image(spark: SparkSession, path: str, image: np.ndarray, fmt: str, **op
 
 def image_tiles(spark: SparkSession, path: str, size: tuple[int, int], overlap: tuple[int, int] = (0, 0), **options) -> Iterator[tuple[int, int, np.ndarray]]:
     """Tiles (row, column, array) of an image in row-major order; tiles at the edge are clipped."""
-    info = image_info(spark, path, options.get("key"), options.get("fmt")).first()
+    info = image_info(spark, path, options.get("key"), options.get("fmt")).first()  # headers only; a tile reads its blocks alone
     dy, dx = size[0] - overlap[0], size[1] - overlap[1]
     for r in range(max(1, -(-(info["rows"] - overlap[0]) // dy))):
         for c in range(max(1, -(-(info["cols"] - overlap[1]) // dx))):
