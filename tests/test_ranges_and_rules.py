@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tileweave.functions import location
 from tileweave.operators import raster, segments
 from tileweave.sources import api
-from tileweave.sources.formats import Asset, FormatError, nitf, png, register_codec, tiff
+from tileweave.sources.formats import Asset, FormatError, jpeg, nitf, png, register_codec, tiff
 from tileweave.sources.memory import image_blocks
 from tileweave.sources.ranged import PAGE, Ranged
 from tileweave.sources.scan import files, range_bytes, reference_bytes, scan_assets, scan_blocks, tile_index
@@ -124,14 +124,48 @@ def test_coded_blocks_go_through_hooks():
         at, size = nitf.coded_range(asset, br, bc)
         return np.frombuffer(zlib.decompress(data[at : at + size]), np.uint8).reshape(1, asset.bh, asset.bw)
 
-    register_codec("nitf:C3", decode, lambda px, meta: zlib.compress(np.ascontiguousarray(px).tobytes()))
-    data = nitf.encode([(px, {})], block_size=(16, 16), compression="C3")
+    register_codec("nitf:C4", decode, lambda px, meta: zlib.compress(np.ascontiguousarray(px).tobytes()))
+    data = nitf.encode([(px, {})], block_size=(16, 16), compression="C4")
     asset = nitf.assets(data)[0]
-    assert asset.private["ic"] == "M3" and (whole(nitf, data, asset) == px).all()
+    assert asset.private["ic"] == "M4" and (whole(nitf, data, asset) == px).all()
     ends = sorted(r[0] for r in nitf.ranges(asset).values())
     assert len(ends) == 12 and all(a + n == b for (a, n), (b, _) in zip(ends, ends[1:]))
 
 
+def smooth(shape):
+    y, x = np.mgrid[: shape[1], : shape[2]]
+    return np.stack([(128 + 100 * np.sin(x / (9 + b)) * np.cos(y / (7 + b))) for b in range(shape[0])]).astype(np.uint8)
+
+
+@pytest.mark.parametrize("bands", [1, 3])
+@pytest.mark.parametrize("size", [(8, 8), (37, 51), (64, 40)])
+def test_jpeg_round_trip(bands, size):
+    px = smooth((bands, *size))
+    for quality, most in ((95, 6), (60, 30)):
+        back = jpeg.decode(jpeg.encode(px, quality=quality)).astype(int)
+        assert back.shape == px.shape and abs(back - px).max() <= most and abs(back - px).mean() < most / 4
+    assert (jpeg.decode(jpeg.encode(np.full((bands, *size), 77, np.uint8))) == 77).all()
+    noise = image((bands, *size), "uint8")
+    assert abs(jpeg.decode(jpeg.encode(noise, quality=100)).astype(int) - noise).max() <= 4
+
+
+def test_jpeg_blocks_in_containers():
+    px = smooth((1, 40, 50))
+    data = nitf.encode([(px, {"quality": 95})], block_size=(16, 16), compression="C3")
+    asset = nitf.assets(data)[0]
+    assert asset.private["ic"] == "M3" and abs(whole(nitf, data, asset).astype(int) - px).max() <= 6
+    found = jpeg.streams(data, asset.offset, asset.offset + asset.length)
+    assert [(o, n) for o, n in found] == sorted(r[0] for r in nitf.ranges(asset).values())
+    asset.private["mask"] = None  # as in files without a mask table
+    assert abs(whole(nitf, data, asset).astype(int) - px).max() <= 6
+    one = jpeg.assets(jpeg.encode(px))[0]
+    assert (one.rows, one.cols, one.bands) == (40, 50, 1)
+    with pytest.raises(FormatError):
+        jpeg.encode(px.astype(np.uint16))
+    with pytest.raises(FormatError):
+        jpeg.quantisation(0)
+
+
 def test_float_differences_and_small_samples():
     px = np.random.default_rng(3).normal(size=(6, 16, 2)).astype(">f4")
     planes = np.frombuffer(px.tobytes(), np.uint8).reshape(6, 32, 4).transpose(0, 2, 1).reshape(6, -1, 2).astype(np.int16)

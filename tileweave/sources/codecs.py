@@ -5,9 +5,9 @@ from __future__ import annotations
 import json
 
 from . import formats
-from .formats import coded, dted, nitf, plugin, png, register_codec, tiff
+from .formats import coded, dted, jpeg, nitf, plugin, png, register_codec, tiff
 
-FORMATS = {"nitf": nitf, "nsif": nitf, "tiff": tiff, "png": png, "dted": dted, "j2k": coded, "jpeg": coded}
+FORMATS = {"nitf": nitf, "nsif": nitf, "tiff": tiff, "png": png, "dted": dted, "j2k": coded, "jpeg": jpeg}
 
 
 def codec_json(name: str, configuration: dict) -> str:

@@ -31,6 +31,10 @@ def register_codec(name: str, decode: Callable | None = None, encode: Callable |
     _PLUGINS[name] = decode, encode
 
 
+def registered(name: str) -> bool:
+    return name in _PLUGINS
+
+
 def plugin(name: str) -> Callable:
     decode = _PLUGINS.get(name, (None, None))[0]
     if decode is None:

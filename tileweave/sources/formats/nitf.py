@@ -14,7 +14,7 @@ from ...operators.segments import TAGGED_LIMIT
 from ...structure.codec import parsed_records, read, record, records, split_by_size, write
 from ...structure.layout import Layout, Registry, load
 from ...structure.tagged import TAGGED
-from . import Asset, FormatError, padded, plugin, plugin_encode
+from . import Asset, FormatError, padded, plugin, plugin_encode, registered
 
 MAGIC = (b"NITF02.10", b"NSIF01.00")
 
@@ -188,6 +188,20 @@ def coded_range(asset: Asset, br: int, bc: int) -> tuple[int, int]:
     return at, min(later, default=asset.offset + asset.length) - at
 
 
+def jpeg_block(data: bytes, asset: Asset, br: int, bc: int) -> np.ndarray:
+    """A block of baseline JPEG: its place from the mask table, or by its number among the images that follow each other."""
+    from .jpeg import decode, streams
+
+    masked = asset.private["mask"]
+    if masked and masked["offsets"] is not None:
+        at, size = coded_range(asset, br, bc)
+    else:
+        start = asset.offset + (masked["start"] if masked else 0)
+        found = asset.private.setdefault("streams", streams(data, start, asset.offset + asset.length))
+        at, size = found[br * asset.grid[1] + bc]
+    return decode(bytes(data[at : at + size]))
+
+
 def unpack(raw: bytes, bits: int, count: int, dtype: str) -> np.ndarray:
     """Samples of ``bits`` bits, most significant first; the first bit of a signed one is its sign."""
     ones = np.unpackbits(np.frombuffer(raw, np.uint8))[: bits * count].reshape(count, bits)
@@ -224,7 +238,10 @@ def block(data: bytes, asset: Asset, br: int, bc: int) -> np.ndarray:
     h, w = asset.extent(br, bc)
     if asset.private["ic"] not in ("NC", "NM"):
         # Masked forms (M3 ...) have the decoder of the plain ones (C3 ...); see ``coded_range`` for a block's bytes.
-        return plugin(f"nitf:C{asset.private['ic'][-1]}")(data, asset, br, bc)[:, :h, :w]
+        name = f"nitf:C{asset.private['ic'][-1]}"
+        if asset.private["ic"] in ("C3", "M3", "I1") and not registered(name):
+            return jpeg_block(data, asset, br, bc)[:, :h, :w]
+        return plugin(name)(data, asset, br, bc)[:, :h, :w]
     sequential = asset.private["mode"] == "S"
     parts = []
     for band in range(asset.bands if sequential else 1):
@@ -312,7 +329,11 @@ def encode(images: list[tuple[np.ndarray, dict]], texts: list[tuple[str, dict]]
                 part = image[band : band + 1] if mode == "S" else image
                 px = padded(part[:, r * bh : (r + 1) * bh, c * bw : (c + 1) * bw], bh, bw)
                 px = px.transpose(1, 2, 0) if mode == "P" else px.transpose(1, 0, 2) if mode == "R" else px
-                if compression:
+                if compression == "C3" and not registered("nitf:C3"):
+                    from .jpeg import encode as encode_jpeg
+
+                    raw = encode_jpeg(px, meta)
+                elif compression:
                     raw = plugin_encode(f"nitf:{compression}")(px, meta)
                 elif bits == image.dtype.itemsize * 8:
                     raw = np.ascontiguousarray(px).astype(image.dtype.newbyteorder(">")).tobytes()

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 
-from . import _PLUGINS, Asset, FormatError, padded, plugin, unpacked
+from . import _PLUGINS, Asset, FormatError, padded, plugin, registered, unpacked
 
 #: Tag numbers by name.
 TAGS = {
@@ -87,7 +87,7 @@ def assets(data: bytes) -> list[Asset]:
         out.append(Asset(
             f"image:{full}:overview:{overview}" if reduced else f"image:{full}", roles=("overview",) if reduced else ("data",), rows=rows, cols=cols, bands=tags.get(277, 1), bh=bh, bw=bw,
             dtype=DTYPES[form, bits], bits=bits, offset=min(offsets), length=sum(sizes), metadata=meta,
-            private={"order": order, "offsets": offsets, "sizes": sizes, "compression": compression, "planar": tags.get(284, 1), "predictor": tags.get(317, 1), "tiled": tiled, "names": names},
+            private={"order": order, "offsets": offsets, "sizes": sizes, "compression": compression, "planar": tags.get(284, 1), "predictor": tags.get(317, 1), "tiled": tiled, "names": names, "tables": tags.get(347) if isinstance(tags.get(347), bytes) else None},
         ))
     return out
 
@@ -233,8 +233,20 @@ def decode_tile(raw: bytes, asset: Asset, rows: int, samples: int) -> np.ndarray
     return px.transpose(2, 0, 1)
 
 
+def jpeg_tile(data: bytes, asset: Asset, br: int, bc: int) -> np.ndarray:
+    """A tile of baseline JPEG; tables that all tiles share go before its own segments."""
+    from .jpeg import decode
+
+    i = br * asset.grid[1] + bc
+    body = bytes(data[asset.private["offsets"][i] : asset.private["offsets"][i] + asset.private["sizes"][i]])
+    shared = asset.private.get("tables") or b""
+    return decode(shared[:-2] + body[2:] if shared else body)
+
+
 def block(data: bytes, asset: Asset, br: int, bc: int) -> np.ndarray:
     h, w = asset.extent(br, bc)
+    if asset.private["compression"] == 7 and not registered("tiff:7"):
+        return jpeg_tile(data, asset, br, bc)[:, :h, :w]
     if asset.private["compression"] not in SUPPORTED or asset.private["compression"] == 7:
         return plugin(f"tiff:{asset.private['compression']}")(data, asset, br, bc)[:, :h, :w]
     nominal = asset.bh if asset.private["tiled"] else h
