@@ -9,12 +9,17 @@ import numpy as np
 
 from . import _PLUGINS, Asset, FormatError, padded, plugin, registered, unpacked
 
-#: Tag numbers by name.
+#: Tag numbers by the names of the standard and its extensions.
 TAGS = {
-    "NewSubfileType": 254, "ImageWidth": 256, "ImageLength": 257, "BitsPerSample": 258, "Compression": 259, "PhotometricInterpretation": 262, "ImageDescription": 270, "StripOffsets": 273,
-    "SamplesPerPixel": 277, "RowsPerStrip": 278, "StripByteCounts": 279, "XResolution": 282, "YResolution": 283, "PlanarConfiguration": 284, "Software": 305, "DateTime": 306, "Predictor": 317,
-    "ColorMap": 320, "TileWidth": 322, "TileLength": 323, "TileOffsets": 324, "TileByteCounts": 325, "ExtraSamples": 338, "SampleFormat": 339, "JPEGTables": 347,
-    "ModelPixelScale": 33550, "ModelTiepoint": 33922, "ModelTransformation": 34264, "GeoKeyDirectory": 34735, "GeoDoubleParams": 34736, "GeoAsciiParams": 34737, "GDAL_METADATA": 42112, "GDAL_NODATA": 42113,
+    "NewSubfileType": 254, "SubfileType": 255, "ImageWidth": 256, "ImageLength": 257, "BitsPerSample": 258, "Compression": 259, "PhotometricInterpretation": 262, "Threshholding": 263,
+    "CellWidth": 264, "CellLength": 265, "FillOrder": 266, "DocumentName": 269, "ImageDescription": 270, "Make": 271, "Model": 272, "StripOffsets": 273, "Orientation": 274,
+    "SamplesPerPixel": 277, "RowsPerStrip": 278, "StripByteCounts": 279, "MinSampleValue": 280, "MaxSampleValue": 281, "XResolution": 282, "YResolution": 283, "PlanarConfiguration": 284,
+    "PageName": 285, "FreeOffsets": 288, "FreeByteCounts": 289, "GrayResponseUnit": 290, "GrayResponseCurve": 291, "ResolutionUnit": 296, "PageNumber": 297, "Software": 305, "DateTime": 306,
+    "Artist": 315, "HostComputer": 316, "Predictor": 317, "WhitePoint": 318, "PrimaryChromaticities": 319, "ColorMap": 320, "HalftoneHints": 321, "TileWidth": 322, "TileLength": 323,
+    "TileOffsets": 324, "TileByteCounts": 325, "SubIFDs": 330, "InkSet": 332, "InkNames": 333, "NumberOfInks": 334, "DotRange": 336, "TargetPrinter": 337, "ExtraSamples": 338,
+    "SampleFormat": 339, "SMinSampleValue": 340, "SMaxSampleValue": 341, "JPEGTables": 347, "Copyright": 33432,
+    "ModelPixelScale": 33550, "ModelTiepoint": 33922, "ModelTransformation": 34264, "GeoKeyDirectory": 34735, "GeoDoubleParams": 34736, "GeoAsciiParams": 34737,
+    "GDALMetadata": 42112, "GDALNoData": 42113, "GDAL_METADATA": 42112, "GDAL_NODATA": 42113,
 }
 _TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 #: Sample format and bits to pixel type.

@@ -11,11 +11,12 @@ from .formats.tiff import TAGS
 
 #: Names of tag values.
 VALUES = {
-    "Compression": {"none": 1, "lzw": 5, "jpeg": 7, "deflate": 8, "packbits": 32773, "adobe_deflate": 32946},
-    "PhotometricInterpretation": {"white_is_zero": 0, "black_is_zero": 1, "rgb": 2, "palette": 3, "ycbcr": 6},
-    "PlanarConfiguration": {"chunky": 1, "separate": 2},
-    "Predictor": {"none": 1, "horizontal": 2, "float": 3},
-    "SampleFormat": {"uint": 1, "int": 2, "float": 3},
+    "Compression": {"none": 1, "ccittrle": 2, "ccittfax3": 3, "ccittfax4": 4, "lzw": 5, "ojpeg": 6, "jpeg": 7, "deflate": 8, "packbits": 32773, "adobe_deflate": 32946},
+    "PhotometricInterpretation": {"miniswhite": 0, "white_is_zero": 0, "minisblack": 1, "black_is_zero": 1, "rgb": 2, "palette": 3, "mask": 4, "ycbcr": 6},
+    "Orientation": {"topleft": 1, "topright": 2, "bottomright": 3, "bottomleft": 4, "lefttop": 5, "righttop": 6, "rightbottom": 7, "leftbottom": 8},
+    "PlanarConfiguration": {"chunky": 1, "planar": 2, "separate": 2},
+    "Predictor": {"none": 1, "horizontal": 2, "floatingpoint": 3, "float": 3},
+    "SampleFormat": {"uint": 1, "int": 2, "float": 3, "void": 4},
 }
 
 
