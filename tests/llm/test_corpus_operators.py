@@ -141,6 +141,44 @@ def test_links_in_bands_that_shrink(spark):
     assert got == brute_classes(rows)
 
 
+def test_exact_filters_lose_no_pair(spark):
+    """Every pair at or above the threshold, whatever its sizes and common shingles, is among the possible ones."""
+    rng = np.random.default_rng(12)
+    sets = []
+    for family in range(6):
+        pool = rng.integers(1 << 63, size=int(rng.integers(3, 90)), dtype=np.int64).astype(np.uint64)
+        for _ in range(25):
+            own = rng.integers(1 << 63, size=int(rng.integers(0, max(2, len(pool) // 5))), dtype=np.int64).astype(np.uint64)
+            sets.append(np.unique(np.concatenate([pool[rng.random(len(pool)) < rng.uniform(0.8, 1)], own])))
+    sets = [s for s in sets if len(s)]
+    rows = [(bytes([0, i]), len(s), s.view(np.int64).tolist(), neardup.parity_mark(s).tolist()) for i, s in enumerate(sets)]
+    held = spark.createDataFrame([(bytearray(a), n, s, m) for a, n, s, m in rows], "node binary, n int, set array<long>, mark array<long>")
+    roots = [bytes([1, i]) if i % 3 else bytes([2, i % 7]) for i in range(len(sets))]  # some classes of many, some of one
+    apart = spark.createDataFrame([(bytearray(r[0]), bytearray(root)) for r, root in zip(rows, roots)], "node binary, root binary")
+    got = {(bytes(r["a"])[1], bytes(r["b"])[1]) for r in neardup.possible_pairs(apart, held).collect()}
+    wanted, pairs = set(), 0
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            pairs += roots[i] != roots[j]
+            if roots[i] != roots[j] and neardup_jaccard(a, sets[j]) >= 0.8:
+                wanted.add((i, j))
+    assert wanted and wanted <= got and len(got) < pairs / 3
+
+
+def neardup_jaccard(a, b):
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def test_bands_of_texts_are_those_of_single_sketches():
+    shingles = neardup.Shingler().shingles
+    texts = ["", "one", "a b c d e f g"] + [" ".join(f"w{i % 97}x{k}" for i in range(k * 7)) for k in range(1, 60)] + ["word " * 50_000]
+    together = neardup.bands_of_texts(texts, shingles)
+    for text, keys in zip(texts, together):
+        alone = neardup.signature(np.unique(shingles(text)))
+        assert (list(keys) == []) if alone is None else (list(keys) == list(neardup.bands_of(alone)[0]))
+
+
 def test_repeated_shingles_hide_no_link(spark):
     rows = []
     for k in range(25):
