@@ -109,7 +109,7 @@ def digest(text: str):
 
 
 #: A filter that ``may_be_among`` broadcasts has at most so many bits, a row of two numbers for each 64.
-MOST_FILTER_BITS = 1 << 26
+MOST_FILTER_BITS = 1 << 25
 FILTER_BITS = 1 << 22
 
 
