@@ -1,12 +1,14 @@
 """NITF 2.1 and NSIF 1.0: header, segments, uncompressed images (plain or masked), text, data.
 
-The header and image subheader are structures of fixed-width text fields, built from
-the field tables below and read by the structure engine, so the offset of each field
-follows from the values before it.
+Headers and subheaders are structures of fixed-width text fields; their definitions are
+YAML files read by the structure engine, so the offset of each field follows from the
+values before it.
 """
 
 from __future__ import annotations
 
+from importlib import resources
+
 import numpy as np
 
 from ...operators.blocks import ABSENT
@@ -18,74 +20,8 @@ from . import Asset, FormatError, padded, plugin, plugin_encode, registered
 
 MAGIC = (b"NITF02.10", b"NSIF01.00")
 
-#: The fields of the standard's headers as name and width; ``*`` marks numbers.
-_SECURITY = "CLSY 2, CODE 11, CTLH 2, REL 20, DCTP 2, DCDT 8, DCXM 4, DG 1, DGDT 8, CLTX 43, CATP 1, CAUT 40, CRSN 1, SRDT 8, CTLN 15"
-_FILE = "FHDR 4, FVER 5, CLEVEL 2*, STYPE 4, OSTAID 10, FDT 14, FTITLE 80, FSCLAS 1, {FS}, FSCOP 5*, FSCPYS 5*, ENCRYP 1*, FBKGC b3, ONAME 24, OPHONE 18, FL 12*, HL 6*"
-_IMAGE_1 = "IM 2, IID1 10, IDATIM 14, TGTID 17, IID2 80, ISCLAS 1, {IS}, ENCRYP 1*, ISORCE 42, NROWS 8*, NCOLS 8*, PVTYPE 3, IREP 8, ICAT 8, ABPP 2*, PJUST 1, ICORDS 1"
-_IMAGE_2 = "ISYNC 1*, IMODE 1, NBPR 4*, NBPC 4*, NPPBH 4*, NPPBV 4*, NBPP 2*, IDLVL 3*, IALVL 3*, ILOC 10, IMAG 4"
-_TEXT = "TE 2, TEXTID 7, TXTALVL 3*, TXTDT 14, TXTITL 80, TSCLAS 1, {TS}, ENCRYP 1*, TXTFMT 3"
-_DATA = "DE 2, DESID 25, DESVER 2*, DSCLAS 1, {DS}"
-
-
-def _fields(table: str) -> list[dict]:
-    for prefix in ("FS", "IS", "TS", "DS"):
-        table = table.replace("{" + prefix + "}", ", ".join(prefix + f.strip() for f in _SECURITY.split(",")))
-    out = []
-    for entry in table.split(","):
-        name, width = entry.split()
-        if width.startswith("b"):
-            out.append({"id": name, "size": int(width[1:])})
-        else:
-            out.append({"id": name, "type": "str", "size": int(width.rstrip("*")), "encoding": "BCS-NPI" if width.endswith("*") else "BCS-A"})
-    return out
-
-
-def _number(name: str, width: int, **more) -> dict:
-    return {"id": name, "type": "str", "size": width, "encoding": "BCS-NPI", **more}
-
-
-def _extension(length: str, overflow: str, body: str) -> list[dict]:
-    some = f"{length}.to_i != 0"
-    return [_number(length, 5), {"if": some, **_number(overflow, 3)}, {"id": body, "size": f"{length}.to_i - 3", "if": some}]
-
-
-def _counted(count: str, header: tuple[str, int], body: tuple[str, int]) -> list[dict]:
-    item = {"seq": [_number(*header), _number(*body)]}
-    return [_number(count, 3), {"id": f"{count}_LENGTHS", "type": f"{count}_item", "repeat": "expr", "repeat-expr": f"{count}.to_i"}, item]
-
-
-def _file_layout() -> Layout:
-    seq, types = _fields(_FILE), {}
-    for count, header, body in (("NUMI", ("LISH", 6), ("LI", 10)), ("NUMS", ("LSSH", 4), ("LS", 6)), ("NUMX", None, None), ("NUMT", ("LTSH", 4), ("LT", 5)), ("NUMDES", ("LDSH", 4), ("LD", 9)), ("NUMRES", ("LRESH", 4), ("LRE", 7))):
-        if header is None:
-            seq.append(_number(count, 3))
-            continue
-        one, many, item = _counted(count, header, body)
-        seq += [one, many]
-        types[f"{count}_item"] = item
-    seq += _extension("UDHDL", "UDHOFL", "UDHD") + _extension("XHDL", "XHDLOFL", "XHD")
-    return load({"meta": {"id": "nitf_file"}, "seq": seq, "types": types})
-
-
-def _image_layout() -> Layout:
-    text = lambda name, width, **more: {"id": name, "type": "str", "size": width, "encoding": "BCS-A", **more}
-    table = {"seq": [{"id": "LUTD", "size": "NELUT.to_i"}]}
-    band = {"seq": [text("IREPBAND", 2), text("ISUBCAT", 6), text("IFC", 1), text("IMFLT", 3), _number("NLUTS", 1), _number("NELUT", 5, **{"if": "NLUTS.to_i != 0"}), {"id": "LUTS", "type": "lut", "repeat": "expr", "repeat-expr": "NLUTS.to_i", "if": "NLUTS.to_i != 0"}]}
-    seq = [
-        *_fields(_IMAGE_1), text("IGEOLO", 60, **{"if": "ICORDS != ' '"}), _number("NICOM", 1), text("ICOM", 80, repeat="expr", **{"repeat-expr": "NICOM.to_i", "if": "NICOM.to_i != 0"}),
-        text("IC", 2), text("COMRAT", 4, **{"if": "IC != 'NC' and IC != 'NM'"}), _number("NBANDS", 1), _number("XBANDS", 5, **{"if": "NBANDS.to_i == 0"}),
-        {"id": "BAND", "type": "band", "repeat": "expr", "repeat-expr": "NBANDS.to_i", "if": "NBANDS.to_i != 0"}, {"id": "XBAND", "type": "band", "repeat": "expr", "repeat-expr": "XBANDS.to_i", "if": "NBANDS.to_i == 0"},
-        *_fields(_IMAGE_2), *_extension("UDIDL", "UDOFL", "UDID"), *_extension("IXSHDL", "IXSOFL", "IXSHD"),
-    ]
-    return load({"meta": {"id": "nitf_image"}, "seq": seq, "types": {"lut": table, "band": band}})
-
-
-FILE, IMAGE = _file_layout(), _image_layout()
-TEXT = load({"meta": {"id": "nitf_text"}, "seq": _fields(_TEXT) + _extension("TXSHDL", "TXSOFL", "TXSHD")})
-DATA = load({
-    "meta": {"id": "nitf_data"},
-    "seq": [*_fields(_DATA), {"id": "DESOFLW", "type": "str", "size": 6, "if": "DESID.strip == 'TRE_OVERFLOW'"}, {**_number("DESITEM", 3), "if": "DESID.strip == 'TRE_OVERFLOW'"}, _number("DESSHL", 4), {"id": "DESSHF", "size": "DESSHL.to_i", "if": "DESSHL.to_i != 0"}],
-})
+_DEFINITIONS = resources.files(__package__) / "definitions"  # also where the package is shipped as an archive
+FILE, IMAGE, TEXT, DATA = (load((_DEFINITIONS / f"nitf_{name}.yaml").read_text()) for name in ("file", "image", "text", "data"))
 BUILTIN = {**TAGGED, "nitf_file": FILE, "nitf_image": IMAGE, "nitf_text": TEXT, "nitf_data": DATA}
 _KINDS = (("NUMI", "LISH", "LI", "image"), ("NUMS", "LSSH", "LS", "graphic"), ("NUMT", "LTSH", "LT", "text"), ("NUMDES", "LDSH", "LD", "des"), ("NUMRES", "LRESH", "LRE", "res"))
 #: Sample types by kind: the first whose bits hold a sample's.

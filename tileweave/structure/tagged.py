@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+from importlib import resources
 
 from .layout import load
 
-TAGGED = {file.stem.upper(): load(file.read_text()) for file in sorted((Path(__file__).parent / "definitions").glob("*.yaml"))}
+_FILES = sorted((resources.files(__package__) / "definitions").iterdir(), key=lambda f: f.name)
+TAGGED = {f.name.removesuffix(".yaml").upper(): load(f.read_text()) for f in _FILES if f.name.endswith(".yaml")}
