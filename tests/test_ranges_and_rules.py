@@ -115,6 +115,20 @@ def test_overflow_records():
             nitf.encode([], data=[(b"", wrong)])
 
 
+def test_graphics_tables_and_levels():
+    px = image((1, 8, 8), "uint8")
+    table = bytes(range(256))
+    data = nitf.encode([(px, {"LUTS": [table, table[::-1], table], "ABPP": 7, "PJUST": "L"})], graphics=[(b"CGM body", {"SID": "G1", "SDLVL": 5})], texts=[("t", {})])
+    first, graphic, text = nitf.assets(data)
+    assert [bytes(t) for t in first.private["tables"]] == [table, table[::-1], table] and first.metadata["IREP"] == "RGB/LUT"
+    assert first.private["actual"] == 7 and first.private["left"] and (nitf.block(data, first, 0, 0) == px).all()
+    assert (graphic.kind, graphic.metadata["SID"], graphic.metadata["SDLVL"]) == ("graphics", "G1", "005") and data[graphic.offset : graphic.offset + graphic.length] == b"CGM body"
+    assert text.kind == "text" and nitf.segments(data)[1][1]["sub_len"] == 258
+    assert [nitf.complexity([(1, n, 3)]) for n in (1, 2048, 2049, 8193, 65537)] == [3, 3, 5, 6, 7]
+    with pytest.raises(FormatError):
+        nitf.encode([(image((2, 4, 4), "uint8"), {"LUTS": [table]})])
+
+
 def test_coded_blocks_go_through_hooks():
     px = image((1, 40, 50), "uint8")
     with pytest.raises(FormatError, match="no encoder"):

@@ -13,6 +13,7 @@ import numpy as np
 
 from ...operators.blocks import ABSENT
 from ...operators.segments import TAGGED_LIMIT
+from ...operators.validate import COMPLEXITY
 from ...structure.codec import parsed_records, read, record, records, split_by_size, write
 from ...structure.layout import Layout, Registry, load
 from ...structure.tagged import TAGGED
@@ -21,8 +22,8 @@ from . import Asset, FormatError, padded, plugin, plugin_encode, registered
 MAGIC = (b"NITF02.10", b"NSIF01.00")
 
 _DEFINITIONS = resources.files(__package__) / "definitions"  # also where the package is shipped as an archive
-FILE, IMAGE, TEXT, DATA = (load((_DEFINITIONS / f"nitf_{name}.yaml").read_text()) for name in ("file", "image", "text", "data"))
-BUILTIN = {**TAGGED, "nitf_file": FILE, "nitf_image": IMAGE, "nitf_text": TEXT, "nitf_data": DATA}
+FILE, IMAGE, GRAPHIC, TEXT, DATA = (load((_DEFINITIONS / f"nitf_{name}.yaml").read_text()) for name in ("file", "image", "graphic", "text", "data"))
+BUILTIN = {**TAGGED, "nitf_file": FILE, "nitf_image": IMAGE, "nitf_graphic": GRAPHIC, "nitf_text": TEXT, "nitf_data": DATA}
 _KINDS = (("NUMI", "LISH", "LI", "image"), ("NUMS", "LSSH", "LS", "graphic"), ("NUMT", "LTSH", "LT", "text"), ("NUMDES", "LDSH", "LD", "des"), ("NUMRES", "LRESH", "LRE", "res"))
 #: Sample types by kind: the first whose bits hold a sample's.
 _DTYPES = {"INT": ((8, "uint8"), (16, "uint16"), (32, "uint32"), (64, "uint64")), "SI": ((8, "int8"), (16, "int16"), (32, "int32"), (64, "int64")), "R": ((32, "float32"), (64, "float64")), "C": ((64, "complex64"),), "B": ((1, "uint8"),)}
@@ -60,7 +61,7 @@ def assets(data: bytes, registry: Registry | None = None) -> list[Asset]:
     for s in found:
         sub = bytes(data[s["sub_off"] : s["sub_off"] + s["sub_len"]])
         if s["kind"] != "image":
-            layout = {"text": TEXT, "des": DATA}.get(s["kind"])
+            layout = {"graphic": GRAPHIC, "text": TEXT, "des": DATA}.get(s["kind"])
             meta = read(layout, sub)[0] if layout else {}
             out.append(Asset(f"{s['kind']}:{s['index']}", {"text": "text", "graphic": "graphics"}.get(s["kind"], "data"), offset=s["off"], length=s["len"], metadata={k: v.strip() for k, v in meta.items() if isinstance(v, str)}))
             continue
@@ -83,7 +84,7 @@ def assets(data: bytes, registry: Registry | None = None) -> list[Asset]:
                 meta.update(parsed_records(bytes(data[more["off"] : more["off"] + more["len"]]), registry))
         out.append(Asset(
             f"image:{s['index']}", rows=rows, cols=cols, bands=bands, bh=bh, bw=bw, dtype=dtype, bits=bits, offset=s["off"], length=s["len"], metadata=meta,
-            private={"mode": values["IMODE"], "ic": values["IC"].strip(), "actual": number("ABPP") or bits, "left": values["PJUST"] == "L", "grid": (number("NBPC"), number("NBPR")), "mask": mask_table(data, s["off"], values["IC"].strip(), values["IMODE"], number("NBPR") * number("NBPC"), bands)},
+            private={"tables": [t["LUTD"] for b in values.get("BAND") or () for t in b.get("LUTS") or ()], "mode": values["IMODE"], "ic": values["IC"].strip(), "actual": number("ABPP") or bits, "left": values["PJUST"] == "L", "grid": (number("NBPC"), number("NBPR")), "mask": mask_table(data, s["off"], values["IC"].strip(), values["IMODE"], number("NBPR") * number("NBPC"), bands)},
         ))
     return out
 
@@ -230,6 +231,12 @@ def expected_length(data) -> tuple[int, int]:
     return int(header["FL"]), max([int(header["HL"]), *(s["off"] + s["len"] for s in found)])
 
 
+def complexity(shapes: list[tuple[int, int, int]]) -> int:
+    """The least complexity level whose dimensions hold images (bands, rows, cols)."""
+    most = max((max(rows, cols) for _, rows, cols in shapes), default=1)
+    return next(level for level, limit in sorted(COMPLEXITY.items()) if most <= limit)
+
+
 def checked_data(meta: dict) -> dict:
     """Subheader values of a data segment; its id takes 1 to 25 characters and its version exactly two."""
     name, version = str(meta.get("DESID", "DATA")), meta.get("DESVER", "01")
@@ -241,8 +248,11 @@ def checked_data(meta: dict) -> dict:
     return {**meta, "DESID": name, "DESVER": version}
 
 
-def encode(images: list[tuple[np.ndarray, dict]], texts: list[tuple[str, dict]] = (), data: list[tuple[bytes, dict]] = (), block_size: tuple[int, int] = (256, 256), mode: str = "B", present=None, compression: str | None = None, magic: bytes = MAGIC[0], header: dict | None = None) -> bytes:
-    """A file of uncompressed images (array, metadata), texts and data segments.
+def encode(images: list[tuple[np.ndarray, dict]], texts: list[tuple[str, dict]] = (), data: list[tuple[bytes, dict]] = (), block_size: tuple[int, int] = (256, 256), mode: str = "B", present=None, compression: str | None = None, magic: bytes = MAGIC[0], header: dict | None = None, graphics: list[tuple[bytes, dict]] = ()) -> bytes:
+    """A file of images (array, metadata), graphics, texts and data segments.
+
+    An image's metadata may state NBPP, ABPP and PJUST, one-band look-up tables (``LUTS``, bytes each), tagged ``records`` and
+    fields of its subheader.
 
     ``present`` (image index, block row, block column) says which blocks are recorded;
     with it images are masked (NM).  ``compression`` (C3, C8 ...) has every block coded by the hook
@@ -283,13 +293,18 @@ def encode(images: list[tuple[np.ndarray, dict]], texts: list[tuple[str, dict]]
         if coded != "NC":
             table = (10 + mask.nbytes).to_bytes(4, "big") + (4).to_bytes(2, "big") + bytes(4) + mask.tobytes()
             body = table + body
+        tables = meta.get("LUTS", ())
+        if tables and (bands != 1 or len(tables) > 4 or len({len(t) for t in tables}) > 1):
+            raise FormatError("one band takes up to four tables of one length")
         kind = {"u": "INT", "i": "SI", "f": "R", "c": "C"}[image.dtype.kind] if bits > 1 else "B"
         values = _blank(IMAGE, {
-            "IM": "IM", "IID1": f"IMAGE{k}", "ISCLAS": "U", **meta, "NROWS": rows, "NCOLS": cols, "PVTYPE": kind, "IREP": meta.get("IREP", "RGB" if bands == 3 else "MONO" if bands == 1 else "MULTI"), "ICAT": meta.get("ICAT", "VIS"),
-            "ABPP": bits, "PJUST": "R", "ICORDS": meta.get("ICORDS", " "), "NICOM": 0, "IC": coded, **({"COMRAT": meta.get("COMRAT", "")} if compression else {}), "NBANDS": bands if bands < 10 else 0, "ISYNC": 0, "IMODE": mode,
+            "IM": "IM", "IID1": f"IMAGE{k}", "ISCLAS": "U", **meta, "NROWS": rows, "NCOLS": cols, "PVTYPE": kind, "IREP": meta.get("IREP", "RGB/LUT" if len(tables) == 3 else "RGB" if bands == 3 else "MONO" if bands == 1 else "MULTI"), "ICAT": meta.get("ICAT", "VIS"),
+            "ABPP": meta.get("ABPP", bits), "PJUST": meta.get("PJUST", "R"), "ICORDS": meta.get("ICORDS", " "), "NICOM": 0, "IC": coded, **({"COMRAT": meta.get("COMRAT", "")} if compression else {}), "NBANDS": bands if bands < 10 else 0, "ISYNC": 0, "IMODE": mode,
             "NBPR": gc, "NBPC": gr, "NPPBH": bw, "NPPBV": bh, "NBPP": bits, "IDLVL": k + 1, "IALVL": 0, "ILOC": "0000000000", "IMAG": "1.0 ",
         })
         one = [{"IREPBAND": "RGB"[i] if bands == 3 else "M" if bands == 1 else "", "ISUBCAT": "", "IFC": "N", "IMFLT": "", "NLUTS": 0} for i in range(bands)]
+        if tables:
+            one[0] |= {"IREPBAND": "LU" if len(tables) == 3 else "M", "NLUTS": len(tables), "NELUT": len(tables[0]), "LUTS": [{"LUTD": bytes(t)} for t in tables]}
         values["BAND" if bands < 10 else "XBAND"] = one
         if bands >= 10:
             values["XBANDS"] = bands
@@ -302,13 +317,16 @@ def encode(images: list[tuple[np.ndarray, dict]], texts: list[tuple[str, dict]]
         values |= {"UDIDL": 0, "IXSHDL": len(tagged) + 3 if tagged else 0} | ({"IXSOFL": len(data) if over else 0, "IXSHD": tagged} if tagged else {})
         heads.append(("NUMI", write(IMAGE, values)))
         bodies.append(body)
+    for body, meta in graphics:
+        heads.append(("NUMS", write(GRAPHIC, _blank(GRAPHIC, {"SY": "SY", "SSCLAS": "U", "SFMT": "C", "SCOLOR": "C", **meta, "SXSHDL": 0}))))
+        bodies.append(body)
     for text, meta in texts:
         heads.append(("NUMT", write(TEXT, _blank(TEXT, {"TE": "TE", "TSCLAS": "U", "TXTFMT": "U8S", **meta, "TXSHDL": 0}))))
         bodies.append(text.replace("\r\n", "\n").replace("\n", "\r\n").encode())
     for body, meta in data:
         heads.append(("NUMDES", write(DATA, _blank(DATA, {"DE": "DE", "DSCLAS": "U", **checked_data(meta), "DESSHL": 0}))))
         bodies.append(body)
-    values = _blank(FILE, {"FHDR": magic[:4].decode(), "FVER": magic[4:].decode(), "CLEVEL": 3, "STYPE": "BF01", "FSCLAS": "U", **(header or {})})
+    values = _blank(FILE, {"FHDR": magic[:4].decode(), "FVER": magic[4:].decode(), "CLEVEL": complexity([i.shape for i, _ in images]), "STYPE": "BF01", "FSCLAS": "U", **(header or {})})
     names = {c: (sub, body) for c, sub, body, _ in _KINDS}
     for count, (sub, body) in names.items():
         mine = [(h, b) for (c, h), b in zip(heads, bodies) if c == count]

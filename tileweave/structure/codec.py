@@ -39,7 +39,7 @@ def _code(kind: str, size: int, little: bool) -> str:
 def read(layout: Layout, data: bytes, at: int = 0, offsets: dict | None = None, outer: Mapping | None = None) -> tuple[dict, int]:
     """Values of the present fields, and the place after the last; ``offsets`` gets (place, length) by field."""
     values: dict = {}
-    scope = _Scope(values, outer or {})
+    scope = _Scope(values, {} if outer is None else outer)
 
     def one(field: Field, at: int):
         if field.number:
@@ -123,7 +123,7 @@ def write(layout: Layout, values: Mapping, outer: Mapping | None = None) -> byte
     """Bytes of a structure; names match in any case, and only fields whose condition is false may be missing."""
     given = {k.lower(): v for k, v in values.items()}
     done: dict = {}
-    scope = _Scope(done, outer or {})
+    scope = _Scope(done, {} if outer is None else outer)
     out = bytearray()
 
     def one(field: Field, value) -> bytes:
