@@ -32,20 +32,24 @@ def let(value, body):
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: The folder of each application that names none, so that one application uses one folder.
+_CHOSEN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     ``spark.checkpoint.dir`` names it.  Where that is unset, a local master gets a
-    temporary folder and any other master a folder in the warehouse; the choice is
-    written back so that one session uses one folder.
+    temporary folder and any other master a folder in the warehouse.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if spark.sparkContext.master.startswith("local-cluster") or not spark.sparkContext.master.startswith("local"):
-            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
-        else:
-            found = "file://" + mkdtemp(prefix="tileweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _CHOSEN:
+            master = spark.sparkContext.master
+            local = master.startswith("local") and not master.startswith("local-cluster")
+            _CHOSEN[app] = "file://" + mkdtemp(prefix="tileweave-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
+        found = _CHOSEN[app]
     return found.rstrip("/")
 
 

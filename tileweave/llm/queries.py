@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exactdedup, htmltext, linededup, neardup, quality, sharding, tokencount, urlfilter
-from .common import LOWER, UPPER, dealt, table
+from . import bpe, decontaminate, exactdedup, fim, htmltext, langid, linededup, neardup, quality, sharding, tokencount, urlfilter, whitening
+from .common import LOWER, UPPER, dealt, staged, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 QUALITY_THRESHOLD = 0.3
@@ -66,6 +66,33 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.with_token_digest(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).drop("text")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", whitening.quantised(F.col("embedding")).alias("vector")).where(F.col("vector").isNotNull())
+    rows = dealt(rows)
+    fit = staged(whitening.fit_list(rows), "fit-list")
+    model = whitening.fit_whitening(fit)
+    error = whitening.identity_error(fit, model)
+    projected = whitening.with_whitened(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    shares = F.array(*[F.lit(float(e / model.trace)) for e in model.eigenvalues[: whitening.COMPONENTS]]).cast("array<double>")
+    return projected.select(
+        "vec_id", (F.col("place") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.get(shares, "place").alias("explained"), F.lit(error).alias("identity_error")
+    )
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % langid.HELD_OUT_OF == langid.HELD_OUT
+    found = staged(langid.profiles(dealt(docs.where(~F.coalesce(held_out, F.lit(False))))), "profiles")
+    rows = dealt(docs.select("doc_id", held_out.alias("held_out"), "text"))
+    return langid.with_language(rows, found).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = fim.with_restored(fim.with_fim(docs))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_near_dedup": op2_near_dedup,
@@ -77,6 +104,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_whitening": op11_whitening,
+    "op12_language": op12_language,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 
@@ -104,7 +134,42 @@ SELECT page_id, host, path, rule, coalesce({action}, CASE WHEN strict_terms > 0
 """
 
 
+#: CRC-32 of an id as text, a byte at a time and a bit at a time.
+_CRC_SQL = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda k: ascii(substr(doc_id::VARCHAR, k, 1))::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"""
+
+#: Words' n-grams packed as numbers, ranks by document and by language, and the least out-of-place distance.
+_LANGUAGE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, lang, {_CRC_SQL} % {langid.HELD_OUT_OF} = {langid.HELD_OUT} AS held_out, lower(coalesce(text, '')) AS low FROM documents),
+w AS (SELECT i, w, count(*) AS n FROM (SELECT i, unnest(regexp_extract_all(low, '[\\p{{L}}\\p{{M}}]+')) AS w FROM d WHERE regexp_matches(low, '\\p{{L}}')) GROUP BY ALL),
+v AS (SELECT DISTINCT w, list_transform(range(0, length(w) + 2), lambda k: unicode(substr(' ' || w || ' ', k + 1, 1))::BIGINT) AS u FROM w),
+g AS (SELECT w, unnest(list_concat(u[2:len(u) - 1], list_transform(range(1, len(u)), lambda k: u[k] * 2097152 + u[k + 1]),
+    list_transform(range(1, len(u) - 1), lambda k: (u[k] * 2097152 + u[k + 1]) * 2097152 + u[k + 2]))) AS gram FROM v),
+k AS (SELECT w, gram, count(*) AS n FROM g GROUP BY ALL),
+c AS (SELECT i, gram, sum(w.n * k.n) AS n FROM w JOIN k USING (w) GROUP BY ALL),
+own AS (SELECT i, gram, row_number() OVER (PARTITION BY i ORDER BY n DESC, gram) - 1 AS rank FROM c QUALIFY rank < {langid.SIZE}),
+learned AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, gram) - 1 AS rank FROM c JOIN d USING (i)
+    WHERE lang IS NOT NULL AND NOT held_out GROUP BY lang, gram QUALIFY rank < {langid.SIZE}),
+far AS (SELECT i, lang, sum(coalesce(abs(own.rank - learned.rank), {langid.SIZE})) AS distance, count(*) AS n
+    FROM own CROSS JOIN (SELECT DISTINCT lang FROM learned) LEFT JOIN learned USING (lang, gram) GROUP BY i, lang),
+best AS (SELECT * FROM far QUALIFY row_number() OVER (PARTITION BY i ORDER BY distance, lang) = 1)
+SELECT doc_id, held_out, coalesce(best.lang, '{langid.UNKNOWN}') AS lang_pred, coalesce(1.0::DOUBLE - distance::DOUBLE / ({langid.SIZE} * n), 0.0::DOUBLE) AS score FROM d LEFT JOIN best USING (i)
+"""
+
+_FIM_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS lines, sha256('{fim.SEED}:' || doc_id) AS h FROM documents),
+u AS (SELECT *, len(lines) AS n, list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(h, k, 8))::BIGINT) AS r FROM d),
+c AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS low, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS high,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= {fim.FIM_PERCENT} THEN 'plain' WHEN r[4] % 100 < {fim.SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(lines[1:low], '') AS prefix, array_to_string(lines[low + 1:high], '') AS middle, array_to_string(lines[high + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(text) AS restored_sha256 FROM p
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_language": _LANGUAGE_SQL,
+    "op13_fill_in_middle": _FIM_SQL,
     "op4_url_filter": _url_sql(),
     "op9_exact_dedup": f"""
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents)
