@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import time
 import zlib
 
@@ -176,46 +177,63 @@ def test_pages_that_mislead(page, text):
 
 def brute_content(found):
     """Nodes above the threshold, by the rule of the docstring, with paths as tuples of steps."""
-    paths = []
+    steps_of = {}
     for path, _ in found:
-        steps = []
-        while path is not None:
-            steps.append(path)
-            path = path.parent
-        paths.append(tuple(reversed(steps)))
-    sums = {}
-    for p, (_, text) in zip(paths, found):
-        n, chars, marks = sums.get(p, (0, 0, 0))
-        sums[p] = n + 1, chars + len(text), marks + sum(c in ".,;:!?…。、،।" for c in text)
-    ratio = {p: (chars / n, (marks + 1) / n) for p, (n, chars, marks) in sums.items()}
-
-    def alike(a, b):
-        common = sum(1 for _ in itertools.takewhile(lambda xy: xy[0] is xy[1], zip(a, b)))
-        return (common / max(len(a), len(b))) ** 2
-
-    scores = {}
-    for i, p in enumerate(paths):
-        near = [(paths[j], math.exp(-((i - j) ** 2) / 2) * alike(p, paths[j])) for j in range(max(0, i - 2), min(len(paths), i + 3))]
-        whole = sum(w for _, w in near)
-        scores.setdefault(p, []).append(sum(w * ratio[q][0] for q, w in near) / whole * sum(w * ratio[q][1] for q, w in near) / whole)
-    scores = {p: sum(s) / len(s) for p, s in scores.items()}
-    best = max(scores, key=lambda p: scores[p] * 1e-4 ** sum(x.side for x in p))
-    last = {p: s * 1e-4 ** sum(x.side and x not in best for x in p) for p, s in scores.items()}
-    return [text for p, (_, text) in zip(paths, found) if last[p] >= 0.02 * max(last.values())]
+        steps, step = [], path
+        while step is not None:
+            steps.append(step)
+            step = step.parent
+        steps_of[path] = tuple(reversed(steps))
+    most = [max(getattr(p, what) for p in steps_of) + 1 for what in ("chars", "marks")]
+    ratio = {p: math.sqrt((p.chars + 1) / most[0] * (p.marks + 1) / most[1]) for p in steps_of}
+    mean = sum(ratio.values()) / len(ratio)
+    least = htmltext.SPREAD * math.sqrt(sum((r - mean) ** 2 for r in ratio.values()) / len(ratio))
+
+    def score(path):
+        steps = steps_of[path]
+        last = max([i for i, s in enumerate(steps) if s.side < 1], default=0)
+        return max(ratio.get(s, 0.0) for s in steps[last:]) * math.prod(s.side for s in steps)
+
+    best = 0.6 * max(map(score, steps_of))
+    least = best if len({(p.chars, p.marks) for p in steps_of}) == 1 else min(best, least)
+    return [text for p, text in found if score(p) >= least - 1e-12]
 
 
 def test_content_equals_brute_force(spark, sf_dir):
     pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     rng = random.Random(3)
-    tags = ["<div>", "</div>", "<p>", "</p>", "<div class=ad>", "<article>", "</article>", "<ul><li>", "</ul>", "<h2>", "</h2>", "<footer>", "</footer>", "<b>", "</b>", "<td>"]
+    tags = ["<div>", "</div>", "<p>", "</p>", "<div class=ad>", "<article>", "</article>", "<ul><li>", "</ul>", "<h2>", "</h2>", "<footer>", "</footer>", "<b>", "</b>", "<td>", "<a>", "</a>", "<div class='share tags'>"]
     pages += ["".join(rng.choice(tags) + rng.choice(["", "Word.", "some words here, and there.", "x" * 80]) for _ in range(40)) for _ in range(300)]
-    differ = 0
     for page in pages:
         found = htmltext.nodes(page)
-        wanted = "\n\n".join(brute_content(found)) if found else ""
-        assert htmltext.main_text(page) == wanted
-        differ += wanted != "\n\n".join(t for _, t in found)
-    assert differ > 300  # the scores decide
+        assert htmltext.main_text(page) == ("\n\n".join(brute_content(found)) if found else "")
+
+
+def test_ratios_decide(spark, sf_dir, monkeypatch):
+    """Neither constant ratios nor a drop by words alone give the result."""
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    right = [htmltext.main_text(p) for p in pages]
+    for page, text in zip(pages, right):  # the article's blocks, whole
+        inner = re.search(r"<article>(.*?)(?:</article>|<footer>)", page, re.S)
+        assert text == "\n\n".join(t for _, t in htmltext.nodes(inner[1]))
+    long = "An article's own paragraph, with a comma and more. " * 6
+    own = [f"<article><p>{long}</p><p>{long}</p><div class='{c}'><p>{long}</p></div></article>" for c in ("search-result", "share", "tags", "social", "header")]
+    beside = f"<div><a href=x>One</a> <a href=y>Two</a></div><div>Buy now.</div><article><p>{long}</p><p>{long}</p></article>"  # no word tells it
+    small = f"<article><p>{long}</p></article><div class=tags>red, green</div>"
+    assert all(htmltext.main_text(p).count("paragraph") == 18 for p in own)
+    assert htmltext.main_text(beside) == htmltext.main_text(small + f"<article><p>{long}</p></article>") == "\n\n".join([long.strip()] * 2)
+    assert htmltext.main_text(f"<article><p>{long}</p><h2>Short</h2><ul><li>one</li><li>two</li></ul></article>").endswith("Short\n\none\n\ntwo")
+    monkeypatch.setattr(htmltext, "path_ratios", lambda paths: dict.fromkeys(paths, 1.0))
+    assert sum(htmltext.main_text(p) != t for p, t in zip(pages, right)) > 0.9 * len(pages)
+
+
+def test_no_depth_is_cut():
+    deep = "<div>" * 3000
+    long = "Some text, and more. " * 20
+    assert htmltext.main_text(f"{deep}<template><p>{long}</p></template><p>seen</p>") == "seen"
+    a, b = "one two three four five", "one two three four six"
+    found = htmltext.nodes(f"<div class='{a}'><p>x</p></div><div class='{b} comments'><p>y</p></div>")
+    assert found[0][0] is not found[1][0]
 
 
 def test_page_columns_clash(spark):

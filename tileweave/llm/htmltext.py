@@ -1,21 +1,23 @@
 """Main text of web pages by tag-path ratios (operator 5).
 
-A page becomes a list of text nodes (blocks), each with its root-to-leaf tag path: the
-block elements above it with the words of their class and id.  For every path text
-length and punctuation are summed and divided by its number of nodes.  Along the page
-both ratios are smoothed by a Gaussian whose weights fall with the distance of nodes
-and rise with what their paths share from the root, so a heading takes part of the
-paragraphs below it and an advert beside them doesn't.  The product of the two,
-averaged over a path's nodes, is the path's score.  Elements and words that name
-something beside the article (menus, headers, footers, adverts, forms, comments and
-the like) cut the scores of the paths below them by ``SIDE_FACTOR``, except where they
-are on the best path themselves and so set nothing apart.  The nodes of all paths that
-score ``SHARE_OF_BEST`` of the best one or more are the content.
+A page becomes a list of text nodes (blocks), each with its root-to-leaf tag path.  Text
+elements (paragraphs, headings, list items ...) count for the path of the element that holds them.
+For every such path the text outside links and the punctuation of its nodes are summed, and
+both are divided by the page's greatest.  The two ratios are fused by their geometric mean.  They are
+smoothed down the paths: a path takes the greatest ratio of those above it, so a list or a
+heading inside an article has the article's ratio and a menu beside it doesn't.
+
+Elements and words in class, id or role that may name something beside the article
+(menus, footers, adverts, comments ...) are evidence, too: such a path
+takes nothing from above it and its score is its own ratio times ``STRONG`` or ``WEAK``.  The threshold
+follows the spread of the page's ratios (``SPREAD`` standard deviations over its paths, but no more than
+``SHARE_OF_BEST`` of the best score): the less ratios differ, the less is dropped, whatever words say; only
+where the sums of all paths are the very same do words decide.  The nodes of all paths that reach it are the content.
 
 Defined results: a null page counts as empty, and a page without text gives the empty
 text.  Pages are read whole.  Malformed mark-up is read on as browsers do: quotes open
 only after an equals sign, ``<!-->`` is a comment, an unclosed comment or attribute
-value takes the rest, elements nested deeper than ``MAX_DEPTH`` count as that deep;
+value takes the rest, however deep elements are nested;
 references are decoded within a run of text.  Repeated rows and ties give equal
 results, an empty table an empty one; extra columns pass through, whatever their names,
 unless they carry a result's name, in which case the result replaces them.
@@ -26,6 +28,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import statistics
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,17 +48,19 @@ INLINE = frozenset(
     "a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label map mark math meter object output picture progress q rb rp rt rtc ruby s samp slot small span strike strong sub "
     "sup svg time tt u var video wbr menclose merror mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
-#: Elements that stand beside an article's text.
-SIDE = frozenset("nav footer header aside form menu dialog fieldset button select option optgroup".split())
-#: Words in class, id or role that name something beside the article.
+#: Elements whose text counts for the element that holds them.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption pre blockquote address summary".split())
+#: Elements, and words in class, id or role, that mostly name something beside an article's text ...
+SIDE = frozenset("nav footer aside form menu dialog fieldset button select option optgroup".split())
 SIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disqus dropdown footer header hidden login masthead menu menus modal nav navbar navigation "
-    "newsletter notice notices pagination pager popup promo promoted recommended related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget".split()
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus dropdown footer hidden login masthead menu menus modal nav navbar navigation "
+    "newsletter notice notices pagination pager popup promo promoted recommended related reply replies sidebar signup skip sponsor sponsored subscribe subscription toolbar widget".split()
 )
-#: Open elements, at most, as in browsers.
-MAX_DEPTH = 512
-#: What a side element or word leaves of a path's score, the threshold, and the reach of the smoothing.
-SIDE_FACTOR, SHARE_OF_BEST, RADIUS = 1e-4, 0.02, 2
+#: ... and those that often do.
+UNSURE = frozenset(("header",))
+UNSURE_WORDS = frozenset("byline header search share sharing social tags".split())
+#: What these leave of a path's score; the threshold in standard deviations of the page's ratios, and in shares of the best score at most.
+STRONG, WEAK, SPREAD, SHARE_OF_BEST = 0.02, 0.8, 1 / 3, 0.6
 
 _TOKEN = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)"
@@ -75,58 +80,61 @@ _LAYOUT = frozenset("has with no without is not".split())
 
 
 class Path:
-    """A root-to-leaf tag path and its sums over the nodes that stand on it."""
+    """A root-to-leaf tag path, what its words leave of a score, and its sums over the nodes that count for it."""
 
-    __slots__ = ("below", "chars", "depth", "marks", "nodes", "parent", "side", "tag")
+    __slots__ = ("below", "chars", "marks", "parent", "share", "side")
 
-    def __init__(self, parent: Path | None, tag: str, side: bool):
-        self.parent, self.tag, self.side, self.below = parent, tag, side, {}
-        self.depth = parent.depth + 1 if parent else 0
-        self.nodes = self.chars = self.marks = 0
+    def __init__(self, parent: Path | None, side: float):
+        self.parent, self.side, self.below = parent, side, {}
+        self.share = side * parent.share if parent else 1.0
+        self.chars = self.marks = 0
 
-    def child(self, label: str, tag: str, side: bool) -> Path:
-        found = self.below.get(label)
+    def child(self, tag: str, side: float) -> Path:
+        found = self.below.get((tag, side))
         if found is None:
-            found = self.below[label] = Path(self, tag, side)
+            found = self.below[tag, side] = Path(self, side)
         return found
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """The element's label in a path, and whether it stands beside the article."""
-    side, words = tag in SIDE, []
+def _side(tag: str, attributes: str) -> float:
+    """What an element's name and words leave of a score."""
+    least = STRONG if tag in SIDE else WEAK if tag in UNSURE else 1.0
     if "=" in attributes or "hidden" in attributes.lower():
         for m in _MARKS.finditer(attributes):
             for name in (m[2] or m[3] or m[4] or "").lower().split():
                 parts = _WORD.findall(name)
-                words += parts
-                side = side or bool(parts and parts[0] not in _LAYOUT and not SIDE_WORDS.isdisjoint(parts))
-        side = side or bool(_HIDDEN.search(attributes))
-    return ".".join([tag, *words[:4]]) + "!" * side, side
+                if parts and parts[0] not in _LAYOUT:
+                    least = min(least, 1.0 if SIDE_WORDS.isdisjoint(parts) else STRONG, 1.0 if UNSURE_WORDS.isdisjoint(parts) else WEAK)
+        if _HIDDEN.search(attributes):
+            least = STRONG
+    return least
 
 
 def nodes(page: str) -> list[tuple[Path, str]]:
     """Path and text of each block in page order."""
     out: list[tuple[Path, str]] = []
-    root = Path(None, "", False)
-    stack: list[tuple[str, Path, bool]] = [("", root, False)]  # tag, path of the block elements, unseen
+    root = Path(None, 1.0)
+    stack: list[tuple[str, Path, Path, bool]] = [("", root, root, False)]  # tag, path of the block elements, the path its text counts for, unseen
     opened: dict[str, int] = {}
     text: list[str] = []
+    plain: list[str] = []  # what of it is in no link
     at, size = 0, len(page)
 
     def flush() -> None:
         if text:
-            joined = " ".join("".join(text).split())
+            joined, own = (" ".join("".join(t).split()) for t in (text, plain))
             text.clear()
+            plain.clear()
             if joined:
-                path = stack[-1][1]
-                path.nodes += 1
-                path.chars += len(joined)
-                path.marks += len(_PUNCTUATION.findall(joined))
+                path = stack[-1][2]
+                path.chars += len(own)
+                path.marks += len(_PUNCTUATION.findall(own))
                 out.append((path, joined))
 
     def said(run: str) -> None:
-        if not stack[-1][2]:
+        if not stack[-1][3]:
             text.append(html.unescape(run) if "&" in run else run)
+            plain.append(" " if opened.get("a") else text[-1])
 
     def pop() -> str:
         tag = stack.pop()[0]
@@ -183,8 +191,8 @@ def nodes(page: str) -> list[tuple[Path, str]]:
                 flush()
             continue
         if tag in INLINE:
-            if not m[2].endswith("/") and len(stack) < MAX_DEPTH:
-                stack.append((tag, stack[-1][1], stack[-1][2]))
+            if not m[2].endswith("/"):
+                stack.append((tag, *stack[-1][1:]))
                 opened[tag] = opened.get(tag, 0) + 1
             continue
         flush()
@@ -198,87 +206,50 @@ def nodes(page: str) -> list[tuple[Path, str]]:
             if stack[i][0] in closes:
                 while len(stack) > i:
                     pop()
-        if len(stack) < MAX_DEPTH:
-            path, unseen = stack[-1][1], stack[-1][2] or tag in UNSEEN
-            if tag not in ("html", "body"):
-                path = path.child(*_named(tag, m[2]))
-            stack.append((tag, path, unseen))
-            opened[tag] = opened.get(tag, 0) + 1
+        _, path, holder, unseen = stack[-1]
+        if tag not in ("html", "body"):
+            side = _side(tag, m[2])
+            above, path = path, path.child(tag, side)
+            holder = above if tag in TEXT and side == 1.0 else path
+        stack.append((tag, path, holder, unseen or tag in UNSEEN))
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
     return out
 
 
-def _named(tag: str, attributes: str) -> tuple[str, str, bool]:
-    label, side = _label(tag, attributes)
-    return label, tag, side
-
-
-def _shared(a: Path, b: Path) -> float:
-    """Share of two paths that is common from the root on."""
-    longest = max(a.depth, b.depth)
-    while a.depth > b.depth:
-        a = a.parent
-    while b.depth > a.depth:
-        b = b.parent
-    while a is not b:
-        a, b = a.parent, b.parent
-    return (1 + a.depth) / (1 + longest)
-
-
-def path_scores(found: list[tuple[Path, str]]) -> dict[Path, float]:
-    """Smoothed and fused ratios of each path: text length and punctuation a node."""
-    ratio = {path: (path.chars / path.nodes, (path.marks + 1) / path.nodes) for path, _ in found}
-    fall = [math.exp(-(d**2) / 2) for d in range(RADIUS + 1)]
-    alike: dict[tuple[Path, Path], float] = {}
-    total: dict[Path, float] = {}
-    for i, (path, _) in enumerate(found):
-        weights = chars = marks = 0.0
-        for j in range(max(0, i - RADIUS), min(len(found), i + RADIUS + 1)):
-            other = found[j][0]
-            share = alike.get((path, other))
-            if share is None:
-                share = alike[path, other] = _shared(path, other) ** 2
-            w = fall[abs(i - j)] * share
-            weights, chars, marks = weights + w, chars + w * ratio[other][0], marks + w * ratio[other][1]
-        total[path] = total.get(path, 0.0) + chars / weights * marks / weights
-    return {path: score / path.nodes for path, score in total.items()}
-
-
-def content_paths(scores: dict[Path, float]) -> set[Path]:
-    """Paths above the threshold, once the scores of those beside the article are cut."""
-
-    def cut(neutral: set[Path]) -> dict[Path, float]:
-        factor: dict[Path, float] = {}
-
-        def of(path: Path) -> float:
-            chain = []
-            while path is not None and path not in factor:
-                chain.append(path)
-                path = path.parent
-            known = factor[path] if path is not None else 1.0
-            for step in reversed(chain):
-                known = factor[step] = known * (SIDE_FACTOR if step.side and step not in neutral else 1.0)
-            return known
-
-        return {path: score * max(of(path), 1e-200) for path, score in scores.items()}
-
-    def best_of(cut_scores: dict[Path, float]) -> Path:
-        return max(cut_scores, key=cut_scores.__getitem__)
-
-    best, neutral = best_of(cut(set())), set()
-    while best is not None:
-        neutral.add(best)
-        best = best.parent
-    last = cut(neutral)
-    least = SHARE_OF_BEST * max(last.values())
-    return {path for path, score in last.items() if score >= least}
+def path_ratios(paths: set[Path]) -> dict[Path, float]:
+    """Fused ratio of each path: text and punctuation of its nodes, each against the page's greatest."""
+    chars, marks = max(p.chars for p in paths), max(p.marks for p in paths)
+    return {p: math.sqrt((p.chars + 1) / (chars + 1) * (p.marks + 1) / (marks + 1)) for p in paths}
+
+
+def content_paths(paths: set[Path]) -> set[Path]:
+    """Paths above the threshold, ratios smoothed down the paths and weighed with what words say."""
+    ratio = path_ratios(paths)
+    smooth: dict[Path, float] = {}
+
+    def of(path: Path) -> float:
+        chain = []
+        while path is not None and path not in smooth:
+            chain.append(path)
+            path = path.parent
+        known = smooth[path] if path is not None else 0.0
+        for step in reversed(chain):
+            known = smooth[step] = max(ratio.get(step, 0.0), known if step.side == 1.0 else 0.0)
+        return known
+
+    scores = {path: of(path) * path.share for path in paths}
+    least = SHARE_OF_BEST * max(scores.values())
+    if len({(p.chars, p.marks) for p in paths}) > 1:
+        least = min(least, SPREAD * statistics.pstdev(ratio.values()))
+    return {path for path, score in scores.items() if score >= least}
 
 
 def main_text(page: str) -> str:
     found = nodes(page)
     if not found:
         return ""
-    content = content_paths(path_scores(found))
+    content = content_paths({path for path, _ in found})
     return "\n\n".join(text for path, text in found if path in content)
 
 
