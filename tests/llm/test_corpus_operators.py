@@ -245,22 +245,34 @@ def test_repeated_passages_are_removed(spark):
     assert got[22]["text"] is None and got[23]["text"] == "" and got[24]["text"] == "\n\n"
 
 
+def brute_folded(text):
+    """(line, part, parts, bytes) of the folded lines that aren't blank."""
+    out = []
+    for i, line in enumerate((text or "").split("\n")):
+        if line.strip(" \t\r\n"):
+            words = re.findall("[^ ]* |[^ ]+", line)
+            cuts = [words[k : k + linededup.WIDTH] for k in range(0, len(words), linededup.WIDTH)] or [[]]
+            out += [(i, k, len(cuts), "".join(c)) for k, c in enumerate(cuts)]
+    return out
+
+
 def brute_passages(rows):
-    """Lines of runs that stand earlier, run by run."""
-    spots, out = {}, {}
-    held = {d: (t or "").split("\n") for d, t in sorted(rows)}
-    filled = {d: [i for i, x in enumerate(lines) if x.strip(" \t\r\n")] for d, lines in held.items()}
-    for d, lines in held.items():
-        gone, at = set(), filled[d]
-        for k, i in enumerate(at):
-            for e, s in spots.get(lines[i], []):
-                n = 0
-                while k + n < len(at) and s + n < len(filled[e]) and lines[at[k + n]] == held[e][filled[e][s + n]]:
-                    n += 1
-                if n > 1 or lines[i].count(" ") + 1 >= linededup.LONG_WORDS:
-                    gone |= set(range(i, at[k + n - 1] + 1)) if n > 1 else {i}
-            spots.setdefault(lines[i], []).append((d, k))
-        out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    """Runs of three folded lines or more that stand at an earlier place, window by window; nothing of chunks."""
+    seen, out = set(), {}
+    for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        held, gone = brute_folded(text), set()
+        for j in range(len(held) - linededup.LINES + 1):
+            window = tuple(x[3] for x in held[j : j + linededup.LINES])
+            if window in seen:
+                gone |= set(range(j, j + linededup.LINES))
+            seen.add(window)
+        lines, dropped = (text or "").split("\n"), set()
+        for j in sorted(gone):
+            if j - 1 not in gone:
+                start = held[j][0] + (held[j][1] > 0)
+            if j + 1 not in gone:
+                dropped |= set(range(start, held[j][0] + (held[j][1] == held[j][2] - 1)))
+        out[d] = "\n".join(x for i, x in enumerate(lines) if i not in dropped)
     return out
 
 
@@ -282,6 +294,43 @@ def test_short_passages_go_whole(spark, tmp_path):
     assert brute[31] == "own 3 1\nend 3 1\nlone"
 
 
+def test_lines_stay_unless_their_run_stands_elsewhere(spark):
+    """A, B and C stand in pairs elsewhere, but never all three together."""
+    rows = [(1, "A\nB\nx"), (2, "y\nB\nC\nz"), (3, "p\nA\nB\nC\nq"), (4, "r\nA\n\nB\nC\ns")]
+    got = {r["doc_id"]: r["text"] for r in linededup.without_repeated_chunks(frame(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: rows[2][1], 4: "r\ns"}
+    # A passage on one long line is folded; a line that a run only reaches into stays.
+    long = " ".join(f"w{i}" for i in range(70))
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd"), (3, f"e\n{long} and more\nf"), (4, f"{long}  \n \n\n{long}")]
+    got = {r["doc_id"]: r["text"] for r in linededup.without_repeated_chunks(frame(spark, rows)).collect()}
+    assert got == brute_passages(rows) and got[2] == "c\nd" and got[3] == rows[2][1]
+
+
+@pytest.mark.parametrize("cut", [1, 2, 4, 1000])
+def test_boundaries_change_no_result(spark, monkeypatch, cut):
+    """Whatever the mean chunk, the same lines go: what chunks miss, their extension finds."""
+    rng = np.random.default_rng(cut)
+    rows = [(i, "\n".join(f"line {w}" if w else "" for w in rng.integers(0, 9, rng.integers(0, 40)))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + "\ntail") for i in range(20)] + [(200, None), (201, ""), (None, rows[3][1])]
+    monkeypatch.setattr(linededup, "CUT", cut)
+    got = {r["doc_id"]: r["text"] or "" for r in linededup.without_repeated_chunks(frame(spark, rows)).collect()}
+    assert got == brute_passages(rows)
+
+
+def test_copies_of_many_lines_take_linear_time(spark):
+    import time
+
+    took = []
+    for n in (30_000, 300_000):
+        text = "\n".join(f"line {i * 7919 % 1000003}" for i in range(n))
+        began = time.time()
+        got = linededup.without_repeated_chunks(frame(spark, [(1, text), (2, "head\n" + text), (3, text[: len(text) // 2])])).select("doc_id", "n_lines", "n_removed").collect()
+        took.append(time.time() - began)
+        by = {r["doc_id"]: r["n_removed"] for r in got}
+        assert by[1] == 0 and by[2] == n and abs(by[3] - n // 2) < n // 50
+    assert took[1] < took[0] * 12
+
+
 def test_line_edges(spark):
     docs = frame(spark, [(1, "a\nb\nc\nd", "k"), (1, "a\nb\nc\nd", "k"), (None, "q", "k")], "doc_id long, text string, chunk string")
     got = linededup.without_repeated_chunks(docs)
@@ -295,11 +344,11 @@ def test_line_edges(spark):
 
 def test_very_long_texts_and_ties_of_lines(spark):
     long = "\n".join(f"line {i % 5000} of it" for i in range(20_000))
-    rows = [(1, long), (2, "before\n" + long[:100_000]), (3, None), (3, "x\ny"), (3, "x\ny\nz")]
+    rows = [(1, long), (2, "before\n" + long[:100_000]), (3, None), (3, "x\ny\nz"), (3, "x\ny\nz\nw")]
     got = sorted((r["doc_id"], r["text"] or "") for r in linededup.without_repeated_chunks(frame(spark, rows)).collect())
     assert got[0][1].split("\n")[:5000] == long.split("\n")[:5000] and len(got[0][1].split("\n")) == 5000
     assert got[1][1].startswith("before") and len(got[1][1]) < 40
-    assert sum(t.count("x\ny") for d, t in got if d == 3) == 1
+    assert sum(t.count("x\ny\nz") for d, t in got if d == 3) == 1
 
 
 # --- leaks --------------------------------------------------------------------

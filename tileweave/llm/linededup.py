@@ -1,86 +1,175 @@
 """Line deduplication by content-defined line chunks (operator 8).
 
-A rolling hash runs over the hashes of two neighbouring lines.  Lines whose rolling
-hash stands nowhere else in the corpus have a chunk boundary between them, so chunks
-are the runs of lines between such places: boundaries follow the content alone and
-don't shift with what stands before, and a repeated passage is a chunk from its first
-line to its last one.  Chunks are compared by their bytes, two lines at a time (a run is
-repeated if all its pairs are), and every line of a chunk that stood at an earlier place
-(doc_id, then place) is removed.  A line of ``LONG_WORDS`` words or more counts as
-folded into several lines, so it is a chunk of several lines by itself; shorter single
-lines stay, however often they occur.
-
-Rolling hashes are counted first; only the bytes of those that occur again move.
+Lines are hashed, and a rolling hash runs over the hashes of two neighbouring lines.
+Where it is a multiple of ``CUT`` a chunk ends: boundaries follow two lines alone, so what stands before doesn't shift
+them.  Chunks of ``LINES`` lines or more that stand at an earlier place (doc_id, then
+place), too, are removed, after a comparison of their bytes.
+
+A repeated passage starts and ends inside chunks, and a short one holds no whole chunk.
+So what is left is extended line by line: any ``LINES`` neighbouring lines that aren't inside a
+removed chunk are compared in the same way, hashes first and bytes then.  A window inside a removed
+chunk stands in the chunk's first copy as well, so nothing is lost by leaving those out, and each
+bulk of copies is compared chunk by chunk, once.  Together: every run of ``LINES`` lines
+or more that stands at an earlier place is removed, wherever boundaries fall.  Runs must stand
+there as a whole: lines whose neighbours differ in all other places stay, however often they occur.
+
+Lines are folded at every ``WIDTH`` words, as a page would fold them, so a paragraph on one line
+is compared as several; only lines that are removed from end to end go.
+
+Hashes are counted first; only the bytes of those that occur again move.
 
 Defined results: a null text counts as empty and stays null; the empty text is one
-blank line and keeps it.  Blank lines are in no chunk; those inside a removed one go
+blank line and keeps it.  Blank lines are in no chunk; those inside a removed run go
 along.  Repeated rows (same doc_id and text) are one document: they keep and lose the
 same lines.  A null doc_id comes first; at equal doc_ids the hash of the text decides.  A
-text that loses all its lines becomes empty.  An empty table gives an empty result.
-Extra columns pass through, whatever their names, but ``n_lines`` and ``n_removed``
-are replaced.
+text that loses all its lines becomes empty.  An empty table gives an empty result.  Time is linear
+in the lines of a text.  Extra columns pass through, whatever their names, but ``n_lines`` and
+``n_removed`` are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, filter_bits, let, may_be_among, packed, spread_join, staged, text_or_empty
 
-#: A line of so many words counts as several.
-LONG_WORDS = 40
+#: Words after which a line is folded, lines of the least run that is removed, and lines of a mean chunk.
+WIDTH, LINES, CUT = 16, 3, 4
+
 
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
-def _rolled(lines: Column) -> Column:
-    """pos, last and roll (rolling hash) of each pair of neighbouring lines that aren't blank, and of each long line."""
+
+def _folded(text: Column) -> Column:
+    """Folded lines of a text that aren't blank: line (its number), part (of it), parts and u (the bytes)."""
     blank = lambda line: F.btrim(line, F.lit(" \t\r\n")) == ""
-    words = lambda line: F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    held = F.filter(F.transform(lines, lambda line, i: F.struct(i.alias("i"), blank(line).alias("blank"), F.xxhash64(line).alias("h"), (words(line) >= LONG_WORDS).alias("long"))), lambda x: ~x["blank"])
+    long = lambda line: F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= WIDTH
+    parts = lambda line: F.when(long(line), F.regexp_extract_all(line, F.lit(f"(?:[^ ]*+ ){{{WIDTH}}}|[\\s\\S]+"), F.lit(0))).otherwise(F.array(line))
 
-    def rolls(held: Column) -> Column:
-        pair = lambda x, k: F.struct(x["i"].alias("pos"), F.get(held, k + 1)["i"].alias("last"), F.xxhash64(x["h"], F.get(held, k + 1)["h"]).alias("roll"))
-        two = F.filter(F.transform(held, pair), lambda x: x["last"].isNotNull())
-        long = F.transform(F.filter(held, lambda x: x["long"]), lambda x: F.struct(x["i"].alias("pos"), x["i"].alias("last"), F.xxhash64(F.lit("folded"), x["h"]).alias("roll")))
-        return F.concat(two, long)
+    def of(line: Column, i: Column) -> Column:
+        cut = let(parts(line), lambda p: F.transform(p, lambda u, k: F.struct(i.alias("line"), k.alias("part"), F.size(p).alias("parts"), u.alias("u"))))
+        return F.when(~blank(line), cut).otherwise(F.array().cast("array<struct<line:int,part:int,parts:int,u:string>>"))
 
-    return let(held, rolls)
+    return F.flatten(F.transform(_lines(text), of))
 
 
-def _lines(text: Column) -> Column:
-    return F.split(text, "\n", -1)
+def _bytes(held: Column, start: Column, size: Column | int) -> Column:
+    return F.array_join(F.transform(F.slice(held, start + 1, size), lambda x: x["u"]), "\n")
+
+
+def _chunks(held: Column, with_bytes: bool) -> Column:
+    """start, end (numbers of folded lines), hash and, if wanted, bytes of each chunk of ``LINES`` lines or more."""
+
+    def cut(hashes: Column) -> Column:
+        gaps = F.when(F.size(held) > 1, F.sequence(F.lit(0), F.size(held) - 2)).otherwise(F.array().cast("array<int>"))
+        ends = F.concat(F.filter(gaps, lambda j: F.pmod(F.xxhash64(F.get(hashes, j), F.get(hashes, j + 1)), F.lit(CUT)) == 0), F.array(F.size(held) - 1))
+        spans = let(ends, lambda ends: F.transform(ends, lambda e, n: F.struct(F.coalesce(F.get(ends, n - 1) + 1, F.lit(0)).alias("start"), e.alias("end"))))
+        many = F.filter(spans, lambda s: s["end"] - s["start"] >= LINES - 1)
+
+        def shown(s: Column) -> Column:
+            size = s["end"] - s["start"] + 1
+            more = [_bytes(held, s["start"], size).alias("bytes")] if with_bytes else []
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(F.slice(hashes, s["start"] + 1, size)).alias("hash"), *more)
+
+        return F.transform(many, shown)
+
+    return let(F.transform(held, lambda x: F.xxhash64(x["u"])), cut)
 
 
-def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """key (of a document) and dropped (places of lines) of every document with lines that stood at an earlier place."""
-    body = text_or_empty(text)
-    found = docs.select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(body).alias("hash")).alias("key"), _lines(body).alias("lines"))
-    rolled = found.select("key", "lines", F.explode(_rolled(F.col("lines"))).alias("u")).select("key", "lines", "u.*")
-    often = staged(rolled.groupBy("roll").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("roll"), "repeated-hashes")
-    likely = may_be_among(rolled, F.col("roll"), often, bits=filter_bits(often.count())).where("_maybe")
-    unit = F.when(F.col("pos") == F.col("last"), F.get("lines", "pos")).otherwise(F.concat(F.get("lines", "pos"), F.lit("\n"), F.get("lines", "last")))
-    likely = staged(likely.select("key", "pos", "last", "roll", unit.alias("unit")), "likely-repeated")  # the bytes of few others move
-    again = likely.groupBy("roll", "unit").agg(F.min(F.struct("key", "pos")).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    extra = spread_join(likely, again, ["roll", "unit"]).where(~F.struct("key", "pos").eqNullSafe(F.col("owner")))
-    runs = extra.groupBy("key").agg(F.collect_set(F.struct("pos", "last")).alias("runs"))  # no more than a document's lines
-    gone = staged(runs.select("key", F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["pos"], r["last"])))).alias("dropped")), "dropped-lines")
+def _windows(held: Column, with_bytes: bool, removed: Column) -> Column:
+    """As ``_chunks``, for every ``LINES`` neighbouring lines that don't all lie inside one run of ``removed`` (sorted starts and ends)."""
+
+    def cut(hashes: Column) -> Column:
+        def shown(j: Column) -> Column:
+            more = [_bytes(held, j, LINES).alias("bytes")] if with_bytes else []
+            return F.struct(j.alias("start"), (j + LINES - 1).alias("end"), F.xxhash64(*[F.get(hashes, j + k) for k in range(LINES)]).alias("hash"), *more)
+
+        # Starts of windows: those from the end of one removed chunk to the start of the next, windows that reach into either included.
+        last = F.size(held) - LINES
+        nth = lambda n, side, otherwise: F.coalesce(F.get(removed, n)[side], otherwise)
+        between = F.transform(
+            F.sequence(F.lit(0), F.coalesce(F.array_size(removed), F.lit(0))),
+            lambda n: F.struct(F.when(n == 0, F.lit(0)).otherwise(nth(n - 1, "end", F.lit(0)) - LINES + 2).alias("from"), F.least(nth(n, "start", last + 1) - 1, last).alias("to")),
+        )
+        starts = F.flatten(F.transform(F.filter(between, lambda s: s["from"] <= s["to"]), lambda s: F.sequence(s["from"], s["to"])))
+        return F.transform(starts, shown)
+
+    return let(F.transform(held, lambda x: F.xxhash64(x["u"])), cut)
+
+
+def _stand_earlier(texts: DataFrame, pieces, name: str) -> DataFrame:
+    """key, start and end of the pieces (``pieces(held, with_bytes)``) of texts that stand at an earlier place, too, bytes compared."""
+    held = lambda with_bytes: let(_folded(F.col("body")), lambda held: pieces(held, with_bytes))
+    hashes = texts.select(F.explode(held(False)).alias("p")).select("p.hash")
+    often = staged(hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), f"repeated-{name}")
+    rows = texts.select("key", F.explode(held(True)).alias("p")).select("key", "p.*")
+    likely = staged(may_be_among(rows, F.col("hash"), often, bits=filter_bits(often.count())).where("_maybe").drop("_maybe"), f"likely-{name}")  # the bytes of few others move
+    place = F.struct("key", "start")
+    again = likely.groupBy("hash", "bytes").agg(F.min(place).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    found = staged(spread_join(likely, again, ["hash", "bytes"]).where(~place.eqNullSafe(F.col("owner"))).select("key", "start", "end").distinct(), f"earlier-{name}")
     dropped(often, likely)
+    return found
+
+
+def _runs(pieces: DataFrame, join: bool) -> DataFrame:
+    """key and runs (sorted starts and ends) of pieces; ``join``: runs that overlap or touch are one."""
+    if join:
+        before = Window.partitionBy("key").orderBy("start", "end")
+        open_ = pieces.withColumn("reached", F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)))
+        island = F.sum(F.when(F.col("start") <= F.col("reached") + 1, 0).otherwise(1)).over(before)
+        pieces = open_.withColumn("island", island).groupBy("key", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return pieces.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))  # no more than a document's lines
+
+
+def _with_runs(keyed: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``keyed`` (key, ...) that may have runs, with them, and the others, which needn't move."""
+    marked = may_be_among(keyed, F.xxhash64("key"), runs, bits=filter_bits(runs.count()))
+    found = marked.where("_maybe").drop("_maybe").join(runs.withColumnRenamed("key", "of"), F.col("key").eqNullSafe(F.col("of")), "left").drop("of")
+    return found, marked.where(~F.col("_maybe")).drop("_maybe")
+
+
+def _key(doc_id: str, text: str) -> Column:
+    return F.struct(F.col(doc_id).alias("id"), F.xxhash64(text_or_empty(text)).alias("hash"))
+
+
+RUNS = "array<struct<start:int,end:int>>"
+
+
+def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """key (of a document) and runs (of its folded lines) that stand at an earlier place."""
+    texts = docs.select(_key(doc_id, text).alias("key"), text_or_empty(text).alias("body"))
+    chunks = _stand_earlier(texts, _chunks, "chunks")
+    whole = staged(_runs(chunks, False), "removed-chunks")
+    found, others = _with_runs(texts, whole)
+    left = found.unionByName(others.withColumn("runs", F.lit(None).cast(RUNS)))
+    edges = _stand_earlier(left, lambda held, with_bytes: _windows(held, with_bytes, F.col("runs")), "windows")
+    gone = staged(_runs(chunks.unionByName(edges), True), "removed-runs")
+    dropped(chunks, whole, edges)
     return gone
 
 
 def without_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lines_to: str = "n_lines", removed_to: str = "n_removed") -> DataFrame:
-    """``docs`` with ``text`` freed of repeated chunks, and numbers of lines in ``lines_to`` and ``removed_to``."""
-    gone = repeated_chunks(docs, doc_id, text)
-    keyed = packed(docs).withColumn("key", F.struct(F.col(f"row.`{doc_id}`").alias("id"), F.xxhash64(text_or_empty(f"row.`{text}`")).alias("hash")))
-    marked = may_be_among(keyed, F.xxhash64("key"), gone, bits=filter_bits(gone.count()))
-    found = marked.where("_maybe").drop("_maybe").join(gone.withColumnRenamed("key", "of"), F.col("key").eqNullSafe(F.col("of")), "left").select("row", "dropped")
-    whole = marked.where(~F.col("_maybe")).select("row", F.lit(None).cast("array<int>").alias("dropped"))  # nothing to drop: such texts stay where they are
-    cut = found.unionByName(whole).withColumn("lines", _lines(text_or_empty(f"row.`{text}`")))
-    kept = F.array_join(F.filter("lines", lambda _, i: ~F.array_contains("dropped", i)), "\n")
-    result = {
-        text: F.when(F.col("dropped").isNull(), F.col(f"row.`{text}`")).otherwise(kept),
-        lines_to: F.size("lines").cast("long"),
-        removed_to: F.coalesce(F.size("dropped"), F.lit(0)).cast("long"),
-    }
-    names = [*docs.columns, *[n for n in (lines_to, removed_to) if n not in docs.columns]]
-    return cut.select(*[(result[c] if c in result else F.col(f"row.`{c}`")).alias(c) for c in names])
+    """``docs`` with ``text`` freed of repeated runs of lines, and numbers of lines in ``lines_to`` and ``removed_to``."""
+    keyed = packed(docs).withColumn("key", _key(f"row.`{doc_id}`", f"row.`{text}`"))
+    found, whole = _with_runs(keyed, repeated_runs(docs, doc_id, text))
+    body = text_or_empty(f"row.`{text}`")
+
+    def of_lines(held: Column) -> Column:
+        """Runs of whole lines: a line that is cut inside stays."""
+        first = lambda x: F.when(x["part"] == 0, x["line"]).otherwise(x["line"] + 1)
+        last = lambda x: F.when(x["part"] == x["parts"] - 1, x["line"]).otherwise(x["line"] - 1)
+        spans = F.transform("runs", lambda r: F.struct(first(F.get(held, r["start"])).alias("start"), last(F.get(held, r["end"])).alias("end")))
+        return F.filter(spans, lambda r: r["start"] <= r["end"])
+
+    cut = found.select("row", "runs", F.when(F.col("runs").isNotNull(), let(_folded(body), of_lines)).alias("gone"), _lines(body).alias("lines"))
+    n = F.array_size("gone")
+    between = F.transform(F.sequence(F.lit(0), n), lambda k: F.struct((F.coalesce(F.get("gone", k - 1)["end"], F.lit(-1)) + 1).alias("from"), F.coalesce(F.get("gone", k)["start"], F.size("lines")).alias("to")))
+    kept = F.array_join(F.flatten(F.transform(between, lambda s: F.slice("lines", s["from"] + 1, s["to"] - s["from"]))), "\n")
+    removed = F.aggregate("gone", F.lit(0), lambda a, r: a + r["end"] - r["start"] + 1).cast("long")
+    cut = cut.select("row", F.when(n > 0, kept).otherwise(F.col(f"row.`{text}`")).alias("kept"), F.size("lines").cast("long").alias("lines"), F.coalesce(removed, F.lit(0)).alias("removed"))
+    whole = whole.select("row", F.col(f"row.`{text}`").alias("kept"), F.size(_lines(body)).cast("long").alias("lines"), F.lit(0).cast("long").alias("removed"))
+    result = {text: F.col("kept"), lines_to: F.col("lines"), removed_to: F.col("removed")}
+    names = [*docs.columns, *[c for c in (lines_to, removed_to) if c not in docs.columns]]
+    return cut.unionByName(whole).select(*[(result[c] if c in result else F.col(f"row.`{c}`")).alias(c) for c in names])
