@@ -317,6 +317,15 @@ def test_boundaries_change_no_result(spark, monkeypatch, cut):
     assert got == brute_passages(rows)
 
 
+def test_lines_that_share_hashes_are_told_apart(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "\n".join("abcdefgh"[w] * (1 + w % 3) for w in rng.integers(0, 8, 25))) for i in range(30)] + [(50, "q\nw\ne"), (51, "z\nq\nw\ne")]
+    few = lambda c: F.length(c).cast("bigint")
+    gone = {r["key"]["id"]: r["runs"] for r in linededup.repeated_runs(frame(spark, rows), hash_of=few).collect()}
+    right = {r["key"]["id"]: r["runs"] for r in linededup.repeated_runs(frame(spark, rows)).collect()}
+    assert gone == right and 51 in gone
+
+
 def test_copies_of_many_lines_take_linear_time(spark):
     import time
 

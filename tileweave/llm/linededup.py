@@ -3,11 +3,11 @@
 Lines are hashed, and a rolling hash runs over the hashes of two neighbouring lines.
 Where it is a multiple of ``CUT`` a chunk ends: boundaries follow two lines alone, so what stands before doesn't shift
 them.  Chunks of ``LINES`` lines or more that stand at an earlier place (doc_id, then
-place), too, are removed, after a comparison of their bytes.
+place), too, are removed, after a comparison of their lines' bytes.
 
 A repeated passage starts and ends inside chunks, and a short one holds no whole chunk.
 So what is left is extended line by line: any ``LINES`` neighbouring lines that aren't inside a
-removed chunk are compared in the same way, hashes first and bytes then.  A window inside a removed
+removed chunk are compared in the same way.  A window inside a removed
 chunk stands in the chunk's first copy as well, so nothing is lost by leaving those out, and each
 bulk of copies is compared chunk by chunk, once.  Together: every run of ``LINES`` lines
 or more that stands at an earlier place is removed, wherever boundaries fall.  Runs must stand
@@ -16,7 +16,9 @@ there as a whole: lines whose neighbours differ in all other places stay, howeve
 Lines are folded at every ``WIDTH`` words, as a page would fold them, so a paragraph on one line
 is compared as several; only lines that are removed from end to end go.
 
-Hashes are counted first; only the bytes of those that occur again move.
+A text is read once for the hashes of its lines; chunks and windows are made of these.  The lines of all pieces
+that occur again are then compared by their bytes, each different line once for each task: should two lines share a
+hash, they are told apart by their bytes and the pieces are cut again.
 
 Defined results: a null text counts as empty and stays null; the empty text is one
 blank line and keeps it.  Blank lines are in no chunk; those inside a removed run go
@@ -55,64 +57,61 @@ def _folded(text: Column) -> Column:
     return F.flatten(F.transform(_lines(text), of))
 
 
-def _bytes(held: Column, start: Column, size: Column | int) -> Column:
-    return F.array_join(F.transform(F.slice(held, start + 1, size), lambda x: x["u"]), "\n")
+def _piece(hashes: Column, start: Column, end: Column) -> Column:
+    """A piece: its first and last folded line, the hashes of its lines, and one of all of them."""
+    own = F.slice(hashes, start + 1, end - start + 1)
+    return F.struct(start.alias("start"), end.alias("end"), own.alias("lines"), F.xxhash64(own).alias("hash"))
 
 
-def _chunks(held: Column, with_bytes: bool) -> Column:
-    """start, end (numbers of folded lines), hash and, if wanted, bytes of each chunk of ``LINES`` lines or more."""
+def _chunks(hashes: Column) -> Column:
+    """Every chunk of ``LINES`` lines or more."""
+    gaps = F.when(F.size(hashes) > 1, F.sequence(F.lit(0), F.size(hashes) - 2)).otherwise(F.array().cast("array<int>"))
+    ends = F.concat(F.filter(gaps, lambda j: F.pmod(F.xxhash64(F.get(hashes, j), F.get(hashes, j + 1)), F.lit(CUT)) == 0), F.array(F.size(hashes) - 1))
+    spans = let(ends, lambda ends: F.transform(ends, lambda e, n: F.struct(F.coalesce(F.get(ends, n - 1) + 1, F.lit(0)).alias("start"), e.alias("end"))))
+    many = F.filter(spans, lambda s: s["end"] - s["start"] >= LINES - 1)
+    return F.transform(many, lambda s: _piece(hashes, s["start"], s["end"]))
 
-    def cut(hashes: Column) -> Column:
-        gaps = F.when(F.size(held) > 1, F.sequence(F.lit(0), F.size(held) - 2)).otherwise(F.array().cast("array<int>"))
-        ends = F.concat(F.filter(gaps, lambda j: F.pmod(F.xxhash64(F.get(hashes, j), F.get(hashes, j + 1)), F.lit(CUT)) == 0), F.array(F.size(held) - 1))
-        spans = let(ends, lambda ends: F.transform(ends, lambda e, n: F.struct(F.coalesce(F.get(ends, n - 1) + 1, F.lit(0)).alias("start"), e.alias("end"))))
-        many = F.filter(spans, lambda s: s["end"] - s["start"] >= LINES - 1)
 
-        def shown(s: Column) -> Column:
-            size = s["end"] - s["start"] + 1
-            more = [_bytes(held, s["start"], size).alias("bytes")] if with_bytes else []
-            return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(F.slice(hashes, s["start"] + 1, size)).alias("hash"), *more)
-
-        return F.transform(many, shown)
-
-    return let(F.transform(held, lambda x: F.xxhash64(x["u"])), cut)
-
-
-def _windows(held: Column, with_bytes: bool, removed: Column) -> Column:
+def _windows(hashes: Column, removed: Column) -> Column:
     """As ``_chunks``, for every ``LINES`` neighbouring lines that don't all lie inside one run of ``removed`` (sorted starts and ends)."""
-
-    def cut(hashes: Column) -> Column:
-        def shown(j: Column) -> Column:
-            more = [_bytes(held, j, LINES).alias("bytes")] if with_bytes else []
-            return F.struct(j.alias("start"), (j + LINES - 1).alias("end"), F.xxhash64(*[F.get(hashes, j + k) for k in range(LINES)]).alias("hash"), *more)
-
-        # Starts of windows: those from the end of one removed chunk to the start of the next, windows that reach into either included.
-        last = F.size(held) - LINES
-        nth = lambda n, side, otherwise: F.coalesce(F.get(removed, n)[side], otherwise)
-        between = F.transform(
-            F.sequence(F.lit(0), F.coalesce(F.array_size(removed), F.lit(0))),
-            lambda n: F.struct(F.when(n == 0, F.lit(0)).otherwise(nth(n - 1, "end", F.lit(0)) - LINES + 2).alias("from"), F.least(nth(n, "start", last + 1) - 1, last).alias("to")),
-        )
-        starts = F.flatten(F.transform(F.filter(between, lambda s: s["from"] <= s["to"]), lambda s: F.sequence(s["from"], s["to"])))
-        return F.transform(starts, shown)
-
-    return let(F.transform(held, lambda x: F.xxhash64(x["u"])), cut)
-
-
-def _stand_earlier(texts: DataFrame, pieces, name: str) -> DataFrame:
-    """key, start and end of the pieces (``pieces(held, with_bytes)``) of texts that stand at an earlier place, too, bytes compared."""
-    held = lambda with_bytes: let(_folded(F.col("body")), lambda held: pieces(held, with_bytes))
-    hashes = texts.select(F.explode(held(False)).alias("p")).select("p.hash")
-    often = staged(hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), f"repeated-{name}")
-    rows = texts.select("key", F.explode(held(True)).alias("p")).select("key", "p.*")
-    likely = staged(may_be_among(rows, F.col("hash"), often, bits=filter_bits(often.count())).where("_maybe").drop("_maybe"), f"likely-{name}")  # the bytes of few others move
-    place = F.struct("key", "start")
-    again = likely.groupBy("hash", "bytes").agg(F.min(place).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    found = staged(spread_join(likely, again, ["hash", "bytes"]).where(~place.eqNullSafe(F.col("owner"))).select("key", "start", "end").distinct(), f"earlier-{name}")
+    # Starts of windows: those from the end of one removed chunk to the start of the next, windows that reach into either included.
+    last = F.size(hashes) - LINES
+    nth = lambda n, side, otherwise: F.coalesce(F.get(removed, n)[side], otherwise)
+    between = F.transform(
+        F.sequence(F.lit(0), F.coalesce(F.array_size(removed), F.lit(0))),
+        lambda n: F.struct(F.when(n == 0, F.lit(0)).otherwise(nth(n - 1, "end", F.lit(0)) - LINES + 2).alias("from"), F.least(nth(n, "start", last + 1) - 1, last).alias("to")),
+    )
+    starts = F.flatten(F.transform(F.filter(between, lambda s: s["from"] <= s["to"]), lambda s: F.sequence(s["from"], s["to"])))
+    return F.transform(starts, lambda j: _piece(hashes, j, j + LINES - 1))
+
+
+def _repeated(sketches: DataFrame, pieces: Column, name: str) -> DataFrame:
+    """key, start, end and owner (the first place) of the pieces whose hash occurs again."""
+    rows = sketches.select("key", F.explode(pieces).alias("p")).select("key", "p.*")
+    often = staged(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), f"repeated-{name}")
+    likely = staged(may_be_among(rows, F.col("hash"), often, bits=filter_bits(often.count())).where("_maybe").drop("_maybe"), f"likely-{name}")
+    again = likely.groupBy("hash", "lines").agg(F.min(F.struct("key", "start")).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    found = staged(spread_join(likely, again, ["hash", "lines"]), f"found-{name}")
     dropped(often, likely)
     return found
 
 
+def _sharing(texts: DataFrame, pieces: DataFrame, hash_of) -> DataFrame | None:
+    """hash and bytes of the lines of ``pieces`` whose hash other bytes have, too; nothing if there are none.
+
+    Copies of a line meet in their tasks before they move.
+    """
+    runs = staged(_runs(pieces.select("key", "start", "end"), True), "compared-runs")
+    found, _ = _with_runs(texts, runs)
+    lines = F.flatten(F.transform("runs", lambda r: F.slice("u", r["start"] + 1, r["end"] - r["start"] + 1)))
+    compared = found.where(F.col("runs").isNotNull()).select("runs", F.transform(_folded(F.col("body")), lambda x: x["u"]).alias("u")).select(F.explode(lines).alias("u"))
+    different = compared.select(hash_of(F.col("u")).alias("hash"), "u").distinct()
+    shared = staged(different.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "shared-hashes")
+    told = None if shared.isEmpty() else staged(different.join(shared, "hash", "left_semi"), "shared-hashes")
+    dropped(runs, shared)
+    return told
+
+
 def _runs(pieces: DataFrame, join: bool) -> DataFrame:
     """key and runs (sorted starts and ends) of pieces; ``join``: runs that overlap or touch are one."""
     if join:
@@ -137,19 +136,40 @@ def _key(doc_id: str, text: str) -> Column:
 RUNS = "array<struct<start:int,end:int>>"
 
 
-def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hash_of=F.xxhash64) -> DataFrame:
     """key (of a document) and runs (of its folded lines) that stand at an earlier place."""
     texts = docs.select(_key(doc_id, text).alias("key"), text_or_empty(text).alias("body"))
-    chunks = _stand_earlier(texts, _chunks, "chunks")
-    whole = staged(_runs(chunks, False), "removed-chunks")
-    found, others = _with_runs(texts, whole)
-    left = found.unionByName(others.withColumn("runs", F.lit(None).cast(RUNS)))
-    edges = _stand_earlier(left, lambda held, with_bytes: _windows(held, with_bytes, F.col("runs")), "windows")
-    gone = staged(_runs(chunks.unionByName(edges), True), "removed-runs")
-    dropped(chunks, whole, edges)
+    named = None
+    while True:
+        sketches = staged(_sketches(texts, hash_of, named), "line-hashes")
+        chunks = _repeated(sketches, _chunks(F.col("hashes")), "chunks")
+        later = lambda found: found.where(~F.struct("key", "start").eqNullSafe(F.col("owner"))).select("key", "start", "end").distinct()
+        whole = staged(_runs(later(chunks), False), "removed-chunks")
+        found, others = _with_runs(sketches, whole)
+        left = found.unionByName(others.withColumn("runs", F.lit(None).cast(RUNS)))
+        windows = _repeated(left, _windows(F.col("hashes"), F.col("runs")), "windows")
+        both = chunks.select("key", "start", "end", "owner").unionByName(windows.select("key", "start", "end", "owner"))
+        shared = None if named is not None else _sharing(texts, both, hash_of)
+        if shared is None:
+            break
+        # Different lines share a hash: such lines are named by their bytes, and the pieces cut again.
+        named = shared
+        dropped(sketches, chunks, whole, windows)
+    gone = staged(_runs(later(both), True), "removed-runs")
+    dropped(sketches, chunks, whole, windows)
     return gone
 
 
+def _sketches(texts: DataFrame, hash_of, named: DataFrame | None) -> DataFrame:
+    """key and hashes of the folded lines; lines among ``named`` (hash, u) get a number of their own instead of their hash."""
+    if named is None:
+        return texts.select("key", F.transform(_folded(F.col("body")), lambda x: hash_of(x["u"])).alias("hashes"))
+    own = named.select("u", F.concat_ws("\0", "hash", "u").alias("name"))  # a name holds the bytes, so it is unlike all others
+    lines = texts.select("key", F.posexplode(_folded(F.col("body"))).alias("j", "x")).select("key", "j", "x.u")
+    told = lines.join(own, "u", "left").select("key", "j", F.when(F.col("name").isNull(), hash_of(F.col("u"))).otherwise(F.xxhash64(F.lit(1), "name")).alias("h"))
+    return told.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("j", "h"))).alias("hs")).select("key", F.transform("hs", lambda x: x["h"]).alias("hashes"))
+
+
 def without_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lines_to: str = "n_lines", removed_to: str = "n_removed") -> DataFrame:
     """``docs`` with ``text`` freed of repeated runs of lines, and numbers of lines in ``lines_to`` and ``removed_to``."""
     keyed = packed(docs).withColumn("key", _key(f"row.`{doc_id}`", f"row.`{text}`"))
