@@ -44,15 +44,19 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _folded(text: Column) -> Column:
-    """Folded lines of a text that aren't blank: line (its number), part (of it), parts and u (the bytes)."""
-    blank = lambda line: F.btrim(line, F.lit(" \t\r\n")) == ""
-    long = lambda line: F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= WIDTH
-    parts = lambda line: F.when(long(line), F.regexp_extract_all(line, F.lit(f"(?:[^ ]*+ ){{{WIDTH}}}|[\\s\\S]+"), F.lit(0))).otherwise(F.array(line))
+def _blank(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r\n")) == ""
+
+
+def _units(text: Column) -> Column:
+    """Folded lines of a text that aren't blank."""
+    return F.filter(F.regexp_extract_all(text, F.lit(f"(?:[^ \\n]*+ ){{{WIDTH}}}|[^\\n]+"), F.lit(0)), lambda u: ~_blank(u))
 
+
+def _folded(text: Column) -> Column:
+    """line (its number), part (of it) and parts of each of ``_units``."""
     def of(line: Column, i: Column) -> Column:
-        cut = let(parts(line), lambda p: F.transform(p, lambda u, k: F.struct(i.alias("line"), k.alias("part"), F.size(p).alias("parts"), u.alias("u"))))
-        return F.when(~blank(line), cut).otherwise(F.array().cast("array<struct<line:int,part:int,parts:int,u:string>>"))
+        return let(F.size(_units(line)), lambda n: F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.struct(i.alias("line"), k.alias("part"), n.alias("parts"))))
 
     return F.flatten(F.transform(_lines(text), of))
 
@@ -101,14 +105,13 @@ def _sharing(texts: DataFrame, pieces: DataFrame, hash_of) -> DataFrame | None:
 
     Copies of a line meet in their tasks before they move.
     """
-    runs = staged(_runs(pieces.select("key", "start", "end"), True), "compared-runs")
-    found, _ = _with_runs(texts, runs)
-    lines = F.flatten(F.transform("runs", lambda r: F.slice("u", r["start"] + 1, r["end"] - r["start"] + 1)))
-    compared = found.where(F.col("runs").isNotNull()).select("runs", F.transform(_folded(F.col("body")), lambda x: x["u"]).alias("u")).select(F.explode(lines).alias("u"))
+    hashes = staged(pieces.select(F.explode("lines").alias("hash")).distinct(), "compared-hashes")
+    lines = texts.select(F.explode(_units(F.col("body"))).alias("u"))
+    compared = may_be_among(lines, hash_of(F.col("u")), hashes, F.col("hash"), filter_bits(hashes.count())).where("_maybe")
     different = compared.select(hash_of(F.col("u")).alias("hash"), "u").distinct()
     shared = staged(different.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "shared-hashes")
     told = None if shared.isEmpty() else staged(different.join(shared, "hash", "left_semi"), "shared-hashes")
-    dropped(runs, shared)
+    dropped(hashes, shared)
     return told
 
 
@@ -148,7 +151,7 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
         found, others = _with_runs(sketches, whole)
         left = found.unionByName(others.withColumn("runs", F.lit(None).cast(RUNS)))
         windows = _repeated(left, _windows(F.col("hashes"), F.col("runs")), "windows")
-        both = chunks.select("key", "start", "end", "owner").unionByName(windows.select("key", "start", "end", "owner"))
+        both = chunks.unionByName(windows)
         shared = None if named is not None else _sharing(texts, both, hash_of)
         if shared is None:
             break
@@ -163,9 +166,9 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
 def _sketches(texts: DataFrame, hash_of, named: DataFrame | None) -> DataFrame:
     """key and hashes of the folded lines; lines among ``named`` (hash, u) get a number of their own instead of their hash."""
     if named is None:
-        return texts.select("key", F.transform(_folded(F.col("body")), lambda x: hash_of(x["u"])).alias("hashes"))
+        return texts.select("key", F.transform(_units(F.col("body")), lambda u: hash_of(u)).alias("hashes"))
     own = named.select("u", F.concat_ws("\0", "hash", "u").alias("name"))  # a name holds the bytes, so it is unlike all others
-    lines = texts.select("key", F.posexplode(_folded(F.col("body"))).alias("j", "x")).select("key", "j", "x.u")
+    lines = texts.select("key", F.posexplode(_units(F.col("body"))).alias("j", "u"))
     told = lines.join(own, "u", "left").select("key", "j", F.when(F.col("name").isNull(), hash_of(F.col("u"))).otherwise(F.xxhash64(F.lit(1), "name")).alias("h"))
     return told.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("j", "h"))).alias("hs")).select("key", F.transform("hs", lambda x: x["h"]).alias("hashes"))
 
