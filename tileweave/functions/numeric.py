@@ -17,9 +17,12 @@ def read_unsigned(data: Column, offset: Column | int, size: int, little: bool =
 
 def read_signed(data: Column, offset: Column | int, size: int, little: bool = False) -> Column:
     """Two's complement integer of 1 to 8 bytes at a byte offset; null beyond the end."""
-    raw = read_unsigned(data, offset, size, little).cast("decimal(20,0)")
-    top = F.lit(str(1 << (8 * size - 1))).cast("decimal(20,0)")
-    return (raw - F.when(raw >= top, F.lit(str(1 << 8 * size)).cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))).cast("bigint")
+    if size < 8:  # the sign bit goes to the top and comes back
+        spare = 64 - 8 * size
+        return F.shiftright(F.shiftleft(read_unsigned(data, offset, size, little), spare), spare)
+    at = F.lit(offset) if isinstance(offset, int) else offset
+    high, low = (at + 4, at) if little else (at, at + 4)
+    return F.shiftleft(read_unsigned(data, high, 4, little), 32).bitwiseOR(read_unsigned(data, low, 4, little))
 
 
 def write_unsigned(value: Column, size: int, little: bool = False) -> Column:

@@ -84,3 +84,50 @@ def overview_order(assets: DataFrame, parent: str, overview: str, area: str, tie
     """Place of each asset when full-resolution ones come in order, each followed by its overviews, largest first."""
     w = Window.partitionBy(*keys).orderBy(F.col(parent), F.col(overview), F.col(area).desc(), F.col(tie))
     return assets.withColumn("place", F.row_number().over(w))
+
+
+def level_checks(levels: DataFrame, keys: Sequence[str], level: str, rows: str, cols: str) -> DataFrame:
+    """Levels with ``nests``: whether each side is that of the level before halved, rounded up or down; the first level nests.
+
+    A level whose predecessor is missing doesn't nest.
+    """
+    w = Window.partitionBy(*keys).orderBy(level)
+    first = F.row_number().over(w) == 1
+    halved = lambda size: F.col(size).isin(F.floor(F.lag(size).over(w) / 2), F.ceil(F.lag(size).over(w) / 2)) | ((F.lag(size).over(w) == 1) & (F.col(size) == 1))
+    follows = F.lag(level).over(w) == F.col(level) - 1
+    return levels.withColumn("nests", F.when(first, F.col(level) == 0).otherwise(follows & halved(rows) & halved(cols)))
+
+
+def level_choice(requests: DataFrame, levels: DataFrame, keys: Sequence[str], scale: str, level_scale: str, values: Sequence[str]) -> DataFrame:
+    """Each request with ``values`` of the coarsest level of its image that is as fine as asked: the greatest scale of no more than the request's.
+
+    An image has few levels, so they travel as one sorted array a image and the look-up is no range join.
+    A request finer than all levels gets the finest; one of an unknown image gets nulls.
+    """
+    held = levels.where(F.col(level_scale).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(level_scale).alias("_scale"), *values))).alias("_levels"))
+    joined = requests.join(held, list(keys), "left")
+    fine = F.filter("_levels", lambda x: x["_scale"] <= F.col(scale))
+    chosen = F.coalesce(F.try_element_at(fine, F.lit(-1)), F.try_element_at("_levels", F.lit(1)))
+    return joined.withColumn("_level", chosen).select(*requests.columns, *[F.col(f"_level.{v}").alias(v) for v in values])
+
+
+#: Bytes of a file after which a request ends, and bytes that may lie between two ranges of one.
+EXTENT, GAP = 16 << 20, 64 << 10
+
+
+def coalesced(ranges: DataFrame, on: Sequence[str], offset: str = "off", length: str = "len", gap: int = GAP, extent: int = EXTENT) -> DataFrame:
+    """Ranges of bytes with the request (``start``, ``stop``) that fetches them.
+
+    Ranges of a file that overlap, touch or lie no more than ``gap`` bytes apart share a request.  A
+    file is cut at every ``extent`` bytes: a range belongs to the extent that it starts in, and a request
+    to one extent, so neither requests nor what a task sorts grow with the file.
+    """
+    end = F.col(offset) + F.col(length)
+    place = [*on, "_extent"]
+    order = Window.partitionBy(*place).orderBy(offset, length)
+    cut = ranges.withColumn("_extent", F.floor(F.col(offset) / extent)).withColumn("_end", end)
+    reached = F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = cut.withColumn("_new", F.when(F.col(offset) <= reached + gap, 0).otherwise(1))
+    island = opened.withColumn("_island", F.sum("_new").over(order))
+    whole = Window.partitionBy(*place, "_island")
+    return island.withColumns({"start": F.min(offset).over(whole), "stop": F.max("_end").over(whole)}).drop("_extent", "_end", "_new", "_island")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -107,3 +107,37 @@ def similarity_index(left: Column, right: Column, peak: float = 1.0) -> Column:
     c1, c2 = (0.01 * peak) ** 2, (0.03 * peak) ** 2
     means = (2 * F.avg(left) * F.avg(right) + c1) / (F.pow(F.avg(left), 2) + F.pow(F.avg(right), 2) + c1)
     return means * (2 * F.covar_pop(left, right) + c2) / (F.var_pop(left) + F.var_pop(right) + c2)
+
+
+def with_halo(px: DataFrame, block: tuple[int, int], halo: int, row: str = "row", col: str = "col") -> DataFrame:
+    """A pixel table by blocks (br, bc), each with the pixels up to ``halo`` outside it; ``own`` tells those inside."""
+    places = lambda at, size: F.sequence(F.floor((F.col(at) - halo) / size), F.floor((F.col(at) + halo) / size))
+    spread = px.withColumn("br", F.explode(places(row, block[0]))).withColumn("bc", F.explode(places(col, block[1])))
+    home = (F.floor(F.col(row) / block[0]) == F.col("br")) & (F.floor(F.col(col) / block[1]) == F.col("bc"))
+    return spread.withColumn("own", home)
+
+
+def window_similarity(px: DataFrame, on: Sequence[str], left: str, right: str, peak: float = 1.0, size: int = 7, block: tuple[int, int] = (128, 128)) -> DataFrame:
+    """Structural similarity around each pixel (on..., row, col, ssim) of two sample columns, over windows of ``size`` x ``size`` samples.
+
+    Windows are uniform, variances those of a sample, and only windows that lie wholly in the image
+    count.  Pixels are dealt out once, by block with a halo of half a window; moments are summed along
+    rows and then along columns inside each, so a task holds no more than a block and its halo
+    of an image, and sums of whole numbers are exact.
+    """
+    half = size // 2
+    x, y = F.col(left), F.col(right)
+    spread = with_halo(px.select(*on, "row", "col", left, right), block, half).repartition(*on, "br", "bc")
+    moments = {"_n": F.lit(1).cast("bigint"), "_x": x, "_y": y, "_xx": x * x, "_yy": y * y, "_xy": x * y}
+    keys = [*on, "br", "bc"]
+    along = lambda line, order: Window.partitionBy(*keys, line).orderBy(order).rangeBetween(-half, half)
+    rows = spread.select(*keys, "row", "col", "own", *[F.sum(c).over(along("row", "col")).alias(name) for name, c in moments.items()])
+    both = rows.select(*keys, "row", "col", "own", *[F.sum(name).over(along("col", "row")).alias(name) for name in moments])
+    n = size * size
+    mean = lambda c: F.col(c) / n
+    spare = n / (n - 1)
+    vx, vy, vxy = spare * (mean("_xx") - mean("_x") * mean("_x")), spare * (mean("_yy") - mean("_y") * mean("_y")), spare * (mean("_xy") - mean("_x") * mean("_y"))
+    c1, c2 = (0.01 * peak) ** 2, (0.03 * peak) ** 2
+    luminance = (2 * mean("_x") * mean("_y") + c1) / (mean("_x") * mean("_x") + mean("_y") * mean("_y") + c1)
+    ssim = luminance * (2 * vxy + c2) / (vx + vy + c2)
+    return both.where(F.col("own") & (F.col("_n") == n)).select(*on, "row", "col", ssim.alias("ssim"))

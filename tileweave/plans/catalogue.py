@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import datetimes, location, numeric, rates, text
-from ..operators import blocks, metadata, raster, segments, validate
+from ..operators import blocks, metadata, raster, segments, validate, windows
 from ..sources import memory, scan, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,65 @@ def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.tile_grid(images, 256, 256, (16, 16)).select("p_partkey", "tr", "tc", "y", "x", "h", "w")
 
 
+IMAGES_SQL = "(SELECT p_partkey AS image, p_size * 40 AS rows, p_size * 25 + 7 AS cols FROM part)"
+WINDOWS_SQL = f"""(SELECT l_orderkey, l_linenumber, l_partkey AS image, l_orderkey * 31 % rows AS y, l_suppkey * 57 % cols AS x,
+    CAST(l_quantity AS INT) * (1 + l_linenumber) AS h, CAST(l_quantity AS INT) * 9 % 400 AS w FROM lineitem JOIN {IMAGES_SQL} ON l_partkey = image)"""
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("image"), (F.col("p_size") * 40).alias("rows"), (F.col("p_size") * 25 + 7).alias("cols"))
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window of an image for each line of an order; the images that many orders name have many."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("image"), "l_suppkey", F.col("l_quantity").cast("int").alias("n"))
+    placed = lines.join(_images(spark, sf_dir), "image")
+    y, x = F.col("l_orderkey") * 31 % F.col("rows"), F.col("l_suppkey") * 57 % F.col("cols")
+    return placed.select("l_orderkey", "l_linenumber", "image", y.alias("y"), x.alias("x"), (F.col("n") * (1 + F.col("l_linenumber"))).alias("h"), (F.col("n") * 9 % 400).alias("w"))
+
+
+@query(f"""
+WITH g AS (SELECT *, unnest(range(greatest(1, CAST(ceil((rows - 16) / 80.0) AS INT)))) AS tr FROM {IMAGES_SQL}),
+b AS (SELECT *, unnest(range(greatest(1, CAST(ceil((cols - 16) / 112.0) AS INT)))) AS tc FROM g),
+t AS (SELECT image, tr, tc, tr * 80 AS ty, tc * 112 AS tx, least(96, rows - tr * 80) AS th, least(128, cols - tc * 112) AS tw FROM b),
+m AS (SELECT l_orderkey, l_linenumber, greatest(y, ty) AS oy, least(y + h, ty + th) - greatest(y, ty) AS oh, greatest(x, tx) AS ox, least(x + w, tx + tw) - greatest(x, tx) AS ow, tr, tc
+    FROM {WINDOWS_SQL} JOIN t USING (image))
+SELECT l_orderkey, l_linenumber, CAST(tr AS INT) AS tr, CAST(tc AS INT) AS tc, oy, ox, oh, ow FROM m WHERE oh > 0 AND ow > 0
+""")
+def window_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiles = raster.tile_grid(_images(spark, sf_dir), 96, 128, (16, 16)).select("image", "tr", "tc", "y", "x", "h", "w")
+    met = windows.overlaps(_windows(spark, sf_dir), tiles, ["image"], (96, 128))
+    return met.select("l_orderkey", "l_linenumber", "tr", "tc", *[F.col(c).cast("long").alias(c) for c in ("oy", "ox", "oh", "ow")])
+
+
+@query(f"""
+WITH i AS (SELECT *, 64 AS bh, 48 AS bw FROM {IMAGES_SQL}),
+m AS (SELECT l_orderkey, l_linenumber, image, unnest(range(CAST(y // 64 AS INT), CAST((least(y + h, rows) - 1) // 64 + 1 AS INT))) AS br, x, w, y, h, rows, cols FROM {WINDOWS_SQL} JOIN i USING (image) WHERE h > 0 AND w > 0),
+n AS (SELECT *, unnest(range(CAST(x // 48 AS INT), CAST((least(x + w, cols) - 1) // 48 + 1 AS INT))) AS bc FROM m)
+SELECT image, CAST(br AS INT) AS br, CAST(bc AS INT) AS bc, count(*) AS windows,
+    CAST(sum((least(y + h, br * 64 + 64, rows) - greatest(y, br * 64)) * (least(x + w, bc * 48 + 48, cols) - greatest(x, bc * 48))) AS BIGINT) AS pixels FROM n GROUP BY ALL
+""")
+def window_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many windows want each block of a regular grid, and how many of its pixels they show."""
+    grids = _images(spark, sf_dir).withColumns({"bh": F.lit(64), "bw": F.lit(48)})
+    met = windows.window_blocks(_windows(spark, sf_dir), grids, ["image"])
+    return met.groupBy("image", "br", "bc").agg(F.count(F.lit(1)).alias("windows"), F.sum(F.col("oh") * F.col("ow")).cast("long").alias("pixels"))
+
+
+@query(f"""
+WITH w AS (SELECT c_custkey, c_custkey * 7 % 480 AS y, c_nationkey * 3 - 6 AS x, c_custkey % 40 AS h, c_nationkey + 1 AS w FROM customer),
+p AS (SELECT row, col, CAST(round(v * 1000) AS BIGINT) AS v FROM {PIXELS_SQL})
+SELECT c_custkey, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, count(DISTINCT row) AS lines FROM w JOIN p ON row >= y AND row < y + h AND col >= x AND col < x + w GROUP BY c_custkey
+""")
+def window_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of many windows of one image of lines, in one job."""
+    wanted = read(spark, sf_dir, "customer").select("c_custkey", F.lit(0).alias("image"), (F.col("c_custkey") * 7 % 480).alias("y"), (F.col("c_nationkey") * 3 - 6).alias("x"), (F.col("c_custkey") % 40).alias("h"), (F.col("c_nationkey") + 1).alias("w"))
+    lines = read(spark, sf_dir, "embeddings").select(F.lit(0).alias("image"), "vec_id", "embedding")
+    met = windows.window_rows(wanted, lines, ["image"], "vec_id", "embedding", 16)
+    total = F.aggregate(F.transform("samples", lambda v: F.round(v * 1000).cast("bigint")), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return met.groupBy("c_custkey").agg(F.sum(F.size("samples")).alias("n"), F.sum(total).alias("total"), F.count(F.lit(1)).alias("lines"))
+
+
 @query(f"""
 SELECT CAST(row // 50 AS INT) AS tr, CAST(col // 24 AS INT) AS tc, count(*) AS n, max(v) AS high, count(DISTINCT (row // 32, col // 16)) AS sources
 FROM {PIXELS_SQL} GROUP BY 1, 2
@@ -139,6 +198,52 @@ def image_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.groupBy("label").agg(F.round(raster.similarity_index(F.col("l"), F.col("r")), 6).alias("ssim"))
 
 
+@query(f"""
+WITH p AS (SELECT row // 500 AS image, row, col, CAST(round(v * 1000) AS BIGINT) AS x FROM {PIXELS_SQL}), q AS (SELECT *, x - x % 40 AS y FROM p),
+h AS (SELECT image, row, col, sum(1) OVER w AS n, sum(x) OVER w AS x, sum(y) OVER w AS y, sum(x * x) OVER w AS xx, sum(y * y) OVER w AS yy, sum(x * y) OVER w AS xy
+    FROM q WINDOW w AS (PARTITION BY image, row ORDER BY col RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+v AS (SELECT image, row, col, sum(n) OVER w AS n, sum(x) OVER w / 49 AS x, sum(y) OVER w / 49 AS y, sum(xx) OVER w / 49 AS xx, sum(yy) OVER w / 49 AS yy, sum(xy) OVER w / 49 AS xy
+    FROM h WINDOW w AS (PARTITION BY image, col ORDER BY row RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+s AS (SELECT image, (2 * x * y + 100) / (x * x + y * y + 100) * (2 * 49 / 48.0 * (xy - x * y) + 900) / (49 / 48.0 * (xx - x * x + yy - y * y) + 900) AS ssim FROM v WHERE n = 49)
+SELECT image, count(*) AS windows, round(avg(ssim), 6) AS ssim, round(min(ssim), 6) AS least FROM s GROUP BY image
+""")
+def sliding_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean structural similarity of each image of 500 lines to itself with coarser samples, over every window of 7 x 7."""
+    px = raster_view(spark, sf_dir).select(F.floor(F.col("row") / 500).alias("image"), "row", "col", F.round(F.col("v") * 1000).cast("bigint").alias("x"))
+    found = raster.window_similarity(px.withColumn("y", F.col("x") - F.col("x") % 40), ["image"], "x", "y", 1000.0, 7, (64, 32))
+    return found.groupBy("image").agg(F.count(F.lit(1)).alias("windows"), F.round(F.avg("ssim"), 6).alias("ssim"), F.round(F.min("ssim"), 6).alias("least"))
+
+
+LEVELS_SQL = "(SELECT l_orderkey AS image, l_linenumber - 1 AS level, pow(2, l_linenumber - 1) + l_discount AS scale, 4096 // (1 << (l_linenumber - 1)) + l_suppkey % 2 AS size FROM lineitem)"
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_linenumber") - 1
+    size = F.call_function("div", F.lit(4096), F.call_function("shiftleft", F.lit(1), n)) + F.col("l_suppkey") % 2
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), n.alias("level"), (F.pow(F.lit(2.0), n.cast("double")) + F.col("l_discount")).alias("scale"), size.alias("size"))
+
+
+@query(f"""
+WITH r AS (SELECT o_orderkey AS image, 0.5 + o_orderkey % 97 AS wanted FROM orders), l AS (SELECT image, scale, max(level) AS level FROM {LEVELS_SQL} GROUP BY ALL),
+m AS (SELECT r.image, r.wanted, l.level FROM r ASOF LEFT JOIN l ON r.image = l.image AND r.wanted >= l.scale),
+f AS (SELECT image, arg_min(level, (scale, level)) AS finest FROM l GROUP BY image)
+SELECT m.image, wanted, CAST(coalesce(level, finest) AS INT) AS level FROM m LEFT JOIN f ON m.image = f.image
+""")
+def level_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coarsest level of each image that is as fine as a request asks for."""
+    requests = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image"), (F.lit(0.5) + F.col("o_orderkey") % 97).alias("wanted"))
+    return blocks.level_choice(requests, _levels(spark, sf_dir), ["image"], "wanted", "scale", ["level"])
+
+
+@query(f"""
+WITH l AS (SELECT image, level, max(size) AS size FROM {LEVELS_SQL} GROUP BY ALL), p AS (SELECT *, lag(size) OVER w AS before, lag(level) OVER w AS last FROM l WINDOW w AS (PARTITION BY image ORDER BY level))
+SELECT image, level, CASE WHEN last IS NULL THEN level = 0 ELSE last = level - 1 AND (size = before // 2 OR size = (before + 1) // 2) END AS nests FROM p
+""")
+def level_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = _levels(spark, sf_dir).groupBy("image", "level").agg(F.max("size").alias("size"))
+    return blocks.level_checks(levels, ["image"], "level", "size", "size").select("image", "level", "nests")
+
+
 # --- blocks, masks, indexes --------------------------------------------------
 
 LINES_SQL = "(SELECT l_orderkey AS image, l_linenumber AS line, count(*) AS n FROM lineitem GROUP BY 1, 2)"
@@ -218,6 +323,18 @@ def chunk_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_orderkey", F.size("ranges").alias("parts"), blocks.contiguous(F.col("ranges")).alias("joined"), F.size(one).alias("n_ranges"), one[0]["off"].alias("first_off"), total.alias("total"))
 
 
+@query("""
+WITH r AS (SELECT l_suppkey AS path, l_orderkey * 700 + l_linenumber * 90 AS off, CAST(l_quantity AS BIGINT) * 3 AS len FROM lineitem),
+m AS (SELECT *, off // 65536 AS extent, max(off + len) OVER (PARTITION BY path, off // 65536 ORDER BY off, len ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM r),
+i AS (SELECT *, sum(CASE WHEN off <= reached + 512 THEN 0 ELSE 1 END) OVER (PARTITION BY path, extent ORDER BY off, len) AS island FROM m)
+SELECT path, min(off) AS start, max(off + len) AS stop, count(*) AS ranges FROM i GROUP BY path, extent, island
+""")
+def coalesced_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for the ranges of files: neighbours up to 512 bytes apart share one, within extents of 64 KiB."""
+    ranges = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("path"), (F.col("l_orderkey") * 700 + F.col("l_linenumber") * 90).alias("off"), (F.col("l_quantity").cast("bigint") * 3).alias("len"))
+    return blocks.coalesced(ranges, ["path"], gap=512, extent=1 << 16).groupBy("path", "start", "stop").agg(F.count(F.lit(1)).alias("ranges"))
+
+
 @query("SELECT l_suppkey, CAST(max(l_linenumber) AS INT) AS rows, CAST(max(l_orderkey % 11) + 1 AS INT) AS cols, count(*) AS chunks FROM lineitem GROUP BY 1")
 def manifest_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = read(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_linenumber") - 1).alias("br"), (F.col("l_orderkey") % 11).cast("int").alias("bc"))
@@ -706,4 +823,6 @@ _functions()
 
 
 def all_queries() -> tuple[dict[str, Query], dict[str, str]]:
-    return QUERIES, ORACLE_SQL
+    from . import records
+
+    return QUERIES | records.QUERIES, ORACLE_SQL | records.ORACLE_SQL

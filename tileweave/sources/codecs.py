@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from . import formats
-from .formats import coded, dted, jpeg, nitf, plugin, png, register_codec, tiff
+from .formats import coded, dted, jpeg, nitf, plugin, png, register_codec, registered_codecs, tiff, using
 
 FORMATS = {"nitf": nitf, "nsif": nitf, "tiff": tiff, "png": png, "dted": dted, "j2k": coded, "jpeg": jpeg}
 
@@ -37,4 +37,4 @@ def sniffed(data: bytes) -> str:
     raise formats.FormatError("unknown format")
 
 
-__all__ = ["FORMATS", "codec_json", "codec_of_json", "plugin", "register_codec", "sniffed"]
+__all__ = ["FORMATS", "codec_json", "codec_of_json", "plugin", "register_codec", "registered_codecs", "sniffed", "using"]

@@ -25,12 +25,23 @@ def register_codec(name: str, decode: Callable | None = None, encode: Callable |
     """Hooks for coded blocks by name: a NITF compression as ``nitf:C3``, a TIFF one as ``tiff:7``, or a format.
 
     ``decode(data, asset, block_row, block_col)`` gives an array (bands, rows, cols) of at least the
-    block's recorded size; ``encode(array, metadata)`` gives the block's bytes.  Workers need the call, too:
-    import a module that makes it where the scan's tasks run.
+    block's recorded size; ``encode(array, metadata)`` gives the block's bytes.  Scans, sinks and the data
+    source take the functions known when they are made along to the workers, so they must be picklable.
     """
     _PLUGINS[name] = decode, encode
 
 
+def registered_codecs() -> dict[str, tuple[Callable | None, Callable | None]]:
+    """The codecs known now, to be sent to where they are used."""
+    return dict(_PLUGINS)
+
+
+def using(codecs: dict[str, tuple[Callable | None, Callable | None]]) -> None:
+    """Makes codecs that came with a task known in its worker; those of an earlier task give way."""
+    _PLUGINS.clear()
+    _PLUGINS.update(codecs)
+
+
 def registered(name: str) -> bool:
     return name in _PLUGINS
 

@@ -16,8 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.blocks import EXTENT, GAP, coalesced
 from ..operators.segments import rset_level, without_rset
-from .codecs import FORMATS, sniffed
+from .codecs import FORMATS, registered_codecs, sniffed, using
 from .ranged import Ranged, file_system
 
 ASSETS = "path string, format string, key string, kind string, roles array<string>, rows int, cols int, bands int, bh int, bw int, levels int, dtype string, bits int, offset long, length long, metadata string, warning string"
@@ -78,7 +79,10 @@ def scan_blocks(contents: DataFrame, key: str | None = None, fmt: str | None = N
     others are never decoded; ``bands`` chooses bands, in order, repeats included.
     """
 
+    codecs = registered_codecs()
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        using(codecs)
         names = [c.split()[0] for c in BLOCKS.split(", ")]
         for batch in batches:
             for path, content in opened(batch):
@@ -150,6 +154,43 @@ def range_bytes(index: DataFrame, contents: DataFrame | None = None) -> DataFram
     return index.select("path", "key", "level", "br", "bc", "ranges").mapInPandas(fetched, schema)
 
 
+#: Bytes that a task of ``coalesced_bytes`` fetches, about.
+TASK_BYTES = 128 << 20
+
+
+def coalesced_bytes(index: DataFrame, gap: int = GAP, extent: int = EXTENT, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """As ``range_bytes`` of files, with neighbouring ranges fetched by one request and cut apart again.
+
+    Requests are dealt out so that tasks fetch about ``task_bytes``; blocks of several ranges are put together
+    afterwards, in order.
+    """
+    keys = ["path", "key", "level", "br", "bc"]
+    spread = index.select(*keys, F.size("ranges").alias("parts"), F.posexplode("ranges").alias("part", "r")).select(*keys, "parts", "part", "r.off", "r.len")
+    wanted = coalesced(spread, ["path"], gap=gap, extent=extent)
+    item = F.struct(*keys[1:], "parts", "part", "off", "len")
+    requests = wanted.groupBy("path", "start", "stop").agg(F.collect_list(item).alias("wanted"))  # the ranges of one request, which an extent bounds
+    total = spread.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("bytes")).first().bytes
+    parts = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // task_bytes))
+    schema = "path string, key string, level int, br int, bc int, parts int, part int, start long, data binary"
+
+    def fetched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, rows in batch.groupby("path"):
+                system, at = file_system(path)
+                with system.open_input_file(at) as file:
+                    for r in rows.itertuples(index=False):
+                        held = file.read_at(int(r.stop - r.start), int(r.start))
+                        yield pd.DataFrame([
+                            (path, w["key"], w["level"], w["br"], w["bc"], w["parts"], w["part"], r.start, held[w["off"] - r.start : w["off"] - r.start + w["len"]]) for w in r.wanted
+                        ], columns=[c.split()[0] for c in schema.split(", ")])
+
+    cut = requests.repartition(int(parts), "path", "start").mapInPandas(fetched, schema)
+    one = cut.where("parts = 1").select(*keys, F.array("start").alias("requests"), "data")
+    several = cut.where("parts > 1").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("part", "start", "data"))).alias("p"))
+    joined = several.select(*keys, F.array_distinct(F.transform("p", lambda x: x["start"])).alias("requests"), F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["data"])), "")).alias("data"))
+    return one.unionByName(joined)
+
+
 def reference_bytes(refs: DataFrame, reference: str = "reference", keep: Sequence[str] = ("key", "chunk")) -> DataFrame:
     """keep... and data of chunk references (JSON, or a plain string).
 

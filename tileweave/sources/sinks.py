@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .codecs import FORMATS
+from .codecs import FORMATS, registered_codecs, using
 from .ranged import file_system
 from .formats import FormatError
 
@@ -37,7 +37,10 @@ def encoded(blocks: DataFrame, fmt: str, image_metadata: dict | None = None, **o
     ``image_metadata`` goes with every image.
     """
 
+    codecs = registered_codecs()
+
     def build(group: pd.DataFrame) -> pd.DataFrame:
+        using(codecs)
         if group["payload"].map(len).sum() > MAX_RAW:
             raise FormatError(f"{group['path'].iloc[0]} has more than {MAX_RAW} raw bytes")
         images = []
