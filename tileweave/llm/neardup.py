@@ -1,20 +1,19 @@
 """Near-duplicate detection by ProbMinHash, banding and verification (operator 2).
 
-Every text is a set of shingles of five words, all of one weight: sketches see what
-links are decided by.  (``signature`` takes repeated shingles with the weight
-1 + ln(occurrences).)  Each shingle's arrivals form a Poisson process whose rate is its weight; an arrival falls
+Every text is a weighted set of shingles of five words; a shingle weighs 1 + ln(occurrences).
+Each shingle's arrivals form a Poisson process whose rate is its weight; an arrival falls
 on a random slot, and a slot keeps the shingle that arrives first.  A shingle stops
 as soon as its next arrival is later than the latest slot, so long texts cost about
 one arrival a shingle.  Two texts agree in a slot with the probability that is
-their Jaccard similarity.
+their probability Jaccard: over the common shingles d, the sum of 1 / sum over all shingles e of max(x_e / x_d, y_e / y_d).
 
 Slots are cut into bands.  Texts that share a band are candidates: each is held against
 one of its bands' first texts, then against those of other classes.  Then all pairs across
 classes among the texts of bands that hold several classes are compared, whatever a
 band's size, save those that exact filters (prefixes of sets, bits of their parity) show to
-be unlike, so no link of two texts that share a band is missed.  A link is a pair whose sets of shingles have a Jaccard
-similarity of ``SIMILARITY`` or more, computed exactly from the whole texts; it is what
-the sketches estimate, for all weights are equal.  Classes are the connected components.
+be unlike, so no link of two texts that share a band is missed.  A link is a pair whose probability Jaccard
+is ``SIMILARITY`` or more, computed exactly from the weights of the whole texts: what the sketches estimate is
+what links are decided by.  For texts that repeat no shingle it is the Jaccard similarity of their sets.  Classes are the connected components.
 
 Equal texts are one node from the start.  Bands are aggregated, never gathered.  The
 sets of texts that share a band are made once and stored; keys that hold much of a
@@ -36,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, digest, dropped, filter_bits, may_be_among, packed, spread_join, staged, text_or_empty, without_cycles
@@ -80,16 +79,16 @@ class Shingler:
         return _mix(total)
 
 
-def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
-    """Of each array of shingles the shingle that arrives first in each slot; the arrays must not be empty and should be of like sizes."""
-    element, count, owner = [], [], []
-    for i, shingles in enumerate(sets):
-        one, times = np.unique(shingles, return_counts=True)
-        element.append(one)
-        count.append(times)
-        owner.append(np.full(len(one), i, np.int64))
-    element, count, owner = np.concatenate(element), np.concatenate(count), np.concatenate(owner)
-    rate = 1.0 + np.log(count)
+def weighed(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different shingles in rising order, and how often each occurs."""
+    return np.unique(shingles, return_counts=True)
+
+
+def signatures(sets: list[tuple[np.ndarray, np.ndarray]], slots: int = SLOTS) -> np.ndarray:
+    """Of each weighted set (``weighed``) the shingle that arrives first in each slot; the sets must not be empty and should be of like sizes."""
+    element = np.concatenate([one for one, _ in sets])
+    owner = np.repeat(np.arange(len(sets)), [len(one) for one, _ in sets])
+    rate = 1.0 + np.log(np.concatenate([times for _, times in sets]))
     first = np.full(len(sets) * slots, np.inf)
     holder = np.zeros(len(sets) * slots, np.uint64)
     clock, drawn = np.zeros(len(element)), 0
@@ -111,7 +110,7 @@ def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
 
 def signature(shingles: np.ndarray, slots: int = SLOTS) -> np.ndarray | None:
     """The shingle that arrives first in each slot; nothing for no shingles."""
-    return signatures([shingles], slots)[0] if len(shingles) else None
+    return signatures([weighed(shingles)], slots)[0] if len(shingles) else None
 
 
 def bands_of(sketches: np.ndarray) -> np.ndarray:
@@ -123,7 +122,7 @@ def bands_of(sketches: np.ndarray) -> np.ndarray:
 def bands_of_texts(texts, shingles) -> list[np.ndarray]:
     """Bands of each text; texts of like length are sketched together, ``TOGETHER`` shingles at once."""
     found: list[np.ndarray] = [np.empty(0, np.int64)] * len(texts)
-    waiting: dict[int, tuple[list[int], list[np.ndarray]]] = {}
+    waiting: dict[int, tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]] = {}
 
     def sketch(size: int) -> None:
         at, sets = waiting.pop(size)
@@ -131,9 +130,9 @@ def bands_of_texts(texts, shingles) -> list[np.ndarray]:
             found[i] = keys
 
     for i, text in enumerate(texts):
-        held = np.unique(shingles(text))
-        if len(held):
-            size = len(held).bit_length()
+        held = weighed(shingles(text))
+        if len(held[0]):
+            size = len(held[0]).bit_length()
             at, sets = waiting.setdefault(size, ([], []))
             at.append(i)
             sets.append(held)
@@ -168,59 +167,102 @@ def parity_mark(shingles: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str = "text") -> DataFrame:
-    """node, n, set (sorted shingles) and mark of the texts whose digests are in ``nodes``."""
+    """node, n, set (sorted shingles), counts (of them; null if all are 1), norm (sum of the weights) and mark of the texts whose digests are in ``nodes``."""
 
-    @F.pandas_udf("set array<long>, mark array<long>")
+    @F.pandas_udf("set array<long>, counts array<int>, norm double, mark array<long>")
     def held(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         shingles = Shingler().shingles
 
         def of(batch: pd.Series) -> pd.DataFrame:
-            sets = [np.unique(shingles(t)) for t in batch]
-            return pd.DataFrame({"set": [s.view(np.int64) for s in sets], "mark": [parity_mark(s) for s in sets]})
+            sets = [weighed(shingles(t)) for t in batch]
+            return pd.DataFrame({
+                "set": [s.view(np.int64) for s, _ in sets], "counts": pd.Series([c.astype(np.int32) if (c > 1).any() else None for _, c in sets], dtype=object),
+                "norm": [float((1.0 + np.log(c)).sum()) for _, c in sets], "mark": [parity_mark(s) for s, _ in sets],
+            })
 
         yield from without_cycles(batches, of)
 
     likely = may_be_among(docs.select(digest(text).alias("node"), text_or_empty(text).alias("text")), F.xxhash64("node"), nodes).where("_maybe").drop("_maybe")
     wanted = likely.dropDuplicates(["node"]).join(nodes, "node", "left_semi")
-    return wanted.select("node", held("text").alias("h")).select("node", F.size("h.set").alias("n"), "h.set", "h.mark")
+    return wanted.select("node", held("text").alias("h")).select("node", F.size("h.set").alias("n"), "h.set", "h.counts", "h.norm", "h.mark")
+
+
+def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
+    """Probability Jaccard of two sets of sorted shingles and their weights.
+
+    For a common shingle of weights (x, y) the inner sum is 1 / x times the sum of max(x_e, y_e x / y): shingles whose
+    ratio of weights is greater count with their first weight, others with their second one.
+    """
+    common, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    if not len(common):
+        return 0.0
+    u, v = x[i], y[j]
+    ratio = u / v
+    order = np.argsort(ratio, kind="stable")
+    u, v, ratio = u[order], v[order], ratio[order]
+    from_here = np.cumsum(u[::-1])[::-1]
+    before = np.concatenate([[0.0], np.cumsum(v)[:-1]])
+    inner = (x.sum() - u.sum()) + from_here + ratio * (y.sum() - v.sum() + before)
+    return float((u / inner).sum())
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose ``sets`` (node, n, set) are similar enough; ``pairs`` should be a table."""
-    of_a = sets.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("set").alias("a_set"))
-    of_b = sets.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("set").alias("b_set"))
-    both = spread_join(pairs.select("a", "b"), of_a, ["a"]).join(of_b, "b")
+    """The (a, b) of ``pairs`` whose ``sets`` (see ``shingle_sets``) are similar enough; ``pairs`` should be a table.
+
+    Pairs of texts without repeated shingles are compared as sets in the JVM, the others with their weights.
+    """
+    flags = sets.select("node", F.col("counts").isNull().alias("even"))
+    of = lambda df, side: df.withColumnsRenamed({c: f"{side}_{c}" for c in df.columns if c != "node"}).withColumnRenamed("node", side)
+    told = spread_join(pairs.select("a", "b"), of(flags, "a"), ["a"]).join(of(flags, "b"), "b")
+    told = staged(told.select("a", "b", (F.col("a_even") & F.col("b_even")).alias("even")), "told-pairs")
+    even, odd = told.where("even").drop("even"), told.where("NOT even").drop("even")
+
+    bare = sets.where("counts IS NULL").select("node", "n", "set")
+    both = spread_join(even, of(bare, "a"), ["a"]).join(of(bare, "b"), "b")
     common = F.size(F.array_intersect("a_set", "b_set"))
     alike = (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * SIMILARITY) & (common >= (F.col("a_n") + F.col("b_n") - common) * SIMILARITY)
-    return both.where(alike).select("a", "b")
+    found = both.where(alike).select("a", "b")
+    if odd.isEmpty():
+        return found
+
+    @F.pandas_udf("boolean")
+    def near(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        weights = lambda s, c: np.ones(len(s)) if c is None else 1.0 + np.log(np.asarray(c))
+        for batch in batches:
+            yield pd.Series([probability_jaccard(a, weights(a, x), b, weights(b, y)) >= SIMILARITY - 1e-12 for a, x, b, y in zip(*batch)], dtype="bool")
+
+    wanted = odd.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    weighted = may_be_among(sets.select("node", "set", "counts"), F.xxhash64("node"), wanted).where("_maybe").drop("_maybe")
+    both = spread_join(odd, of(weighted, "a"), ["a"]).join(of(weighted, "b"), "b")
+    return found.unionByName(both.where(near("a_set", "a_counts", "b_set", "b_counts")).select("a", "b"))
 
 
 def possible_pairs(apart: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) of ``apart`` (node, root) of different roots, without those whose ``sets`` can't be similar enough.
 
-    Shingles are put in one order, rare ones first.  Two sets of x and y shingles that are
-    similar enough have c = 4/9 (x + y) in common at least, so a common one stands among the
-    first x - c + 1 of the one and among the first y - c + 1 of the other, and their marks
-    differ in x + y - 2 c bits at most.  Both conditions of the join are exact, however many
+    If shares p and q of two texts' weights lie outside what they have in common, their probability Jaccard is
+    1 / (1 + p) + 1 / (1 + q) - 1 at most.  Shingles are put in one order, rare ones first; what stands before the first
+    common one lies outside, which bounds p and q by its place in either text, and their marks differ in
+    (1 / S - 1) of the greater sum of weights at most, S being the similarity.  Both conditions of the join are exact, however many
     texts share a shingle.
     """
     held = apart.join(sets, "node")
-    texts = staged(held.select(F.xxhash64("node").alias("id"), "node", "root", "n", "mark"), "apart-texts")
-    rows = staged(held.select(F.xxhash64("node").alias("id"), F.explode("set").alias("shingle")), "apart-shingles")
+    texts = staged(held.select(F.xxhash64("node").alias("id"), "node", "root", "norm", "mark"), "apart-texts")
+    pieces = F.when(F.col("counts").isNull(), F.transform("set", lambda x: F.struct(x.alias("shingle"), F.lit(1).alias("count")))).otherwise(F.transform("set", lambda x, i: F.struct(x.alias("shingle"), F.get("counts", i).alias("count"))))
+    rows = staged(held.select(F.xxhash64("node").alias("id"), F.explode(pieces).alias("p")).select("id", "p.shingle", F.col("p.count").alias("count")), "apart-shingles")
     # Shingles that one text alone holds join nothing; they stand first in the order.
     shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    ordered = spread_join(rows, shared, ["shingle"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.col("holders").cast("int").alias("holders"), "shingle"))).alias("order"))
-    alone = F.col("n") - F.size("order")
-    first = F.greatest(F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-6).cast("int") + 1 - alone, F.lit(0))
-    firsts = ordered.join(texts, "id").select("node", "root", "n", "mark", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), first)).alias("pos", "s"))
-    firsts = staged(firsts.select("node", "root", "n", "mark", (F.col("n") - F.col("alone") - F.col("pos")).alias("rest"), F.col("s.shingle").alias("shingle")), "first-shingles")  # rest: shingles from this one on
+    rest = F.sum(1.0 + F.log("count")).over(Window.partitionBy("id").orderBy("holders", "shingle").rowsBetween(0, Window.unboundedFollowing))
+    placed = spread_join(rows, shared, ["shingle"]).select("id", "shingle", rest.alias("rest"))
+    least = 2 - 1 / SIMILARITY - 1e-9  # with nothing outside on the other side
+    firsts = placed.join(texts, "id").select("node", "root", "norm", "mark", (F.col("rest") / F.col("norm")).alias("rest"), "shingle").where(F.col("rest") >= least)
+    firsts = staged(firsts, "first-shingles")  # rest: share of the weights from this shingle on
     # Nothing is compared within the class that holds a shingle most often.
     hubs = firsts.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("holders")).groupBy("shingle").agg(F.max(F.struct("holders", "root"))["root"].alias("hub"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
-    named = lambda df, side: df.withColumnsRenamed({c: f"{side}_{c}" for c in ("node", "root", "n", "mark", "rest")})
+    named = lambda df, side: df.withColumnsRenamed({c: f"{side}_{c}" for c in ("node", "root", "norm", "mark", "rest")})
     x, y = named(spread_join(firsts, hubs, ["shingle"]).where("root <> hub"), "x"), named(firsts, "y")
-    common = (F.col("x_n") + F.col("y_n")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
     differ = sum(F.bit_count(F.get("x_mark", i).bitwiseXOR(F.get("y_mark", i))) for i in range(MARK_BITS // 64))
-    alike = (F.least("x_rest", "y_rest", "x_n", "y_n") >= common) & (differ <= F.col("x_n") + F.col("y_n") - common * 2)
+    alike = (1 / (2 - F.col("x_rest")) + 1 / (2 - F.col("y_rest")) >= 1 + SIMILARITY - 1e-9) & (differ <= F.greatest("x_norm", "y_norm") * (1 / SIMILARITY - 1) + 1e-6)
     met = spread_join(staged(x, "first-shingles"), y, ["shingle"]).where(((F.col("y_root") == F.col("hub")) | (F.col("x_root") < F.col("y_root"))) & alike)
     return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
