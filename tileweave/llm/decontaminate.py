@@ -1,7 +1,7 @@
 """Benchmark decontamination by spaced-seed hashing (operator 6).
 
 Fixed masks pick five of some neighbouring token positions and ignore the others, so a
-seed survives substituted words.  Seeds of the benchmark and of the training texts are
+seed survives substituted words (items of fewer than ten tokens have masks of four, those of fewer than five are one seed).  Seeds of the benchmark and of the training texts are
 joined by their hash.  A hit names a diagonal: an item, a text and the shift between
 them.  On every diagonal with a hit the two token sequences are compared position by
 position over the item's whole length, and of all overlaps that begin and end with
@@ -9,9 +9,10 @@ equal tokens, have ``MIN_OVERLAP`` tokens or more (the whole item, if it is shor
 of which four in five agree, the one with most equal tokens is reported, then the
 shortest, then the first.  If there is such an overlap, the text has a leak.
 
-The three masks were chosen so that every pattern of substitutions that still is a leak
-is hit, from ten to 24 tokens (tested for all patterns), so nothing is lost before the
-comparison.  Items of fewer than ten tokens are looked for as exact runs.
+The masks were chosen so that every pattern of substitutions that still is a leak
+is hit, from five to 24 tokens (tested for all patterns), so nothing is lost before the
+comparison.  One tolerance holds for items of all lengths: four in five, so an item of five to nine tokens is found with one
+word replaced inside it, and a shorter one as it is.
 
 Seeds are counted first.  Up to ``BLOCK_SEEDS`` are broadcast; more are joined by a
 shuffle behind a bitmap of bounded size, in one pass over the texts.  Texts are judged
@@ -32,10 +33,11 @@ from pyspark.sql import functions as F
 
 from .common import digest, filter_bits, let, may_be_among, packed, spread_join, staged, text_or_empty
 
-#: Which of some neighbouring tokens a seed is made of.
-MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 6, 7))
-#: Items of fewer tokens are sought as exact runs.
-SHORT = 10
+#: Which of some neighbouring tokens a seed is made of; the same for items of fewer than ``SHORT`` tokens, and of fewer than ``TINY``.
+MASKS = ((0, 1, 2, 3, 5), (0, 1, 2, 5, 6), (0, 1, 3, 6, 7))
+SHORT, SHORT_MASKS = 10, ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))
+TINY = 5
+WAYS = (*MASKS, *SHORT_MASKS, *[tuple(range(n)) for n in range(1, TINY)])
 #: At least so many tokens, of which four in five agree.
 MIN_OVERLAP = 13
 #: Seeds that are broadcast, at most: a hash, an item and a place each.
@@ -50,15 +52,12 @@ def _hashed(text: str) -> Column:
     return F.transform(tokens(text), lambda t: F.xxhash64(t))
 
 
-def _seed(array: Column, at: Column, mask: int) -> Column:
-    return F.xxhash64(F.lit(mask), *[F.get(array, at + offset) for offset in MASKS[mask]])
-
-
-def _masked(way: Column, array: Column, at: Column, n: Column) -> Column:
-    """The seed at a place by mask ``way``; null where the mask reaches beyond the end."""
+def _masked(way: Column, array: Column, at: Column, n: Column, ways: list[int]) -> Column:
+    """The seed at a place by ``way``, one of ``ways``; null where its mask reaches beyond the end."""
     seed = F.lit(None).cast("long")
-    for m, mask in enumerate(MASKS):
-        seed = F.when((way == m) & (at + mask[-1] < n), _seed(array, at, m)).otherwise(seed)
+    for w in ways:
+        made = F.xxhash64(F.lit(w), *[F.get(array, at + offset) for offset in WAYS[w]])
+        seed = F.when((way == w) & (at + WAYS[w][-1] < n), made).otherwise(seed)
     return seed
 
 
@@ -69,29 +68,23 @@ def _items(items: DataFrame, item_id: str, text: str) -> DataFrame:
 
 
 def seeds_of(held: DataFrame) -> DataFrame:
-    """seed, item, at (place) and n of each seed of each item of ``_items``."""
-    ways = len(MASKS)
-    long = held.where(F.col("n") >= SHORT).select("item", "own", "n", F.explode(F.sequence(F.lit(0), F.col("n") * ways - 1)).alias("k"))
-    at = F.expr(f"k div {ways}").cast("int")
-    long = long.select(_masked(F.col("k") % ways, F.col("own"), at, F.col("n")).alias("seed"), "item", at.alias("at"), "n").where("seed IS NOT NULL")
-    run = F.aggregate("own", F.lit(7).cast("long"), lambda h, x: F.xxhash64(h, x))
-    return long.unionByName(held.where(F.col("n") < SHORT).select(run.alias("seed"), "item", F.lit(0).alias("at"), "n"))
+    """seed, item, at (place) and way (number of the mask) of each seed of each item of ``_items``."""
+    first = len(MASKS) + len(SHORT_MASKS)
+    some = lambda numbers: F.array(*[F.lit(w) for w in numbers])
+    ways = F.when(F.col("n") >= SHORT, some(range(len(MASKS)))).when(F.col("n") >= TINY, some(range(len(MASKS), first))).otherwise(F.array(F.col("n") + first - 1))
+    placed = held.select("item", "own", "n", F.explode(ways).alias("way")).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
+    return placed.select(_masked(F.col("way"), F.col("own"), F.col("at"), F.col("n"), list(range(len(WAYS)))).alias("seed"), "item", "at", "way").where("seed IS NOT NULL")
 
 
 def _diagonals(docs: DataFrame, seeds: DataFrame, text: str) -> DataFrame:
     """node (digest of a text), item and shift of each diagonal with a seed in common."""
-    total, shorter = seeds.agg(F.count(F.lit(1)), F.sort_array(F.collect_set(F.when(F.col("n") < SHORT, F.col("n"))))).first()  # lengths below SHORT: at most nine
-    ways = len(MASKS) + len(shorter)
+    total, used = seeds.agg(F.count(F.lit(1)), F.sort_array(F.collect_set("way"))).first()  # of len(WAYS) ways
+    ways = max(1, len(used))
     hashed = docs.select(digest(text).alias("node"), _hashed(text).alias("t")).withColumn("len", F.size("t")).where("len > 0")
     placed = hashed.select("node", "t", "len", F.explode(F.sequence(F.lit(0), F.col("len") * ways - 1)).alias("k"))
-    at, way = F.expr(f"k div {ways}").cast("int"), F.col("k") % ways
-    seed = _masked(way, F.col("t"), at, F.col("len"))
-    for i, n in enumerate(shorter):
-        run = F.lit(7).cast("long")
-        for j in range(n):
-            run = F.xxhash64(run, F.get("t", at + j))
-        seed = F.when((way == len(MASKS) + i) & (at <= F.col("len") - n), run).otherwise(seed)
-    placed = placed.select("node", at.alias("p"), seed.alias("seed"))
+    at = F.expr(f"k div {ways}").cast("int")
+    way = F.get(F.array(*[F.lit(w) for w in used or [0]]), F.col("k") % ways)
+    placed = placed.select("node", at.alias("p"), _masked(way, F.col("t"), at, F.col("len"), used).alias("seed"))
     sought = seeds.select("seed", "item", "at")
     if total <= BLOCK_SEEDS:
         hits = placed.join(F.broadcast(sought), "seed")  # at most BLOCK_SEEDS rows
