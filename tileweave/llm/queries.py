@@ -35,7 +35,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return urlfilter.with_url_verdict(pages, URL_RULES).drop("url")
+    return urlfilter.with_url_verdict(pages, URL_RULES, vocabulary=urlfilter.compounds(urlfilter.read_vocabulary())).drop("url")
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,16 +117,17 @@ def _url_sql() -> str:
         f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}') THEN '{rule}'" for rule, _, host, path in sorted(fits, key=lambda r: -len(r[0]))
     ) + " END"
     action = "CASE rule " + " ".join(f"WHEN '{rule}' THEN '{action}'" for rule, action, *_ in fits) + " END"
-    terms = ", ".join(f"('(^|[^\\p{{L}}\\p{{N}}]){term}($|[^\\p{{L}}\\p{{N}}])', {weight})" for term, weight in urlfilter.read_vocabulary())
+    terms = ", ".join(f"('{term}', {weight})" for term, weight in urlfilter.compounds(urlfilter.read_vocabulary()))
+    alone = "'(^|[^\\p{L}\\p{N}])' || term || '($|[^\\p{L}\\p{N}])'"
     low = lambda column: f"translate({column}, '{UPPER}', '{LOWER}')"
     return f"""
 WITH cut AS (SELECT row_number() OVER () AS i, page_id, {low("coalesce(url, '')")} AS low,
     coalesce(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END, '') AS rest FROM pages),
 parts AS (SELECT i, page_id, low, {low("regexp_extract(rest, '^[^/?#]*')")} AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
-vocabulary(pattern, weight) AS (VALUES {terms}),
+vocabulary(term, weight) AS (VALUES {terms}),
 hits AS (SELECT i, count(*) FILTER (weight >= {urlfilter.STRICT}) AS strict_terms, count(*) FILTER (weight < {urlfilter.STRICT}) AS soft_terms,
-    sum(weight) FILTER (weight < {urlfilter.STRICT}) AS soft_weight FROM cut JOIN vocabulary ON regexp_matches(low, pattern) GROUP BY i),
+    sum(weight) FILTER (weight < {urlfilter.STRICT}) AS soft_weight FROM cut JOIN vocabulary ON contains(low, term) AND regexp_matches(low, {alone}) GROUP BY i),
 ruled AS (SELECT parts.*, {longest} AS rule, coalesce(strict_terms, 0) AS strict_terms, coalesce(soft_terms, 0) AS soft_terms, coalesce(soft_weight, 0) AS soft_weight
     FROM parts LEFT JOIN hits ON parts.i = hits.i)
 SELECT page_id, host, path, rule, coalesce({action}, CASE WHEN strict_terms > 0 OR soft_weight >= {urlfilter.STRICT} THEN 'block' ELSE 'allow' END) AS verdict,

@@ -4,7 +4,7 @@ One automaton finds every vocabulary term in the lower-cased (A-Z) URL.  A hit c
 no letter or digit stands on either side, and a term counts once.  One strict term (of
 weight ``STRICT`` or more), or soft terms whose weights add up to ``STRICT``, block the
 URL; a soft term alone never does.  The vocabulary is a file of lines ``term weight``
-(``read_vocabulary``) or a table (``vocabulary_of``).  Rules (host, path) come first: a
+(``read_vocabulary``) or a table (``vocabulary_of``), widened to thousands of terms by a rule (``compounds``) if wanted.  Rules (host, path) come first: a
 rule fits its host and all subdomains if the URL's path starts with the rule's, and the
 longest wins; of equal rules the first.
 
@@ -42,6 +42,26 @@ def read_vocabulary(path: str = OWN_VOCABULARY) -> tuple[tuple[str, int], ...]:
         return tuple((term, int(weight)) for term, weight in pairs)
 
 
+#: Words that strict terms are joined with in host names.
+AFFIXES = tuple("4u 24 69 all best big blog chat city club daily direct easy fan forum free guide hd home hot hub king land list live mania my now online open planet play plus portal pro real review shop site star store super the time top tube tv vip web win world zone".split())
+#: Digits that stand for letters.
+DIGITS = str.maketrans("aeiost", "431057")
+
+
+def compounds(vocabulary) -> tuple[tuple[str, int], ...]:
+    """A vocabulary with the spellings that host names have, thousands of terms by a rule.
+
+    Strict terms joined with ``AFFIXES`` at either end, and written with digits, weigh as they do; two soft terms
+    written as one weigh what both do together.  Terms of the vocabulary itself keep their weights.
+    """
+    own = dict(vocabulary)
+    strict, soft = [t for t, w in own.items() if w >= STRICT], [t for t, w in own.items() if w < STRICT]
+    made = {a + b: own[t] for t in strict for x in AFFIXES for a, b in ((t, x), (x, t))}
+    made |= {t.translate(DIGITS): own[t] for t in strict}
+    made |= {a + b: own[a] + own[b] for a in soft for b in soft if a != b}
+    return tuple((made | own).items())
+
+
 def vocabulary_of(terms: DataFrame) -> tuple[tuple[str, int], ...]:
     """Terms and weights from a table (term, weight) of at most ``MOST_TERMS`` rows."""
     found = terms.select(F.col("term").cast("string"), F.col("weight").cast("int")).where("term <> '' AND weight IS NOT NULL").limit(MOST_TERMS + 1).collect()
