@@ -10,6 +10,7 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
 import regex
@@ -132,6 +133,28 @@ def test_url_hits_equal_brute_force(spark):
     assert [judge.judge(f"http://h.org/{p}")[3] for p in ("bad", "odd", "odd-mad", "odd-odd", "mad")] == ["block", "allow", "block", "allow", "allow"]
 
 
+def test_vocabulary_decides(spark, tmp_path):
+    """Of URLs that no rule fits, thousands of terms block many and leave many, and the query says what its SQL does."""
+    from ..compare import assert_same
+
+    own = urlfilter.read_vocabulary()
+    terms = dict(urlfilter.compounds(own))
+    assert len(terms) > 5000 and sum(w < urlfilter.STRICT for w in terms.values()) > 500 and all(terms[t] == w for t, w in own)
+    rng = random.Random(4)
+    names, plain = sorted(terms), ["news", "garden", "sussex", "essex", "scrap", "cranberry", "alphabet", "shopping", "weather"]
+    urls = []
+    for i in range(600):
+        words = [rng.choice(plain) for _ in range(3)] + rng.sample(names, i % 3)
+        rng.shuffle(words)
+        urls.append((i, f"http://{'-'.join(words[:2])}.org/{rng.choice('/_-+').join(words[2:])}{rng.choice(['', 's', '?x=1', '.html'])}"))
+    pd.DataFrame(urls, columns=["page_id", "url"]).to_parquet(tmp_path / "pages.parquet")
+    assert_same(spark, str(tmp_path), queries.QUERIES["op4_url_filter"], queries.ORACLE_SQL["op4_url_filter"])
+    got = collections.Counter(r["verdict"] for r in queries.op4_url_filter(spark, str(tmp_path)).where("rule IS NULL").collect())
+    assert got["block"] > 150 and got["allow"] > 150
+    soft = urlfilter.with_url_verdict(spark.createDataFrame([(1, "http://a.org/free/bet/now"), (2, "http://a.org/free"), (3, "http://a.org/freebet"), (4, "http://a.org/mycasino"), (5, "http://a.org/casinov")], "page_id int, url string"), (), vocabulary=terms.items())
+    assert {r["page_id"]: r["verdict"] for r in soft.collect()} == {1: "block", 2: "allow", 3: "block", 4: "block", 5: "allow"}
+
+
 def test_url_columns_clash(spark):
     df = spark.createDataFrame([(1, "http://a.org/casino", "h", "f", "r")], "page_id int, url string, host string, found string, row string")
     got = urlfilter.with_url_verdict(df, queries.URL_RULES)
