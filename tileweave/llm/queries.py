@@ -118,7 +118,6 @@ def _url_sql() -> str:
     ) + " END"
     action = "CASE rule " + " ".join(f"WHEN '{rule}' THEN '{action}'" for rule, action, *_ in fits) + " END"
     terms = ", ".join(f"('{term}', {weight})" for term, weight in urlfilter.compounds(urlfilter.read_vocabulary()))
-    alone = "'(^|[^\\p{L}\\p{N}])' || term || '($|[^\\p{L}\\p{N}])'"
     low = lambda column: f"translate({column}, '{UPPER}', '{LOWER}')"
     return f"""
 WITH cut AS (SELECT row_number() OVER () AS i, page_id, {low("coalesce(url, '')")} AS low,
@@ -126,8 +125,9 @@ WITH cut AS (SELECT row_number() OVER () AS i, page_id, {low("coalesce(url, '')"
 parts AS (SELECT i, page_id, low, {low("regexp_extract(rest, '^[^/?#]*')")} AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
 vocabulary(term, weight) AS (VALUES {terms}),
+words AS (SELECT DISTINCT i, unnest(regexp_extract_all(low, '[\\p{{L}}\\p{{N}}]+')) AS term FROM cut),
 hits AS (SELECT i, count(*) FILTER (weight >= {urlfilter.STRICT}) AS strict_terms, count(*) FILTER (weight < {urlfilter.STRICT}) AS soft_terms,
-    sum(weight) FILTER (weight < {urlfilter.STRICT}) AS soft_weight FROM cut JOIN vocabulary ON contains(low, term) AND regexp_matches(low, {alone}) GROUP BY i),
+    sum(weight) FILTER (weight < {urlfilter.STRICT}) AS soft_weight FROM words JOIN vocabulary USING (term) GROUP BY i),
 ruled AS (SELECT parts.*, {longest} AS rule, coalesce(strict_terms, 0) AS strict_terms, coalesce(soft_terms, 0) AS soft_terms, coalesce(soft_weight, 0) AS soft_weight
     FROM parts LEFT JOIN hits ON parts.i = hits.i)
 SELECT page_id, host, path, rule, coalesce({action}, CASE WHEN strict_terms > 0 OR soft_weight >= {urlfilter.STRICT} THEN 'block' ELSE 'allow' END) AS verdict,
