@@ -359,6 +359,38 @@ def test_numbers_of_every_size(spark):
                     assert got[0] == (int.from_bytes(part, order, signed=True) if whole else None) and (None if got[1] is None else int(got[1])) == (int.from_bytes(part, order) if whole else None)
 
 
+def test_floats_of_every_kind(spark):
+    values = [0.0, -0.0, 1.0, -1.5, 2.0**-1022, 2.0**-1030, 5e-324, 1.7976931348623157e308, 0.1, 1 - 2**-53, 8.0, 7.999999999999999, float("inf"), float("-inf"), 1e-45, 3.4028235e38, 1e-40, 2.0**-126, None]
+    rng = np.random.default_rng(2)
+    values += [float(v) for v in rng.normal(size=60) * 10.0 ** rng.integers(-300, 300, 60)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v double")
+    both = [numeric.write_float(F.col("v"), size, little).alias(f"b{size}{little}") for size in (4, 8) for little in (False, True)]
+    for r in df.select("id", "v", *both).collect():
+        for size in (4, 8):
+            for little in (False, True):
+                got = r[f"b{size}{little}"]
+                if r.v is None:
+                    assert got is None
+                    continue
+                with np.errstate(over="ignore", under="ignore"):
+                    wanted = np.array(r.v).astype(("<" if little else ">") + f"f{size}").tobytes()
+                assert bytes(got) == wanted, (r.v, size)
+    back = df.select("v", numeric.read_float(numeric.write_float(F.col("v"), 8), 0, 8).alias("b")).collect()
+    assert all(r.v == r.b for r in back)
+    nan = spark.range(1).select(numeric.write_float(F.lit(float("nan")), 8).alias("b"), numeric.read_float(F.lit(b"abc"), 0, 4).alias("short")).first()
+    assert bytes(nan.b) == struct.pack(">d", float("nan")) and nan.short is None
+
+
+def test_uris_and_keys(spark):
+    given = ["image.ntf", "/path/to/image.ntf", "file:///path/to/image.ntf", "s3://bucket/key/image.ntf", "/path/to/image", "/path.d/to/image", "/p/.hidden", "S3A://b/x.TIF.r1", "", None, "a://", "c:\\x.tif"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(given)], "id int, u string")
+    got = {r.id: None if r.p is None else tuple(r.p) for r in df.select("id", segments.uri_parts(F.col("u")).alias("p")).collect()}
+    assert [got[i] for i in range(11)] == [
+        ("file", "image.ntf", "ntf"), ("file", "/path/to/image.ntf", "ntf"), ("file", "/path/to/image.ntf", "ntf"), ("s3", "bucket/key/image.ntf", "ntf"), ("file", "/path/to/image", None),
+        ("file", "/path.d/to/image", None), ("file", "/p/.hidden", "hidden"), ("s3a", "b/x.TIF.r1", "r1"), ("file", "", None), None, ("a", "", None),
+    ]
+
+
 # --- similarity and levels ----------------------------------------------------
 
 

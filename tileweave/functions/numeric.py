@@ -41,6 +41,57 @@ def write_signed(value: Column, size: int, little: bool = False) -> Column:
     return F.when((value >= -half) & (value <= half - 1), F.unhex(ordered))
 
 
+def _once(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def read_float(data: Column, offset: Column | int, size: int, little: bool = False) -> Column:
+    """IEEE number of 4 or 8 bytes at a byte offset; null beyond the end."""
+    wide, split, bias = (64, 52, 1023) if size == 8 else (32, 23, 127)
+
+    def of(b: Column) -> Column:
+        sign = F.when(F.shiftrightunsigned(b, wide - 1).bitwiseAND(F.lit(1)) == 1, -1.0).otherwise(1.0)
+        exponent = F.shiftright(b, split).bitwiseAND(F.lit(2 * bias + 1))
+        fraction = b.bitwiseAND(F.lit((1 << split) - 1)).cast("double") * F.lit(2.0**-split)
+        special = F.when(fraction == 0, sign * F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+        small = sign * fraction * F.pow(F.lit(2.0), F.lit(1.0 - bias))
+        return F.when(exponent == 2 * bias + 1, special).when(exponent == 0, small).otherwise(sign * (1 + fraction) * F.pow(F.lit(2.0), exponent.cast("double") - bias))
+
+    bits = read_signed(data, offset, 8, little) if size == 8 else read_unsigned(data, offset, 4, little)
+    return _once(bits, lambda b: F.when(b.isNotNull(), of(b)))
+
+
+def float_bits(value: Column, size: int) -> Column:
+    """The bits of a number in IEEE form of 4 or 8 bytes, as a long; a number too large for 4 bytes is infinite."""
+    wide, split, bias = (64, 52, 1023) if size == 8 else (32, 23, 127)
+    two = lambda n: F.pow(F.lit(2.0), n)
+    number = value.cast("double") if size == 8 else value.cast("float").cast("double")
+
+    def of(v: Column) -> Column:
+        negative = F.when((v < 0) | ((v == 0) & (v.cast("string") == "-0.0")), 1).otherwise(0).cast("bigint")
+        size_of = F.abs(v)
+
+        def normal(e: Column) -> Column:
+            scaled = size_of / two(e)
+            return F.shiftleft((e + bias).cast("bigint"), split) + ((scaled - 1) * F.lit(2.0**split)).cast("bigint")
+
+        guess = F.floor(F.log2(size_of)).cast("double")
+        # The logarithm may be off by one next to a power of two.
+        exponent = _once(F.least(guess, F.lit(float(bias))), lambda g: F.when(size_of / two(g) >= 2, g + 1).when(size_of / two(g) < 1, g - 1).otherwise(g))
+        least = F.lit(2.0 ** (1 - bias))
+        small = (size_of * F.lit(2.0 ** (bias - 1)) * F.lit(2.0**split)).cast("bigint")
+        top = F.shiftleft(F.lit(2 * bias + 1).cast("bigint"), split)
+        body = F.when(F.isnan(v), top + (1 << (split - 1))).when(size_of == float("inf"), top).when(size_of < least, small).otherwise(_once(exponent, normal))
+        return body + F.shiftleft(negative, wide - 1) if size == 4 else body.bitwiseOR(F.shiftleft(negative, wide - 1))
+
+    return _once(number, lambda v: F.when(v.isNotNull(), of(v)))
+
+
+def write_float(value: Column, size: int, little: bool = False) -> Column:
+    """IEEE bytes of a number in 4 or 8 bytes."""
+    return (write_signed if size == 8 else write_unsigned)(float_bits(value, size), size, little)
+
+
 def as_int(text: Column) -> Column:
     """Integer of a text field; a blank field is 0, anything else that isn't a number null."""
     return F.when(F.trim(text) == "", F.lit(0).cast("bigint")).otherwise(F.trim(text).try_cast("bigint"))
@@ -98,3 +149,8 @@ def checksum_holds(record: Column) -> Column:
 def complex_sample(data: Column, index: Column, little: bool = False) -> Column:
     """Bit patterns of the real and imaginary part of a 64-bit complex sample."""
     return F.struct(read_unsigned(data, index * 8, 4, little).alias("re_bits"), read_unsigned(data, index * 8 + 4, 4, little).alias("im_bits"))
+
+
+def complex_bytes(real: Column, imaginary: Column, little: bool = False) -> Column:
+    """A 64-bit complex sample: the bytes of its real and its imaginary part."""
+    return F.concat(write_float(real, 4, little), write_float(imaginary, 4, little))

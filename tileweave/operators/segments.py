@@ -45,6 +45,22 @@ def overview_level(role: Column) -> Column:
     return F.when(n >= 1, n)
 
 
+def uri_parts(uri: Column) -> Column:
+    """Struct (scheme, path, extension) of a URI or a plain path, whose scheme is file; no extension is null."""
+    scheme = F.regexp_extract(uri, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
+    path = F.when(scheme == "", uri).otherwise(F.substr(uri, F.length(scheme) + 4))
+    name = F.regexp_extract(path, r"([^/]*)$", 1)
+    extension = F.regexp_extract(name, r"\.([^.]*)$", 1)
+    return F.when(uri.isNotNull(), F.struct(F.when(scheme == "", "file").otherwise(F.lower(scheme)).alias("scheme"), path.alias("path"), F.when(extension != "", extension).alias("extension")))
+
+
+def with_existence(wanted: DataFrame, counts: DataFrame, keys: Sequence[str], key: str = "key", to: str = "exists") -> DataFrame:
+    """Asset keys with whether they exist: well formed, and below the number of assets of their kind (keys..., kind, n) in their file."""
+    parts = wanted.withColumn("_part", asset_key_parts(F.col(key)))
+    found = parts.withColumn("_kind", F.col("_part.kind")).join(counts.select(*keys, F.col("kind").alias("_kind"), F.col("n").alias("_n")), [*keys, "_kind"], "left")
+    return found.select(*wanted.columns, F.coalesce(F.col("_part.index") < F.col("_n"), F.lit(False)).alias(to))
+
+
 def rset_level(path: Column) -> Column:
     """N of a path's ``.rN`` suffix, N at least 1; null without one."""
     n = F.regexp_extract(path, r"\.r(\d+)$", 1).try_cast("int")

@@ -347,12 +347,12 @@ def chunk_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
-SELECT label, n, coalesce(lag(n) OVER (ORDER BY label) / n, 1.0) AS scale FROM n
+WITH n AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS n FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, n, coalesce(lag(n) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) / n, 1.0) AS scale FROM n
 """)
 def level_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    levels = read(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    return blocks.level_scale(levels.withColumn("_file", F.lit(0)), ["_file"], "label", "n").drop("_file")
+    levels = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("n"))
+    return blocks.level_scale(levels, ["l_orderkey"], "l_linenumber", "n")
 
 
 @query("""
@@ -443,12 +443,29 @@ def tiff_window_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT path, '0.' || br || '.0' AS chunk, md5(path || br) AS told FROM (SELECT path, unnest(range(CAST(ceil(rows / 16.0) AS INT))) AS br FROM {_SIZES_SQL})
+SELECT path, '0.' || br || '.0' AS chunk, CAST(404 + 439 + br * 2048 AS BIGINT) AS off, CAST(2048 AS BIGINT) AS len FROM (SELECT path, unnest(range(CAST(ceil(rows / 16.0) AS INT))) AS br FROM {_SIZES_SQL})
 """)
 def chunk_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of single ranges: a file header of 404 bytes, a subheader of 439, then blocks of 16 x 64 samples of two bytes."""
     index = scan.tile_index(stored_files(spark, sf_dir, "nitf", "int16", block_size=(16, 64)))
-    refs = sinks.references(index).withColumn("path", F.get_json_object("reference", "$[0]"))
-    return refs.select("path", "chunk", F.md5(F.concat("path", F.split_part("chunk", F.lit("."), F.lit(2)))).alias("told"))
+    step = lambda i: F.get_json_object("reference", f"$[{i}]")
+    return sinks.references(index).select(step(0).alias("path"), "chunk", step(1).cast("bigint").alias("off"), step(2).cast("bigint").alias("len"))
+
+
+@query("""
+WITH r AS (SELECT l_orderkey, l_linenumber, l_orderkey * 1000 + l_linenumber * 100 AS off, CAST(l_quantity AS BIGINT) AS len, l_linenumber % 2 = 0 AS gap FROM lineitem),
+t AS (SELECT l_orderkey, list({'off': off, 'len': CASE WHEN gap THEN len ELSE 100 END} ORDER BY off, len, gap) AS r, count(*) AS n FROM r GROUP BY 1),
+c AS (SELECT *, coalesce(len(list_filter(range(1, n), lambda i: r[i].off + r[i].len <> r[i + 1].off)) = 0, true) AS one FROM t)
+SELECT l_orderkey, CASE WHEN one THEN '["part/' || l_orderkey || '\\"x", ' || r[1].off || ', ' || CAST(list_sum(list_transform(r, lambda x: x.len)) AS BIGINT) || ']'
+    ELSE '["part/' || l_orderkey || '\\"x", [' || array_to_string(list_transform(r, lambda x: '[' || x.off || ', ' || x.len || ']'), ', ') || ']]' END AS reference FROM c
+""")
+def range_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of one or several ranges as JSON; a quotation mark in a path is escaped."""
+    gap = F.col("l_linenumber") % 2 == 0
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100).alias("off"), F.when(gap, F.col("l_quantity").cast("bigint")).otherwise(F.lit(100).cast("bigint")).alias("len"))
+    index = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("off", "len"))).alias("ranges"))
+    keyed = index.select(F.col("l_orderkey").cast("string").alias("key"), F.lit(0).alias("level"), F.lit(0).alias("br"), F.lit(0).alias("bc"), F.concat(F.lit("part/"), "l_orderkey", F.lit('"x')).alias("path"), "ranges")
+    return sinks.references(keyed).select(F.col("key").cast("bigint").alias("l_orderkey"), "reference")
 
 
 # --- segments, records, keys -------------------------------------------------
@@ -640,6 +657,46 @@ def segment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.segment_totals(read(spark, sf_dir, "documents").withColumnRenamed("source", "kind"), "kind", "n_chars")
 
 
+@query("""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages), p AS (SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS s, url FROM u),
+q AS (SELECT page_id, CASE s WHEN '' THEN 'file' ELSE lower(s) END AS scheme, CASE s WHEN '' THEN url ELSE substr(url, length(s) + 4) END AS path FROM p)
+SELECT page_id, scheme, path, nullif(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '\.([^.]*)$', 1), '') AS extension FROM q
+""")
+def uri_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", segments.uri_parts(F.coalesce("url", F.lit(""))).alias("u")).select("page_id", "u.*")
+
+
+@query("""
+WITH c AS (SELECT l_orderkey, CASE WHEN l_linenumber % 2 = 0 THEN 'image' ELSE 'text' END AS kind, count(*) AS n FROM lineitem GROUP BY ALL),
+w AS (SELECT o_orderkey AS l_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'text' ELSE 'sound' END AS kind, o_custkey % 4 AS i FROM orders)
+SELECT w.l_orderkey, w.kind || ':' || i AS key, coalesce(i < n, false) AS exists FROM w LEFT JOIN c ON w.l_orderkey = c.l_orderkey AND w.kind = c.kind
+""")
+def asset_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("l_linenumber") % 2 == 0, "image").otherwise("text")
+    counts = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    asked = F.when(F.col("o_orderkey") % 3 == 0, "image").when(F.col("o_orderkey") % 3 == 1, "text").otherwise("sound")
+    wanted = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat_ws(":", asked, (F.col("o_custkey") % 4).cast("string")).alias("key"))
+    return segments.with_existence(wanted, counts, ["l_orderkey"])
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_extendedprice AS back8, CAST(CAST(-l_extendedprice AS FLOAT) AS DOUBLE) AS back4, CAST(floor(log2(l_extendedprice)) AS BIGINT) + 1023 AS exponent,
+    floor((l_extendedprice / pow(2, floor(log2(l_extendedprice))) - 1) * 1048576) AS fraction, l_discount AS re FROM lineitem
+""")
+def float_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers written as IEEE bytes and read back, and the fields of their bits."""
+    v = F.col("l_extendedprice")
+    made = read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", numeric.write_float(v, 8).alias("wide"), numeric.write_float(-v, 4, True).alias("short"), numeric.complex_bytes(F.col("l_discount"), -F.col("l_tax")).alias("pair"), F.col("l_discount").cast("float").alias("d"), "l_discount"
+    )
+    head = numeric.read_unsigned(F.col("wide"), 0, 4)
+    same = numeric.read_float(F.col("pair"), 0, 4) == F.col("d").cast("double")
+    return made.select(
+        "l_orderkey", "l_linenumber", numeric.read_float(F.col("wide"), 0, 8).alias("back8"), numeric.read_float(F.col("short"), 0, 4, True).alias("back4"), F.shiftright(head, 20).alias("exponent"),
+        head.bitwiseAND(F.lit((1 << 20) - 1)).cast("double").alias("fraction"), F.when(same, F.col("l_discount")).alias("re"),
+    )
+
+
 # --- metadata ----------------------------------------------------------------
 
 PROPS = "map<string,string>"
@@ -650,13 +707,16 @@ def metadata_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.key_rows(read(spark, sf_dir, "events"), "props", ["event_id"])
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(len(list_filter(json_keys(props), lambda x: starts_with(x, 'k'))) AS INT) AS with_k, 0 AS with_z FROM events")
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(len(list_filter(json_keys(props), lambda x: starts_with(x, 'k'))) AS INT) AS with_k, CAST(len(list_filter(json_keys(props), lambda x: starts_with(x, 'z'))) AS INT) AS with_z FROM events")
 def metadata_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = F.from_json("props", PROPS)
     return read(spark, sf_dir, "events").select("event_id", F.try_element_at(entries, F.lit("k")).alias("k"), F.size(metadata.with_prefix(entries, "k")).alias("with_k"), F.size(metadata.with_prefix(entries, "z")).alias("with_z"))
 
 
-@query("SELECT event_id, event_type AS k, 2 AS entries, CAST(1 AS INT) AS left_over FROM events")
+@query("""
+WITH k AS (SELECT event_id, event_type, list_distinct(list_concat(json_keys(props), ['k', 'type'])) AS keys FROM events)
+SELECT event_id, event_type AS k, CAST(len(keys) AS INT) AS entries, CAST(len(list_filter(keys, lambda x: x <> 'k')) AS INT) AS left_over FROM k
+""")
 def metadata_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = metadata.updated(F.from_json("props", PROPS), F.create_map(F.lit("k"), F.col("event_type"), F.lit("type"), F.lit("x")))
     return read(spark, sf_dir, "events").select("event_id", entries["k"].alias("k"), F.size(entries).alias("entries"), F.size(metadata.removed(entries, "k")).alias("left_over"))

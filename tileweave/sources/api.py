@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator, Sequence
 
@@ -9,7 +10,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.raster import tile_grid
 from ..operators.segments import EXTENSIONS, default_asset
+from .chips import assembled_windows, window_pieces
 from .codecs import FORMATS
 from .formats import FormatError
 from .scan import files, scan_assets, scan_blocks, tile_index, with_pyramid
@@ -56,13 +59,22 @@ def save_image(spark: SparkSession, path: str, image: np.ndarray, fmt: str, **op
     save_files(encoded(blocks, fmt, **options), folder).collect()
 
 
-def image_tiles(spark: SparkSession, path: str, size: tuple[int, int], overlap: tuple[int, int] = (0, 0), **options) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Tiles (row, column, array) of an image in row-major order; tiles at the edge are clipped."""
-    info = image_info(spark, path, options.get("key"), options.get("fmt")).first()  # headers only; a tile reads its blocks alone
-    dy, dx = size[0] - overlap[0], size[1] - overlap[1]
-    for r in range(max(1, -(-(info["rows"] - overlap[0]) // dy))):
-        for c in range(max(1, -(-(info["cols"] - overlap[1]) // dx))):
-            yield r, c, read_image(spark, path, (r * dy, c * dx, *size), **options)
+def image_tiles(spark: SparkSession, path: str, size: tuple[int, int], overlap: tuple[int, int] = (0, 0), bands: Sequence[int] | None = None, key: str | None = "image:0", fmt: str | None = None, fill=0) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Tiles (row, column, array) of an image in row-major order; tiles at the edge are clipped.
+
+    All tiles are one table of windows and one job; the iterator holds a partition of them.
+    """
+    info = image_info(spark, path, key, fmt).first()
+    if info is None:
+        raise FormatError(f"{path} has no image {key}")
+    one = spark.createDataFrame([(info["path"], info["key"], info["rows"], info["cols"])], "path string, key string, rows int, cols int")
+    tiles = tile_grid(one, *size, overlap).select("path", "key", "tr", "tc", "y", "x", "h", "w")
+    made = assembled_windows(window_pieces(spark, tiles), ["tr", "tc"], fill).select("tr", "tc", "payload")
+    placed = tiles.select("tr", "tc", "h", "w").join(made, ["tr", "tc"], "left").orderBy("tr", "tc")
+    for t in placed.toLocalIterator():
+        shape = (info["bands"], t["h"], t["w"])
+        px = np.full(shape, fill, info["dtype"]) if t["payload"] is None else np.frombuffer(t["payload"], info["dtype"]).reshape(shape)
+        yield t["tr"], t["tc"], px if bands is None else px[list(bands)]
 
 
 _ROLE = re.compile(r"^(data|metadata|thumbnail|overview:[1-9]\d*)$")
@@ -110,10 +122,10 @@ class Dataset:
     def assets(self, kind: str | None = None) -> DataFrame:
         found = with_pyramid(scan_assets(self.files, self.format))
         if self.roles:
-            given = {f"/{p.rstrip('/').rsplit('/', 1)[-1]}": r for p, r in zip(self.paths, self.roles)}
-            roles = F.col("roles")
-            for end, own in given.items():
-                roles = F.when(F.col("path").endswith(end), F.array(*[F.lit(r) for r in own])).otherwise(roles)
+            roles, place = F.col("roles"), F.regexp_replace("path", "^file:/+", "/")
+            for path, own in zip(self.paths, self.roles):
+                whole = path if "://" in path and not path.startswith("file:") else os.path.abspath(re.sub("^file:/+", "/", path))
+                roles = F.when(place == whole, F.array(*[F.lit(r) for r in own])).otherwise(roles)
             found = found.withColumn("roles", roles)
         return found if kind is None else found.where(F.col("kind") == kind)
 

@@ -69,12 +69,12 @@ def window_pieces(spark: SparkSession, windows: DataFrame, partitions: int | Non
     return dealt.mapInPandas(cut, ", ".join([*fields, PIECE]))
 
 
-def assembled_windows(pieces: DataFrame, on: list[str]) -> DataFrame:
-    """on..., bands, rows, cols, dtype and payload of whole windows (``h`` x ``w`` samples a band, 0 where nothing is recorded); each window fits a row."""
+def assembled_windows(pieces: DataFrame, on: list[str], fill=0) -> DataFrame:
+    """on..., bands, rows, cols, dtype and payload of whole windows (``h`` x ``w`` samples a band, ``fill`` where nothing is recorded); each window fits a row."""
 
     def whole(group: pd.DataFrame) -> pd.DataFrame:
         one = group.iloc[0]
-        out = np.zeros((one["bands"], one["h"], one["w"]), one["dtype"])
+        out = np.full((one["bands"], one["h"], one["w"]), fill, one["dtype"])
         for p in group.itertuples(index=False):
             out[:, p.dy : p.dy + p.rows, p.dx : p.dx + p.cols] = np.frombuffer(p.payload, p.dtype).reshape(p.bands, p.rows, p.cols)
         return pd.DataFrame([{**{c: one[c] for c in on}, "bands": out.shape[0], "rows": out.shape[1], "cols": out.shape[2], "dtype": one["dtype"], "payload": out.tobytes()}])

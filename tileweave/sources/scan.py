@@ -198,25 +198,24 @@ def reference_bytes(refs: DataFrame, reference: str = "reference", keep: Sequenc
     length]`` a range and ``[url, [[offset, length], ...]]`` several, joined in order.
     """
 
-    @F.pandas_udf("binary")
-    def fetched(column: pd.Series) -> pd.Series:
-        import base64
+    text = F.col(reference)
+    coded = text.startswith("base64:")
+    inline = F.when(coded, F.unbase64(F.substr(text, F.lit(8)))).otherwise(F.encode(text, "UTF-8"))
+    steps = F.from_json(text, "array<string>")
+    ranges = F.when(F.size(steps) == 3, F.array(F.array(F.get(steps, 1).try_cast("bigint"), F.get(steps, 2).try_cast("bigint")))).when(F.size(steps) == 2, F.from_json(F.get(steps, 1), "array<array<bigint>>"))
 
-        def one(text: str | None) -> bytes | None:
-            if text is None:
+    @F.pandas_udf("binary")
+    def fetched(urls: pd.Series, wanted: pd.Series) -> pd.Series:
+        def one(url: str | None, parts) -> bytes | None:
+            if url is None:
                 return None
-            if not text.startswith("["):
-                return base64.b64decode(text.removeprefix("base64:")) if text.startswith("base64:") else text.encode()
-            url, *more = json.loads(text)
             with Ranged(url) as data:
-                if not more:
-                    return data[:]
-                parts = more[0] if isinstance(more[0], list) else [more]
-                return b"".join(data[o : o + n] for o, n in parts)
+                return data[:] if parts is None else b"".join(data[o : o + n] for o, n in parts)
 
-        return column.map(one)
+        return pd.Series([one(u, p) for u, p in zip(urls, wanted)], dtype=object)
 
-    return refs.select(*keep, fetched(F.col(reference)).alias("data"))
+    away = text.startswith("[")
+    return refs.select(*keep, F.when(away, fetched(F.when(away, F.get(steps, 0)), F.when(away, ranges))).otherwise(inline).alias("data"))
 
 
 def with_pyramid(assets: DataFrame) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.blocks import contiguous
 from .codecs import FORMATS, registered_codecs, using
 from .ranged import file_system
 from .formats import FormatError
@@ -100,15 +99,10 @@ def write_tile_index(index: DataFrame, path: str, keys: list[str] | None = None,
 
 def references(index: DataFrame) -> DataFrame:
     """Chunk references (chunk, reference as JSON): one range as [url, offset, length], several as [url, [[offset, length], ...]]."""
-
-    @F.pandas_udf("string")
-    def shown(path: pd.Series, ranges: pd.Series) -> pd.Series:
-        def one(p, rs):
-            rs = [(int(r["off"]), int(r["len"])) for r in rs]
-            if all(a + n == b for (a, n), (b, _) in zip(rs, rs[1:])):
-                return json.dumps([p, rs[0][0], sum(n for _, n in rs)])
-            return json.dumps([p, [list(r) for r in rs]])
-
-        return pd.Series([one(p, r) for p, r in zip(path, ranges)])
-
-    return index.select("key", "level", F.concat_ws(".", F.lit("0"), "br", "bc").alias("chunk"), shown("path", "ranges").alias("reference"))
+    url = F.to_json(F.array("path"))
+    opened = F.substr(url, F.lit(1), F.length(url) - 1)
+    pair = lambda r: F.concat_ws(", ", r["off"].cast("string"), r["len"].cast("string"))
+    whole = F.aggregate("ranges", F.lit(0).cast("bigint"), lambda a, r: a + r["len"])
+    one = F.concat(opened, F.lit(", "), F.get("ranges", 0)["off"].cast("string"), F.lit(", "), whole.cast("string"), F.lit("]"))
+    several = F.concat(opened, F.lit(", ["), F.array_join(F.transform("ranges", lambda r: F.concat(F.lit("["), pair(r), F.lit("]"))), ", "), F.lit("]]"))
+    return index.select("key", "level", F.concat_ws(".", F.lit("0"), "br", "bc").alias("chunk"), F.when(contiguous(F.col("ranges")), one).otherwise(several).alias("reference"))

@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import read_signed, read_unsigned
+from ..functions.numeric import read_float, read_signed, read_unsigned
 from .expression import ExpressionError, parse
 from .layout import Field, Layout
 
@@ -172,29 +172,10 @@ def _decoded(part: Column, f: Field) -> Column:
 def _number(data: Column, at: Column, f: Field, little: bool) -> Typed:
     kind, size = f.number
     if kind == "f":
-        bits = read_unsigned(data, at, size, little)
-        return Typed(_float(bits, size), "float")
+        return Typed(read_float(data, at, size, little), "float")
     return Typed((read_signed if kind == "s" or size == 8 else read_unsigned)(data, at, size, little).cast("bigint"), "int")
 
 
-def _float(bits: Column, size: int) -> Column:
-    """Value of an IEEE number's bits."""
-    wide, split, bias = (64, 52, 1023) if size == 8 else (32, 23, 127)
-    whole = bits.cast("decimal(20,0)") if size == 8 else bits
-
-    def of(b: Column) -> Column:
-        if size == 8:  # as a signed long
-            b = F.when(b >= F.lit(str(1 << 63)).cast("decimal(20,0)"), b - F.lit(str(1 << 64)).cast("decimal(21,0)")).otherwise(b).cast("bigint")
-        sign = F.when(F.shiftrightunsigned(b, wide - 1).bitwiseAND(F.lit(1)) == 1, -1.0).otherwise(1.0)
-        exponent = F.shiftright(b, split).bitwiseAND(F.lit(2 * bias + 1))
-        fraction = b.bitwiseAND(F.lit((1 << split) - 1)).cast("double") * F.lit(2.0**-split)
-        special = F.when(fraction == 0, sign * F.lit(float("inf"))).otherwise(F.lit(float("nan")))
-        small = sign * fraction * F.pow(F.lit(2.0), F.lit(1.0 - bias))
-        return F.when(exponent == 2 * bias + 1, special).when(exponent == 0, small).otherwise(sign * (1 + fraction) * F.pow(F.lit(2.0), exponent.cast("double") - bias))
-
-    return let(whole, of)
-
-
 def _count(expression: str, scope: Mapping[str, Typed]) -> Column:
     """A size or count; null if it isn't a whole number of 0 or more."""
     n = compiled(expression, scope)
