@@ -167,9 +167,9 @@ def parity_mark(shingles: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str = "text") -> DataFrame:
-    """node, n, set (sorted shingles), counts (of them; null if all are 1), norm (sum of the weights) and mark of the texts whose digests are in ``nodes``."""
+    """node, n, set (sorted shingles), counts (of them; null if all are 1), even (whether they are), norm (sum of the weights) and mark of the texts whose digests are in ``nodes``."""
 
-    @F.pandas_udf("set array<long>, counts array<int>, norm double, mark array<long>")
+    @F.pandas_udf("set array<long>, counts array<int>, even boolean, norm double, mark array<long>")
     def held(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         shingles = Shingler().shingles
 
@@ -177,14 +177,14 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str = "text") -> DataF
             sets = [weighed(shingles(t)) for t in batch]
             return pd.DataFrame({
                 "set": [s.view(np.int64) for s, _ in sets], "counts": pd.Series([c.astype(np.int32) if (c > 1).any() else None for _, c in sets], dtype=object),
-                "norm": [float((1.0 + np.log(c)).sum()) for _, c in sets], "mark": [parity_mark(s) for s, _ in sets],
+                "even": [bool((c == 1).all()) for _, c in sets], "norm": [float((1.0 + np.log(c)).sum()) for _, c in sets], "mark": [parity_mark(s) for s, _ in sets],
             })
 
         yield from without_cycles(batches, of)
 
     likely = may_be_among(docs.select(digest(text).alias("node"), text_or_empty(text).alias("text")), F.xxhash64("node"), nodes).where("_maybe").drop("_maybe")
     wanted = likely.dropDuplicates(["node"]).join(nodes, "node", "left_semi")
-    return wanted.select("node", held("text").alias("h")).select("node", F.size("h.set").alias("n"), "h.set", "h.counts", "h.norm", "h.mark")
+    return wanted.select("node", held("text").alias("h")).select("node", F.size("h.set").alias("n"), "h.set", "h.counts", "h.even", "h.norm", "h.mark")
 
 
 def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
@@ -211,13 +211,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     Pairs of texts without repeated shingles are compared as sets in the JVM, the others with their weights.
     """
-    flags = sets.select("node", F.col("counts").isNull().alias("even"))
+    flags = sets.select("node", "even")
     of = lambda df, side: df.withColumnsRenamed({c: f"{side}_{c}" for c in df.columns if c != "node"}).withColumnRenamed("node", side)
     told = spread_join(pairs.select("a", "b"), of(flags, "a"), ["a"]).join(of(flags, "b"), "b")
     told = staged(told.select("a", "b", (F.col("a_even") & F.col("b_even")).alias("even")), "told-pairs")
     even, odd = told.where("even").drop("even"), told.where("NOT even").drop("even")
 
-    bare = sets.where("counts IS NULL").select("node", "n", "set")
+    bare = sets.where("even").select("node", "n", "set")
     both = spread_join(even, of(bare, "a"), ["a"]).join(of(bare, "b"), "b")
     common = F.size(F.array_intersect("a_set", "b_set"))
     alike = (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * SIMILARITY) & (common >= (F.col("a_n") + F.col("b_n") - common) * SIMILARITY)
@@ -248,15 +248,16 @@ def possible_pairs(apart: DataFrame, sets: DataFrame) -> DataFrame:
     """
     held = apart.join(sets, "node")
     texts = staged(held.select(F.xxhash64("node").alias("id"), "node", "root", "norm", "mark"), "apart-texts")
-    pieces = F.when(F.col("counts").isNull(), F.transform("set", lambda x: F.struct(x.alias("shingle"), F.lit(1).alias("count")))).otherwise(F.transform("set", lambda x, i: F.struct(x.alias("shingle"), F.get("counts", i).alias("count"))))
-    rows = staged(held.select(F.xxhash64("node").alias("id"), F.explode(pieces).alias("p")).select("id", "p.shingle", F.col("p.count").alias("count")), "apart-shingles")
+    weight = lambda c: (1.0 + F.log(c)) / F.col("norm")
+    even = F.transform("set", lambda x: F.struct(x.alias("shingle"), (1.0 / F.col("norm")).alias("share")))
+    pieces = F.when(F.col("even"), even).otherwise(F.transform("set", lambda x, i: F.struct(x.alias("shingle"), weight(F.get("counts", i)).alias("share"))))
+    rows = staged(held.select(F.xxhash64("node").alias("id"), F.explode(pieces).alias("p")).select("id", "p.shingle", "p.share"), "apart-shingles")
     # Shingles that one text alone holds join nothing; they stand first in the order.
     shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    rest = F.sum(1.0 + F.log("count")).over(Window.partitionBy("id").orderBy("holders", "shingle").rowsBetween(0, Window.unboundedFollowing))
-    placed = spread_join(rows, shared, ["shingle"]).select("id", "shingle", rest.alias("rest"))
-    least = 2 - 1 / SIMILARITY - 1e-9  # with nothing outside on the other side
-    firsts = placed.join(texts, "id").select("node", "root", "norm", "mark", (F.col("rest") / F.col("norm")).alias("rest"), "shingle").where(F.col("rest") >= least)
-    firsts = staged(firsts, "first-shingles")  # rest: share of the weights from this shingle on
+    rest = F.sum("share").over(Window.partitionBy("id").orderBy("holders", "shingle").rowsBetween(0, Window.unboundedFollowing))
+    placed = spread_join(rows, shared, ["shingle"]).select("id", "shingle", rest.alias("rest"))  # rest: share of the weights from this shingle on
+    firsts = placed.where(F.col("rest") >= 2 - 1 / SIMILARITY - 1e-9).join(texts, "id").select("node", "root", "norm", "mark", "rest", "shingle")  # with nothing outside on the other side
+    firsts = staged(firsts, "first-shingles")
     # Nothing is compared within the class that holds a shingle most often.
     hubs = firsts.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("holders")).groupBy("shingle").agg(F.max(F.struct("holders", "root"))["root"].alias("hub"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
     named = lambda df, side: df.withColumnsRenamed({c: f"{side}_{c}" for c in ("node", "root", "norm", "mark", "rest")})
