@@ -163,8 +163,8 @@ def test_exact_filters_lose_no_pair(spark):
     rng2 = np.random.default_rng(13)
     counts = [np.where(rng2.random(len(s)) < 0.2, rng2.integers(2, 9, len(s)), 1) if i % 3 else np.ones(len(s), int) for i, s in enumerate(sets)]
     weights = [1 + np.log(c) for c in counts]
-    rows = [(bytearray([0, i]), len(s), s.view(np.int64).tolist(), c.tolist() if (c > 1).any() else None, float(w.sum()), neardup.parity_mark(s).tolist()) for i, (s, c, w) in enumerate(zip(sets, counts, weights))]
-    held = spark.createDataFrame(rows, "node binary, n int, set array<long>, counts array<int>, norm double, mark array<long>")
+    rows = [(bytearray([0, i]), len(s), s.view(np.int64).tolist(), c.tolist() if (c > 1).any() else None, bool((c == 1).all()), float(w.sum()), neardup.parity_mark(s).tolist()) for i, (s, c, w) in enumerate(zip(sets, counts, weights))]
+    held = spark.createDataFrame(rows, "node binary, n int, set array<long>, counts array<int>, even boolean, norm double, mark array<long>")
     roots = [bytes([1, i]) if i % 3 else bytes([2, i % 7]) for i in range(len(sets))]  # some classes of many, some of one
     apart = spark.createDataFrame([(r[0], bytearray(root)) for r, root in zip(rows, roots)], "node binary, root binary")
     got = {(bytes(r["a"])[1], bytes(r["b"])[1]) for r in neardup.possible_pairs(apart, held).collect()}
