@@ -9,7 +9,7 @@ that the merges give.
 
 Defined results: a null text counts as empty; the empty text has no tokens and its
 digests are those of the empty string.  Texts are never cut.  Repeated rows get
-equal results, and extra columns pass through unless they carry a result's name,
+equal results, an empty table an empty one, and extra columns pass through unless they carry a result's name,
 in which case the result replaces them.
 """
 

@@ -53,6 +53,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths of staged tables by application.
+_LIVE: dict[str, list[str]] = {}
+
+
 def _file(spark: SparkSession, path: str):
     """The JVM's file system and path of a folder."""
     jvm = spark.sparkContext._jvm
@@ -71,6 +75,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     system, place = _file(spark, path)
     system.deleteOnExit(place)
+    _LIVE.setdefault(spark.sparkContext.applicationId, []).append(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._staged_at = path
     return found
@@ -81,8 +86,27 @@ def dropped(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_staged_at", None)
         if path is not None:
-            system, place = _file(df.sparkSession, path)
-            system.delete(place, True)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    system, place = _file(spark, path)
+    system.delete(place, True)
+    live = _LIVE.get(spark.sparkContext.applicationId, [])
+    if path in live:
+        live.remove(path)
+
+
+def staged_now(spark: SparkSession) -> set[str]:
+    """The tables that ``staged`` has written and nothing has dropped."""
+    return set(_LIVE.get(spark.sparkContext.applicationId, []))
+
+
+def drop_newer(spark: SparkSession, before: set[str], *kept: DataFrame) -> None:
+    """Deletes what was staged since ``before`` was taken, but for ``kept``: a step's own tables, once its result is written."""
+    held = before | {getattr(df, "_staged_at", None) for df in kept}
+    for path in staged_now(spark) - held:
+        _delete(spark, path)
 
 
 def packed(df: DataFrame, name: str = "row") -> DataFrame:
@@ -126,7 +150,8 @@ def may_be_among(df: DataFrame, key, keys: DataFrame, key_of_keys=None, bits: in
     """``df`` with the boolean ``_maybe``: false only if the long ``key`` is none of ``keys``.
 
     The keys are folded into a bitmap of fixed size, so a join need not move the rows
-    that can't have a partner.
+    that can't have a partner.  With more than some 30 million keys a bitmap of
+    ``MOST_FILTER_BITS`` rules out less and less, and the join moves what a plain one would: results are the same.
     """
     bit = lambda k: F.pmod(k, F.lit(bits))
     folded = keys.select(bit(key if key_of_keys is None else key_of_keys).alias("_bit"))

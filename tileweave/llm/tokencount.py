@@ -6,7 +6,7 @@ longest-match-first split; no token is ever built.  A piece that no sequence of
 tokens covers counts as one unknown token.
 
 Defined results: a null text counts as empty and has no tokens; texts are never cut;
-repeated rows get equal counts; extra columns pass through unless they carry a
+repeated rows get equal counts, an empty table an empty result; extra columns pass through unless they carry a
 result's name, in which case the result replaces them.
 """
 
