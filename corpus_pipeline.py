@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tileweave.llm import bpe, decontaminate, linededup, neardup, quality
-from tileweave.llm.common import dealt, staged, table, unused
+from tileweave.llm.common import dealt, drop_newer, dropped, staged, staged_now, table, unused
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Documents that score lower are rejected.
@@ -36,7 +36,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, freed of lines of chunks that stand earlier; n_chars follows the text.
+    """All documents, freed of runs of lines that stand earlier; n_chars follows the text.
 
     Null texts stay null, and a text that loses all its lines becomes empty.  Rows with the same
     doc_id and text are one document; a null doc_id comes first.
@@ -83,5 +83,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = dealt(table(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
+        before, last = staged_now(spark), docs
         docs = staged(stage(spark, docs, sf_dir), name)
+        drop_newer(spark, before, docs)  # what the stage staged for itself
+        dropped(last)
     return STAGES[-1][1](spark, docs, sf_dir)
