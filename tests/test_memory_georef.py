@@ -35,7 +35,7 @@ def test_other_assets(spark):
 
 
 def test_georeferencing():
-    assert georef.geo_keys(4326) == [1, 1, 0, 3, 1024, 0, 1, 2, 1025, 0, 1, 1, 2048, 0, 1, 4326]
+    assert georef.geo_keys(4326) == [1, 1, 1, 3, 1024, 0, 1, 2, 1025, 0, 1, 1, 2048, 0, 1, 4326]
     assert georef.parsed_geo_keys(georef.geo_keys(32633))[3072] == 32633
     assert georef.parsed_geo_keys([1, 1, 0, 2, 2057, 34736, 1, 1, 1026, 34737, 4, 0], [1.0, 6378137.0], "abc|") == {2057: 6378137.0, 1026: "abc"}
     assert georef.tiff_georef(4326, (0.5, 0.0, 10.0, 0.0, -0.5, 50.0))["ModelPixelScale"] == [0.5, 0.5, 0.0]

@@ -486,3 +486,59 @@ def test_a_file_above_two_gigabytes(spark, tmp_path):
         for i in (0, 1, 23, 24, 510, 511, 512, 513, 551):
             assert (tiff.block(data, asset, i // 24, i % 24) == i).all()
     os.remove(target)
+
+
+# --- codestreams, rules, levels of files --------------------------------------
+
+
+def test_walked_tile_parts(spark):
+    from tileweave.operators import chains
+    from tileweave.sources.formats import coded
+
+    part = lambda tile, n, body, told=None: b"\xff\x90\x00\x0a" + struct.pack(">HIBB", tile, 12 + len(body) if told is None else told, n, 1) + body
+    head = b"\xff\x4f\xff\x51"
+    good = head + part(0, 0, b"abc") + part(7, 1, b"") + part(65535, 2, b"x" * 300) + b"\xff\xd9"
+    rows = [good, good[:-2], good[:-3], head + part(0, 0, b"abc") + b"\xff\x93" + b"z" * 20, head + part(3, 0, b"abcd", 0) + b"\xff\xd9", head + b"\xff\x90\x00\x0b" + b"\0" * 20, head + part(0, 0, b"abc", 5), head + b"\xff\x90\x00", head, b"", None]
+    df = spark.createDataFrame([(i, bytearray(c) if c is not None else None) for i, c in enumerate(rows)], "id int, data binary")
+    got = {r.id: None if r.r is None else [tuple(x) for x in r.r] for r in df.select("id", chains.walked_tile_parts(F.col("data"), F.lit(4)).alias("r")).collect()}
+    three = [(4, 0, 0, 15, None), (19, 7, 1, 12, None), (31, 65535, 2, 312, None)]
+    assert got[0] == got[1] == three and got[2] == three[:2] + [(31, None, None, None, "the tile part is longer than the codestream")]
+    assert got[3] == three[:1] and got[4] == [(4, 3, 0, 18, None)] and got[5] == [(4, None, None, None, "no tile part header")]
+    assert got[6] == [(4, None, None, None, "the tile part is longer than the codestream")] and got[7] == [(4, None, None, None, "the tile part is cut")] and not got[8] and not got[9] and not got[10]
+    assert [(r.off, r.len) for r in spark.range(1).select(chains.running_places(F.array(F.lit(15), F.lit(12), F.lit(312)), F.lit(4)).alias("p")).first().p] == [(a, n) for a, _, _, n, _ in three]
+    assert coded is not None
+
+
+def test_rules_of_geo_tags_and_arrays(spark):
+    from tileweave.functions import location
+    from tileweave.operators import validate
+    from tileweave.sources import georef
+
+    given = ['{"34735": [1,1,1,1, 1024,0,1,2], "34736": [1.5, 2], "34737": "WGS|"}', '{"34735": "text"}', '{"34735": [1,1,1]}', '{"34735": [1,1,1,70000]}', '{"34735": [1,1,1,1.5]}', '{"34735": [1,1,1,-1]}', '{"34735": [1,1,1,0], "34736": ["x"]}', '{"34737": [1]}', "{}", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "id int, t string")
+    got = {r.id: r.p for r in df.select("id", validate.geo_tag_rules(F.col("t")).alias("p")).collect()}
+    assert got[0] == [] and got[1] == ["the key directory is no list"] and got[2] == ["keys come in fours"] and got[3] == got[4] == got[5] == ["a key isn't a number of 16 bits"]
+    assert got[6] == ["a parameter isn't a number"] and got[7] == ["the text is none"] and got[8] == got[9] == []
+    for code in (4326, 32601, 32760, 32761, 2000, 2001, 3857):
+        assert spark.range(1).select(location.geo_directory(F.lit(f"EPSG:{code}")).alias("d")).first().d == georef.geo_keys(code)
+    odd = spark.createDataFrame([([4, 5], "uint8", "jpeg"), ([4], "uint8", "png"), ([1, 0, 3], "int16", "dted"), ([2, 2], "float32", "png"), ([2, 2], "uint8", "none")], "s array<int>, d string, f string")
+    assert [len(r.p) for r in odd.select(validate.array_rules(F.col("s"), F.col("d"), F.col("f")).alias("p")).collect()] == [0, 1, 1, 1, 1]
+
+
+def test_levels_and_tiles_of_files(spark, tmp_path):
+    from tileweave.sources.api import image_tiles, open_dataset, save_image
+    from tileweave.sources.formats import FormatError
+
+    px = RNG.integers(0, 60_000, (2, 100, 130)).astype(np.uint16)
+    (tmp_path / "a.tif").write_bytes(tiff.encode([(px, {}), (px[:, ::2, ::2], {"overview": True}), (px[:, ::5, ::5], {"overview": True})], (32, 32)))
+    found = {r.level: (r.scale, r.nests) for r in open_dataset(spark, str(tmp_path / "a.tif")).levels().collect()}
+    assert found == {0: (1.0, True), 1: (2.0, True), 2: (5.0, False)}
+    tiles = {(r, c): t for r, c, t in image_tiles(spark, str(tmp_path / "a.tif"), (48, 40), (8, 4))}
+    assert list(tiles) == [(r, c) for r in range(3) for c in range(4)]
+    assert all(np.array_equal(t, px[:, r * 40 : r * 40 + 48, c * 36 : c * 36 + 40]) for (r, c), t in tiles.items())
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.tif").write_bytes(tiff.encode([(px, {})], (32, 32)))
+    roles = {r.path[-len("x/a.tif") :]: r.roles for r in open_dataset(spark, [str(tmp_path / "a.tif"), str(tmp_path / "x" / "a.tif")], roles=[["data"], ["thumbnail"]]).assets("image").where("key = 'image:0'").collect()}
+    assert roles.pop("x/a.tif") == ["thumbnail"] and list(roles.values()) == [["data"]]
+    with pytest.raises(FormatError):
+        save_image(spark, str(tmp_path / "no.png"), np.zeros((4, 4), np.float32), "png")

@@ -116,3 +116,12 @@ def axis_aligned(corner: Column) -> Column:
 def coordinate_system(epsg: Column) -> Column:
     """The one-letter coordinate system of an EPSG code: UTM zones N and S, else G."""
     return F.when(epsg.between(32601, 32660), F.lit("N")).when(epsg.between(32701, 32760), F.lit("S")).otherwise(F.lit("G"))
+
+
+def geo_directory(crs: Column) -> Column:
+    """Key directory of a coordinate system EPSG:n: model, raster type (areas) and the system's code; WGS 84 for anything else."""
+    code = F.coalesce(F.regexp_extract(F.upper(crs), "^EPSG:([^:]*)", 1).try_cast("int"), F.lit(4326))
+    projected = code.between(32601, 32760) | ((code > 2000) & (code != 4326))
+    key = lambda number, value: (F.lit(number), F.lit(0), F.lit(1), value)
+    system = F.when(projected, 3072).otherwise(2048)
+    return F.array(F.lit(1), F.lit(1), F.lit(1), F.lit(3), *key(1024, F.when(projected, 1).otherwise(2)), *key(1025, F.lit(1)), system, F.lit(0), F.lit(1), code)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chains import link, walked
+
 #: Fixed value: the longest run of tagged records that a subheader holds.
 TAGGED_LIMIT = 99_996
 
@@ -149,26 +151,21 @@ def walked_records(data: Column) -> Column:
     row that has an error instead of tag and data.  A null chain has no records.
     """
     item = "struct<at: bigint, tag: string, data: binary, error: string>"
-    whole = F.octet_length(data).cast("bigint")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{item}>").alias("items"))
-    ended = F.struct(whole.alias("at"), F.lit(None).cast(item).alias("item"))
 
-    def step(a: Column, _: Column) -> Column:
-        at = a["at"].cast("int")
+    def step(data: Column, place: Column) -> Column:
+        whole = F.octet_length(data).cast("bigint")
+        at = place.cast("int")
         tag = F.decode(F.substr(data, at + 1, F.lit(6)), "ISO-8859-1")
         size = F.decode(F.substr(data, at + 7, F.lit(5)), "ISO-8859-1")
         fine = tag.rlike("^[A-Za-z0-9_ ]{6}$") & size.rlike("^[0-9]{5}$")
         length = size.try_cast("bigint")
-        row = lambda tag, data, error: F.struct(a["at"].alias("at"), tag.cast("string").alias("tag"), data.cast("binary").alias("data"), error.cast("string").alias("error"))
-        failed = lambda text: F.struct(whole.alias("at"), row(F.lit(None), F.lit(None), F.lit(text)).alias("item"))
-        read = F.struct((a["at"] + 11 + length).alias("at"), row(F.rtrim(tag), F.substr(data, at + 12, length.cast("int")), F.lit(None)).alias("item"))
+        row = lambda tag, data, error: F.struct(place.alias("at"), tag.cast("string").alias("tag"), data.cast("binary").alias("data"), error.cast("string").alias("error"))
+        failed = lambda text: link(whole, row(F.lit(None), F.lit(None), F.lit(text)))
+        read = link(place + 11 + length, row(F.rtrim(tag), F.substr(data, at + 12, length.cast("int")), F.lit(None)))
         blank = F.decode(F.substr(data, at + 1, whole.cast("int") - at), "ISO-8859-1").rlike("^[ \\x00]*$")
-        found = F.when(fine & (a["at"] + 11 + length > whole), failed("the record is cut")).when(fine, read).when(blank, ended).otherwise(failed("no tagged record"))
-        taken = F.element_at(F.transform(F.array(found), lambda f: F.struct(f["at"].alias("at"), F.when(f["item"].isNull(), a["items"]).otherwise(F.concat(a["items"], F.array(f["item"]))).alias("items"))), 1)
-        return F.when(a["at"] >= whole, a).otherwise(taken)
+        return F.when(fine & (place + 11 + length > whole), failed("the record is cut")).when(fine, read).when(blank, link(whole, F.lit(None).cast(item))).otherwise(failed("no tagged record"))
 
-    turns = F.sequence(F.lit(0), (whole / 11).cast("int"))  # a record takes eleven bytes at least
-    return F.aggregate(F.coalesce(turns, F.array().cast("array<int>")), start, step, lambda a: a["items"])
+    return walked(data, F.lit(0), 11, item, step)
 
 
 def overflow_split(sizes: Column, limit: int = TAGGED_LIMIT) -> Column:

@@ -156,3 +156,38 @@ def tiff_hints(compression: Column, predictor: Column, quality: Column) -> Colum
 def default_predictor(compression: Column) -> Column:
     """Differences where they help (LZW and deflate), else none."""
     return F.when(compression.isin(5, 8, 32946), 2).otherwise(1)
+
+
+#: Sample types that an array may have to be written in a format.
+ARRAY_TYPES = {
+    "nitf": ("uint8", "uint16", "int16", "float32"), "tiff": ("uint8", "uint16", "int16", "float32"), "png": ("uint8", "uint16"),
+    "j2k": ("uint8", "uint16", "int16"), "jpeg": ("uint8",), "dted": ("int16",),
+}
+
+
+def array_rules(shape: Column, dtype: Column, fmt: Column) -> Column:
+    """What keeps an array (its shape as an array column) from being written in a format."""
+    fits = F.lit(False)
+    for name, types in ARRAY_TYPES.items():
+        fits = fits | ((fmt == name) & dtype.isin(*types))
+    return messages(
+        (~F.size(shape).between(2, 3), "two or three dimensions are needed"),
+        (F.exists(shape, lambda n: n <= 0), "a dimension isn't positive"),
+        (~fits, "the format has no such samples"),
+    )
+
+
+def geo_tag_rules(metadata: Column) -> Column:
+    """What keeps the geographic keys of a metadata text (JSON, by tag number) from being written."""
+    keys, doubles = F.get_json_object(metadata, "$.34735"), F.get_json_object(metadata, "$.34736")
+    listed, numbers = F.from_json(keys, "array<string>"), F.from_json(doubles, "array<string>")
+    whole = lambda v: F.coalesce(v.try_cast("int").between(0, 65535) & v.rlike("^[0-9]+$"), F.lit(False))
+    text = F.get_json_object(metadata, "$.34737")
+    return messages(
+        (keys.isNotNull() & listed.isNull(), "the key directory is no list"),
+        (F.coalesce(F.exists(listed, lambda v: ~whole(v)), F.lit(False)), "a key isn't a number of 16 bits"),
+        (F.coalesce(F.size(listed) % 4 != 0, F.lit(False)), "keys come in fours"),
+        (doubles.isNotNull() & numbers.isNull(), "the parameters are no list"),
+        (F.coalesce(F.exists(numbers, lambda v: v.try_cast("double").isNull()), F.lit(False)), "a parameter isn't a number"),
+        (text.startswith("[") | text.startswith("{"), "the text is none"),
+    )

@@ -697,6 +697,30 @@ def float_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+WITH c AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'EPSG:4326' WHEN 1 THEN 'epsg:' || (32580 + c_custkey % 200) WHEN 2 THEN 'EPSG:' || (c_custkey % 4000) ELSE 'WGS ' || c_custkey END AS crs FROM customer),
+d AS (SELECT *, coalesce(TRY_CAST(regexp_extract(upper(crs), '^EPSG:([^:]*)', 1) AS INT), 4326) AS code FROM c), p AS (SELECT *, code BETWEEN 32601 AND 32760 OR (code > 2000 AND code <> 4326) AS projected FROM d)
+SELECT c_custkey, '1,1,1,3,1024,0,1,' || CASE WHEN projected THEN 1 ELSE 2 END || ',1025,0,1,1,' || CASE WHEN projected THEN 3072 ELSE 2048 END || ',0,1,' || code AS directory FROM p
+""")
+def geo_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    crs = F.when(key % 4 == 0, "EPSG:4326").when(key % 4 == 1, F.concat(F.lit("epsg:"), (key % 200 + 32580).cast("string"))).when(key % 4 == 2, F.concat(F.lit("EPSG:"), (key % 4000).cast("string"))).otherwise(F.concat(F.lit("WGS "), key.cast("string")))
+    return read(spark, sf_dir, "customer").select("c_custkey", F.array_join(location.geo_directory(crs).cast("array<string>"), ",").alias("directory"))
+
+
+@query("""
+WITH s AS (SELECT p_partkey, p_size % 5 AS rank, p_size % 11 AS side, CASE p_partkey % 4 WHEN 0 THEN 'uint8' WHEN 1 THEN 'uint16' WHEN 2 THEN 'float32' ELSE 'bool' END AS dtype, CASE p_size % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'nitf' ELSE 'jpeg' END AS fmt FROM part)
+SELECT p_partkey, concat_ws(';', CASE WHEN rank NOT BETWEEN 2 AND 3 THEN 'two or three dimensions are needed' END, CASE WHEN rank > 0 AND side = 0 THEN 'a dimension isn''t positive' END,
+    CASE WHEN NOT (dtype = 'uint8' OR (dtype = 'uint16' AND fmt <> 'jpeg') OR (dtype = 'float32' AND fmt = 'nitf')) THEN 'the format has no such samples' END) AS problems FROM s
+""")
+def array_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, size = F.col("p_partkey"), F.col("p_size")
+    dtype = F.when(key % 4 == 0, "uint8").when(key % 4 == 1, "uint16").when(key % 4 == 2, "float32").otherwise("bool")
+    fmt = F.when(size % 3 == 0, "png").when(size % 3 == 1, "nitf").otherwise("jpeg")
+    shape = F.array_repeat(size % 11, (size % 5).cast("int"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(validate.array_rules(shape, dtype, fmt), ";").alias("problems"))
+
+
 # --- metadata ----------------------------------------------------------------
 
 PROPS = "map<string,string>"

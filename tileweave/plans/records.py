@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import write_signed, write_unsigned
-from ..operators import segments
+from ..operators import chains, segments
 from ..structure import columns
 from ..structure.layout import load
 
@@ -150,3 +150,24 @@ def record_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.when(F.col("o_custkey") % 5 == 0, F.substr(chain, F.lit(1), F.octet_length(chain) - 1)).otherwise(chain)
     walked = chains.select("o_custkey", F.posexplode(segments.walked_records(cut)).alias("place", "r"))
     return walked.select("o_custkey", "place", F.col("r.at").alias("start"), "r.tag", F.decode("r.data", "UTF-8").alias("data"), "r.error")
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, 12 + CAST(l_quantity AS BIGINT) AS len FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)),
+q AS (SELECT *, 4 + sum(len) OVER w - len AS off, row_number() OVER w - 1 AS place, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) = 1 AS last FROM p WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber))
+SELECT l_orderkey, CAST(place AS INT) AS place, CAST(off AS BIGINT) AS off, CASE WHEN NOT (last AND l_orderkey % 7 = 3) THEN l_partkey % 65536 END AS tile, CASE WHEN NOT (last AND l_orderkey % 7 = 3) THEN CAST(l_linenumber AS BIGINT) END AS part,
+    CASE WHEN last AND l_orderkey % 7 = 5 THEN len + 2 WHEN NOT (last AND l_orderkey % 7 = 3) THEN len END AS len, CASE WHEN last AND l_orderkey % 7 = 3 THEN 'the tile part is longer than the codestream' END AS error, NOT (last AND l_orderkey % 7 IN (3, 5)) AS told FROM q
+""")
+def tile_part_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codestreams of an order's lines, walked part by part and compared with the table of their lengths; some miss their last byte and some tell no length of their last part."""
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("tile"), (F.max("l_quantity").cast("bigint") + 12).alias("len"))
+    parts = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "tile", "len"))).alias("p"))
+    last = lambda i: i == F.size("p") - 1
+    shown = lambda i, n: F.when(last(i) & (F.col("l_orderkey") % 7 == 5), F.lit(0)).otherwise(n)
+    part = lambda x, i: F.concat(F.lit("FF90000A"), F.hex(write_unsigned(x["tile"] % 65536, 2)), F.hex(write_unsigned(shown(i, x["len"]), 4)), F.hex(write_unsigned(x["l_linenumber"], 1)), F.lit("01"), F.repeat(F.lit("AB"), (x["len"] - 12).cast("int")))
+    whole = F.unhex(F.concat(F.lit("FF4F0000"), F.array_join(F.transform("p", part), ""), F.lit("FFD9")))
+    cut = F.when(F.col("l_orderkey") % 7 == 3, F.substr(whole, F.lit(1), F.octet_length(whole) - 3)).otherwise(whole)
+    table = chains.running_places(F.transform("p", lambda x: x["len"]), F.lit(4))
+    walk = parts.select("l_orderkey", F.posexplode(F.arrays_zip(chains.walked_tile_parts(cut, F.lit(4)).alias("w"), table.alias("t"))).alias("place", "z"))
+    told = (F.col("z.w.at") == F.col("z.t.off")) & F.coalesce(F.col("z.w.length") == F.col("z.t.len"), F.lit(False))
+    return walk.select("l_orderkey", "place", F.col("z.w.at").alias("off"), "z.w.tile", "z.w.part", F.col("z.w.length").alias("len"), "z.w.error", told.alias("told"))

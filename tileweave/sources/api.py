@@ -10,8 +10,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.blocks import level_checks
 from ..operators.raster import tile_grid
 from ..operators.segments import EXTENSIONS, default_asset
+from ..operators.validate import ARRAY_TYPES
 from .chips import assembled_windows, window_pieces
 from .codecs import FORMATS
 from .formats import FormatError
@@ -48,11 +50,17 @@ def read_image(spark: SparkSession, path: str, window: tuple[int, int, int, int]
     return out
 
 
+#: Sample types that the encoders here have beyond those of ``ARRAY_TYPES``.
+MORE_TYPES = {f: ("int8", "uint32", "int32", "uint64", "int64", "float64", "complex64") for f in ("nitf", "nsif", "tiff")}
+
+
 def save_image(spark: SparkSession, path: str, image: np.ndarray, fmt: str, **options) -> None:
     """An array (rows, cols) or (bands, rows, cols) as a file."""
     image = image[None] if image.ndim == 2 else image
     if image.ndim != 3 or 0 in image.shape:
         raise FormatError("an image has two or three dimensions, none of them zero")
+    if image.dtype.name not in ARRAY_TYPES.get("nitf" if fmt == "nsif" else fmt, ()) and image.dtype.name not in MORE_TYPES.get(fmt, ()):
+        raise FormatError(f"{fmt} has no samples of type {image.dtype.name}")
     folder, _, name = path.rpartition("/")
     row = (name, "image:0", 0, 0, 0, *map(int, image.shape), image.dtype.name, bytearray(np.ascontiguousarray(image).tobytes()))
     blocks = spark.createDataFrame([row], "path string, key string, level int, br int, bc int, bands int, rows int, cols int, dtype string, payload binary")
@@ -129,6 +137,15 @@ class Dataset:
             found = found.withColumn("roles", roles)
         return found if kind is None else found.where(F.col("kind") == kind)
 
+    def levels(self) -> DataFrame:
+        """Images by base, key of the full one and level, with their scale to the base and whether each nests in the level before."""
+        found = self.assets("image").withColumn("image", F.regexp_replace("key", ":overview:\\d+$", ""))
+        number = F.coalesce(F.regexp_extract("key", ":overview:(\\d+)$", 1).try_cast("int"), F.lit(0))
+        placed = found.select("base", "image", "path", "key", number.alias("level"), "rows", "cols")
+        base = placed.where("level = 0").select("base", "image", F.col("rows").alias("_full"))
+        scaled = placed.join(base, ["base", "image"], "left").withColumn("scale", F.col("_full") / F.col("rows")).drop("_full")
+        return level_checks(scaled, ["base", "image"], "level", "rows", "cols")
+
     def blocks(self, key: str | None = None, **window) -> DataFrame:
         return scan_blocks(self.files, key, self.format, **window)
 

@@ -16,7 +16,7 @@ def is_projected(epsg: int) -> bool:
 def geo_keys(epsg: int, pixel_is_point: bool = False) -> list[int]:
     """Key directory: model, raster type, and the code of the system."""
     keys = [(1024, 1 if is_projected(epsg) else 2), (1025, 2 if pixel_is_point else 1), (3072 if is_projected(epsg) else 2048, epsg)]
-    return [1, 1, 0, len(keys), *[v for k, value in keys for v in (k, 0, 1, value)]]
+    return [1, 1, 1, len(keys), *[v for k, value in keys for v in (k, 0, 1, value)]]
 
 
 def parsed_geo_keys(directory: list[int], doubles: list[float] | None = None, text: str | None = None) -> dict[int, object]:
