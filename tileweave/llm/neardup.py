@@ -49,6 +49,8 @@ SLOTS = BANDS * ROWS
 MARK_BITS = 512
 #: Shingles of texts that are sketched in one go.
 TOGETHER = 1 << 17
+#: Texts whose sets a task passes on in one go.
+AT_ONCE = 500
 _WORD = re.compile(r"\w+")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
@@ -66,7 +68,7 @@ class Shingler:
     def __init__(self) -> None:
         import xxhash
 
-        self.words = Memo(lambda w: xxhash.xxh3_64_intdigest(w), 150_000)
+        self.words = Memo(lambda w: xxhash.xxh3_64_intdigest(w), 60_000)
 
     def shingles(self, text: str) -> np.ndarray:
         coded = np.array([self.words[w] for w in _WORD.findall(text.lower())], dtype=np.uint64)
@@ -81,7 +83,8 @@ class Shingler:
 
 def weighed(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different shingles in rising order, and how often each occurs."""
-    return np.unique(shingles, return_counts=True)
+    one, times = np.unique(shingles, return_counts=True)
+    return one, times.astype(np.uint32)
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], slots: int = SLOTS) -> np.ndarray:
@@ -180,7 +183,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str = "text") -> DataF
                 "even": [bool((c == 1).all()) for _, c in sets], "norm": [float((1.0 + np.log(c)).sum()) for _, c in sets], "mark": [parity_mark(s) for s, _ in sets],
             })
 
-        yield from without_cycles(batches, of)
+        yield from without_cycles((batch[i : i + AT_ONCE] for batch in batches for i in range(0, len(batch), AT_ONCE)), of)
 
     likely = may_be_among(docs.select(digest(text).alias("node"), text_or_empty(text).alias("text")), F.xxhash64("node"), nodes).where("_maybe").drop("_maybe")
     wanted = likely.dropDuplicates(["node"]).join(nodes, "node", "left_semi")
@@ -254,7 +257,7 @@ def possible_pairs(apart: DataFrame, sets: DataFrame) -> DataFrame:
     rows = staged(held.select(F.xxhash64("node").alias("id"), F.explode(pieces).alias("p")).select("id", "p.shingle", "p.share"), "apart-shingles")
     # Shingles that one text alone holds join nothing; they stand first in the order.
     shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    rest = F.sum("share").over(Window.partitionBy("id").orderBy("holders", "shingle").rowsBetween(0, Window.unboundedFollowing))
+    rest = F.sum("share").over(Window.partitionBy("id").orderBy(F.desc("holders"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0))
     placed = spread_join(rows, shared, ["shingle"]).select("id", "shingle", rest.alias("rest"))  # rest: share of the weights from this shingle on
     firsts = placed.where(F.col("rest") >= 2 - 1 / SIMILARITY - 1e-9).join(texts, "id").select("node", "root", "norm", "mark", "rest", "shingle")  # with nothing outside on the other side
     firsts = staged(firsts, "first-shingles")
