@@ -660,7 +660,7 @@ def segment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages), p AS (SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS s, url FROM u),
 q AS (SELECT page_id, CASE s WHEN '' THEN 'file' ELSE lower(s) END AS scheme, CASE s WHEN '' THEN url ELSE substr(url, length(s) + 4) END AS path FROM p)
-SELECT page_id, scheme, path, nullif(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '\.([^.]*)$', 1), '') AS extension FROM q
+SELECT page_id, scheme, path, nullif(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '\\.([^.]*)$', 1), '') AS extension FROM q
 """)
 def uri_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", segments.uri_parts(F.coalesce("url", F.lit(""))).alias("u")).select("page_id", "u.*")
