@@ -159,6 +159,16 @@ def restored(output: bytes, form: str, sentinels: tuple[str, str, str] = SENTINE
     return PieceTable(table.buffers, table.pieces[1:]).unmarked().permuted(inverse(order))
 
 
+#: Texts that a task holds in several forms at once.
+AT_ONCE = 500
+
+
+def _parts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[tuple[pd.Series, pd.Series]]:
+    for a, b in batches:
+        for i in range(0, len(a), AT_ONCE):
+            yield a[i : i + AT_ONCE], b[i : i + AT_ONCE]
+
+
 def with_fim(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = SEED, fim_percent: int = FIM_PERCENT, spm_percent: int = SPM_PERCENT, sentinels: tuple[str, str, str] = SENTINELS
 ) -> DataFrame:
@@ -166,7 +176,7 @@ def with_fim(
 
     @F.pandas_udf("n long, form string, prefix_chars long, middle_chars long, output binary, output_sha256 string")
     def made(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for ids, texts in batches:
+        for ids, texts in _parts(batches):
             found = [arranged(i, t, seed, fim_percent, spm_percent, sentinels) for i, t in zip(ids, texts)]
             yield pd.DataFrame({
                 "n": pd.Series([a.n for a in found], dtype="int64"), "form": pd.Series([a.form for a in found], dtype=object),
@@ -185,7 +195,7 @@ def with_restored(df: DataFrame, output: str = "output", form: str = "form", sen
 
     @F.pandas_udf("restored binary, restored_sha256 string")
     def made(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for outputs, forms in batches:
+        for outputs, forms in _parts(batches):
             found = [restored(o, f, sentinels) for o, f in zip(outputs, forms)]
             yield pd.DataFrame({"restored": pd.Series([t.written() for t in found], dtype=object), "restored_sha256": pd.Series([t.digest() for t in found], dtype=object)})
 
