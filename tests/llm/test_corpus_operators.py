@@ -636,7 +636,9 @@ def test_pipeline(spark, sf_dir):
     leaky = {d for d, _ in brute_leaks([x for x in near.items() if len(x[1]) < 4000], [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()])}
     assert clean.isdisjoint(leaky) and all(d in clean for d, t in near.items() if len(t) < 4000 and d not in leaky)
     assert {r["doc_id"] for r in kept["encode"].collect()} == clean
+    held = common.staged_now(spark)
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, kept["encode"].collect()))
+    assert len(common.staged_now(spark) - held) == 1  # the last stage's input; all else is gone
 
 
 def test_stages_on_odd_rows(spark, sf_dir):
