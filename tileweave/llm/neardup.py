@@ -246,11 +246,12 @@ def possible_pairs(apart: DataFrame, sets: DataFrame) -> DataFrame:
     If shares p and q of two texts' weights lie outside what they have in common, their probability Jaccard is
     1 / (1 + p) + 1 / (1 + q) - 1 at most.  Shingles are put in one order, rare ones first; what stands before the first
     common one lies outside, which bounds p and q by its place in either text, and their marks differ in
-    (1 / S - 1) of the greater sum of weights at most, S being the similarity.  Both conditions of the join are exact, however many
+    (1 / S - 1) of the greater sum of weights at most, S being the similarity; two texts of x and y shingles, none of them
+repeated, have S / (1 + S) (x + y) in common at least.  The conditions of the join are exact, however many
     texts share a shingle.
     """
     held = apart.join(sets, "node")
-    texts = staged(held.select(F.xxhash64("node").alias("id"), "node", "root", "norm", "mark"), "apart-texts")
+    texts = staged(held.select(F.xxhash64("node").alias("id"), "node", "root", "even", "norm", "mark"), "apart-texts")
     weight = lambda c: (1.0 + F.log(c)) / F.col("norm")
     even = F.transform("set", lambda x: F.struct(x.alias("shingle"), (1.0 / F.col("norm")).alias("share")))
     pieces = F.when(F.col("even"), even).otherwise(F.transform("set", lambda x, i: F.struct(x.alias("shingle"), weight(F.get("counts", i)).alias("share"))))
@@ -259,14 +260,19 @@ def possible_pairs(apart: DataFrame, sets: DataFrame) -> DataFrame:
     shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
     rest = F.sum("share").over(Window.partitionBy("id").orderBy(F.desc("holders"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0))
     placed = spread_join(rows, shared, ["shingle"]).select("id", "shingle", rest.alias("rest"))  # rest: share of the weights from this shingle on
-    firsts = placed.where(F.col("rest") >= 2 - 1 / SIMILARITY - 1e-9).join(texts, "id").select("node", "root", "norm", "mark", "rest", "shingle")  # with nothing outside on the other side
+    firsts = placed.where(F.col("rest") >= 2 - 1 / SIMILARITY - 1e-9).join(texts, "id").select("node", "root", "even", "norm", "mark", "rest", "shingle")  # with nothing outside on the other side
     firsts = staged(firsts, "first-shingles")
     # Nothing is compared within the class that holds a shingle most often.
     hubs = firsts.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("holders")).groupBy("shingle").agg(F.max(F.struct("holders", "root"))["root"].alias("hub"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
-    named = lambda df, side: df.withColumnsRenamed({c: f"{side}_{c}" for c in ("node", "root", "norm", "mark", "rest")})
+    named = lambda df, side: df.withColumnsRenamed({c: f"{side}_{c}" for c in ("node", "root", "even", "norm", "mark", "rest")})
     x, y = named(spread_join(firsts, hubs, ["shingle"]).where("root <> hub"), "x"), named(firsts, "y")
     differ = sum(F.bit_count(F.get("x_mark", i).bitwiseXOR(F.get("y_mark", i))) for i in range(MARK_BITS // 64))
     alike = (1 / (2 - F.col("x_rest")) + 1 / (2 - F.col("y_rest")) >= 1 + SIMILARITY - 1e-9) & (differ <= F.greatest("x_norm", "y_norm") * (1 / SIMILARITY - 1) + 1e-6)
+    # Of texts that repeat no shingle the common part is as heavy in both, which says more.
+    total = F.col("x_norm") + F.col("y_norm")
+    common = total * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
+    both_even = (F.least(F.col("x_rest") * F.col("x_norm"), F.col("y_rest") * F.col("y_norm")) >= common) & (differ <= total - common * 2)
+    alike = F.when(F.col("x_even") & F.col("y_even"), both_even).otherwise(alike)
     met = spread_join(staged(x, "first-shingles"), y, ["shingle"]).where(((F.col("y_root") == F.col("hub")) | (F.col("x_root") < F.col("y_root"))) & alike)
     return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
