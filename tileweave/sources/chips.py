@@ -12,7 +12,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.windows import window_blocks
 from .codecs import FORMATS, registered_codecs, sniffed, using
