@@ -15,7 +15,6 @@ import public_tokenizers as P
 import pytest
 import regex
 import tiktoken
-from pyspark.sql import functions as F
 
 from tileweave.llm import bpe, htmltext, quality, queries, tokencount, urlfilter
 
