@@ -176,6 +176,20 @@ def test_exact_filters_lose_no_pair(spark):
     assert {(bytes(r["a"])[1], bytes(r["b"])[1]) for r in neardup.verified(every, held).collect()} == set(like)
 
 
+def test_only_sets_of_possible_pairs_move(spark, monkeypatch):
+    """Pairs that marks exclude are told without their sets, and sets of no pair stay out of the joins."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(1 << 63, size=200, dtype=np.int64).astype(np.uint64)) for _ in range(300)]
+    sets[1] = np.sort(np.concatenate([sets[0][:195], sets[1][:5]]))
+    rows = [(bytearray(divmod(i, 256)), len(s), s.view(np.int64).tolist(), None, True, float(len(s)), neardup.parity_mark(s).tolist()) for i, s in enumerate(sets)]
+    held = spark.createDataFrame(rows, "node binary, n int, set array<long>, counts array<int>, even boolean, norm double, mark array<long>")
+    pairs = spark.createDataFrame([(rows[0][0], rows[1][0]), (rows[2][0], rows[3][0])], "a binary, b binary")
+    moved, join = [], neardup.spread_join
+    monkeypatch.setattr(neardup, "spread_join", lambda left, right, *a: (moved.append(right.count()) if "a_set" in right.columns else None, join(left, right, *a))[1])
+    found = [(bytes(r["a"]), bytes(r["b"])) for r in neardup.verified(pairs, held).collect()]
+    assert found == [(bytes(rows[0][0]), bytes(rows[1][0]))] and moved == [1]
+
+
 def test_weights_decide_links(spark):
     """Texts of equal sets that repeat different parts aren't alike, and a passage that both repeat binds them."""
     words = [f"w{i}" for i in range(60)]

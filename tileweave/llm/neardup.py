@@ -209,19 +209,38 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
     return float((u / inner).sum())
 
 
+def _of(df: DataFrame, side: str) -> DataFrame:
+    """``df`` with its node called ``side`` and its other columns named after it."""
+    return df.withColumnsRenamed({c: f"{side}_{c}" for c in df.columns if c != "node"}).withColumnRenamed("node", side)
+
+
+def _marks_allow(x: str, y: str):
+    """Whether two texts can be similar enough by their marks and sums of weights (see ``possible_pairs``)."""
+    differ = sum(F.bit_count(F.get(f"{x}_mark", i).bitwiseXOR(F.get(f"{y}_mark", i))) for i in range(MARK_BITS // 64))
+    total = F.col(f"{x}_norm") + F.col(f"{y}_norm")
+    sets = differ <= total * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 2e-6
+    return F.when(F.col(f"{x}_even") & F.col(f"{y}_even"), sets).otherwise(differ <= F.greatest(f"{x}_norm", f"{y}_norm") * (1 / SIMILARITY - 1) + 1e-6)
+
+
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the columns of ``sets`` of both ends; only sets of a pair's end move."""
+    bits = filter_bits(pairs.count())
+    likely = lambda side: may_be_among(sets, F.xxhash64("node"), pairs, F.xxhash64(side), bits).where("_maybe").drop("_maybe")
+    return spread_join(pairs, _of(likely("a"), "a"), ["a"]).join(_of(likely("b"), "b"), "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` whose ``sets`` (see ``shingle_sets``) are similar enough; ``pairs`` should be a table.
 
-    Pairs of texts without repeated shingles are compared as sets in the JVM, the others with their weights.
+    Pairs that their marks exclude are told without their sets.  Of the rest, pairs of texts without repeated shingles
+    are compared as sets in the JVM, the others with their weights.
     """
-    flags = sets.select("node", "even")
-    of = lambda df, side: df.withColumnsRenamed({c: f"{side}_{c}" for c in df.columns if c != "node"}).withColumnRenamed("node", side)
-    told = spread_join(pairs.select("a", "b"), of(flags, "a"), ["a"]).join(of(flags, "b"), "b")
+    flags = sets.select("node", "even", "norm", "mark")
+    told = spread_join(pairs.select("a", "b"), _of(flags, "a"), ["a"]).join(_of(flags, "b"), "b").where(_marks_allow("a", "b"))
     told = staged(told.select("a", "b", (F.col("a_even") & F.col("b_even")).alias("even")), "told-pairs")
     even, odd = told.where("even").drop("even"), told.where("NOT even").drop("even")
 
-    bare = sets.where("even").select("node", "n", "set")
-    both = spread_join(even, of(bare, "a"), ["a"]).join(of(bare, "b"), "b")
+    both = with_sets(even, sets.where("even").select("node", "n", "set"))
     common = F.size(F.array_intersect("a_set", "b_set"))
     alike = (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * SIMILARITY) & (common >= (F.col("a_n") + F.col("b_n") - common) * SIMILARITY)
     found = both.where(alike).select("a", "b")
@@ -234,9 +253,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.Series([probability_jaccard(a, weights(a, x), b, weights(b, y)) >= SIMILARITY - 1e-12 for a, x, b, y in zip(*batch)], dtype="bool")
 
-    wanted = odd.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    weighted = may_be_among(sets.select("node", "set", "counts"), F.xxhash64("node"), wanted).where("_maybe").drop("_maybe")
-    both = spread_join(odd, of(weighted, "a"), ["a"]).join(of(weighted, "b"), "b")
+    both = with_sets(odd, sets.select("node", "set", "counts"))
     return found.unionByName(both.where(near("a_set", "a_counts", "b_set", "b_counts")).select("a", "b"))
 
 
@@ -247,32 +264,33 @@ def possible_pairs(apart: DataFrame, sets: DataFrame) -> DataFrame:
     1 / (1 + p) + 1 / (1 + q) - 1 at most.  Shingles are put in one order, rare ones first; what stands before the first
     common one lies outside, which bounds p and q by its place in either text, and their marks differ in
     (1 / S - 1) of the greater sum of weights at most, S being the similarity; two texts of x and y shingles, none of them
-repeated, have S / (1 + S) (x + y) in common at least.  The conditions of the join are exact, however many
+    repeated, have S / (1 + S) (x + y) in common at least.  The conditions of the join are exact, however many
     texts share a shingle.
     """
-    held = apart.join(sets, "node")
-    texts = staged(held.select(F.xxhash64("node").alias("id"), "node", "root", "even", "norm", "mark"), "apart-texts")
-    weight = lambda c: (1.0 + F.log(c)) / F.col("norm")
-    even = F.transform("set", lambda x: F.struct(x.alias("shingle"), (1.0 / F.col("norm")).alias("share")))
-    pieces = F.when(F.col("even"), even).otherwise(F.transform("set", lambda x, i: F.struct(x.alias("shingle"), weight(F.get("counts", i)).alias("share"))))
-    rows = staged(held.select(F.xxhash64("node").alias("id"), F.explode(pieces).alias("p")).select("id", "p.shingle", "p.share"), "apart-shingles")
+    id_ = F.xxhash64("node").alias("id")
+    texts = staged(apart.join(sets.select("node", "even", "norm", "mark"), "node").select(id_, "node", "root", "even", "norm", "mark"), "apart-texts")
+    # A count, null for one, travels with a shingle; its share of the text's weights is made of it where the text is together again.
+    pieces = F.transform("set", lambda x, i: F.struct(x.alias("shingle"), F.nullif(F.get("counts", i), F.lit(1)).alias("count")))
+    likely = may_be_among(sets.select("node", "set", "counts"), F.xxhash64("node"), apart, bits=filter_bits(apart.count())).where("_maybe").join(apart, "node", "left_semi")
+    rows = staged(likely.select(id_, F.explode(pieces).alias("p")).select("id", "p.shingle", "p.count"), "apart-shingles")
     # Shingles that one text alone holds join nothing; they stand first in the order.
     shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    rest = F.sum("share").over(Window.partitionBy("id").orderBy(F.desc("holders"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0))
-    placed = spread_join(rows, shared, ["shingle"]).select("id", "shingle", rest.alias("rest"))  # rest: share of the weights from this shingle on
-    firsts = placed.where(F.col("rest") >= 2 - 1 / SIMILARITY - 1e-9).join(texts, "id").select("node", "root", "even", "norm", "mark", "rest", "shingle")  # with nothing outside on the other side
+    weight = 1.0 + F.log(F.coalesce("count", F.lit(1)))
+    from_here = F.sum(weight).over(Window.partitionBy("id").orderBy(F.desc("holders"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0))
+    placed = spread_join(rows, shared, ["shingle"]).select("id", "shingle", from_here.alias("weight")).join(texts, "id")
+    placed = placed.withColumn("rest", F.col("weight") / F.col("norm"))  # share of the weights from this shingle on
+    firsts = placed.where(F.col("rest") >= 2 - 1 / SIMILARITY - 1e-9).select("node", "root", "even", "norm", "mark", "rest", "shingle")  # with nothing outside on the other side
     firsts = staged(firsts, "first-shingles")
+    dropped(texts, rows)
     # Nothing is compared within the class that holds a shingle most often.
     hubs = firsts.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("holders")).groupBy("shingle").agg(F.max(F.struct("holders", "root"))["root"].alias("hub"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
     named = lambda df, side: df.withColumnsRenamed({c: f"{side}_{c}" for c in ("node", "root", "even", "norm", "mark", "rest")})
     x, y = named(spread_join(firsts, hubs, ["shingle"]).where("root <> hub"), "x"), named(firsts, "y")
-    differ = sum(F.bit_count(F.get("x_mark", i).bitwiseXOR(F.get("y_mark", i))) for i in range(MARK_BITS // 64))
-    alike = (1 / (2 - F.col("x_rest")) + 1 / (2 - F.col("y_rest")) >= 1 + SIMILARITY - 1e-9) & (differ <= F.greatest("x_norm", "y_norm") * (1 / SIMILARITY - 1) + 1e-6)
+    alike = 1 / (2 - F.col("x_rest")) + 1 / (2 - F.col("y_rest")) >= 1 + SIMILARITY - 1e-9
     # Of texts that repeat no shingle the common part is as heavy in both, which says more.
-    total = F.col("x_norm") + F.col("y_norm")
-    common = total * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
-    both_even = (F.least(F.col("x_rest") * F.col("x_norm"), F.col("y_rest") * F.col("y_norm")) >= common) & (differ <= total - common * 2)
-    alike = F.when(F.col("x_even") & F.col("y_even"), both_even).otherwise(alike)
+    common = (F.col("x_norm") + F.col("y_norm")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
+    both_even = F.least(F.col("x_rest") * F.col("x_norm"), F.col("y_rest") * F.col("y_norm")) >= common
+    alike = F.when(F.col("x_even") & F.col("y_even"), both_even).otherwise(alike) & _marks_allow("x", "y")
     met = spread_join(staged(x, "first-shingles"), y, ["shingle"]).where(((F.col("y_root") == F.col("hub")) | (F.col("x_root") < F.col("y_root"))) & alike)
     return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
@@ -286,10 +304,13 @@ def with_root(rows: DataFrame, roots: DataFrame, name: str, to: str) -> DataFram
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, node, class_id, class_size (documents) and kept, one row per document."""
     base = staged(sketched(docs, doc_id, text), "sketches")
+    # Every band of every text moves once, with 64 bits of the text's digest; the digests move with bands that several texts share.
+    ids = base.select(F.xxhash64("node").alias("id"), F.explode("bands").alias("band"))
+    shared = staged(ids.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("band"), "shared-bands")
     places = base.select("node", F.explode("bands").alias("band"))
-    shared = staged(places.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").drop("last"), "shared-bands")
     likely = staged(may_be_among(places, F.col("band"), shared, bits=filter_bits(shared.count())).where("_maybe").drop("_maybe").distinct(), "likely-members")
-    members = staged(spread_join(likely, shared, ["band"]), "band-members")
+    heads = likely.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").drop("last")
+    members = staged(spread_join(likely, heads, ["band"]), "band-members")
     dropped(likely, shared)
     sets = staged(shingle_sets(docs, members.select("node").distinct(), text), "shingle-sets")
     # Each text against the least of its bands' first texts, then against those of other classes.
