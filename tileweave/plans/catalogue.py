@@ -43,6 +43,11 @@ def raster_view(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     return raster.pixels(read(spark, sf_dir, "embeddings"), "embedding", "vec_id", keep)
 
 
+def thousandths(v: Column) -> Column:
+    """Whole thousandths of a sample.  The product keeps the sample's type, as in SQL: with an integer factor Spark makes it a double, and ties fall otherwise."""
+    return F.round(v * F.lit(1000).cast("float")).cast("bigint")
+
+
 # --- windows, tiles, bands ---------------------------------------------------
 
 
@@ -129,7 +134,7 @@ def window_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = read(spark, sf_dir, "customer").select("c_custkey", F.lit(0).alias("image"), (F.col("c_custkey") * 7 % 480).alias("y"), (F.col("c_nationkey") * 3 - 6).alias("x"), (F.col("c_custkey") % 40).alias("h"), (F.col("c_nationkey") + 1).alias("w"))
     lines = read(spark, sf_dir, "embeddings").select(F.lit(0).alias("image"), "vec_id", "embedding")
     met = windows.window_rows(wanted, lines, ["image"], "vec_id", "embedding", 16)
-    total = F.aggregate(F.transform("samples", lambda v: F.round(v * 1000).cast("bigint")), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    total = F.aggregate(F.transform("samples", thousandths), F.lit(0).cast("bigint"), lambda a, v: a + v)
     return met.groupBy("c_custkey").agg(F.sum(F.size("samples")).alias("n"), F.sum(total).alias("total"), F.count(F.lit(1)).alias("lines"))
 
 
@@ -174,7 +179,7 @@ def grid_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(row // 2 AS INT) AS row, CAST(col // 2 AS INT) AS col, round(avg(CAST(round(v * 1000) AS BIGINT)), 4) AS v FROM {PIXELS_SQL} GROUP BY 1, 2
 """)
 def overview_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = raster_view(spark, sf_dir).withColumn("v", F.round(F.col("v") * 1000).cast("bigint"))
+    px = raster_view(spark, sf_dir).withColumn("v", thousandths(F.col("v")))
     return raster.halved(px).withColumn("v", F.round("v", 4))
 
 
@@ -183,7 +188,7 @@ WITH p AS (SELECT row, col, CAST(round(v * 1000) AS BIGINT) AS v FROM {PIXELS_SQ
 SELECT count(*) AS n, round(avg((p.v - q.v) ** 2), 6) AS mse, round(-10 * log10(avg((p.v - q.v) ** 2)), 6) AS psnr FROM p JOIN q USING (row, col)
 """)
 def image_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = raster_view(spark, sf_dir).withColumn("v", F.round(F.col("v") * 1000).cast("bigint"))
+    px = raster_view(spark, sf_dir).withColumn("v", thousandths(F.col("v")))
     rough = px.withColumn("v", F.col("v") - F.col("v") % 7)
     return raster.squared_error(px, rough, ["row", "col"]).withColumns({"mse": F.round("mse", 6), "psnr": F.round("psnr", 6)})
 
@@ -209,7 +214,7 @@ SELECT image, count(*) AS windows, round(avg(ssim), 6) AS ssim, round(min(ssim),
 """)
 def sliding_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean structural similarity of each image of 500 lines to itself with coarser samples, over every window of 7 x 7."""
-    px = raster_view(spark, sf_dir).select(F.floor(F.col("row") / 500).alias("image"), "row", "col", F.round(F.col("v") * 1000).cast("bigint").alias("x"))
+    px = raster_view(spark, sf_dir).select(F.floor(F.col("row") / 500).alias("image"), "row", "col", thousandths(F.col("v")).alias("x"))
     found = raster.window_similarity(px.withColumn("y", F.col("x") - F.col("x") % 40), ["image"], "x", "y", 1000.0, 7, (64, 32))
     return found.groupBy("image").agg(F.count(F.lit(1)).alias("windows"), F.round(F.avg("ssim"), 6).alias("ssim"), F.round(F.min("ssim"), 6).alias("least"))
 
