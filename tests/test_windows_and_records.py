@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tileweave.functions import numeric
 from tileweave.operators import blocks, raster, segments, windows
-from tileweave.plans import records
+from tileweave.plans import catalogue, records
 from tileweave.sources import chips, datasource, provider, ranged, scan
 from tileweave.sources.formats import nitf, register_codec, registered_codecs, tiff
 from tileweave.structure import codec, columns
@@ -58,6 +58,35 @@ def test_windows_join_by_keys(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_no_exploded_table_is_broadcast(spark, sf_dir):
+    """Catalyst takes tiles and cells for as small as the table they come from, and would send all of them to every worker."""
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    left = spark.range(60).select("id", F.lit(1).alias("image"), (F.col("id") * 7).alias("y"), F.col("id").alias("x"), F.lit(40).alias("h"), F.lit(40).alias("w"))
+    met = windows.overlaps(left, left.withColumnRenamed("id", "block"), ["image"], (16, 16))
+    assert "Generate" in plan_of(met) and "Broadcast" not in plan_of(met)
+    plan = plan_of(catalogue.QUERIES["window_tiles"](spark, sf_dir))
+    assert "Generate" in plan and "Generate" not in plan[plan.index("Join") :]
+
+
+@pytest.mark.parametrize(("size", "lap"), [((16, 40), (0, 0)), ((16, 40), (4, 39)), ((7, 1), (3, 0)), ((500, 500), (16, 0))])
+def test_window_tiles_equal_brute_force(spark, size, lap):
+    shapes = [(0, 200, 130), (1, 96, 17), (2, 1, 1), (2, 30, 45), (3, 0, 50), (4, 16, 16), (None, 90, 90)]
+    odd = [(900, 0, None, 5, 9, 9), (901, 0, 5, None, 9, 9), (902, 0, 5, 5, None, 9), (903, None, 5, 5, 9, 9), (904, 7, 5, 5, 9, 9), (905, 3, -5, 5, 20, 20), (906, 0, -50, -50, 2**31 - 1, 2**31 - 1)]
+    w = rects(200, 3, 5, 220) + odd
+    images = spark.createDataFrame(shapes, "image int, rows int, cols int")
+    left = spark.createDataFrame(w, "id int, image int, y long, x long, h long, w long")
+    got = sorted(tuple(r) for r in windows.window_tiles(left, images, ["image"], size, lap).select("id", "tr", "tc", "oy", "ox", "oh", "ow").collect())
+    tiles = [tuple(r) for r in raster.tile_grid(images, *size, lap).select("image", "tr", "tc", "y", "x", "h", "w").collect()]
+    wanted = []
+    for i, m, y, x, h, v in w:
+        for n, tr, tc, ty, tx, th, tw in tiles if None not in (m, y, x, h, v) else []:
+            oy, ox = max(y, ty), max(x, tx)
+            oh, ow = min(y + h, ty + th) - oy, min(x + v, tx + tw) - ox
+            if m == n and oh > 0 and ow > 0 and h > 0 and v > 0:
+                wanted.append((i, tr, tc, oy, ox, oh, ow))
+    assert got == sorted(wanted) and len({r[0] for r in got}) > 30
+
+
 def test_window_blocks_edges(spark):
     grids = spark.createDataFrame([("a", 100, 70, 32, 32), ("b", 10, 10, 64, 64)], "path string, rows int, cols int, bh int, bw int")
     wanted = [(1, "a", -5, -5, 10, 10), (2, "a", 95, 60, 50, 50), (3, "a", 100, 0, 5, 5), (4, "a", 0, 0, 0, 9), (5, "a", 0, 0, 1000, 1000), (6, "b", 3, 3, 2, 2), (7, "none", 0, 0, 9, 9), (8, None, 0, 0, 9, 9)]

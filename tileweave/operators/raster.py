@@ -35,12 +35,16 @@ def grid_size(length: Column, block: Column) -> Column:
     return F.when(block == 0, F.lit(1)).otherwise(F.ceil(length / block)).cast("int")
 
 
+def tile_count(length: Column, size: int, overlap: int) -> Column:
+    """Tiles along an axis, of which neighbours share ``overlap`` pixels; at least one."""
+    return F.greatest(F.lit(1), F.ceil((length - overlap) / (size - overlap))).cast("int")
+
+
 def tile_grid(images: DataFrame, height: int, width: int, overlap: tuple[int, int] = (0, 0), rows: str = "rows", cols: str = "cols") -> DataFrame:
     """Every tile of every image in row-major order: tr, tc, y, x, h, w; tiles at the edge are clipped."""
     dy, dx = height - overlap[0], width - overlap[1]
-    count = lambda n, o, d: F.greatest(F.lit(1), F.ceil((n - o) / d)).cast("int")
-    placed = images.withColumn("tr", F.explode(F.sequence(F.lit(0), count(F.col(rows), overlap[0], dy) - 1)))
-    placed = placed.withColumn("tc", F.explode(F.sequence(F.lit(0), count(F.col(cols), overlap[1], dx) - 1)))
+    placed = images.withColumn("tr", F.explode(F.sequence(F.lit(0), tile_count(F.col(rows), height, overlap[0]) - 1)))
+    placed = placed.withColumn("tc", F.explode(F.sequence(F.lit(0), tile_count(F.col(cols), width, overlap[1]) - 1)))
     y, x = F.col("tr") * dy, F.col("tc") * dx
     return placed.withColumns({"y": y, "x": x, "h": F.least(F.lit(height), F.col(rows) - y), "w": F.least(F.lit(width), F.col(cols) - x)})
 

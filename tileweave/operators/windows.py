@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .raster import tile_count
+
 PLACE = ("y", "x", "h", "w")
 
 
@@ -45,12 +47,13 @@ def overlaps(windows: DataFrame, blocks: DataFrame, on: Sequence[str], cell: tup
     Gives the columns of both sides (the blocks' y, x, h, w as block_y, block_x, block_h, block_w) and the
     shared rectangle: oy, ox, oh, ow.  ``cell`` should be about a block's size: larger cells
     compare more pairs, smaller ones copy more rows; the result is the same.  Empty rectangles and
-    null keys meet nothing.
+    null keys meet nothing.  Neither side is broadcast: Catalyst takes a table of cells for as small as the
+    rectangles they come from.  Tiles of a regular grid need no table, see ``window_tiles``.
     """
     renamed = {c: f"block_{c}" for c in PLACE}
     left = covered(windows, cell)
     right = covered(blocks, cell).withColumnsRenamed({**renamed, "fy": "block_fy", "fx": "block_fx"})
-    met = left.join(right, [*on, "cy", "cx"])
+    met = left.join(right.hint("merge"), [*on, "cy", "cx"])
     first = (F.col("cy") == F.greatest("fy", "block_fy")) & (F.col("cx") == F.greatest("fx", "block_fx"))
     oy, oh = overlap(F.col("y"), F.col("h"), F.col("block_y"), F.col("block_h"))
     ox, ow = overlap(F.col("x"), F.col("w"), F.col("block_x"), F.col("block_w"))
@@ -82,6 +85,29 @@ def window_blocks(windows: DataFrame, grids: DataFrame, on: Sequence[str]) -> Da
     return placed.withColumns({"oy": oy, "oh": oh, "ox": ox, "ow": ow}).drop("br0", "br1", "bc0", "bc1")
 
 
+def tiles_of(start: Column, length: Column, whole: Column, size: int, lap: int) -> Column:
+    """Numbers of the tiles along an axis of ``whole`` pixels that a range meets, neighbours sharing ``lap`` pixels; none for an empty one or one outside."""
+    first = F.greatest(F.floor((start - size) / (size - lap)) + 1, F.lit(0))
+    last = F.least(F.floor((start + length - 1) / (size - lap)), tile_count(whole, size, lap) - 1)
+    return F.when((length > 0) & (whole > 0) & (start < whole) & (first <= last), F.sequence(first, last))
+
+
+def window_tiles(windows: DataFrame, images: DataFrame, on: Sequence[str], size: tuple[int, int], lap: tuple[int, int] = (0, 0)) -> DataFrame:
+    """A row for each window and each tile (tr, tc) of its image's ``raster.tile_grid`` that it meets, with the shared rectangle (oy, ox, oh, ow).
+
+    ``images`` have rows and cols, ``lap`` is the pixels that neighbours share.  A window's tiles follow from its place, so only tiles
+    that windows meet are made, and only windows and images are joined.
+    """
+    both = windows.join(images.select(*on, F.col("rows").alias("_rows"), F.col("cols").alias("_cols")), list(on))
+    placed = both.withColumn("tr", F.explode(tiles_of(F.col("y"), F.col("h"), F.col("_rows"), size[0], lap[0])))
+    placed = placed.withColumn("tc", F.explode(tiles_of(F.col("x"), F.col("w"), F.col("_cols"), size[1], lap[1])))
+    ty, tx = F.col("tr") * (size[0] - lap[0]), F.col("tc") * (size[1] - lap[1])
+    oy, oh = overlap(F.col("y"), F.col("h"), ty, F.least(F.lit(size[0]), F.col("_rows") - ty))
+    ox, ow = overlap(F.col("x"), F.col("w"), tx, F.least(F.lit(size[1]), F.col("_cols") - tx))
+    numbers = [F.col(c).cast("int").alias(c) for c in ("tr", "tc")]
+    return placed.select(*windows.columns, *numbers, oy.alias("oy"), ox.alias("ox"), oh.alias("oh"), ow.alias("ow"))
+
+
 def window_rows(windows: DataFrame, lines: DataFrame, on: Sequence[str], row: str, samples: str, cell: int = 256) -> DataFrame:
     """What windows hold of images stored as lines of samples: window columns, the line's place in the window (dy) and its samples from x on.
 

@@ -105,8 +105,7 @@ m AS (SELECT l_orderkey, l_linenumber, greatest(y, ty) AS oy, least(y + h, ty +
 SELECT l_orderkey, l_linenumber, CAST(tr AS INT) AS tr, CAST(tc AS INT) AS tc, oy, ox, oh, ow FROM m WHERE oh > 0 AND ow > 0
 """)
 def window_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tiles = raster.tile_grid(_images(spark, sf_dir), 96, 128, (16, 16)).select("image", "tr", "tc", "y", "x", "h", "w")
-    met = windows.overlaps(_windows(spark, sf_dir), tiles, ["image"], (96, 128))
+    met = windows.window_tiles(_windows(spark, sf_dir), _images(spark, sf_dir), ["image"], (96, 128), (16, 16))
     return met.select("l_orderkey", "l_linenumber", "tr", "tc", *[F.col(c).cast("long").alias(c) for c in ("oy", "ox", "oh", "ow")])
 
 
